@@ -42,3 +42,12 @@ FROM q
 """
 
 ORACLES: dict[str, str] = {"op1_pareto_mix": _OP1}
+
+
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES["op3_jaccard_join"] = op3_jaccard_join
