@@ -51,3 +51,17 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_jaccard_join"] = op3_jaccard_join
+
+
+def op2_token_blocks(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    import public_tokenizers
+
+    from .common import Workspace
+    from .tokenbin import read_tokens, write_tokens
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet") if docs is None else docs
+    work = Workspace(spark, "tokens")
+    return read_tokens(write_tokens(docs, f"{work.path}/files", public_tokenizers.path("word_bpe_49k.json"), work=work))
+
+
+QUERIES["op2_token_blocks"] = op2_token_blocks
