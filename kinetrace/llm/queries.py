@@ -65,3 +65,23 @@ def op2_token_blocks(spark: SparkSession, sf_dir: str, docs: DataFrame | None =
 
 
 QUERIES["op2_token_blocks"] = op2_token_blocks
+
+
+def op9_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import Workspace
+    from .warc import write_archive
+
+    work = Workspace(spark, "warc")
+    return write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), f"{work.path}/archive", work).records()
+
+
+QUERIES["op9_warc_index"] = op9_warc_index
+
+ORACLES["op9_warc_index"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS d, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n FROM pages),
+m AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY d, n) END AS top FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+  CASE WHEN top IS NULL OR top IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN top IS DISTINCT FROM page_id THEN top END AS refers_to
+FROM m
+"""

@@ -108,7 +108,7 @@ class ShardWriter:
     def __init__(self, path: str, percentile: float):
         fs, self.name = filesystem(path)
         fs.create_dir(self.name.rpartition("/")[0], recursive=True)
-        self.out, self.percentile = fs.open_output_stream(self.name), percentile
+        self.out, self.percentile = fs.open_output_stream(self.name, compression=None), percentile
         self.held, self.n_held, self.n_ids, self.at = [], 0, 0, 0
         self.docs, self.counts, self.lengths = [], [], []
 
