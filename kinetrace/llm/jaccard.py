@@ -194,7 +194,7 @@ def _block_pairs(percent: int):
     def run(_key, table):
         rep, n, label, block = (table.column(c).to_numpy() for c in ("rep", "n", "label", "block"))
         b1, b2 = table.column("b1")[0].as_py(), table.column("b2")[0].as_py()
-        sketch = np.array(table.column("sketch").to_pylist(), np.int64).reshape(-1, BITS // 64).view(np.uint64)
+        sketch = table.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, BITS // 64).view(np.uint64)
         left = np.flatnonzero(block == b1)
         right = np.flatnonzero(block == b2)
         a, b = [], []

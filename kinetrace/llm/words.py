@@ -122,7 +122,7 @@ class Buckets:
     Packed rows cost the shuffle a few objects per task instead of one row per key.
     """
 
-    def __init__(self, buckets: int, kinds: tuple, limit: int = 1 << 21):
+    def __init__(self, buckets: int, kinds: tuple, limit: int = 1 << 19):
         self.buckets, self.kinds, self.limit, self.held, self.parts = buckets, kinds, limit, 0, []
 
     def add(self, *arrays: np.ndarray) -> None:
