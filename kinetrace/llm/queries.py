@@ -85,3 +85,21 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest,
   CASE WHEN top IS DISTINCT FROM page_id THEN top END AS refers_to
 FROM m
 """
+
+
+def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .decontam import contaminated_spans
+
+    spans = contaminated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return spans.groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("matches").alias("matches"))
+
+
+def op5_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlfilter import judge_urls
+
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES |= {"op4_spaced_seeds": op4_spaced_seeds, "op5_url_ratio": op5_url_ratio}
