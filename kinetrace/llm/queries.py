@@ -103,3 +103,18 @@ def op5_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op4_spaced_seeds": op4_spaced_seeds, "op5_url_ratio": op5_url_ratio}
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_scores
+
+    return toxicity_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES |= {"op8_language_id": op8_language_id, "op10_toxicity": op10_toxicity}
