@@ -145,3 +145,12 @@ def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_passages"] = op6_passages
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
