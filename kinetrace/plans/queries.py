@@ -246,12 +246,12 @@ def required_frames(spark, sf):
 
 
 @query("""
-g AS (SELECT *, CAST(floor(t / 120 + 1e-5) AS BIGINT) AS gi FROM ep),
+g AS (SELECT *, CAST(floor(t / 7200 + 1e-5) AS BIGINT) AS gi FROM ep),
 n AS (SELECT *, greatest(coalesce(max(gi) OVER (PARTITION BY episode ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1), -1) + 1 AS free FROM g)
 ----SELECT episode, frame, unnest(generate_series(free, gi)) AS grid FROM n WHERE gi >= free
 """, EVENTS)
 def resample_dt(spark, sf):
-    return windows.resampled(events(spark, sf), 120.0).select("episode", "frame", "grid")
+    return windows.resampled(events(spark, sf), 7200.0).select("episode", "frame", "grid")
 
 
 @query("""

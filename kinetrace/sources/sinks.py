@@ -54,10 +54,34 @@ def write_temporal_stats(spark: SparkSession, path: str, stats: dict, dataset: s
     write_json(spark, stats if dataset is None else {**(read_json(spark, path) or {}), dataset: stats}, path)
 
 
+def write_episode_files(frames: DataFrame, root: str, chunks_size: int = 1000) -> None:
+    """data/chunk-000/episode_000000.parquet and so on: one file an episode.
+
+    Executors write a partition per episode; the driver then only renames, a metadata operation per episode.
+    """
+    spark = frames.sparkSession
+    jvm = spark._jvm
+    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    temp = f"{root}/data/_episodes"
+    frames.withColumn("episode", F.col("episode_index")).repartition("episode_index").sortWithinPartitions("episode_index", "frame_index").write.partitionBy("episode").mode("overwrite").parquet(temp)
+    fs = path(temp).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in fs.listStatus(path(temp)):
+        if not folder.isDirectory():
+            continue
+        episode = int(folder.getPath().getName().split("=")[1])
+        target = f"{root}/data/chunk-{episode // chunks_size:03d}"
+        fs.mkdirs(path(target))
+        parts = [f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().endswith(".parquet")]
+        if len(parts) != 1:
+            raise ValueError(f"episode {episode} has {len(parts)} files; lift spark.sql.files.maxRecordsPerFile")
+        fs.rename(parts[0], path(f"{target}/episode_{episode:06d}.parquet"))
+    fs.delete(path(temp), True)
+
+
 def write_dataset(frames: DataFrame, episodes: DataFrame, tasks: DataFrame, info: dict, modality: dict, root: str) -> None:
-    """Frames partitioned by episode, episode and task lines, and both declarations."""
+    """A file per episode, episode and task lines, and both declarations."""
     spark = frames.sparkSession
-    frames.withColumn("episode", F.format_string("%06d", "episode_index")).repartition("episode").sortWithinPartitions("episode", "frame_index").write.partitionBy("episode").mode("overwrite").parquet(f"{root}/data/chunk-000")
+    write_episode_files(frames, root, int(info.get("chunks_size", 1000)))
     episodes.orderBy("episode_index").coalesce(1).write.mode("overwrite").json(f"{root}/meta/episodes.jsonl")
     tasks.orderBy("task_index").coalesce(1).write.mode("overwrite").json(f"{root}/meta/tasks.jsonl")
     write_json(spark, info, f"{root}/meta/info.json")

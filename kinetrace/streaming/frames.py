@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +22,7 @@ def resample_stream(frames: DataFrame, dt: float, start: float = 0.0) -> DataFra
         rows = pd.concat(list(batches)).sort_values(["frame"], kind="stable")
         out = []
         for frame, t in zip(rows["frame"], rows["t"], strict=True):
-            place = int((t - start) // dt) if abs((t - start) / dt % 1 - 1) > 1e-5 else int((t - start) / dt + 1e-5)
+            place = math.floor((t - start) / dt + 1e-5)
             out += [(key[0], frame, t, g, start + g * dt) for g in range(free, place + 1)]
             free = max(free, place + 1)
         state.update((free,))
