@@ -154,3 +154,42 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["pipeline"] = pipeline
+
+ORACLES["op3_jaccard_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') || ' ' || len(w) ELSE array_to_string(w[i:i + 4], ' ') END AS s
+  FROM (SELECT *, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT w.doc_id, count(s) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT a AS doc_id, CAST(any_value(n) AS BIGINT) AS n_shingles, min(b) AS component_id FROM r JOIN n ON n.doc_id = r.a GROUP BY a
+"""
+
+ORACLES["op5_url_ratio"] = r"""
+WITH u AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS r FROM pages),
+h AS (SELECT page_id, coalesce(r, url, '') AS rest, coalesce(translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(r, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+f(kind, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+m AS (SELECT d.*, (SELECT arg_max({'kind': kind, 'rule': h || p}, length(h || p)) FROM f WHERE (d.host = h OR ends_with(d.host, '.' || h)) AND starts_with(d.path, p)) AS g,
+    CAST('0x' || substr(md5(rest), 1, 2) AS INTEGER) % 5 = 0 AS holds FROM h d),
+x AS (SELECT rest, substr(repeat(chr(2), 4) || rest || chr(3), i, 5) AS gram FROM (SELECT DISTINCT rest FROM m), range(1, 4000) k(i) WHERE i <= length(rest) + 1),
+t AS (SELECT gram, sum(CASE WHEN g.kind = 'allow' THEN 1 ELSE 0 END) AS a, sum(CASE WHEN g.kind = 'block' THEN 1 ELSE 0 END) AS b
+  FROM m JOIN x USING (rest) WHERE g IS NOT NULL AND NOT holds GROUP BY gram),
+c AS (SELECT k, substr(gram, 6 - k) AS g, sum(a) AS a, sum(b) AS b FROM t, range(1, 6) z(k) GROUP BY ALL),
+o AS (SELECT k, substr(g, 1, k - 1) AS ctx, sum(a) AS a, sum(b) AS b FROM c GROUP BY ALL),
+q AS (SELECT DISTINCT gram FROM x),
+e AS (SELECT q.gram, z.k, coalesce(c.a, 0)::DOUBLE AS ca, coalesce(c.b, 0)::DOUBLE AS cb, coalesce(o.a, 0)::DOUBLE AS oa, coalesce(o.b, 0)::DOUBLE AS ob
+  FROM q CROSS JOIN range(1, 6) z(k) LEFT JOIN c ON c.k = z.k AND c.g = substr(q.gram, 6 - z.k) LEFT JOIN o ON o.k = z.k AND o.ctx = substr(q.gram, 6 - z.k, z.k - 1)),
+s AS (SELECT gram, list({'ca': ca, 'cb': cb, 'oa': oa, 'ob': ob} ORDER BY k) AS l FROM e GROUP BY gram),
+y AS (SELECT gram, round(
+    ln(list_reduce(list_prepend(1 / 256.0::DOUBLE, list_transform(l, lambda z: z.ca)), lambda p, z, i: (z + 3 * p) / (l[i - 1].oa + 3))) -
+    ln(list_reduce(list_prepend(1 / 256.0::DOUBLE, list_transform(l, lambda z: z.cb)), lambda p, z, i: (z + 3 * p) / (l[i - 1].ob + 3))), 9) AS ratio FROM s),
+j AS (SELECT rest, round(sum(ratio) / count(*), 6) AS score FROM x JOIN y USING (gram) GROUP BY rest),
+w AS (SELECT m.*, score FROM m JOIN j USING (rest)),
+cells AS (SELECT floor(score / 0.01) AS cell, sum(CASE WHEN g.kind = 'allow' THEN 1 ELSE 0 END) AS a, sum(CASE WHEN g.kind = 'block' THEN 1 ELSE 0 END) AS b FROM w WHERE g IS NOT NULL AND holds GROUP BY 1),
+cum AS (SELECT cell, sum(a) OVER () AS ta, sum(b) OVER () AS tb, sum(a) OVER (ORDER BY cell DESC) AS kept, sum(b) OVER (ORDER BY cell DESC) AS let FROM cells),
+best AS (SELECT cell * 0.01::DOUBLE AS lim FROM cum WHERE ta > 0 AND tb > 0 ORDER BY kept / ta + (tb - let) / tb DESC, abs(cell) LIMIT 1)
+SELECT page_id, host, path, g.rule AS rule, coalesce(g.kind, CASE WHEN score >= coalesce((SELECT lim FROM best), 0) THEN 'allow' ELSE 'block' END) AS verdict FROM w
+"""

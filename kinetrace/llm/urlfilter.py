@@ -100,7 +100,7 @@ def judge_urls(pages: DataFrame, *, page_id: str = "page_id", url: str = "url",
     """page_id, host, path, rule, verdict, score of every row.
 
     The rule's verdict where one fits; else allow if the mean log ratio per character of what follows :// (the whole
-    url without one; empty for null) reaches the threshold.  Labelled URLs with crc32(url) % 5 = 0 calibrate and the
+    url without one; empty for null) reaches the threshold.  Labelled URLs whose first MD5 byte is divisible by 5 calibrate and the
     rest train, all of them.  Distinct URLs are scored once; joins are plain equi-joins that split large keys.
     Without labelled URLs of a class, the models are uniform or one-sided and the threshold is 0.  Repeated rows and
     null ids are rows like any other; an empty table gives an empty result.
@@ -111,7 +111,7 @@ def judge_urls(pages: DataFrame, *, page_id: str = "page_id", url: str = "url",
     rest = F.coalesce(F.when(at > 0, F.substring(F.col(url), at + 3, F.length(F.col(url)))).otherwise(F.col(url)), F.lit(""))
     rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"), rest.alias("rest"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", rule).withColumn("given", verdict).withColumn("holds", F.crc32(F.encode("rest", "UTF-8")) % 5 == 0)
+    rows = rows.withColumn("rule", rule).withColumn("given", verdict).withColumn("holds", F.conv(F.substring(F.md5("rest"), 1, 2), 16, 10).cast("int") % 5 == 0)
     rows = work.write(rows, "rows")
     training = rows.where("given is not null and not holds").groupBy("rest", (F.col("given") == "allow").cast("long").alias("yes")).agg(F.count("*").alias("n"))
     counted = training.select(_grams("rest").alias("gram"), "yes", "n").groupBy("gram").agg(F.sum(F.col("yes") * F.col("n")).alias("accepted"), F.sum((1 - F.col("yes")) * F.col("n")).alias("rejected"))

@@ -1,5 +1,5 @@
+import hashlib
 import math
-import zlib
 from collections import Counter
 
 from kinetrace.llm.urlfilter import CELL, ORDER, STRENGTH, judge_urls
@@ -29,7 +29,7 @@ def brute(urls):
     padded = lambda t: "\x02" * (ORDER - 1) + t + "\x03"
     counts = {v: Counter() for v in ("allow", "block")}
     contexts = {v: Counter() for v in ("allow", "block")}
-    held = lambda t: zlib.crc32(t.encode()) % 5 == 0
+    held = lambda t: hashlib.md5(t.encode()).digest()[0] % 5 == 0
     for u in urls:
         r = rule(*parts(u))
         if r and not held(rest(u)):
