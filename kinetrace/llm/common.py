@@ -26,10 +26,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Rows of texts that Spark hands to a Python worker at once, unless the session sets its own number.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Texts are long: with the default of 10,000 rows a batch, a worker's and the JVM's copies take hundreds of MB."""
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 class Workspace:
     """A folder of written tables in the shared directory: lineage ends there, so lost executors cost a reread only."""
 
     def __init__(self, spark: SparkSession, name: str):
+        short_batches(spark)
         self.spark, self.path = spark, f"{shared_dir(spark)}/kinetrace/{name}-{uuid.uuid4().hex[:12]}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:

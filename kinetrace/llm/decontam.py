@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import short_batches
 from .mixing import word_count
 from .words import U64, slices, windows, word_bounds, word_hashes
 
@@ -99,6 +100,7 @@ class Benchmark:
 
 def _passes(benchmark: DataFrame, item_id: str, text: str) -> list[Benchmark]:
     """The items, PASS_WORDS words a pass at most on average: a stated query set held in blocks."""
+    short_batches(benchmark.sparkSession)
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).where("text is not null")
     total = items.agg(F.sum(word_count(F.col("text")))).first()[0] or 0
     n = max(1, -(-total // PASS_WORDS))

@@ -119,7 +119,7 @@ class Predictor(dict):
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.model.langs:
             return "und", 0.0
-        if self.size > 250_000 or len(self) > 300_000:
+        if self.size > 120_000 or len(self) > 150_000:
             self._reset()
         at = np.fromiter(map(self.__getitem__, text.split()), np.int64)
         at = at[at > 0]

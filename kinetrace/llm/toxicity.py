@@ -158,7 +158,7 @@ class TokenFeatures(dict):
         self.restorer, self.kept = restorer, kept
 
     def __missing__(self, token: str) -> tuple[int, ...]:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         got = self.of(self.restorer.word(token))
         if len(token) <= 64:
@@ -190,7 +190,7 @@ def _document_counts(model: CharModel, kept: set[str] | None):
                 text, found = (text.as_py() or "").lower(), set()
                 for token in set(text.split()):
                     if token not in words:
-                        if len(words) > 200_000:
+                        if len(words) > 100_000:
                             words.clear()
                         words[token] = [f for f in features(restorer.word(token)) if kept is None or f in kept]
                     found.update(words[token])
