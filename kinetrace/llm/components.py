@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from .common import Workspace
 
+#: Star edges up to which one task finishes the job; they are counted first, and more go through rounds.
+ONE_TASK = 100_000
+
 
 def _local_stars(batches):
     """Replaces a partition's edges by (node, smallest node of its local component): fewer edges, same components."""
@@ -35,11 +38,14 @@ def _local_stars(batches):
 def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b: longs), the component being its smallest node.
 
-    Each partition first replaces its edges by local stars; then large-star and small-star steps alternate until the
-    edges are stars already.  Nodes without edges are not returned.  Each round is written to the shared folder.
+    Each partition first replaces its edges by local stars.  If few edges are left, one task joins them; else large-star
+    and small-star steps alternate until the edges are stars already.  Nodes without edges are not returned.  Each round is written to the shared folder.
     """
     two = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
     star = work.write(two.mapInArrow(_local_stars, "v long, m long").distinct(), f"{name}-0")
+    if star.count() <= ONE_TASK:
+        after = star.coalesce(1).mapInArrow(_local_stars, "v long, m long")
+        return _with_roots(work.write(after, f"{name}-1"))
     turn = 0
     while True:
         both = star.union(star.select(F.col("m").alias("v"), F.col("v").alias("m")))
@@ -55,4 +61,8 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
             break
         work.drop(f"{name}-{turn - 1}")
         star = after
-    return after.select(F.col("v").alias("node"), F.col("m").alias("component")).union(after.select(F.col("m").alias("node"), F.col("m").alias("component")).distinct())
+    return _with_roots(after)
+
+
+def _with_roots(star: DataFrame) -> DataFrame:
+    return star.select(F.col("v").alias("node"), F.col("m").alias("component")).union(star.select(F.col("m").alias("node"), F.col("m").alias("component")).distinct())
