@@ -232,7 +232,8 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     first = work.write(texts.mapInArrow(_sketch(2 * parts, k, percent), _FIRST), "first")
     rows = first.where("kind = 0").select("doc_id", "n", "f1", "f2", "sketch")
     same = rows.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1 and rep is not null")
-    reps = rows.join(same.drop("copies"), ["n", "f1", "f2"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    same = work.write(same.drop("copies"), "same")
+    reps = rows.join(maybe_broadcast(same, same.count()), ["n", "f1", "f2"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     reps = work.write(reps.select("doc_id", "n", "rep", "sketch"), "classes")
 
     packed = first.where("kind = 1").select("bucket", "keys", "docs").repartition(parts, "bucket")

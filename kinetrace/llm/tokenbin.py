@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -178,12 +180,32 @@ def read_shard(path: str):
 
 _SAFE = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
-_CACHE_LIMIT = 300_000
+_CACHE_LIMIT = 120_000
 _LOADED: dict[str, ChunkEncoder] = {}
 
 
-class ChunkEncoder(dict):
-    """Ids, as little-endian bytes, of what stands between blanks and line feeds; a bounded cache over the tokenizer.
+class Recent(dict):
+    """A bounded cache that computes what it misses; entries used since the last turnover survive the next one."""
+
+    def __init__(self, compute, limit: int = _CACHE_LIMIT):
+        super().__init__()
+        self.compute, self.limit, self.old = compute, limit, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+            if len(key) > 64:
+                return value
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class ChunkEncoder:
+    """Ids, as little-endian bytes, of texts; bounded caches over the tokenizer for what stands between blanks.
 
     The tokenizers of this kind drop white space and never look across it, so a text's ids are those of its chunks.
     Chunks of printable ASCII and Latin-1 letters go to the model directly, in pieces as the tokenizer's own pattern
@@ -193,38 +215,34 @@ class ChunkEncoder(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__()
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.kind = np.dtype("<u2" if self.whole.get_vocab_size() < 65536 else "<u4")
         self.bytes_as_text = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.pieces: dict[str, bytes] = {}
         self.direct = _is_word_bpe(self.whole)
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= _CACHE_LIMIT:
-            self.clear()
-        if self.direct and _SAFE.fullmatch(chunk) and "<|" not in chunk:
-            ids = b"".join([self.piece(p) for p in _PIECE.findall(chunk.lower())])
-        else:
-            ids = np.array(self.whole.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
-        if len(chunk) <= 64:
-            self[chunk] = ids
-        return ids
-
-    def piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            text = piece if piece.isascii() else self.bytes_as_text.pre_tokenize_str(piece)[0][0]
-            ids = np.array([t.id for t in self.model.tokenize(text)], self.kind).tobytes()
-            if len(self.pieces) >= _CACHE_LIMIT // 2:
-                self.pieces.clear()
-            if len(piece) <= 64:
-                self.pieces[piece] = ids
-        return ids
+        self.pieces, self.chunks = Recent(self._piece), Recent(self._chunk)
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+
+    def _packed(self, ids: list[int]) -> bytes:
+        packed = array(self.code, ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        if self.direct:
+            if chunk.isascii() and chunk.isalpha():
+                return self.pieces[chunk.lower()]
+            if _SAFE.fullmatch(chunk) and "<|" not in chunk:
+                return b"".join([self.pieces[p] for p in _PIECE.findall(chunk.lower())])
+        return self._packed(self.whole.encode(chunk, add_special_tokens=False).ids)
+
+    def _piece(self, piece: str) -> bytes:
+        text = piece if piece.isascii() else self.bytes_as_text.pre_tokenize_str(piece)[0][0]
+        return self._packed([t.id for t in self.model.tokenize(text)])
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
+        return b"".join(map(self.chunks.__getitem__, (text or "").replace("\n", " ").split(" ")))
 
 
 def _is_word_bpe(tokenizer) -> bool:
