@@ -217,7 +217,7 @@ def _sample_features(model: CharModel, kept: dict[str, int]):
     return run
 
 
-def fit_logistic(rows: list[list[int]], labels: np.ndarray, n: int, penalty: float = 1.0, steps: int = 400) -> np.ndarray:
+def fit_logistic(rows: list[list[int]], labels: np.ndarray, n: int, penalty: float = 0.3, steps: int = 400) -> np.ndarray:
     """Weights and, last, the bias of an L2-penalised logistic regression on sparse binary rows (Adam, full batches)."""
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.concatenate([np.asarray(r, np.int64) for r in rows]) if len(doc) else np.zeros(0, np.int64)
