@@ -62,34 +62,38 @@ def _counts(batches):
 
 
 class LanguageModel:
-    """Log frequencies of words and n-grams by language: a row of numbers each."""
+    """Log frequencies of words and n-grams by language: one table, a row each; row 0 is nothing, row 1 an unknown character."""
 
     def __init__(self, langs: list[str], words: dict[str, np.ndarray], pieces: dict[str, np.ndarray], totals: np.ndarray):
         """words and pieces: counts by language; totals: (2, languages) sums over all units, kept or not."""
         self.langs = langs
-        level = lambda counts, total: {u: np.log((c + 0.5) / (total + 0.5 * len(counts) + 1)).astype(np.float32) for u, c in counts.items()}
-        self.words, self.grams = level(words, totals[0]), level(pieces, totals[1])
-        self.floor = np.log(0.5 / (totals[1] + 1)).astype(np.float32) if len(langs) else np.zeros(0, np.float32)
-
-    def word(self, word: str) -> np.ndarray:
+        rows = [np.zeros(len(langs)), np.log(0.5 / (totals[1] + 1)) if langs else np.zeros(0)]
+        self.words, self.grams = {}, {}
+        for ids, counts, total in ((self.words, words, totals[0]), (self.grams, pieces, totals[1])):
+            for unit, n in counts.items():
+                ids[unit] = len(rows)
+                rows.append(np.log((n + 0.5) / (total + 0.5 * len(counts) + 1)))
+        self.table = np.array(rows, np.float32).reshape(len(rows), len(langs))
+
+    def rows(self, word: str) -> list[int]:
+        """A known word's row, or at each place of ^word$ that of the longest known n-gram."""
         known = self.words.get(word)
         if known is not None:
-            return known - known.max()
-        text, total, n, i = f"^{word[:40]}$", 0, 0, 0
-        while i < len(text):
-            for k in range(min(ORDER, len(text) - i), 0, -1):
-                got = self.grams.get(text[i : i + k])
-                if got is not None:
-                    break
-            else:
-                got = self.floor
-            total, n, i = total + got, n + 1, i + 1
-        total = total / max(1, n / 2)
-        return total - total.max()
+            return [known]
+        text, get, out = f"^{word[:40]}$", self.grams.get, []
+        for i in range(len(text)):
+            row = get(text[i : i + ORDER])
+            if row is None:
+                for k in range(ORDER - 1, 0, -1):
+                    row = get(text[i : i + k])
+                    if row is not None:
+                        break
+            out.append(1 if row is None else row)
+        return out
 
 
 class Predictor(dict):
-    """Row numbers of tokens' evidence; a bounded cache."""
+    """Places of tokens in a table of evidence; a bounded cache, filled for all new tokens of a text at once."""
 
     def __init__(self, model: LanguageModel):
         super().__init__()
@@ -98,23 +102,34 @@ class Predictor(dict):
 
     def _reset(self) -> None:
         self.clear()
-        # Row 0: a token without letters.
+        # Place 0: a token without letters.
         self.table = np.zeros((1 << 12, len(self.model.langs)), np.float32)
         self.size = 1
+        self.waiting: list[list[int]] = []
 
     def __missing__(self, token: str) -> int:
-        parts = _RUN.findall(token.lower())
-        if not parts:
-            if len(token) <= 64:
-                self[token] = 0
-            return 0
-        if self.size == len(self.table):
-            self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-        self.table[self.size] = sum(self.model.word(p) for p in parts)
-        self.size += 1
+        parts = (token.lower(),) if token.isalpha() else _RUN.findall(token.lower())
+        place = 0
+        if parts:
+            rows = self.model.rows(parts[0])
+            for p in parts[1:]:
+                rows = rows + self.model.rows(p)
+            self.waiting.append(rows)
+            place = self.size
+            self.size += 1
         if len(token) <= 64:
-            self[token] = self.size - 1
-        return self.size - 1
+            self[token] = place
+        return place
+
+    def _fill(self) -> None:
+        """An unknown word's n-grams count as much as two units together, whatever its length."""
+        while self.size > len(self.table):
+            self.table = np.concatenate((self.table, np.zeros_like(self.table)))
+        lengths = np.array([len(r) for r in self.waiting])
+        flat = np.fromiter((x for r in self.waiting for x in r), np.int64, int(lengths.sum()))
+        sums = np.add.reduceat(self.model.table[flat], np.cumsum(lengths) - lengths, axis=0)
+        self.table[self.size - len(lengths) : self.size] = sums / np.maximum(1.0, lengths / 2)[:, None]
+        self.waiting = []
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.model.langs:
@@ -122,6 +137,8 @@ class Predictor(dict):
         if self.size > 120_000 or len(self) > 150_000:
             self._reset()
         at = np.fromiter(map(self.__getitem__, text.split()), np.int64)
+        if self.waiting:
+            self._fill()
         at = at[at > 0]
         if not len(at):
             return "und", 0.0
