@@ -509,7 +509,7 @@ def episode_paths(spark, sf):
 
 # -- statistics ------------------------------------------------------------------------------------------------------
 
-_STATS = "round(avg(x), 6) + 0.0 AS mean, round(stddev_pop(x), 6) AS std, round(min(x), 6) AS min, round(max(x), 6) AS max"
+_STATS = "round(avg(x), 6) + 0.0 AS mean, round(stddev_pop(x), 6) + 0.0 AS std, round(min(x), 6) + 0.0 AS min, round(max(x), 6) + 0.0 AS max"
 
 
 def _rounded(df: DataFrame, *keys: str) -> DataFrame:
