@@ -72,9 +72,9 @@ def reindex_frames(spark, sf):
 
 
 @query("""
-SELECT vec_id, 'xyz' AS key, CAST(i AS INTEGER) AS i, round(v[i + 1], 6) AS x FROM em, range(0, 3) r(i)
-UNION ALL SELECT vec_id, 'quat', CAST(i AS INTEGER), round(v[i + 4], 6) FROM em, range(0, 4) r(i)
-UNION ALL SELECT vec_id, 'rot6d', CAST(i AS INTEGER), round(v[i + 8], 6) FROM em, range(0, 6) r(i)
+SELECT vec_id, 'xyz' AS key, CAST(i AS INTEGER) AS i, round(v[i + 1], 6) + 0.0 AS x FROM em, range(0, 3) r(i)
+UNION ALL SELECT vec_id, 'quat', CAST(i AS INTEGER), round(v[i + 4], 6) + 0.0 FROM em, range(0, 4) r(i)
+UNION ALL SELECT vec_id, 'rot6d', CAST(i AS INTEGER), round(v[i + 8], 6) + 0.0 FROM em, range(0, 6) r(i)
 """, EMBEDDINGS)
 def vector_slice(spark, sf):
     keys = {"xyz": (0, 3), "quat": (3, 7), "rot6d": (7, 13)}
@@ -82,14 +82,14 @@ def vector_slice(spark, sf):
     return each(embeddings(spark, sf).select("vec_id", F.explode(rows).alias("r")).select("vec_id", "r.key", "r.x"), ["vec_id", "key"], "x")
 
 
-@query("SELECT vec_id, CAST(i AS INTEGER) AS i, round((v[62:64] || [CAST(frame AS DOUBLE)] || v[1:2])[i + 1], 6) AS x FROM em, range(0, 6) r(i)", EMBEDDINGS)
+@query("SELECT vec_id, CAST(i AS INTEGER) AS i, round((v[62:64] || [CAST(frame AS DOUBLE)] || v[1:2])[i + 1], 6) + 0.0 AS x FROM em, range(0, 6) r(i)", EMBEDDINGS)
 def vector_concat(spark, sf):
     df = embeddings(spark, sf)
     return each(df, ["vec_id"], vectors.joined([vectors.sliced(F.col("v"), 61, 64), F.array(F.col("frame").cast("double")), vectors.sliced(F.col("v"), 0, 2)]))
 
 
 @query("""
-SELECT vec_id, CAST(t AS INTEGER) AS t, CAST(i AS INTEGER) AS i, CASE WHEN i < 3 AND t < 2 THEN round(v[t * 3 + i + 1], 6) ELSE 0.0 END AS x,
+SELECT vec_id, CAST(t AS INTEGER) AS t, CAST(i AS INTEGER) AS i, CASE WHEN i < 3 AND t < 2 THEN round(v[t * 3 + i + 1], 6) + 0.0 ELSE 0.0 END AS x,
   CASE WHEN i < 3 AND t < 2 THEN 1.0::DOUBLE ELSE 0.0 END AS mask
 FROM em, range(0, 4) a(t), range(0, 5) b(i)
 """, EMBEDDINGS)
@@ -412,7 +412,7 @@ def cosine_similarity(spark, sf):
     return embeddings(spark, sf).select("vec_id", r6(R.cosine(vectors.sliced(F.col("v"), 0, 8), vectors.sliced(F.col("v"), 8, 16))).alias("cosine"))
 
 
-@query("SELECT vec_id, sign(2 * v[1] - 1) * 1.0::DOUBLE AS sign, round(-(2 * v[1] - 1), 6) AS inverted FROM em", EMBEDDINGS)
+@query("SELECT vec_id, sign(2 * v[1] - 1) * 1.0::DOUBLE AS sign, round(-(2 * v[1] - 1), 6) + 0.0 AS inverted FROM em", EMBEDDINGS)
 def gripper_sign(spark, sf):
     g = F.col("v")[0]
     return embeddings(spark, sf).select("vec_id", R.gripper_signed(g).alias("sign"), r6(R.gripper_signed(g, False, True)).alias("inverted"))
