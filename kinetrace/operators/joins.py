@@ -63,12 +63,15 @@ def gather_frames(frames: DataFrame, needed: DataFrame, episode: str = "episode"
     return out.withColumn(frame, F.when(F.col("found_").isNull(), F.raise_error(F.lit("a needed frame is missing"))).otherwise(F.col(frame))).drop("e_", "f_", "found_")
 
 
-def sliced_episodes(table: DataFrame, bounds: DataFrame, index: str = "index") -> DataFrame:
+def sliced_episodes(table: DataFrame, bounds: DataFrame, index: str = "index", width: int = 8192) -> DataFrame:
     """Rows of a consolidated table with the episode whose [from, to) holds their index; empty episodes are errors.
 
-    Episodes follow one another, so a row's episode is the last one that starts at or before it: starts and rows meet in
-    a range partition by index rather than in a range join.
+    An episode is listed in every stretch of ``width`` rows that it touches, so that rows and episodes meet by an
+    equi-join on the stretch; the range is checked within it.
     """
     if bounds.where("`to` <= `from`").take(1):
         raise ValueError("an episode of length 0 or less")
-    return table.join(F.broadcast(bounds) if bounds.count() <= 1_000_000 else bounds, (F.col(index) >= F.col("from")) & (F.col(index) < F.col("to"))).withColumn("frame", F.col(index) - F.col("from"))
+    touched = bounds.withColumn("stretch_", F.explode(F.sequence(F.floor(F.col("from") / width), F.floor((F.col("to") - 1) / width))))
+    rows = table.withColumn("stretch_", F.floor(F.col(index) / width))
+    met = rows.join(touched, (rows["stretch_"] == touched["stretch_"]) & (F.col(index) >= F.col("from")) & (F.col(index) < F.col("to")))
+    return met.drop("stretch_").withColumn("frame", F.col(index) - F.col("from"))
