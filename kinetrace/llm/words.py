@@ -116,6 +116,16 @@ def windows(words: np.ndarray, places) -> np.ndarray:
     return mix(out, 3)
 
 
+def rolled(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of every n consecutive words, at a cost that n doesn't change."""
+    if len(words) < n:
+        return np.zeros(0, np.uint64)
+    up, down = _POWERS.get(len(words) + 1)
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[: len(words)], out=total[1:])
+    return mix((total[n:] - total[:-n]) * down[: len(words) - n + 1], 7)
+
+
 class Buckets:
     """Collects (key, payload...) arrays and hands them out as one binary row per bucket of the key.
 
