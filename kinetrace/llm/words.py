@@ -110,9 +110,14 @@ def windows(words: np.ndarray, places) -> np.ndarray:
     n = len(words) - max(places)
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for i in places:
-        out += words[i : i + n] * U64(_PLACES[i % 64])
+    return hashed([words[i : i + n] for i in places], places)
+
+
+def hashed(columns: list[np.ndarray], places) -> np.ndarray:
+    """The hashes of windows, given the words at each of ``places``."""
+    out = np.zeros(len(columns[0]), np.uint64)
+    for words, i in zip(columns, places, strict=True):
+        out += words * U64(_PLACES[i % 64])
     return mix(out, 3)
 
 

@@ -56,3 +56,39 @@ def test_empty_tables(spark):
     assert contaminated_spans(docs.limit(0), bench).collect() == []
     assert contaminated_spans(docs, bench.limit(0)).collect() == []
     assert decontaminate(docs, bench.limit(0)).count() == docs.count()
+
+
+def test_edited_items_equal_brute_force():
+    import itertools
+
+    import pyarrow as pa
+
+    from kinetrace.llm.decontam import EXTENT, MIN_ITEM, Benchmark, needed
+
+    rng = random.Random(4)
+    items = [(i, [rng.choice(WORDS) for _ in range(n)]) for i, n in enumerate([*range(7, 22), 30, 45, 59, 60, 61, 90])]
+    docs = []
+    for _, words in items:
+        n = len(words)
+        edits = [(), *((i,) for i in range(n)), *itertools.combinations(range(n), 2)] if n <= 20 else [()]
+        edits += [rng.sample(range(n), k) for k in range(3, n - 7) for _ in range(30 if n < 30 else 6)]
+        for gone in edits:
+            own = ["changed" if i in set(gone) else w for i, w in enumerate(words)]
+            docs.append([rng.choice(WORDS) for _ in range(rng.randrange(4))] + own + [rng.choice(WORDS) for _ in range(rng.randrange(4))])
+    # Cut off by the ends of texts.
+    docs += [words[k:] for _, words in items for k in (1, 3, 6)] + [words[:-k] for _, words in items for k in (1, 3, 6)]
+    want = set()
+    for d, words in enumerate(docs):
+        for i, own in items:
+            if len(own) < MIN_ITEM:
+                continue
+            for x in range(-len(own), len(words) + 1) if set(own) & set(words) else ():
+                same = [j for j in range(len(own)) if 0 <= j + x < len(words) and own[j] == words[j + x]]
+                m = needed(len(own))
+                if any(same[j + m - 1] - same[j] < EXTENT for j in range(len(same) - m + 1)):
+                    want.add((d, i))
+    bench = Benchmark([(i, " ".join(w)) for i, w in items])
+    got = list(bench.scan(pa.array([" ".join(w) for w in docs])))
+    assert len(got) == len(want) and {(d, i) for d, i, *_ in got} == want
+    for d, i, start, end, matches in got:
+        assert matches >= needed(len(items[i][1])) and 0 <= start < end <= len(docs[d]) and matches <= end - start
