@@ -2,7 +2,7 @@
 
 Words that look disguised - look-alike digits and signs, letters set apart, stretched letters - become lattices of the
 letters that may be meant.  Viterbi search under a character 4-gram model (counted over all texts) and fixed channel costs
-decodes them; the restored text is then scored by a logistic regression over words and word beginnings.
+decodes them, letters set apart also into several words; the restored text is then scored by a logistic regression over words and word beginnings.
 """
 
 from __future__ import annotations
@@ -26,17 +26,22 @@ COST_LOOKALIKE, COST_DROP_LOOKALIKE, COST_DROP_SIGN, COST_SQUEEZE = 0.5, 6.0, 0.
 SAMPLE = 20_000
 #: Features that it keeps, and candidates from which they are chosen.
 FEATURES, CANDIDATES = 600, 30_000
-LONGEST = 32
 
 _A = 28
 _CODE = np.zeros(256, np.int64)
 _CODE[65:91] = _CODE[97:123] = np.arange(1, 27)
 _CODE[0xC0:] = 27
 _PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”‘’¿¡…–—"
+_NO_LETTERS = "".join(c for c in _PUNCTUATION if c not in LOOKALIKES)
 _LETTER = re.compile(r"[^\W\d_]")
 _DISGUISED = re.compile(r"[^\W\d_][0134578@$!|+]|[0134578@$!|+][^\W\d_]|([^\W\d_])\1\1")
-_APART = re.compile(r"(?:[a-z][^\w\s]{1,2}){2,}[a-z]")
-_SINGLES = re.compile(r"(?<![^\s])[a-z0134578@$!|](?:\s[a-z0134578@$!|]){2,31}(?![^\s])")
+#: Letters set apart in a token: by any signs, by signs that stand for no letter, or all by the same sign.
+_APART = (
+    re.compile(r"(?:[a-z](?:[^\w\s]|_){1,2}){2,}[a-z]"),
+    re.compile(r"(?:[a-z0134578@$!|+](?:[^\w\s@$!|+]|_){1,2}){2,}[a-z0134578@$!|+]"),
+    re.compile(r"[a-z0134578@$!|+]([^\w\s]|_)(?:[a-z0134578@$!|+]\1)+[a-z0134578@$!|+]"),
+)
+_SINGLES = re.compile(r"(?<![^\s(\"'])[a-z0134578@$!|+](?:\s+[a-z0134578@$!|+]){2,}(?![^\s.,;:?!)\"'])")
 
 
 def _char_counts(batches):
@@ -67,7 +72,18 @@ class CharModel:
 
 
 def fold(c: str) -> int:
-    return ord(c) - 96 if "a" <= c <= "z" else 27
+    return ord(c) - 96 if "a" <= c <= "z" else 0 if c == " " else 27
+
+
+def apart(token: str) -> str:
+    """The letters and look-alikes of a token that sets them apart; else nothing."""
+    if not _LETTER.search(token):
+        return ""
+    if _APART[0].fullmatch(token):
+        return "".join(c for c in token if c.isalpha())
+    if _APART[1].fullmatch(token):
+        return "".join(c for c in token if c.isalpha() or c in LOOKALIKES)
+    return token[::2] if _APART[2].fullmatch(token) else ""
 
 
 class Restorer:
@@ -98,13 +114,23 @@ class Restorer:
             i = j
         return out
 
-    def decode(self, word: str) -> str:
+    @staticmethod
+    def with_breaks(lattice: list[list[tuple[str, float]]]) -> list[list[tuple[str, float]]]:
+        """A word may end after each letter, except the last."""
+        out = []
+        for options in lattice:
+            doubled = [(f"{t[0]} {t[1]}", cost) for t, cost in options if len(t) == 2]
+            out.append(options + doubled + [(t + " ", cost) for t, cost in options + doubled if t])
+        return [*out[:-1], [o for o in out[-1] if not o[0].endswith(" ")]] if out else out
+
+    def decode(self, word: str, breaks: bool = False) -> str:
         """The best path: a state for each last three characters."""
-        paths = {(0, 0, 0): (0.0, "")}
+        paths: dict = {(0, 0, 0): (0.0, None)}
         log = self.log
-        for options in self.lattice(word[:LONGEST]):
+        lattice = self.lattice(word)
+        for options in self.with_breaks(lattice) if breaks else lattice:
             after: dict = {}
-            for (a, b, c), (cost, text) in paths.items():
+            for (a, b, c), (cost, path) in paths.items():
                 for letters, channel in options:
                     x, y, z, k = a, b, c, cost + channel
                     for letter in letters:
@@ -112,14 +138,21 @@ class Restorer:
                         k -= float(log[x, y, z, d])
                         x, y, z = y, z, d
                     if (x, y, z) not in after or k < after[(x, y, z)][0]:
-                        after[(x, y, z)] = (k, text + letters)
+                        after[(x, y, z)] = (k, (path, letters))
             paths = after
-        best = min(((cost - float(log[a, b, c, 0]), text) for (a, b, c), (cost, text) in paths.items()), default=(0, ""))
-        return best[1]
+        _, path = min(((cost - float(log[a, b, c, 0]), path) for (a, b, c), (cost, path) in paths.items()), key=lambda x: x[0], default=(0, None))
+        out = []
+        while path:
+            path, letters = path
+            out.append(letters)
+        return "".join(reversed(out))
 
     def word(self, token: str) -> str:
-        """A token without punctuation around it, restored if it looks disguised."""
+        """A token without punctuation around it, restored if it looks disguised; several words where letters are set apart."""
         core = token.strip(_PUNCTUATION)
+        letters = apart(token.strip(_NO_LETTERS)) or apart(core)
+        if letters:
+            return self.decode(letters, breaks=True)
         # Signs at an end may be letters if one or two stand there.
         at = token.find(core) if core else 0
         tail = token[at + len(core) :]
@@ -128,26 +161,22 @@ class Restorer:
         head = token[:at]
         if head and len(head) <= 2 and set(head) <= set("$@"):
             core = head + core
-        if not core.isalpha() and len(core) <= LONGEST and _LETTER.search(core) and (_DISGUISED.search(core) or _APART.fullmatch(core)):
-            return self.decode(core)
-        if core.isalpha() and len(core) <= LONGEST and _DISGUISED.search(core):
-            return self.decode(core)
-        return core
+        return self.decode(core) if _LETTER.search(core) and _DISGUISED.search(core) else core
 
     def text(self, text: str) -> list[str]:
         """Words of the restored text; letters set apart by single blanks are joined and decoded."""
         text = text.lower()
-        words = [self.word(t) for t in text.split()]
+        words = [w for t in text.split() for w in self.word(t).split(" ")]
         return words + [w for m in _SINGLES.finditer(text) for w in self.joined(m.group())]
 
     def joined(self, run: str) -> list[str]:
         letters = "".join(run.split())
-        return [self.decode(letters)] if len(set(letters)) > 2 else []
+        return self.decode(letters, breaks=True).split() if len(set(letters)) > 1 else []
 
 
-def features(word: str) -> list[str]:
-    """The word and, marked, its beginnings of 4 to 6 characters."""
-    return [word] + [word[:k] + "*" for k in (4, 5, 6) if len(word) >= k] if word else []
+def features(words: str) -> list[str]:
+    """Each word and, marked, its beginnings of 4 to 6 characters."""
+    return [f for word in words.split(" ") if word for f in (word, *(word[:k] + "*" for k in (4, 5, 6) if len(word) >= k))]
 
 
 class TokenFeatures(dict):

@@ -56,6 +56,25 @@ def test_restoration(spark, docs):
     assert "idiot" in r.text("you i d i o t") and r.text("a a a a") == ["a"] * 4
 
 
+def test_letters_set_apart(spark, docs):
+    import numpy as np
+    import pyarrow as pa
+
+    from kinetrace.llm.toxicity import _char_counts
+
+    total = np.zeros(28**4, np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array([r.text for r in docs.select("text").collect()])], names=["text"])
+    for b in _char_counts([batch]):
+        total[b.column(0).to_numpy()] += b.column(1).to_numpy()
+    r = Restorer(CharModel(total))
+    for token, want in {"m.0.r.0.n": "moron", "i.d.1.o.t": "idiot", "i_d_i_o_t": "idiot", "m!0!r!0!n": "moron", "st" + "u" * 30 + "pid": "stupid", "$.c.u.m,": "scum"}.items():
+        assert r.text(token) == [want], token
+    for text, want in {"you are a m o r o n": "moron", "y o u i d i o t": "idiot", "such a m 0 r 0 n, you": "moron", "y o u a r e s u c h a b i g m o r o n a n d a n i d i o t": "idiot"}.items():
+        assert want in r.text(text), (text, r.text(text))
+    assert r.text("1.0.5") == ["1.0.5"] and r.text("x" * 200) != [""]
+    assert len(r.decode("ab1d" * 20_000, breaks=True)) >= 60_000
+
+
 def test_toxicity_edges(spark):
     rows = [(i if i < 60 else 1000 + i, f"{['clean words', 'you', 'such', ''][i % 4]} number {i} here", "x", 1) for i in range(240)] + [(100 + i, f"you {i} idiot" if i % 2 else f"such {i} moron words", "x", 1) for i in range(60)] + [(None, "you 1d10t idiot", "x", 1), (300, None, "x", 1), (301, "", "x", 1), (302, "fine " * 100_000, "x", 1), (303, "such 1d10t", "x", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic string, score int")
