@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side of a join is broadcast; a count is taken first, and above it the join shuffles.
-BROADCAST_ROWS = 400_000
+#: Bytes up to which a written table is marked for broadcast; above it Spark's own rules and shuffles hold.
+BROADCAST_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset, as in tests on local masters, a temporary folder is set as the checkpoint folder.
+    Only where that is unset and the master is local, as in tests, a temporary folder is set as the checkpoint folder;
+    executors elsewhere would write it to their own disks, so there the setting is asked for.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="kinetrace-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -60,9 +64,14 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """Marks df for broadcast if its counted rows are within BROADCAST_ROWS."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def size_in_bytes(df: DataFrame) -> int:
+    """Spark's estimate of df, which for a written table comes from the sizes of its files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def maybe_broadcast(df: DataFrame) -> DataFrame:
+    """Marks a written table for broadcast if its files are within BROADCAST_BYTES."""
+    return F.broadcast(df) if size_in_bytes(df) <= BROADCAST_BYTES else df
 
 
 def filesystem(path: str):

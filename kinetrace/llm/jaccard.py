@@ -1,21 +1,28 @@
 """N-gram Jaccard join by parity sketches.
 
-A document's set holds the hashes of its distinct word shingles.  Two sketches are XORs over the set:
+A document's set holds the hashes of its distinct word shingles.  Two kinds of sketches are XORs over the set:
 
-* a bit sketch, in which every shingle flips one of 1024 bits, so that the Hamming distance of two sketches never
-  exceeds the sets' symmetric difference;
-* part sketches: a size band [2^j, 2^(j+1)) cuts the hash space into 2^j parts (below 64, a part for each shingle),
-  and a part's sketch is the XOR of the 64-bit hashes in it.
+* a bit sketch, in which every shingle flips one bit, so that the Hamming distance of two sketches never exceeds the
+  sets' symmetric difference; it has about two bits a shingle, and the halves of a longer sketch XOR to a shorter one;
+* part sketches: a size band [2^j, 2^(j+1)) cuts the hash space into parts, and a part's sketch is the XOR of the 64-bit
+  hashes in it.
 
 With similarity of at least t, a set of n differs from a partner by n (1/t - 1) shingles at most, and each damages one
-part.  So of the non-empty parts, put in an order that both sets share (most shingles first), the first
-d + 1 = floor(n (1/t - 1)) + 1 must hold one sketch in common: the pigeonhole join loses no link.  A set within 1/t
-above a band's lower end also emits the sketches of the band below.  Candidates that the bit sketches can't rule out
-are verified on the sets themselves.
+part.  So of the non-empty parts, put in an order that both sets share, the first d + 1 = floor(n (1/t - 1)) + 1 hold one
+sketch in common: the pigeonhole join loses no link.  The order is rarest first, by counts over all documents, so that
+sketches of boilerplate are seldom joined on.  A set within 1/t above a band's lower end also emits the sketches of the
+band below.
+
+Sets that share a part sketch meet that of the least fingerprint among them, which gives one candidate an entry.  What
+these and their bit sketches can't rule out is verified on the sets themselves, and links make components.  Sketches
+whose holders still lie in several components are then searched for links across components, bit sketch by bit sketch,
+in blocks.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,9 +33,13 @@ from .common import Workspace, maybe_broadcast, partitions
 from .components import components
 from .words import U64, Buckets, gathered, mix, slices, windows, word_bounds, word_hashes
 
-BITS = 1024
-#: Members up to which a group of equal part sketches is written as pairs; beyond, as stars now and block pairs later.
-SMALL = 8
+#: Least bits of a bit sketch.
+BITS = 512
+#: Bands below 2^SMALL cut the hash space finely enough that a part holds a shingle or two.
+SMALL, FINE = 6, 16
+#: Counters of part sketches, by the first bits of their hash, and the slices in which tasks' counters are summed.
+COUNTERS, COUNTER_SLICES = 20, 16
+#: Sets that are compared with each other in one go.
 BLOCK = 2048
 HUB = 256
 
@@ -49,122 +60,338 @@ def shingle_sets(column: pa.Array, k: int):
                 yield row + i, np.zeros(0, np.uint64)
 
 
-def bit_sketch(hashes: np.ndarray) -> np.ndarray:
-    """The parity of each of BITS bits, packed into 64-bit words."""
-    odd = (np.bincount((hashes & U64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
-    return np.packbits(odd, bitorder="little").view(np.int64)
+def fingerprint(hashes: np.ndarray) -> tuple[int, int]:
+    """A sum and an XOR over the set, as signed 64-bit numbers: equal sets have equal ones."""
+    if not len(hashes):
+        return 0, 0
+    two = np.array([mix(hashes, 21).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(hashes, 22))], np.uint64).view(np.int64)
+    return int(two[0]), int(two[1])
+
+
+def bit_sketch(hashes: np.ndarray) -> bytes:
+    """The parity of each bit; the number of bits is that of the size band."""
+    bits = max(BITS, 1 << len(hashes).bit_length())
+    odd = (np.bincount((hashes & U64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").tobytes()
+
 
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Rows of 64-bit words folded to so many: bits that a shorter sketch doesn't tell apart are XORed."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
 
-def part_sketches(hashes: np.ndarray, percent: int) -> np.ndarray:
-    """The sketches that a set emits, over its band and, near its lower end, the band below."""
+
+def spread(percent: int) -> int:
+    """log2 of a band's parts for each 2^j of its sizes: enough that non-empty parts outnumber damaged ones.
+
+    With a load of x shingles a part, (1 - exp(-x)) / x parts a shingle are non-empty and 1/t - 1 are damaged at most;
+    a set that emits over the band below has a load of 2.5 at most before it is spread.
+    """
+    if not 60 <= percent <= 100:
+        raise ValueError("a similarity from 60 to 100 %")
+    for s in range(16):
+        load = 2.5 / 2**s
+        if (1 - np.exp(-load)) / load >= 1.3 * (100 - percent) / percent:
+            return s
+    raise AssertionError(percent)
+
+
+def part_keys(hashes: np.ndarray, percent: int, wider: int) -> list[np.ndarray]:
+    """For each band over which a set emits: the hashed sketches of all its non-empty parts."""
     n = len(hashes)
-    if not n:
-        return hashes
-    damage = n * (100 - percent) // percent
     band = n.bit_length() - 1
-    bands = [band] + [band - 1] * (band > 0 and n * percent < 100 * (1 << band))
     out = []
-    for j in bands:
-        if 1 << j < 64:
-            out.append(mix(hashes[: damage + 1], 1000 + j))
-            continue
-        part = ((hashes >> U64(32)) * U64(1 << j)) >> U64(32)
+    for j in [band] + [band - 1] * (band > 0 and n * percent < 100 << band):
+        part = hashes >> U64(64 - (j + (wider if j >= SMALL else FINE)))
         at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        size = np.diff(np.append(at, n))
         xor = np.bitwise_xor.reduceat(mix(hashes, 7), at)
-        order = np.argsort(-size, kind="stable")[: damage + 1]
-        out.append(mix(xor[order] ^ mix(part[at][order], 2000 + j), 3000 + j))
-    return np.concatenate(out)
+        out.append(mix(xor ^ mix(part[at], 2000 + j), 3000 + j))
+    return out
 
 
-_FIRST = "kind int, doc_id long, n int, f1 long, f2 long, sketch array<long>, bucket int, keys binary, docs binary"
+_FIRST = "kind int, doc_id long, n int, f1 long, f2 long, sketch binary, slice int, counts binary"
 
 
-def _sketch(buckets: int, k: int, percent: int):
+def _first(k: int, percent: int, wider: int):
+    """kind 0: a document's size, fingerprint and bit sketch; kind 1: a task's counters of part sketches, compressed."""
+
     def run(batches):
-        packed, seen = Buckets(buckets, (np.uint64, np.int64)), set()
+        names = ["kind", "doc_id", "n", "f1", "f2", "sketch", "slice", "counts"]
+        counts, held, n_held, seen = np.zeros(1 << COUNTERS, np.uint32), [], 0, set()
 
-        def blocks():
-            rows = list(packed.take())
-            if rows:
-                b, keys, docs = zip(*rows, strict=True)
-                none = pa.nulls(len(b), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([1] * len(b), pa.int32()), none, pa.nulls(len(b), pa.int32()), none, none, pa.nulls(len(b), pa.list_(pa.int64())), pa.array(b, pa.int32()), pa.array(keys, pa.binary()), pa.array(docs, pa.binary())], names=names)
+        def count():
+            nonlocal n_held
+            if held:
+                counts[:] += np.bincount(np.concatenate(held), minlength=1 << COUNTERS).astype(np.uint32)
+            held.clear()
+            n_held = 0
 
-        names = ["kind", "doc_id", "n", "f1", "f2", "sketch", "bucket", "keys", "docs"]
         for batch in batches:
-            ids, sizes, f1, f2, sketches = batch.column(0), [], [], [], []
-            id_list = ids.to_pylist()
-            for i, hashes in shingle_sets(batch.column(1), k):
+            sizes, f1, f2, sketches = [], [], [], []
+            for _, hashes in shingle_sets(batch.column(1), k):
                 n = len(hashes)
-                a, b = int(mix(hashes, 21).sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(mix(hashes, 22))) if n else 0
+                a, b = fingerprint(hashes)
                 sizes.append(n)
-                f1.append(a - 2**63)
-                f2.append(b - 2**63)
+                f1.append(a)
+                f2.append(b)
                 sketches.append(bit_sketch(hashes))
-                # Exact copies within the task stand behind the first; classes join them all by (n, f1, f2).
-                if n and id_list[i] is not None and (n, a, b) not in seen:
+                if n and (n, a, b) not in seen:
                     seen.add((n, a, b))
-                    keys = part_sketches(hashes, percent)
-                    packed.add(keys, np.full(len(keys), id_list[i], np.int64))
+                    for keys in part_keys(hashes, percent, wider):
+                        held.append((keys >> U64(64 - COUNTERS)).astype(np.int64))
+                        n_held += len(keys)
+                    if n_held > 1 << COUNTERS:
+                        count()
             m = len(sizes)
             if m:
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * (BITS // 64)), pa.array(np.concatenate(sketches)))
-                yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), ids.cast(pa.int64()), pa.array(sizes, pa.int32()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), flat, pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names=names)
+                none = pa.nulls(m, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([0] * m, pa.int32()), batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int32()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sketches, pa.binary()), none, pa.nulls(m, pa.binary())], names=names
+                )
+        count()
+        some = [i for i, x in enumerate(counts.reshape(COUNTER_SLICES, -1)) if x.any()]
+        if some:
+            m = len(some)
+            none, long = pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())
+            blobs = [zlib.compress(counts.reshape(COUNTER_SLICES, -1)[i].astype("<u4").tobytes(), 1) for i in some]
+            yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), long, none, long, long, pa.nulls(m, pa.binary()), pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], names=names)
+
+    return run
+
+
+def _levels(batches):
+    """Sums the counters of a slice; four levels for each doubling, a byte each."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            own = np.frombuffer(zlib.decompress(blob.as_py()), "<u4").astype(np.int64)
+            total[i] = total[i] + own if i in total else own
+    for i, x in total.items():
+        level = np.ceil(4 * np.log2(np.maximum(x, 1) + (x > 0))).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["slice", "levels"])
+
+
+def _counted(first: DataFrame) -> bytes:
+    """The level of every counter: a megabyte, whatever the input."""
+    got = first.where("kind = 1").select("slice", "counts").repartition(COUNTER_SLICES, "slice").mapInArrow(_levels, "slice int, levels binary").collect()
+    out = np.zeros((COUNTER_SLICES, (1 << COUNTERS) // COUNTER_SLICES), np.uint8)
+    for r in got:
+        out[r["slice"]] = np.frombuffer(r["levels"], np.uint8)
+    return out.tobytes()
+
+
+# An entry says that a set (its fingerprint f1) emits a key.  Keys that more than 2^hot sets may emit are dealt in 2^salts
+# parts by the set's last bits, so no task gathers all holders of one.
+_ENTRY = (np.uint64, np.uint64, np.uint8)
+
+
+def _salt(sets: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    return sets & ((U64(1) << salts.astype(np.uint64)) - U64(1))
+
+
+def _where(keys: np.ndarray, sets: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    return mix(keys ^ mix(_salt(sets, salts), 41), 42)
+
+
+def _entries(buckets: int, k: int, percent: int, wider: int, levels: bytes, hot: int):
+    """The d + 1 rarest part sketches of each set, once a task."""
+
+    def run(batches):
+        packed, seen, level_of = Buckets(buckets, _ENTRY), set(), np.frombuffer(levels, np.uint8)
+        for batch in batches:
+            known = batch.column(0).is_valid().to_pylist()
+            for i, hashes in shingle_sets(batch.column(1), k):
+                n = len(hashes)
+                if not n or not known[i]:
+                    continue
+                tag = (n, *fingerprint(hashes))
+                if tag in seen:
+                    continue
+                seen.add(tag)
+                damage = n * (100 - percent) // percent
+                own = np.array([tag[1]], np.int64).view(np.uint64)
+                for keys in part_keys(hashes, percent, wider):
+                    level = level_of[(keys >> U64(64 - COUNTERS)).astype(np.int64)]
+                    order = np.lexsort((keys, level))[: damage + 1]
+                    keys, salts = keys[order], np.maximum(0, -(-level[order].astype(np.int64) // 4) - hot).astype(np.uint8)
+                    sets = np.repeat(own, len(keys))
+                    packed.add(_where(keys, sets, salts), keys, sets, salts)
+            if packed.full():
+                yield from packed.batch("keys", "sets", "salts")
+        yield from packed.batch("keys", "sets", "salts")
+
+    return run
+
+
+def _grouped(keys: np.ndarray, sets: np.ndarray, salts: np.ndarray, *more: np.ndarray):
+    """Distinct entries in the order of their groups, and the group of each."""
+    salt = _salt(sets, salts)
+    order = np.lexsort((sets, salt, keys))
+    keys, sets, salts, salt, *more = (x[order] for x in (keys, sets, salts, salt, *more))
+    new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (salt[1:] != salt[:-1])))[: len(keys)]
+    fresh = new | np.concatenate(([True], sets[1:] != sets[:-1]))[: len(keys)]
+    return (np.cumsum(new) - 1)[fresh], *(x[fresh] for x in (keys, sets, salts, *more))
+
+
+def _members(buckets: int):
+    """Entries of groups of two sets or more, and all of salted keys, each with its group's least set; packed by set."""
+
+    def run(batches):
+        packed = Buckets(buckets, (np.uint64, np.uint64, np.uint64, np.uint8))
+        for keys, sets, salts in gathered(batches, _ENTRY):
+            group, keys, sets, salts = _grouped(keys, sets, salts)
+            if not len(group):
+                continue
+            first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+            size = np.diff(np.append(first, len(group)))
+            keep = (size[group] > 1) | (salts > 0)
+            packed.add(sets[keep], keys[keep], sets[keep], sets[first][group][keep], salts[keep])
+            if packed.full():
+                yield from packed.batch("keys", "sets", "hubs", "salts")
+        yield from packed.batch("keys", "sets", "hubs", "salts")
+
+    return run
+
+
+def _stars(batches):
+    """a, b: each set with the least ones of its groups, once; a, key: the least ones of a salted key's parts."""
+    for keys, sets, hubs, salts in gathered(batches, (np.uint64, np.uint64, np.uint64, np.uint8)):
+        pairs = np.unique(np.stack((hubs, sets), 1)[hubs != sets], axis=0)
+        some = (salts > 0) & (hubs == sets)
+        n = int(some.sum())
+        a = np.concatenate((pairs[:, 0], sets[some])).view(np.int64)
+        b = pa.chunked_array([pa.array(pairs[:, 1].view(np.int64)), pa.nulls(n, pa.int64())]).combine_chunks()
+        key = pa.chunked_array([pa.nulls(len(pairs), pa.int64()), pa.array(keys[some].view(np.int64))]).combine_chunks()
+        for i in range(0, len(a), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(a[i : i + (1 << 16)]), b[i : i + (1 << 16)], key[i : i + (1 << 16)]], names=["a", "b", "key"])
+
+
+def _packed_labels(buckets: int):
+    """(set, label) rows, packed by set."""
+
+    def run(batches):
+        packed = Buckets(buckets, (np.uint64, np.int64))
+        for batch in batches:
+            sets = batch.column(0).to_numpy().view(np.uint64)
+            packed.add(sets, sets, batch.column(1).to_numpy())
             if packed.full():
-                yield from blocks()
-        yield from blocks()
+                yield from packed.batch("of", "labels")
+        yield from packed.batch("of", "labels")
 
     return run
 
 
-def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
-
-
-def _groups(batches):
-    """Groups of equal part sketches.  members: those of larger groups; a, b: pairs of small groups and stars of larger ones."""
-    for keys, docs in gathered(batches, (np.uint64, np.int64)):
-        order = np.lexsort((docs, keys))
-        keys, docs = keys[order], docs[order]
-        fresh = np.concatenate(([True], (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])))
-        keys, docs = keys[fresh], docs[fresh]
-        at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        size = np.diff(np.append(at, len(keys)))
-        at, size = at[size > 1], size[size > 1]
-        pairs = []
-        for gap in range(1, SMALL):
-            for m in range(gap + 1, SMALL + 1):
-                some = at[size == m]
-                for i in range(m - gap):
-                    pairs.append(np.stack((docs[some + i], docs[some + i + gap]), 1))
-        groups: dict[bytes, np.ndarray] = {}
-        for i, m in zip(at[size > SMALL], size[size > SMALL], strict=True):
-            some = docs[i : i + m]
-            groups.setdefault(some.tobytes(), some)
-        for some in groups.values():
-            pairs.append(np.stack((np.full(len(some) - 1, some[0]), some[1:]), 1))
-            pairs.append(np.stack((some[:-1], some[1:]), 1))
-        pair = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-        for i in range(0, len(pair), 1 << 16):
-            some = pair[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.list_(pa.int64())), pa.array(some[:, 0]), pa.array(some[:, 1])], names=["members", "a", "b"])
-        for some in groups.values():
-            yield pa.RecordBatch.from_arrays([_lists(some, np.array([0, len(some)])), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names=["members", "a", "b"])
-
-
-def _hamming(x: str, y: str):
-    return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(1, BITS // 64)), F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0])))
-
-
-def _may_link(df: DataFrame, percent: int) -> DataFrame:
-    """Pairs (na, sa, nb, sb) whose sizes and bit sketches allow a link, with their distance."""
-    n = F.col("na") + F.col("nb")
-    close = df.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).withColumn("distance", _hamming("sa", "sb"))
-    return close.where(F.col("distance") * (100 + percent) <= n * (100 - percent))
+def _packed_keys(buckets: int):
+    """(key, set, salts) rows as marks of salted groups, packed by group."""
+
+    def run(batches):
+        packed = Buckets(buckets, (np.uint64,))
+        for batch in batches:
+            keys, sets, salts = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy().astype(np.uint8)
+            packed.add(_where(keys, sets, salts), keys)
+            if packed.full():
+                yield from packed.batch("wanted")
+        yield from packed.batch("wanted")
+
+    return run
+
+
+def _labelled_entries(buckets: int):
+    """Entries and labels that meet in a set's bucket to entries with labels, packed by group again."""
+
+    def run(batches):
+        packed = Buckets(buckets, (*_ENTRY, np.int64))
+        for keys, sets, salts, of, labels in gathered(batches, (*_ENTRY, np.uint64, np.int64)):
+            if not len(keys):
+                continue
+            order = np.argsort(of)
+            at = order[np.searchsorted(of[order], sets)]
+            packed.add(_where(keys, sets, salts), keys, sets, salts, labels[at])
+            if packed.full():
+                yield from packed.batch("keys", "sets", "salts", "labels")
+        yield from packed.batch("keys", "sets", "salts", "labels")
+
+    return run
+
+
+def _runs(keys: np.ndarray, sets: np.ndarray, salts: np.ndarray, labels: np.ndarray):
+    """Entries by group and label: group, keys, sets, salts, labels, and where groups and their labels begin."""
+    group, keys, sets, salts, labels = _grouped(keys, sets, salts, labels)
+    order = np.lexsort((sets, labels, group))
+    group, keys, sets, salts, labels = (x[order] for x in (group, keys, sets, salts, labels))
+    new = np.concatenate(([True], group[1:] != group[:-1]))[: len(group)]
+    fresh = new | np.concatenate(([True], labels[1:] != labels[:-1]))[: len(group)]
+    return group, keys, sets, salts, labels, np.flatnonzero(new), np.flatnonzero(fresh)
+
+
+def _partners(batches):
+    """a, b: each set of a group of several labels with one of another label; a, key, label: a set for each label of a salted group."""
+    for keys, sets, salts, labels in gathered(batches, (*_ENTRY, np.int64)):
+        if not len(keys):
+            continue
+        group, keys, sets, salts, labels, first, fresh = _runs(keys, sets, salts, labels)
+        kinds = np.diff(np.append(np.searchsorted(fresh, first), len(fresh)))
+        mixed = kinds[group] > 1
+        second = fresh[np.minimum(np.searchsorted(fresh, first) + 1, len(fresh) - 1)]
+        partner = np.where(labels == labels[first][group], sets[second][group], sets[first][group])
+        pairs = np.unique(np.stack((sets, partner), 1)[mixed], axis=0).view(np.int64)
+        some = fresh[salts[fresh] > 0]
+        n = len(some)
+        none = pa.nulls(n, pa.int64())
+        a = np.concatenate((pairs[:, 0], sets[some].view(np.int64)))
+        b, key, label = (pa.chunked_array(x).combine_chunks() for x in ([pa.array(pairs[:, 1]), none], [pa.nulls(len(pairs), pa.int64()), pa.array(keys[some].view(np.int64))], [pa.nulls(len(pairs), pa.int64()), pa.array(labels[some])]))
+        salt = pa.chunked_array([pa.nulls(len(pairs), pa.int32()), pa.array(salts[some].astype(np.int32))]).combine_chunks()
+        for i in range(0, len(a), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(a[i : i + (1 << 16)]), *[x[i : i + (1 << 16)] for x in (b, key, label, salt)]], names=["a", "b", "key", "label", "salts"])
+
+
+def _mixed(batches):
+    """key, set, label: the entries of groups of several labels, and of salted groups that are marked."""
+    for keys, sets, salts, labels, wanted in gathered(batches, (*_ENTRY, np.int64, np.uint64)):
+        if not len(keys):
+            continue
+        group, keys, sets, salts, labels, first, fresh = _runs(keys, sets, salts, labels)
+        kinds = np.diff(np.append(np.searchsorted(fresh, first), len(fresh)))
+        keep = np.where(salts > 0, np.isin(keys, wanted), kinds[group] > 1)
+        keys, sets, labels = keys[keep].view(np.int64), sets[keep].view(np.int64), labels[keep]
+        for i in range(0, len(keys), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in (keys, sets, labels)], names=["key", "set", "label"])
+
+
+def _words_of(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Sketches by their number of 64-bit words: places and rows."""
+    data, by_size = column.to_pylist(), {}
+    for i, x in enumerate(data):
+        by_size.setdefault(len(x) // 8, []).append(i)
+    return {w: (np.array(at), np.frombuffer(b"".join(data[i] for i in at), "<u8").reshape(len(at), w)) for w, at in by_size.items()}
+
+
+def _near(percent: int):
+    """Pairs (ra, na, sa, rb, nb, sb) whose sizes and bit sketches allow a link, with their distance."""
+
+    def run(batches):
+        for batch in batches:
+            ra, na, rb, nb = (batch.column(i).to_numpy().astype(np.int64) for i in (0, 1, 3, 4))
+            left, right = _words_of(batch.column(2)), _words_of(batch.column(5))
+            away = np.full(len(ra), np.iinfo(np.int64).max)
+            for x, (i, a) in left.items():
+                for y, (j, b) in right.items():
+                    at, p, q = np.intersect1d(i, j, assume_unique=True, return_indices=True)
+                    if len(at):
+                        w = min(x, y)
+                        away[at] = np.bitwise_count(folded(a[p], w) ^ folded(b[q], w)).sum(1, dtype=np.int64)
+            ok = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (away <= (na + nb) * (100 - percent) // (100 + percent))
+            if ok.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ra, rb)[ok]), pa.array(np.maximum(ra, rb)[ok]), pa.array(away[ok])], names=["a", "b", "distance"])
+
+    return run
 
 
 def _verify(k: int, percent: int):
+    """Texts sorted by (key, salt, hubs first) to the pairs of a hub and a spoke that are similar enough."""
+
     def run(batches):
         hub_key, hubs = None, []
         for batch in batches:
@@ -175,12 +402,13 @@ def _verify(k: int, percent: int):
                 if keys[i] != hub_key:
                     hub_key, hubs = keys[i], []
                 if is_hub[i]:
-                    hubs.append(own)
+                    if not any(len(own) == len(h) and (own == h).all() for h in hubs):
+                        hubs.append(own)
                     continue
                 for hub in hubs:
                     both = len(hub) + len(own)
                     same = both - len(np.unique(np.concatenate((hub, own))))
-                    if 100 * same >= percent * (both - same):
+                    if 100 * same >= percent * (both - same) and both:
                         found.append((hub_key[0], docs[i]))
                         break
             if found:
@@ -190,123 +418,214 @@ def _verify(k: int, percent: int):
     return run
 
 
+def _checked(texts: DataFrame, pairs: DataFrame, k: int, percent: int, parts: int, work: Workspace, name: str) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough.  A hub's pairs are dealt out HUB to a task, with the hub's text."""
+    counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    salts = work.write(counts.select("a", F.ceil(F.col("n") / HUB).cast("int").alias("salts")), f"{name}-hubs")
+    spokes = pairs.join(maybe_broadcast(salts), "a").select(F.col("b").alias("doc"), F.col("a").alias("key"), F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.lit(False).alias("hub"))
+    hubs = salts.select(F.col("a").alias("doc"), F.col("a").alias("key"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("hub"))
+    roles = work.write(spokes.union(hubs), f"{name}-roles")
+    dealt = texts.join(maybe_broadcast(roles), F.col("doc_id") == F.col("doc")).select("key", "salt", "hub", "doc", "text")
+    dealt = dealt.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", F.desc("hub"))
+    return dealt.mapInArrow(_verify(k, percent), "a long, b long").distinct()
+
+
+class _Search:
+    """Links between classes of equal sets, by rep (the least doc_id of a class), and the components they make."""
+
+    def __init__(self, texts: DataFrame, classes: DataFrame, work: Workspace, k: int, percent: int):
+        self.texts, self.classes, self.work, self.k, self.percent = texts, classes, work, k, percent
+        self.parts, self.turn = partitions(texts.sparkSession), 0
+        self.labels: DataFrame | None = None
+        self.tested: list[DataFrame] = []
+
+    def label(self, df: DataFrame, node: str, label: str) -> DataFrame:
+        """Adds a node's component, or the node itself."""
+        if self.labels is None:
+            return df.withColumn(label, F.col(node))
+        own = self.labels.select(F.col("node").alias(node), F.col("component").alias(label))
+        return df.join(maybe_broadcast(own), node, "left").withColumn(label, F.coalesce(label, node))
+
+    def tie(self, links: DataFrame, name: str) -> None:
+        """Adds links to the components."""
+        if self.labels is not None:
+            links = links.union(self.labels.select("node", "component"))
+        self.labels = self.work.write(components(links, self.work, f"components-{name}"), f"labels-{name}")
+
+    def candidates(self, sets: DataFrame, name: str) -> DataFrame:
+        """Pairs (a, b) of sets to waiting pairs of classes: those not tested yet that bit sketches can't rule out."""
+        side = lambda x: self.classes.select(F.col("f1").alias(x), F.col("rep").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+        pairs = sets.distinct().join(side("a"), "a").join(side("b"), "b").where("ra <> rb").select("ra", "na", "sa", "rb", "nb", "sb")
+        return self.waiting(pairs.mapInArrow(_near(self.percent), "a long, b long, distance long"), name)
+
+    def waiting(self, pairs: DataFrame, name: str) -> DataFrame:
+        pairs = pairs.groupBy("a", "b").agg(F.min("distance").alias("distance"))
+        for tested in self.tested:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        return self.work.write(pairs, f"waiting-{name}")
+
+    def settle(self, waiting: DataFrame) -> None:
+        """Verifies pairs, the best of each class first and twice as many each turn; a pair within a component is left out.
+
+        The number of turns is the logarithm of the most pairs that a class has.
+        """
+        most = 3
+        while waiting.take(1):
+            self.turn += 1
+            name = str(self.turn)
+            ranked = waiting.withColumn("rank", F.row_number().over(W.partitionBy("b").orderBy("distance", "a"))).where(F.col("rank") <= most).select("a", "b")
+            now = self.work.write(ranked, f"now-{name}")
+            self.tested.append(now)
+            self.tie(self.work.write(_checked(self.texts, now, self.k, self.percent, self.parts, self.work, name), f"links-{name}"), name)
+            rest = waiting.join(now, ["a", "b"], "left_anti")
+            rest = self.label(self.label(rest, "a", "la"), "b", "lb").where("la <> lb").select("a", "b", "distance")
+            waiting, most = self.work.write(rest, f"rest-{name}"), 2 * most
+
+    def entries(self, members: DataFrame, buckets: int, name: str) -> DataFrame:
+        """The entries with their sets' present labels, packed by group."""
+        own = self.label(self.classes.select("f1", "rep"), "rep", "label").select("f1", "label")
+        labels = own.mapInArrow(_packed_labels(buckets), "bucket int, of binary, labels binary")
+        none = F.lit(None).cast("binary")
+        both = members.select("bucket", "keys", "sets", "salts", none.alias("of"), none.alias("labels"))
+        both = both.union(labels.select("bucket", none.alias("keys"), none.alias("sets"), none.alias("salts"), "of", "labels"))
+        packed = both.repartition(self.parts, "bucket").mapInArrow(_labelled_entries(buckets), "bucket int, keys binary, sets binary, salts binary, labels binary")
+        return self.work.write(packed, f"entries-{name}")
+
+    def across(self, entries: DataFrame, hot: DataFrame, buckets: int) -> DataFrame:
+        """Pairs across labels, within groups of several labels, that sizes and bit sketches allow.
+
+        Sets of a group's largest label need no comparison with each other, so only the others are met with all, in
+        blocks of BLOCK sets.
+        """
+        spans = hot.select("key", "salts").distinct().select("key", F.explode(F.expr("sequence(0L, shiftleft(1L, salts) - 1)")).alias("set"), "salts")
+        marks = spans.mapInArrow(_packed_keys(buckets), "bucket int, wanted binary")
+        none = F.lit(None).cast("binary")
+        both = entries.select("*", none.alias("wanted")).union(marks.select("bucket", none.alias("k"), none.alias("s"), none.alias("t"), none.alias("l"), "wanted"))
+        rows = self.work.write(both.repartition(self.parts, "bucket").mapInArrow(_mixed, "key long, set long, label long"), "mixed")
+        sizes = rows.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("size"), F.max("c").alias("top"), F.max_by("label", F.struct("c", "label")).alias("major"))
+        plan = sizes.select("key", "major", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.greatest(F.ceil((F.col("size") - F.col("top")) / BLOCK), F.lit(1)).cast("int").alias("minor_blocks"))
+        plan = self.work.write(plan, "blocks")
+        full = rows.join(maybe_broadcast(plan), "key").join(self.classes.select(F.col("f1").alias("set"), "rep", "n", "sketch"), "set")
+        full = full.select("key", "label", "rep", "n", "sketch", "blocks", "minor_blocks", (F.col("label") != F.col("major")).alias("minor"), F.xxhash64("set").alias("h"))
+        picked = lambda n: F.pmod(F.col("h"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = full.where("minor").select("key", picked("minor_blocks").alias("r"), every("blocks").alias("a"), F.lit(0).alias("side"), "minor", "label", "rep", "n", "sketch")
+        right = full.select("key", every("minor_blocks").alias("r"), picked("blocks").alias("a"), F.lit(1).alias("side"), "minor", "label", "rep", "n", "sketch")
+        dealt = left.union(right).repartition(self.parts, "key", "r", "a").sortWithinPartitions("key", "r", "a", "side")
+        return dealt.mapInArrow(_block_pairs(self.percent), "a long, b long, distance long")
+
+
 def _block_pairs(percent: int):
-    def run(_key, table):
-        rep, n, label, block = (table.column(c).to_numpy() for c in ("rep", "n", "label", "block"))
-        b1, b2 = table.column("b1")[0].as_py(), table.column("b2")[0].as_py()
-        sketch = table.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, BITS // 64).view(np.uint64)
-        left = np.flatnonzero(block == b1)
-        right = np.flatnonzero(block == b2)
-        a, b = [], []
-        for i in left:
-            others = right[right > i] if b1 == b2 else right
-            both = n[i] + n[others].astype(np.int64)
-            others = others[(label[others] != label[i]) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))]
-            both = n[i] + n[others].astype(np.int64)
-            away = np.bitwise_count(sketch[others] ^ sketch[i]).sum(1, dtype=np.int64)
-            for o in others[away * (100 + percent) <= both * (100 - percent)]:
-                a.append(min(rep[i], rep[o]))
-                b.append(max(rep[i], rep[o]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    """Rows sorted by (unit, side): a unit's left sets are held, its right ones compared with them as they come."""
+
+    def run(batches):
+        unit, held = None, []
+
+        def compare(left: list[pa.RecordBatch], right: pa.RecordBatch):
+            right_minor, right_label, right_rep, right_n = (right.column(i).to_numpy(zero_copy_only=False) for i in (4, 5, 6, 7))
+            theirs = _words_of(right.column(8))
+            for part in left:
+                label, rep, n = (part.column(i).to_numpy() for i in (5, 6, 7))
+                for x, (i, a) in _words_of(part.column(8)).items():
+                    for y, (j, b) in theirs.items():
+                        if not x // 2 <= y <= 2 * x:
+                            continue
+                        w = min(x, y)
+                        mine, other = folded(a, w), folded(b, w)
+                        for own, row in zip(i, mine, strict=True):
+                            sizes = n[own].astype(np.int64) + right_n[j]
+                            ok = (right_label[j] != label[own]) & (100 * np.minimum(right_n[j], n[own]).astype(np.int64) >= percent * np.maximum(right_n[j], n[own]).astype(np.int64))
+                            # Of two sets outside the largest label, both of which stand on either side, one order counts.
+                            ok &= ~right_minor[j] | (right_rep[j] > rep[own])
+                            at = np.flatnonzero(ok)
+                            if not len(at):
+                                continue
+                            away = np.bitwise_count(other[at] ^ row).sum(1, dtype=np.int64)
+                            near = away <= sizes[at] * (100 - percent) // (100 + percent)
+                            if near.any():
+                                theirs_rep = right_rep[j][at][near]
+                                yield np.minimum(theirs_rep, rep[own]), np.maximum(theirs_rep, rep[own]), away[near]
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, r, a, side = (batch.column(i).to_numpy() for i in range(4))
+            cut = np.flatnonzero((key[1:] != key[:-1]) | (r[1:] != r[:-1]) | (a[1:] != a[:-1]) | (side[1:] != side[:-1])) + 1
+            out = []
+            for lo, hi in zip([0, *cut], [*cut, len(key)], strict=True):
+                this = (key[lo], r[lo], a[lo])
+                if this != unit:
+                    unit, held = this, []
+                part = batch.slice(lo, hi - lo)
+                if side[lo] == 0:
+                    held.append(part)
+                else:
+                    out += compare(held, part)
+            if out:
+                x, y, d = (np.concatenate(z) for z in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(d)], names=["a", "b", "distance"])
 
     return run
 
 
-def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, work: Workspace | None = None) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, work: Workspace | None = None, hot: int = 16) -> DataFrame:
     """doc_id, n_shingles, component_id: groups of documents linked by 100 * |A n B| >= percent * |A u B|.
 
-    Sets that are equal are one class, so copies are never paired.  Classes that share a part sketch become candidate
-    pairs: all pairs of groups of up to eight; of larger groups, first a star and a chain, and after components are
-    known, only pairs across components, compared by bit sketch in bounded blocks.  Pairs are verified a few per class
-    at a time, best first, and pairs within a component that exists by then are not verified.  What is returned equals
-    the components over all links.
+    Sets that are equal are one class, so copies are never paired.  Classes that share a part sketch are met with the
+    least of them only; after components are known, groups that still span several are searched across these alone.
+    What is returned equals the components over all links.  A sketch that may have more than 2^hot holders is dealt out
+    by holder, so no group passes through one task.
 
-    Null or empty text, or white space alone: 0 shingles, linked with nothing.  Null doc_ids keep their row, linked with
-    nothing and component_id null.  Rows with one doc_id count as one document: any of their texts links it.  An empty
-    table gives an empty result; other columns are not read.  Needs percent > 50.
+    Texts are read whole, whatever their length.  Null or empty text, or white space alone: 0 shingles, linked with
+    nothing.  Null doc_ids keep their row, linked with nothing and component_id null.  Rows with one doc_id count as one
+    document: any of their texts links it.  Ties need no rule: a component's id is its least doc_id.  An empty table gives
+    an empty result; other columns are not read, whatever their names.  Needs percent of 60 or more.
     """
     spark = docs.sparkSession
     work = work or Workspace(spark, "jaccard")
-    parts = partitions(spark)
+    parts, wider = partitions(spark), spread(percent)
+    buckets = 2 * parts
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    first = work.write(texts.mapInArrow(_sketch(2 * parts, k, percent), _FIRST), "first")
+    first = work.write(texts.mapInArrow(_first(k, percent, wider), _FIRST), "first")
     rows = first.where("kind = 0").select("doc_id", "n", "f1", "f2", "sketch")
     same = rows.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1 and rep is not null")
     same = work.write(same.drop("copies"), "same")
-    reps = rows.join(maybe_broadcast(same, same.count()), ["n", "f1", "f2"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    reps = work.write(reps.select("doc_id", "n", "rep", "sketch"), "classes")
+    reps = rows.join(maybe_broadcast(same), ["n", "f1", "f2"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    reps = work.write(reps, "reps")
+    classes = work.write(reps.where("n > 0 and doc_id = rep").select("rep", "n", "f1", "f2", "sketch").dropDuplicates(["rep", "n", "f1", "f2"]).drop("f2"), "classes")
 
-    packed = first.where("kind = 1").select("bucket", "keys", "docs").repartition(parts, "bucket")
-    groups = work.write(packed.mapInArrow(_groups, "members array<long>, a long, b long"), "groups")
+    entries = texts.mapInArrow(_entries(buckets, k, percent, wider, _counted(first), hot), "bucket int, keys binary, sets binary, salts binary").repartition(parts, "bucket")
+    members = work.write(entries.mapInArrow(_members(buckets), "bucket int, keys binary, sets binary, hubs binary, salts binary"), "members")
     work.drop("first")
 
-    known = reps.where("doc_id is not null and n > 0").dropDuplicates(["doc_id", "n", "rep"])
-    side = lambda x: known.select(F.col("doc_id").alias(x), F.col("rep").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    pairs = groups.where("a is not null").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").where("ra <> rb")
-    waiting = _may_link(pairs, percent).select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "distance").distinct()
-    waiting = work.write(waiting.groupBy("a", "b").agg(F.min("distance").alias("distance")), "waiting-0")
-
-    links, labels, tested, turn, crossed = None, None, None, 0, False
-    large = groups.where("members is not null")
-    while True:
-        if not waiting.take(1):
-            if crossed or not large.take(1):
-                break
-            crossed = True
-            turn += 1
-            waiting = work.write(_across(spark, large, known, labels, tested, percent), f"waiting-{turn}")
+    search = _Search(texts, classes, work, k, percent)
+    stars = work.write(members.select("bucket", "keys", "sets", "hubs", "salts").repartition(parts, "bucket").mapInArrow(_stars, "a long, b long, key long"), "stars")
+    # The parts of a salted key meet at their least set.
+    split = stars.where("key is not null").select("key", "a").distinct()
+    low = split.groupBy("key").agg(F.min("a").alias("low"))
+    met = split.join(low, "key").where("a <> low").select(F.col("low").alias("a"), F.col("a").alias("b"))
+    search.settle(search.candidates(stars.where("b is not null").select("a", "b").union(met), "stars"))
+
+    for turn in range(3):
+        packed = search.entries(members, buckets, str(turn))
+        partners = work.write(packed.repartition(parts, "bucket").select("bucket", "keys", "sets", "salts", "labels").mapInArrow(_partners, "a long, b long, key long, label long, salts int"), f"partners-{turn}")
+        split = partners.where("key is not null")
+        ends = split.groupBy("key").agg(F.min(F.struct("label", "a")).alias("low"), F.max(F.struct("label", "a")).alias("high")).where("low.label <> high.label")
+        held = split.join(ends, "key")
+        met = held.select("a", F.when(F.col("label") == F.col("low.label"), F.col("high.a")).otherwise(F.col("low.a")).alias("b"))
+        pairs = partners.where("b is not null").select("a", "b").union(met)
+        waiting = search.candidates(pairs, f"partners-{turn}")
+        if turn < 2 and waiting.take(1):
+            search.settle(waiting)
             continue
-        turn += 1
-        most = 3 * 2 ** min(turn, 6) // 2
-        ranked = waiting.withColumn("rank", F.row_number().over(W.partitionBy("b").orderBy("distance", "a"))).where(F.col("rank") <= most).select("a", "b")
-        now = work.write(ranked, f"now-{turn}")
-        found = work.write(_checked(texts, now, k, percent, parts), f"links-{turn}")
-        links = found if links is None else links.union(found)
-        tested = now if tested is None else tested.union(now)
-        labels = work.write(components(links, work, f"components-{turn}"), f"labels-{turn}")
-        rest = waiting.join(now, ["a", "b"], "left_anti")
-        rest = _labelled(rest, labels, "a", "la")
-        rest = _labelled(rest, labels, "b", "lb").where("la <> lb").select("a", "b", "distance")
-        waiting = work.write(rest, f"waiting-{turn}")
-
-    if labels is None:
-        return reps.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("component_id"))
+        search.settle(search.waiting(search.across(packed, held.select("key", "salts"), buckets), "across"))
+        break
+
     # Rows with one doc_id and several texts tie the classes of those texts together.
-    classes = reps.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
-    if classes.where("low <> high").take(1):
-        several = reps.where("doc_id is not null and n > 0").join(classes.where("low <> high").select("doc_id", "low"), "doc_id")
-        labels = work.write(components(links.union(several.select(F.col("rep").alias("a"), F.col("low").alias("b"))), work, "several"), "labels-last")
-    out = reps.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
-
-
-def _labelled(df: DataFrame, labels: DataFrame, node: str, label: str) -> DataFrame:
-    """Adds a node's component, or the node itself."""
-    return df.join(labels.select(F.col("node").alias(node), F.col("component").alias(label)), node, "left").withColumn(label, F.coalesce(label, node))
-
-
-def _across(spark, large: DataFrame, known: DataFrame, labels: DataFrame | None, tested: DataFrame | None, percent: int) -> DataFrame:
-    """Pairs across components within larger groups that bit sketches can't rule out, not tested yet."""
-    rows = large.select("members").distinct().withColumn("gid", F.xxhash64("members")).select("gid", F.explode("members").alias("doc_id"))
-    rows = rows.join(known, "doc_id").select("gid", "rep", "n", "sketch").dropDuplicates(["gid", "rep"])
-    rows = _labelled(rows, labels, "rep", "label") if labels is not None else rows.withColumn("label", F.col("rep"))
-    mixed = rows.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low <> high")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = rows.join(mixed.select("gid", blocks.alias("blocks")), "gid").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("gid", "rep", "n", "sketch", "label", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
-    pairs = rows.groupBy("gid", "b1", "b2").applyInArrow(_block_pairs(percent), "a long, b long").distinct()
-    if tested is not None:
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
-    return pairs.withColumn("distance", F.lit(0))
-
-
-def _checked(texts: DataFrame, pairs: DataFrame, k: int, percent: int, parts: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough.  A hub's pairs are dealt out HUB to a task, with the hub's text."""
-    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB).cast("int").alias("salts"))
-    spokes = pairs.join(salts, "a").select(F.col("b").alias("doc"), F.col("a").alias("key"), F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.lit(False).alias("hub"))
-    hubs = salts.select(F.col("a").alias("doc"), F.col("a").alias("key"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("hub"))
-    roles = spokes.union(hubs)
-    dealt = texts.join(maybe_broadcast(roles, 2 * pairs.count()), F.col("doc_id") == F.col("doc")).select("key", "salt", "hub", "doc", "text")
-    dealt = dealt.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", F.desc("hub"))
-    return dealt.mapInArrow(_verify(k, percent), "a long, b long").distinct()
+    several = reps.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
+    if several.take(1):
+        ties = reps.where("n > 0").join(several, "doc_id").select("a", F.col("rep").alias("b")).where("a <> b")
+        search.tie(ties, "several")
+    out = search.label(reps.select("doc_id", "n", "rep"), "rep", "component")
+    alone = F.col("n") == 0
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(alone | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))

@@ -272,7 +272,7 @@ def write_archive(pages: DataFrame, folder: str, work: Workspace, *, page_id: st
     repeated = long.groupBy(F.col("digest").alias("d")).agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
     repeated = work.write(repeated, "repeated")
     refers = F.when((F.octet_length("html") >= DEDUP_BYTES) & ~F.col("page_id").eqNullSafe(F.col("response")), F.col("response"))
-    marked = rows.join(maybe_broadcast(repeated, repeated.count()), F.col("digest") == F.col("d"), "left").select("page_id", "url", "html", refers.alias("refers_to"), "digest")
+    marked = rows.join(maybe_broadcast(repeated), F.col("digest") == F.col("d"), "left").select("page_id", "url", "html", refers.alias("refers_to"), "digest")
     captures = work.write(marked.mapInArrow(_write(folder), _CAPTURE), "captures")
     ordered = captures.repartitionByRange(partitions(pages.sparkSession), "key", "file", "offset").sortWithinPartitions("key", "file", "offset")
     directory = work.write(ordered.mapInArrow(_index(folder), _DIRECTORY), "directory")

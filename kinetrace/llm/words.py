@@ -132,17 +132,18 @@ def rolled(words: np.ndarray, n: int) -> np.ndarray:
 
 
 class Buckets:
-    """Collects (key, payload...) arrays and hands them out as one binary row per bucket of the key.
+    """Collects arrays of equal length and hands them out as one binary row per bucket.
 
-    Packed rows cost the shuffle a few objects per task instead of one row per key.
+    Packed rows cost the shuffle a few objects per task instead of one row per entry.
     """
 
     def __init__(self, buckets: int, kinds: tuple, limit: int = 1 << 19):
         self.buckets, self.kinds, self.limit, self.held, self.parts = buckets, kinds, limit, 0, []
 
-    def add(self, *arrays: np.ndarray) -> None:
-        self.parts.append(arrays)
-        self.held += len(arrays[0])
+    def add(self, where: np.ndarray, *arrays: np.ndarray) -> None:
+        """Entries, each bound for the bucket that its hash ``where`` names."""
+        self.parts.append(((where % U64(self.buckets)).astype(np.uint32), *arrays))
+        self.held += len(where)
 
     def full(self) -> bool:
         return self.held >= self.limit
@@ -151,22 +152,31 @@ class Buckets:
         """(bucket, bytes of each array) rows; forgets what was held."""
         if not self.held:
             return
-        arrays = [np.concatenate(x) for x in zip(*self.parts, strict=True)]
+        bucket, *arrays = [np.concatenate(x) for x in zip(*self.parts, strict=True)]
         self.parts, self.held = [], 0
-        bucket = (arrays[0] % U64(self.buckets)).astype(np.uint32)
         order = np.argsort(bucket.astype(np.uint16) if self.buckets < 65536 else bucket, kind="stable")
         bounds = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
         arrays = [a[order] for a in arrays]
         for b in np.flatnonzero(np.diff(bounds)):
             yield (int(b), *(a[bounds[b] : bounds[b + 1]].astype(k).tobytes() for a, k in zip(arrays, self.kinds, strict=True)))
 
+    def batch(self, *names: str) -> Iterator[pa.RecordBatch]:
+        """What was held as a batch of columns bucket and ``names``; nothing if that is empty."""
+        rows = list(self.take())
+        if rows:
+            bucket, *columns = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *[pa.array(c, pa.binary()) for c in columns]], names=["bucket", *names])
 
-def gathered(batches, kinds: tuple, first: int = 1) -> Iterator[list[np.ndarray]]:
-    """Per bucket of a partition of packed rows: its arrays, put together again.  Column 0 holds the bucket."""
+
+def gathered(batches, kinds: tuple) -> Iterator[list[np.ndarray]]:
+    """Per bucket of a partition of packed rows: its arrays, put together again.  Column 0 holds the bucket.
+
+    An array that no row of the bucket has (nulls) is empty.
+    """
     held: dict[int, list[list[bytes]]] = {}
     for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in [0, *range(first, first + len(kinds))]), strict=True):
-            held.setdefault(row[0], []).append(row[1:])
+        for bucket, *row in zip(*(batch.column(i).to_pylist() for i in range(1 + len(kinds))), strict=True):
+            held.setdefault(bucket, []).append(row)
     for b in list(held):
         rows = held.pop(b)
-        yield [np.frombuffer(b"".join(x), k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+        yield [np.frombuffer(b"".join(y for y in x if y is not None), k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]

@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from kinetrace.llm.jaccard import bit_sketch, jaccard_components, part_sketches
+from kinetrace.llm.jaccard import bit_sketch, folded, jaccard_components, part_keys, spread
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -63,11 +63,12 @@ def corpus(seed):
     return [*rows, rows[3], (None, "one"), (None, None), (rows[5][0], "another text of that id altogether")]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components_equal_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, hot", [(1, 16), (2, 16), (2, 2)])
+def test_components_equal_brute_force(spark, seed, hot):
+    """With hot = 2, a part sketch that more than four sets emit is dealt out by holder."""
     rows = corpus(seed)
     df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, n int, rep string")
-    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard_components(df).collect())
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard_components(df, hot=hot).collect())
     assert got == brute(rows)
 
 
@@ -78,16 +79,25 @@ def test_empty_and_unlinked(spark):
     assert sorted(tuple(r) for r in got) == [(1, 0, 1), (2, 1, 2), (3, 1, 3)]
 
 
-def test_sketch_bounds():
+def hamming(a, b):
+    a, b = (np.frombuffer(bit_sketch(x), "<u8")[None] for x in (a, b))
+    words = min(a.shape[1], b.shape[1])
+    return int(np.bitwise_count(folded(a, words) ^ folded(b, words)).sum())
+
+
+@pytest.mark.parametrize("percent", [60, 80, 95])
+def test_sketch_bounds(percent):
+    """The Hamming distance never exceeds the difference, and similar sets share one of their first d + 1 part sketches."""
     rng = np.random.default_rng(0)
-    for n in (1, 5, 70, 500, 3000):
-        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
-        for damage in (0, n // 20, n // 9):
+    first = lambda x: [np.sort(keys)[: len(x) * (100 - percent) // percent + 1] for keys in part_keys(x, percent, spread(percent))]
+    for n in (1, 5, 62, 70, 126, 500, 3000):
+        for damage in (0, 1, n // 20, n // 9):
+            a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
             gone = rng.permutation(len(a))[:damage]
-            b = np.unique(np.concatenate((np.delete(a, gone), rng.integers(0, 2**63, damage, dtype=np.uint64))))
-            away = len(np.setxor1d(a, b))
-            hamming = int(np.bitwise_count((bit_sketch(a) ^ bit_sketch(b)).view(np.uint64)).sum())
-            assert hamming <= away
+            b = np.unique(np.concatenate((np.delete(a, gone), rng.integers(0, 2**63, damage + n // 30, dtype=np.uint64))))
+            if not len(b):
+                continue
+            assert hamming(a, b) <= len(np.setxor1d(a, b))
             same, union = len(np.intersect1d(a, b)), len(np.union1d(a, b))
-            if 100 * same >= 80 * union:
-                assert np.intersect1d(part_sketches(a, 80), part_sketches(b, 80)).size
+            if 100 * same >= percent * union:
+                assert np.intersect1d(np.concatenate(first(a)), np.concatenate(first(b))).size
