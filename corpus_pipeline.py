@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from kinetrace.llm.common import Workspace, maybe_broadcast
 from kinetrace.llm.decontam import decontaminate
@@ -24,17 +25,17 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each group; rows that repeat that doc_id stay once."""
-    groups = jaccard_components(docs)
-    gone = groups.where("component_id is not null and doc_id <> component_id").select("doc_id").distinct()
+    """Keeps the document of the smallest doc_id of each group; of rows that repeat that doc_id, the least by their columns."""
     work = Workspace(spark, "near-duplicates")
-    gone = work.write(gone, "gone")
-    kept = docs.join(maybe_broadcast(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
-    again = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
+    groups = work.write(jaccard_components(docs), "groups")
+    gone = work.write(groups.where("component_id is not null and doc_id <> component_id").select("doc_id").distinct(), "gone")
+    kept = docs.join(maybe_broadcast(gone), "doc_id", "left_anti").select(docs.columns)
+    again = work.write(groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
     if not again.take(1):
         return kept
-    several = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(several)
+    order = W.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
+    several = kept.join(maybe_broadcast(again), "doc_id", "left_semi").withColumn("row_", F.row_number().over(order)).where("row_ = 1").drop("row_")
+    return kept.join(maybe_broadcast(again), "doc_id", "left_anti").unionByName(several)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +50,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # Rows of one doc_id share its copies evenly; after near duplicates there is one row each.
     each = counted.select(F.col("doc_id").alias("taken_id"), F.ceil(F.col("copies") / F.col("rows")).cast("int").alias("copies"))
     each = Workspace(spark, "mixing").write(each, "copies")
-    taken = docs.join(maybe_broadcast(each, each.count()), F.col("doc_id").eqNullSafe(F.col("taken_id")))
+    taken = docs.join(maybe_broadcast(each), F.col("doc_id").eqNullSafe(F.col("taken_id")))
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select([docs[c] for c in docs.columns])
 
 
