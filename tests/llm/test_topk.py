@@ -41,10 +41,36 @@ def test_repeated_rows_are_found_as_often(spark):
 def test_slices_add_up():
     rng = np.random.default_rng(5)
     rows = rng.integers(-300, 300, (130, 6))
-    block = Block(np.arange(130), rows.astype(np.int64))
+    block = Block.read(*Block.of(np.arange(130), rows.astype(np.int64)).row())
     q = np.array([3, -7, 0, 255, -256, 1])
     acc = block.scores(q)
     total = sum(np.unpackbits(s.view(np.uint8), bitorder="little")[:130].astype(object) << i for i, s in enumerate(acc))
     above = rows - rows.min(0)
     want = np.where(q >= 0, above, 2**block.bits - 1 - above) @ np.abs(q)
     assert (total == want).all()
+
+
+def test_components_are_doubles(spark):
+    """1 - 1e-12 scales to 255, though its nearest float is 1."""
+    rows = [(0, [1.0 - 1e-12, 0.0]), (1, [1.0, 0.0])]
+    got = top_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [tuple(r) for r in got] == [(0, 1, 1, 255 * 256)]
+
+
+def test_large_sums_are_exact_or_an_error(spark):
+    schema = "vec_id long, embedding array<double>"
+    got = top_products(spark.createDataFrame([(0, [2.0**20, -1.0]), (1, [2.0**20, 2.0])], schema)).collect()
+    assert [r.score for r in got] == [2**56 - 2 * 2**16]
+    with pytest.raises(Exception, match="64 bits|64-bit"):
+        top_products(spark.createDataFrame([(0, [3e9]), (1, [3e9])], schema)).collect()
+
+
+def test_best_rows_over_blocks():
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(300, 5))
+    query = np.floor(rows[7] * 256).astype(np.int64)
+    scaled = np.floor(rows * 256).astype(np.int64)
+    blocks = [Block.of(np.arange(i, i + 30), scaled[i : i + 30]) for i in range(0, 300, 30)]
+    got = sorted((x for b in blocks for x in b.top(query, 7, 5)), key=lambda x: (-x[0], x[1]))[:5]
+    want = sorted(((int(v @ query), i) for i, v in enumerate(scaled) if i != 7), key=lambda x: (-x[0], x[1]))[:5]
+    assert got == want
