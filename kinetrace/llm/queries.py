@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents, longer ones with up to twice the odds: doc_id, size, source_size, target, taken."""
+    from pyspark.sql import functions as F
+
     from .mixing import pareto_mix
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pareto_mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    longer = lambda size: F.when(size < 128, 1.0).when(size < 512, 1.5).otherwise(2.0)
+    return pareto_mix(docs, importance=longer).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pareto_mix": op1_pareto_mix}
@@ -19,8 +23,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pareto_mix"
 _OP1 = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-    (CAST(('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS u
+    (CAST(('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))), 1, 13)) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS u
   FROM documents),
+i AS (SELECT *, CASE WHEN size < 128 THEN 1.0::DOUBLE WHEN size < 512 THEN 1.5 ELSE 2.0 END AS imp FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, list_extract([5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE], CAST((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1 AS BIGINT)) AS weight FROM s),
 r AS (SELECT *, (source_size * 3)::DOUBLE / weight AS ratio FROM w),
@@ -31,13 +36,20 @@ l AS (SELECT *, (total - full_ + source_size * 3)::DOUBLE / (all_weight - full_w
 t AS (SELECT source, source_size,
     CASE WHEN water IS NULL OR ratio <= water THEN (source_size * 3)::DOUBLE ELSE weight * water END AS target
   FROM (SELECT *, (SELECT arg_min(level, ratio) FROM l WHERE level <= ratio) AS water FROM l)),
-e AS (SELECT d.*, t.source_size, t.target, least(CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END, 3.0) AS expected
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-k AS (SELECT *, floor(expected) AS whole, CASE WHEN expected - floor(expected) > 0 THEN (u / (1 - u)) * (1 - (expected - floor(expected))) / (expected - floor(expected)) END AS key FROM e),
-q AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key NULLS LAST, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_,
-    sum(size * whole) OVER (PARTITION BY source) AS certain FROM k)
+-- Within a source: the rate at which min(3, rate * imp) copies reach the target, by three classes of importance.
+k AS (SELECT source, imp, CAST(sum(size) AS BIGINT) AS size, sum(size * imp) AS imp_size FROM i GROUP BY source, imp),
+f AS (SELECT k.*, t.source_size, t.target, (k.size * 3)::DOUBLE / k.imp_size AS ratio FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source WHERE k.imp_size > 0),
+g AS (SELECT *, (target - (sum(size * 3) OVER o - size * 3)) / (sum(imp_size) OVER (PARTITION BY source) - sum(imp_size) OVER o + imp_size) AS level
+  FROM f WINDOW o AS (PARTITION BY source ORDER BY ratio ROWS UNBOUNDED PRECEDING)),
+h AS (SELECT source, arg_min(level, ratio) FILTER (WHERE level < ratio) AS rate FROM g GROUP BY source),
+e AS (SELECT i.*, t.source_size, t.target, coalesce(least(h.rate * imp, 3.0), 3.0) AS expected
+  FROM i JOIN t ON i.source IS NOT DISTINCT FROM t.source LEFT JOIN h ON i.source IS NOT DISTINCT FROM h.source),
+p AS (SELECT *, floor(expected) AS whole, CASE WHEN size > 0 AND expected - floor(expected) > 0 THEN (u / (1 - u)) * (1 - (expected - floor(expected))) / (expected - floor(expected)) END AS key,
+    coalesce(doc_id, -9223372036854775807 - 1) AS id FROM e),
+q AS (SELECT *, sum(CASE WHEN key IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY key NULLS LAST, id RANGE UNBOUNDED PRECEDING) AS end_,
+    sum(CASE WHEN key IS NOT NULL THEN size END) OVER (PARTITION BY source, key, id) AS together, sum(size * whole) OVER (PARTITION BY source) AS certain FROM p)
 SELECT doc_id, size, source_size, target,
-  CAST(size * (whole + CASE WHEN key IS NOT NULL AND 2 * start_ + size <= 2 * (target - certain) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+  CAST(size * (whole + CASE WHEN key IS NOT NULL AND 2 * (end_ - together) + together <= 2 * (target - certain) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM q
 """
 

@@ -55,15 +55,63 @@ def test_mix(spark):
 
 def test_bins_do_not_matter(spark):
     key = lambda rows: sorted(str(tuple(r)) for r in rows)
-    assert key(pareto_mix(corpus(spark), bins=1).collect()) == key(pareto_mix(corpus(spark), bins=4096).collect())
+    assert key(pareto_mix(corpus(spark), bins=1).collect()) == key(pareto_mix(corpus(spark)).collect())
 
 
 def test_importance_makes_inclusion_unequal(spark):
-    df = corpus(spark, 3000).withColumn("importance", F.when(F.col("doc_id") % 2 == 0, 3.0).otherwise(1.0))
-    got = pareto_mix(df, importance="importance").where("size > 0 and source = 'Z'")
-    even = {r.e: r.c for r in got.groupBy((F.col("doc_id") % 2 == 0).alias("e")).agg(F.avg("copies").alias("c")).collect()}
-    if len(even) == 2:
-        assert even[True] > even[False]
+    df = corpus(spark, 3000).withColumn("importance", F.when(F.col("doc_id") % 2 == 0, 3.0).when(F.col("doc_id") % 5 == 0, None).otherwise(1.0))
+    got = pareto_mix(df, importance="importance").where("size > 0 and source is null and doc_id is not null")
+    rows = got.collect()
+    mean = lambda f: sum(r.copies for r in rows if f(r.doc_id)) / sum(f(r.doc_id) for r in rows)
+    even, odd, none = mean(lambda i: i % 2 == 0), mean(lambda i: i % 2 and i % 5), mean(lambda i: i % 2 and i % 5 == 0)
+    assert even > 2 * odd > 0 and none == 0
+    assert abs(sum(r.taken for r in rows) - rows[0].target) <= 400
+
+
+def test_pareto_order_equals_brute_force(spark):
+    """One source of known target: the taken rows are the prefix of the Pareto order, row by row."""
+    import hashlib
+
+    rows = [(i, "w " * (1 + i * 31 % 90), ("a", "b")[i % 4 == 0]) for i in range(400)]
+    imp = lambda size: 1.0 if size < 30 else 2.5
+    got = pareto_mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), importance=lambda n: F.when(n < 30, 1.0).otherwise(2.5)).collect()
+    for source in "ab":
+        own = [r for r in got if r.source == source]
+        low, high = 0.0, 10.0
+        for _ in range(200):
+            rate = (low + high) / 2
+            low, high = (rate, high) if sum(r.size * min(3.0, rate * imp(r.size)) for r in own) < own[0].target else (low, rate)
+        text = {i: t for i, t, _ in rows}
+        order, room = [], own[0].target
+        for r in own:
+            expected = min(3.0, rate * imp(r.size))
+            whole = int(expected + 1e-9)
+            room -= whole * r.size
+            p = expected - whole
+            if p > 1e-6:
+                digest = hashlib.md5(f"7:{r.doc_id}:{hashlib.md5(text[r.doc_id].encode()).hexdigest()}".encode()).hexdigest()
+                u = (int(digest[:13], 16) + 0.5) / 2**52
+                order.append((u / (1 - u) * (1 - p) / p, r, whole))
+            else:
+                assert r.copies == whole
+        at = 0
+        for _, r, whole in sorted(order, key=lambda x: x[0]):
+            assert r.copies == whole + (2 * at + r.size <= 2 * room + 1e-6), (source, r)
+            at += r.size
+        assert len(order) > 50
+
+
+def test_columns_stay(spark):
+    df = corpus(spark, 50).withColumnRenamed("copies", "u").withColumn("key_", F.lit(2))
+    kept = pareto_mix(df, keep=True)
+    assert kept.columns == [*df.columns, "copies", "taken"] and kept.drop("copies", "taken").exceptAll(df).count() == 0
+    plain = pareto_mix(df)
+    assert sorted(str((r.doc_id, r.taken)) for r in kept.collect()) == sorted(str((r.doc_id, r.taken)) for r in plain.collect())
+
+
+def test_long_text(spark):
+    got = pareto_mix(spark.createDataFrame([(1, "word " * 300_000, "a"), (2, "x", "b")], "doc_id long, text string, source string")).collect()
+    assert {r.doc_id: r.size for r in got} == {1: 300_000, 2: 1}
 
 
 def test_empty_table(spark):
