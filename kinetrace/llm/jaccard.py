@@ -9,9 +9,9 @@ A document's set holds the hashes of its distinct word shingles.  Two kinds of s
 
 With similarity of at least t, a set of n differs from a partner by n (1/t - 1) shingles at most, and each damages one
 part.  So of the non-empty parts, put in an order that both sets share, the first d + 1 = floor(n (1/t - 1)) + 1 hold one
-sketch in common: the pigeonhole join loses no link.  The order is rarest first, by counts over all documents, so that
-sketches of boilerplate are seldom joined on.  A set within 1/t above a band's lower end also emits the sketches of the
-band below.
+sketch in common: the pigeonhole join loses no link.  The order is rarest first: sketches are counted over all sets, and a
+set with more than d sketches of its own has no partner and goes.  A set within 1/t above a band's lower end also emits the
+sketches of the band below.
 
 Sets that share a part sketch meet that of the least fingerprint among them, which gives one candidate an entry.  What
 these and their bit sketches can't rule out is verified on the sets themselves, and links make components.  Sketches
@@ -21,8 +21,6 @@ in blocks.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,8 +35,12 @@ from .words import U64, Buckets, gathered, mix, slices, windows, word_bounds, wo
 BITS = 512
 #: Bands below 2^SMALL cut the hash space finely enough that a part holds a shingle or two.
 SMALL, FINE = 6, 16
-#: Counters of part sketches, by the first bits of their hash, and the slices in which tasks' counters are summed.
-COUNTERS, COUNTER_SLICES = 20, 16
+#: Part sketches that a task packs at once.
+CHUNK = 1 << 19
+#: Pairs of a class that are verified in the first turn, and how many times more in each one after.
+MOST, MORE = 8, 4
+#: Times that groups are asked for pairs across components, two a set, before all such pairs are compared.
+TURNS = 2
 #: Sets that are compared with each other in one go.
 BLOCK = 2048
 HUB = 256
@@ -111,79 +113,129 @@ def part_keys(hashes: np.ndarray, percent: int, wider: int) -> list[np.ndarray]:
     return out
 
 
-_FIRST = "kind int, doc_id long, n int, f1 long, f2 long, sketch binary, slice int, counts binary"
+def _first(k: int):
+    """A document's size, fingerprint and bit sketch."""
 
+    def run(batches):
+        for batch in batches:
+            rows = [(len(hashes), *fingerprint(hashes), bit_sketch(hashes)) for _, hashes in shingle_sets(batch.column(1), k)]
+            if rows:
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *columns], names=["doc_id", "n", "f1", "f2", "sketch"])
 
-def _first(k: int, percent: int, wider: int):
-    """kind 0: a document's size, fingerprint and bit sketch; kind 1: a task's counters of part sketches, compressed."""
+    return run
+
+
+# Counting.  A unit is a set over one of its bands; a chunk holds the units of which a task packs the sketches at once.  kind 0
+# rows hold a chunk's sketches of one bucket: 40 bits of each, its first unit in the chunk and how often the chunk has it.
+# kind 1 rows hold the chunk's units (fingerprint, sketches, damage) and the further units of sketches that repeat in it.
+_PACKED = "kind int, bucket int, chunk long, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary"
+_NAMES = ["kind", "bucket", "chunk", "c0", "c1", "c2", "c3", "c4"]
+_KINDS = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
 
-    def run(batches):
-        names = ["kind", "doc_id", "n", "f1", "f2", "sketch", "slice", "counts"]
-        counts, held, n_held, seen = np.zeros(1 << COUNTERS, np.uint32), [], 0, set()
 
-        def count():
-            nonlocal n_held
-            if held:
-                counts[:] += np.bincount(np.concatenate(held), minlength=1 << COUNTERS).astype(np.uint32)
-            held.clear()
-            n_held = 0
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=_NAMES)
+
+
+def _sketches(buckets: int, k: int, percent: int, wider: int):
+    """All part sketches of each set, once a task, packed for counting."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        chunk, seen = TaskContext.get().partitionId() << 24, set()
+        units, keys, count = [], [], 0
+
+        def packed():
+            nonlocal chunk, count
+            every, unit = np.concatenate(keys), np.repeat(np.arange(len(keys)), [len(x) for x in keys])
+            order = np.argsort(every, kind="stable")
+            every, unit = every[order], unit[order].astype("<u4")
+            new = np.concatenate(([True], every[1:] != every[:-1]))
+            at = np.flatnonzero(new)
+            times = np.minimum(np.diff(np.append(at, len(every))), 65535)
+            short = _short(every, buckets)
+            own = [np.array(x, t).tobytes() for x, t in zip(zip(*units, strict=True), ("<i8", "<u4", "<u4"), strict=True)]
+            rows = [(1, int(chunk % buckets), chunk, *own, unit[~new].tobytes(), short[~new].astype("<u8").tobytes())]
+            bucket, part, first = (every[at] % U64(buckets)).astype(np.int64), short[at] & U64((1 << 40) - 1), unit[at]
+            order = np.lexsort((first, bucket))
+            bucket, part, first, times = bucket[order], part[order], first[order], times[order]
+            bounds = np.searchsorted(bucket, np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(bounds)):
+                i, j = bounds[b], bounds[b + 1]
+                rows.append((0, int(b), chunk, (part[i:j] & U64(0xFFFFFFFF)).astype("<u4").tobytes(), (part[i:j] >> U64(32)).astype(np.uint8).tobytes(), first[i:j].tobytes(), times[i:j].astype("<u2").tobytes(), None))
+            units.clear()
+            keys.clear()
+            chunk, count = chunk + 1, 0
+            return _rows(rows)
 
         for batch in batches:
-            sizes, f1, f2, sketches = [], [], [], []
-            for _, hashes in shingle_sets(batch.column(1), k):
+            known = batch.column(0).is_valid().to_pylist()
+            for i, hashes in shingle_sets(batch.column(1), k):
                 n = len(hashes)
-                a, b = fingerprint(hashes)
-                sizes.append(n)
-                f1.append(a)
-                f2.append(b)
-                sketches.append(bit_sketch(hashes))
-                if n and (n, a, b) not in seen:
-                    seen.add((n, a, b))
-                    for keys in part_keys(hashes, percent, wider):
-                        held.append((keys >> U64(64 - COUNTERS)).astype(np.int64))
-                        n_held += len(keys)
-                    if n_held > 1 << COUNTERS:
-                        count()
-            m = len(sizes)
-            if m:
-                none = pa.nulls(m, pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([0] * m, pa.int32()), batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int32()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sketches, pa.binary()), none, pa.nulls(m, pa.binary())], names=names
-                )
-        count()
-        some = [i for i, x in enumerate(counts.reshape(COUNTER_SLICES, -1)) if x.any()]
-        if some:
-            m = len(some)
-            none, long = pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())
-            blobs = [zlib.compress(counts.reshape(COUNTER_SLICES, -1)[i].astype("<u4").tobytes(), 1) for i in some]
-            yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), long, none, long, long, pa.nulls(m, pa.binary()), pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], names=names)
+                if not n or not known[i]:
+                    continue
+                tag = (n, *fingerprint(hashes))
+                if tag in seen:
+                    continue
+                seen.add(tag)
+                for own in part_keys(hashes, percent, wider):
+                    units.append((tag[1], len(own), n * (100 - percent) // percent))
+                    keys.append(own)
+                    count += len(own)
+                if count >= CHUNK:
+                    yield packed()
+        if count:
+            yield packed()
 
     return run
 
 
-def _levels(batches):
-    """Sums the counters of a slice; four levels for each doubling, a byte each."""
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for i, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            own = np.frombuffer(zlib.decompress(blob.as_py()), "<u4").astype(np.int64)
-            total[i] = total[i] + own if i in total else own
-    for i, x in total.items():
-        level = np.ceil(4 * np.log2(np.maximum(x, 1) + (x > 0))).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["slice", "levels"])
+def _short(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """A sketch as its bucket and the first 40 bits of it: what tells sketches apart from here on."""
+    return (keys % U64(buckets)) << U64(40) | keys >> U64(24)
+
+
+def _counted(buckets: int):
+    """Sketches that several units hold go back to their chunks, with their count; rows of units pass."""
+
+    def run(batches):
+        held: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for kind, bucket, chunk, *columns in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+                if kind == 1:
+                    yield _rows([(1, chunk % buckets, chunk, *columns)])
+                else:
+                    held.setdefault(bucket, []).append((chunk, *columns[:4]))
+        back = Buckets(buckets, (np.uint64, np.uint32, np.uint64, np.uint32))
+        for bucket in list(held):
+            chunks, *columns = zip(*held.pop(bucket), strict=True)
+            low, high, unit, times = (np.frombuffer(b"".join(x), t) for x, t in zip(columns, ("<u4", np.uint8, "<u4", "<u2"), strict=True))
+            chunk = np.repeat(np.array(chunks, np.uint64), [len(x) // 4 for x in columns[0]])
+            part = high.astype(np.uint64) << U64(32) | low
+            order = np.argsort(part)
+            part = part[order]
+            at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+            total = np.add.reduceat(times[order].astype(np.int64), at)
+            count = np.repeat(total, np.diff(np.append(at, len(part))))
+            some = count > 1
+            back.add(chunk[order][some], chunk[order][some], unit[order][some], part[some] | U64(bucket) << U64(40), np.minimum(count[some], 2**32 - 1))
+            if back.full():
+                yield from _returned(back)
+        yield from _returned(back)
+
+    return run
 
 
-def _counted(first: DataFrame) -> bytes:
-    """The level of every counter: a megabyte, whatever the input."""
-    got = first.where("kind = 1").select("slice", "counts").repartition(COUNTER_SLICES, "slice").mapInArrow(_levels, "slice int, levels binary").collect()
-    out = np.zeros((COUNTER_SLICES, (1 << COUNTERS) // COUNTER_SLICES), np.uint8)
-    for r in got:
-        out[r["slice"]] = np.frombuffer(r["levels"], np.uint8)
-    return out.tobytes()
+def _returned(back: Buckets):
+    rows = [(0, b, None, *columns, None) for b, *columns in back.take()]
+    if rows:
+        yield _rows(rows)
 
 
-# An entry says that a set (its fingerprint f1) emits a key.  Keys that more than 2^hot sets may emit are dealt in 2^salts
-# parts by the set's last bits, so no task gathers all holders of one.
+# An entry says that a set (its fingerprint f1) emits a key.  Keys of more than 2^hot sets are dealt in 2^salts parts by the
+# set's last bits, so no task gathers all holders of one.
 _ENTRY = (np.uint64, np.uint64, np.uint8)
 
 
@@ -195,29 +247,37 @@ def _where(keys: np.ndarray, sets: np.ndarray, salts: np.ndarray) -> np.ndarray:
     return mix(keys ^ mix(_salt(sets, salts), 41), 42)
 
 
-def _entries(buckets: int, k: int, percent: int, wider: int, levels: bytes, hot: int):
-    """The d + 1 rarest part sketches of each set, once a task."""
+def _entries(buckets: int, hot: int):
+    """The d + 1 rarest sketches of each unit, less those that it alone holds."""
 
     def run(batches):
-        packed, seen, level_of = Buckets(buckets, _ENTRY), set(), np.frombuffer(levels, np.uint8)
+        packed, units, held = Buckets(buckets, _ENTRY), {}, {}
         for batch in batches:
-            known = batch.column(0).is_valid().to_pylist()
-            for i, hashes in shingle_sets(batch.column(1), k):
-                n = len(hashes)
-                if not n or not known[i]:
-                    continue
-                tag = (n, *fingerprint(hashes))
-                if tag in seen:
-                    continue
-                seen.add(tag)
-                damage = n * (100 - percent) // percent
-                own = np.array([tag[1]], np.int64).view(np.uint64)
-                for keys in part_keys(hashes, percent, wider):
-                    level = level_of[(keys >> U64(64 - COUNTERS)).astype(np.int64)]
-                    order = np.lexsort((keys, level))[: damage + 1]
-                    keys, salts = keys[order], np.maximum(0, -(-level[order].astype(np.int64) // 4) - hot).astype(np.uint8)
-                    sets = np.repeat(own, len(keys))
-                    packed.add(_where(keys, sets, salts), keys, sets, salts)
+            for kind, bucket, chunk, *columns in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+                if kind == 1:
+                    units.setdefault(bucket, []).append((chunk, *columns))
+                else:
+                    held.setdefault(bucket, []).append(columns[:4])
+        for bucket, own in units.items():
+            columns = zip(*held.pop(bucket, [(b"", b"", b"", b"")]), strict=True)
+            chunks, unit, key, count = (np.frombuffer(b"".join(x), t) for x, t in zip(columns, ("<u8", "<u4", "<u8", "<u4"), strict=True))
+            order = np.lexsort((key, chunks))
+            chunks, unit, key, count = (x[order] for x in (chunks, unit, key, count))
+            for chunk, *fields in own:
+                sets, sizes, damage, more, again = (np.frombuffer(x, t) for x, t in zip(fields, ("<u8", "<u4", "<u4", "<u4", "<u8"), strict=True))
+                a, b = np.searchsorted(chunks, np.array([chunk, chunk + 1], np.uint64))
+                u, x, c = unit[a:b], key[a:b], count[a:b]
+                if len(again):
+                    u, x, c = np.concatenate((u, more)), np.concatenate((x, again)), np.concatenate((c, c[np.searchsorted(x, again)]))
+                shared = np.bincount(u, minlength=len(sets))
+                left = damage.astype(np.int64) + 1 - (sizes.astype(np.int64) - shared)
+                at = np.flatnonzero(left[u] > 0)
+                at = at[np.lexsort((x[at], c[at], u[at]))]
+                begin = np.flatnonzero(np.concatenate(([True], u[at][1:] != u[at][:-1]))) if len(at) else at
+                rank = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
+                at = at[rank < left[u[at]]]
+                salts = np.maximum(0, np.ceil(np.log2(np.maximum(c[at], 1))).astype(np.int64) - hot).astype(np.uint8)
+                packed.add(_where(x[at], sets[u[at]], salts), x[at], sets[u[at]], salts)
             if packed.full():
                 yield from packed.batch("keys", "sets", "salts")
         yield from packed.batch("keys", "sets", "salts")
@@ -326,25 +386,49 @@ def _runs(keys: np.ndarray, sets: np.ndarray, salts: np.ndarray, labels: np.ndar
     return group, keys, sets, salts, labels, np.flatnonzero(new), np.flatnonzero(fresh)
 
 
-def _partners(batches):
-    """a, b: each set of a group of several labels with one of another label; a, key, label: a set for each label of a salted group."""
-    for keys, sets, salts, labels in gathered(batches, (*_ENTRY, np.int64)):
-        if not len(keys):
-            continue
-        group, keys, sets, salts, labels, first, fresh = _runs(keys, sets, salts, labels)
-        kinds = np.diff(np.append(np.searchsorted(fresh, first), len(fresh)))
-        mixed = kinds[group] > 1
-        second = fresh[np.minimum(np.searchsorted(fresh, first) + 1, len(fresh) - 1)]
-        partner = np.where(labels == labels[first][group], sets[second][group], sets[first][group])
-        pairs = np.unique(np.stack((sets, partner), 1)[mixed], axis=0).view(np.int64)
-        some = fresh[salts[fresh] > 0]
-        n = len(some)
-        none = pa.nulls(n, pa.int64())
-        a = np.concatenate((pairs[:, 0], sets[some].view(np.int64)))
-        b, key, label = (pa.chunked_array(x).combine_chunks() for x in ([pa.array(pairs[:, 1]), none], [pa.nulls(len(pairs), pa.int64()), pa.array(keys[some].view(np.int64))], [pa.nulls(len(pairs), pa.int64()), pa.array(labels[some])]))
-        salt = pa.chunked_array([pa.nulls(len(pairs), pa.int32()), pa.array(salts[some].astype(np.int32))]).combine_chunks()
-        for i in range(0, len(a), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(a[i : i + (1 << 16)]), *[x[i : i + (1 << 16)] for x in (b, key, label, salt)]], names=["a", "b", "key", "label", "salts"])
+def _partners(turn: int):
+    """a, b: each set of a group of several labels with two of other labels, the least and the next in an order of the
+    turn; a, key, label, salts: a set for each label of a salted group."""
+
+    def run(batches):
+        for keys, sets, salts, labels in gathered(batches, (*_ENTRY, np.int64)):
+            if not len(keys):
+                continue
+            group, keys, sets, salts, labels, first, fresh = _runs(keys, sets, salts, labels)
+            kinds = np.diff(np.append(np.searchsorted(fresh, first), len(fresh)))
+            some = fresh[salts[fresh] > 0]
+            split = [x[some] for x in (sets.view(np.int64), keys.view(np.int64), labels, salts.astype(np.int32))]
+            mixed = kinds[group] > 1
+            group, sets, labels = group[mixed], sets[mixed], labels[mixed]
+            pairs = np.zeros((0, 2), np.int64)
+            if len(group):
+                pairs = np.concatenate([_others(group, sets, labels, sets), _others(group, sets, labels, mix(sets, 50 + turn))])
+                pairs = np.unique(np.sort(pairs, axis=1), axis=0).view(np.int64)
+            n = len(some)
+            join = lambda x, y: pa.chunked_array([x, y]).combine_chunks()
+            a = join(pa.array(pairs[:, 0]), pa.array(split[0]))
+            b = join(pa.array(pairs[:, 1]), pa.nulls(n, pa.int64()))
+            rest = [join(pa.nulls(len(pairs), t), pa.array(x, t)) for x, t in zip(split[1:], (pa.int64(), pa.int64(), pa.int32()), strict=True)]
+            for i in range(0, len(a), 1 << 16):
+                yield pa.RecordBatch.from_arrays([x[i : i + (1 << 16)] for x in (a, b, *rest)], names=["a", "b", "key", "label", "salts"])
+
+    return run
+
+
+def _others(group: np.ndarray, sets: np.ndarray, labels: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Each set of mixed groups with the next one of another label in the cyclic order ``by``."""
+    order = np.lexsort((by, group))
+    group, sets, labels = group[order], sets[order], labels[order]
+    new = np.concatenate(([True], group[1:] != group[:-1]))
+    run = np.flatnonzero(new | np.concatenate(([True], labels[1:] != labels[:-1])))
+    of = np.repeat(np.arange(len(run)), np.diff(np.append(run, len(group))))
+    first = np.searchsorted(run, np.flatnonzero(new))
+    first_of, last_of = first[np.cumsum(new)[run] - 1], np.append(first[1:], len(run))[np.cumsum(new)[run] - 1] - 1
+    after = np.arange(len(run)) + 1
+    # The last run of a group is followed by its first, or where that has the same label, by its second.
+    wrapped = np.where(labels[run[first_of]] == labels[run], first_of + 1, first_of)
+    after = np.where(np.arange(len(run)) == last_of, wrapped, after)
+    return np.stack((sets, sets[run[after]][of]), 1)
 
 
 def _mixed(batches):
@@ -465,11 +549,11 @@ class _Search:
         return self.work.write(pairs, f"waiting-{name}")
 
     def settle(self, waiting: DataFrame) -> None:
-        """Verifies pairs, the best of each class first and twice as many each turn; a pair within a component is left out.
+        """Verifies pairs, the best of each class first and MORE times as many each turn; a pair within a component is left out.
 
         The number of turns is the logarithm of the most pairs that a class has.
         """
-        most = 3
+        most = MOST
         while waiting.take(1):
             self.turn += 1
             name = str(self.turn)
@@ -479,7 +563,7 @@ class _Search:
             self.tie(self.work.write(_checked(self.texts, now, self.k, self.percent, self.parts, self.work, name), f"links-{name}"), name)
             rest = waiting.join(now, ["a", "b"], "left_anti")
             rest = self.label(self.label(rest, "a", "la"), "b", "lb").where("la <> lb").select("a", "b", "distance")
-            waiting, most = self.work.write(rest, f"rest-{name}"), 2 * most
+            waiting, most = self.work.write(rest, f"rest-{name}"), MORE * most
 
     def entries(self, members: DataFrame, buckets: int, name: str) -> DataFrame:
         """The entries with their sets' present labels, packed by group."""
@@ -562,8 +646,8 @@ def _block_pairs(percent: int):
                 else:
                     out += compare(held, part)
             if out:
-                x, y, d = (np.concatenate(z) for z in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(d)], names=["a", "b", "distance"])
+                pairs = np.unique(np.stack([np.concatenate(z) for z in zip(*out, strict=True)], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in range(3)], names=["a", "b", "distance"])
 
     return run
 
@@ -586,17 +670,19 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     parts, wider = partitions(spark), spread(percent)
     buckets = 2 * parts
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    first = work.write(texts.mapInArrow(_first(k, percent, wider), _FIRST), "first")
-    rows = first.where("kind = 0").select("doc_id", "n", "f1", "f2", "sketch")
+    rows = work.write(texts.mapInArrow(_first(k), "doc_id long, n int, f1 long, f2 long, sketch binary"), "first")
     same = rows.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1 and rep is not null")
     same = work.write(same.drop("copies"), "same")
     reps = rows.join(maybe_broadcast(same), ["n", "f1", "f2"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     reps = work.write(reps, "reps")
+    work.drop("first")
     classes = work.write(reps.where("n > 0 and doc_id = rep").select("rep", "n", "f1", "f2", "sketch").dropDuplicates(["rep", "n", "f1", "f2"]).drop("f2"), "classes")
 
-    entries = texts.mapInArrow(_entries(buckets, k, percent, wider, _counted(first), hot), "bucket int, keys binary, sets binary, salts binary").repartition(parts, "bucket")
+    counted = texts.mapInArrow(_sketches(buckets, k, percent, wider), _PACKED).repartition(parts, "bucket").mapInArrow(_counted(buckets), _PACKED)
+    counted = work.write(counted, "counted").repartition(parts, "bucket")
+    entries = counted.mapInArrow(_entries(buckets, hot), "bucket int, keys binary, sets binary, salts binary").repartition(parts, "bucket")
     members = work.write(entries.mapInArrow(_members(buckets), "bucket int, keys binary, sets binary, hubs binary, salts binary"), "members")
-    work.drop("first")
+    work.drop("counted")
 
     search = _Search(texts, classes, work, k, percent)
     stars = work.write(members.select("bucket", "keys", "sets", "hubs", "salts").repartition(parts, "bucket").mapInArrow(_stars, "a long, b long, key long"), "stars")
@@ -606,16 +692,16 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     met = split.join(low, "key").where("a <> low").select(F.col("low").alias("a"), F.col("a").alias("b"))
     search.settle(search.candidates(stars.where("b is not null").select("a", "b").union(met), "stars"))
 
-    for turn in range(3):
+    for turn in range(TURNS):
         packed = search.entries(members, buckets, str(turn))
-        partners = work.write(packed.repartition(parts, "bucket").select("bucket", "keys", "sets", "salts", "labels").mapInArrow(_partners, "a long, b long, key long, label long, salts int"), f"partners-{turn}")
+        partners = work.write(packed.repartition(parts, "bucket").select("bucket", "keys", "sets", "salts", "labels").mapInArrow(_partners(turn), "a long, b long, key long, label long, salts int"), f"partners-{turn}")
         split = partners.where("key is not null")
         ends = split.groupBy("key").agg(F.min(F.struct("label", "a")).alias("low"), F.max(F.struct("label", "a")).alias("high")).where("low.label <> high.label")
         held = split.join(ends, "key")
         met = held.select("a", F.when(F.col("label") == F.col("low.label"), F.col("high.a")).otherwise(F.col("low.a")).alias("b"))
         pairs = partners.where("b is not null").select("a", "b").union(met)
         waiting = search.candidates(pairs, f"partners-{turn}")
-        if turn < 2 and waiting.take(1):
+        if turn < TURNS - 1 and waiting.take(1):
             search.settle(waiting)
             continue
         search.settle(search.waiting(search.across(packed, held.select("key", "salts"), buckets), "across"))
