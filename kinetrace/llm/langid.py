@@ -13,14 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, maybe_broadcast
 from .toxicity import held_out
 
-#: Labelled rows that the model is fitted on at most, on average over hash seeds.
-SAMPLE = 20_000
-#: Known words and n-grams kept, most frequent first.
-WORDS, GRAMS = 60_000, 60_000
+#: Labelled rows of each language that the model is fitted on at most, on average over hash seeds.  All units that stand
+#: in them twice or more are kept.
+SAMPLE = 5_000
 ORDER = 4
+#: Letters of an unknown word that count as much as a known word.
+LETTERS = 8
 #: Tokens whose evidence a score counts in full; longer texts are averaged to this many.
 EVIDENCE = 25
 _RUN = re.compile(r"[^\W\d_]+")
@@ -80,7 +81,7 @@ class LanguageModel:
         known = self.words.get(word)
         if known is not None:
             return [known]
-        text, get, out = f"^{word[:40]}$", self.grams.get, []
+        text, get, out = f"^{word}$", self.grams.get, []
         for i in range(len(text)):
             row = get(text[i : i + ORDER])
             if row is None:
@@ -122,13 +123,13 @@ class Predictor(dict):
         return place
 
     def _fill(self) -> None:
-        """An unknown word's n-grams count as much as two units together, whatever its length."""
+        """An unknown word's n-grams count as much as two units together, or as one for every LETTERS of them if that is more."""
         while self.size > len(self.table):
             self.table = np.concatenate((self.table, np.zeros_like(self.table)))
         lengths = np.array([len(r) for r in self.waiting])
         flat = np.fromiter((x for r in self.waiting for x in r), np.int64, int(lengths.sum()))
         sums = np.add.reduceat(self.model.table[flat], np.cumsum(lengths) - lengths, axis=0)
-        self.table[self.size - len(lengths) : self.size] = sums / np.maximum(1.0, lengths / 2)[:, None]
+        self.table[self.size - len(lengths) : self.size] = sums * (np.maximum(2.0, lengths / LETTERS) / np.maximum(2.0, lengths))[:, None]
         self.waiting = []
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -149,11 +150,16 @@ class Predictor(dict):
 
 
 def fit_languages(docs: DataFrame, work: Workspace, *, sample: int = SAMPLE) -> LanguageModel:
-    """Fits on (doc_id, text, lang): rows with a lang that aren't held out, about ``sample`` of them at most, by hash."""
+    """Fits on (doc_id, text, lang): rows with a lang that aren't held out, about ``sample`` of each lang at most, by hash.
+
+    Units of that bounded sample, and one row for each language, come to the driver.
+    """
     own = docs.where("lang is not null and text is not null").where(~held_out(F.col("doc_id")))
-    n = own.count()
-    if n > sample:
-        own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
+    sizes = own.groupBy("lang").agg(F.count("*").alias("rows")).where(F.col("rows") > sample)
+    # Rows of a language pass with a chance that its number of rows gives.
+    own = own.join(maybe_broadcast(work.write(sizes, "sizes")), "lang", "left")
+    chance = F.coalesce(F.lit(sample) / F.col("rows"), F.lit(1.0))
+    own = own.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < chance * (1 << 30))
     counted = own.select("text", "lang").mapInArrow(_counts, "lang string, kind int, unit string, n long").groupBy("kind", "unit", "lang").agg(F.sum("n").alias("n"))
     counted = work.write(counted, "counts")
     totals = counted.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()
@@ -163,11 +169,11 @@ def fit_languages(docs: DataFrame, work: Workspace, *, sample: int = SAMPLE) ->
     for r in totals:
         sums[r.kind, place[r.lang]] = r.n
     tables = []
-    for kind, most in ((0, WORDS), (1, GRAMS)):
+    for kind in (0, 1):
         by_lang = F.map_from_entries(F.collect_list(F.struct("lang", "n")))
-        top = counted.where(F.col("kind") == kind).groupBy("unit").agg(F.sum("n").alias("all"), by_lang.alias("by")).where("all > 1").orderBy(F.desc("all"), "unit").limit(most).select("unit", "by").toArrow()
+        units = counted.where(F.col("kind") == kind).groupBy("unit").agg(F.sum("n").alias("all"), by_lang.alias("by")).where("all > 1").select("unit", "by").toArrow()
         table = {}
-        for unit, by in zip(top.column("unit").to_pylist(), top.column("by").to_pylist(), strict=True):
+        for unit, by in zip(units.column("unit").to_pylist(), units.column("by").to_pylist(), strict=True):
             row = np.zeros(len(langs))
             for lang, n in by:
                 row[place[lang]] = n
@@ -179,9 +185,10 @@ def fit_languages(docs: DataFrame, work: Workspace, *, sample: int = SAMPLE) ->
 def identify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", work: Workspace | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row; lang is read of training rows only.
 
-    Null text, text without letters, or no training rows: und with score 0.  Score is the posterior under equal priors,
-    evidence counted for EVIDENCE tokens at most.  Null ids count as not held out; repeated rows are predicted each; an
-    empty table gives an empty result.
+    Whole texts are read, runs of letters without blanks as long as they are.  Null text, text without letters, or no
+    training rows: und with score 0.  Score is the posterior under equal priors, evidence averaged to EVIDENCE tokens if
+    there are more; ties go to the first language by name.  Null ids count as not held out; repeated rows are predicted
+    each; an empty table gives an empty result; other columns are not read.
     """
     work = work or Workspace(docs.sparkSession, "langid")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
