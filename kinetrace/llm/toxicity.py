@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +25,25 @@ LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 COST_LOOKALIKE, COST_DROP_LOOKALIKE, COST_DROP_SIGN, COST_SQUEEZE = 0.5, 6.0, 0.2, 1.0
 #: Labelled rows that the classifier is fitted on at most, on average over hash seeds.
 SAMPLE = 20_000
-#: Features that it keeps, and candidates from which they are chosen.
-FEATURES, CANDIDATES = 600, 30_000
+#: Information, in nats over the sample, that a feature must give on the label; 2 * 7.5 is about the 0.9999 quantile of a
+#: chi-squared variable.  Every feature that does is kept.
+GAIN = 7.5
 
-_A = 28
-_CODE = np.zeros(256, np.int64)
-_CODE[65:91] = _CODE[97:123] = np.arange(1, 27)
-_CODE[0xC0:] = 27
+#: Folded characters: 0 for no letter, a-z (without their accents), then other letters in OTHERS classes by code point.
+OTHERS = 8
+_A = 27 + OTHERS
+
+
+def fold(c: str) -> int:
+    if "a" <= c <= "z":
+        return ord(c) - 96
+    if ord(c) >= 0x800:
+        return 0 if 0x2000 <= ord(c) < 0x3000 else 27 + ord(c) % OTHERS
+    base = unicodedata.normalize("NFD", c.lower())[0]
+    return ord(base) - 96 if "a" <= base <= "z" else 27 + ord(c) % OTHERS if base.isalpha() else 0
+
+
+_CODE = np.array([fold(chr(c)) for c in range(0x800)])
 _PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”‘’¿¡…–—"
 _NO_LETTERS = "".join(c for c in _PUNCTUATION if c not in LOOKALIKES)
 _LETTER = re.compile(r"[^\W\d_]")
@@ -41,7 +54,25 @@ _APART = (
     re.compile(r"(?:[a-z0134578@$!|+](?:[^\w\s@$!|+]|_){1,2}){2,}[a-z0134578@$!|+]"),
     re.compile(r"[a-z0134578@$!|+]([^\w\s]|_)(?:[a-z0134578@$!|+]\1)+[a-z0134578@$!|+]"),
 )
-_SINGLES = re.compile(r"(?<![^\s(\"'])[a-z0134578@$!|+](?:\s+[a-z0134578@$!|+]){2,}(?![^\s.,;:?!)\"'])")
+#: Letters and look-alikes of a text that blanks, signs that stand for no letter, or a mix of both set apart.
+_SINGLES = re.compile(r"(?<![^\s(\"'])[a-z0134578@$!|+](?:(?:[\s_]|[^\w\s@$!|+]){1,5}+[a-z0134578@$!|+](?![^\W_])){2,}+")
+
+
+def spread_out(text: str) -> list[str]:
+    """Letters set apart over several tokens; those within one are a word's matter."""
+    return [m.group() for m in _SINGLES.finditer(text) if len(m.group().split()) > 1]
+
+
+def _codes(data: np.ndarray) -> np.ndarray:
+    """Folded characters of UTF-8 bytes."""
+    at = np.flatnonzero((data < 0x80) | (data >= 0xC0))
+    if not len(at):
+        return at
+    lead = data[at].astype(np.int64)
+    after = data[np.minimum(at + 1, len(data) - 1)].astype(np.int64) & 0x3F
+    last = data[np.append(at[1:], len(data)) - 1].astype(np.int64)
+    point = np.where(lead < 0x80, lead, np.where(lead < 0xE0, (lead & 0x1F) << 6 | after, 0))
+    return np.where(lead < 0xE0, _CODE[np.minimum(point, 0x7FF)], np.where(lead == 0xE2, 0, 27 + last % OTHERS))
 
 
 def _char_counts(batches):
@@ -49,7 +80,7 @@ def _char_counts(batches):
     total = np.zeros(_A**4, np.int64)
     for batch in batches:
         for _, _, data, _ in slices(batch.column(0)):
-            c = _CODE[data[(data < 0x80) | (data >= 0xC0)]]
+            c = _codes(data)
             # Runs of anything else count once.
             c = c[np.concatenate(([True], (c[1:] != 0) | (c[:-1] != 0)))] if len(c) else c
             if len(c) > 3:
@@ -71,10 +102,6 @@ class CharModel:
         self.log = np.log(p).astype(np.float32)
 
 
-def fold(c: str) -> int:
-    return ord(c) - 96 if "a" <= c <= "z" else 0 if c == " " else 27
-
-
 def apart(token: str) -> str:
     """The letters and look-alikes of a token that sets them apart; else nothing."""
     if not _LETTER.search(token):
@@ -164,14 +191,14 @@ class Restorer:
         return self.decode(core) if _LETTER.search(core) and _DISGUISED.search(core) else core
 
     def text(self, text: str) -> list[str]:
-        """Words of the restored text; letters set apart by single blanks are joined and decoded."""
+        """Words of the restored text; letters set apart over several tokens are decoded besides."""
         text = text.lower()
         words = [w for t in text.split() for w in self.word(t).split(" ")]
-        return words + [w for m in _SINGLES.finditer(text) for w in self.joined(m.group())]
+        return words + [w for run in spread_out(text) for w in self.joined(run)]
 
     def joined(self, run: str) -> list[str]:
-        letters = "".join(run.split())
-        return self.decode(letters, breaks=True).split() if len(set(letters)) > 1 else []
+        letters = "".join(c for c in run if c.isalpha() or c in LOOKALIKES)
+        return self.decode(letters, breaks=True).split() if len({c for c in letters if c.isalpha()}) > 1 else []
 
 
 def features(words: str) -> list[str]:
@@ -202,8 +229,8 @@ class TokenFeatures(dict):
             return []
         text = text.lower()
         found = {f for token in set(text.split()) for f in self[token]}
-        for m in _SINGLES.finditer(text):
-            for w in self.restorer.joined(m.group()):
+        for run in spread_out(text):
+            for w in self.restorer.joined(run):
                 found.update(self.of(w))
         return sorted(found)
 
@@ -223,8 +250,8 @@ def _document_counts(model: CharModel, kept: set[str] | None):
                             words.clear()
                         words[token] = [f for f in features(restorer.word(token)) if kept is None or f in kept]
                     found.update(words[token])
-                for m in _SINGLES.finditer(text):
-                    found.update(f for w in restorer.joined(m.group()) for f in features(w) if kept is None or f in kept)
+                for run in spread_out(text):
+                    found.update(f for w in restorer.joined(run) for f in features(w) if kept is None or f in kept)
                 own = counts[toxic]
                 for f in found:
                     own[f] = own.get(f, 0) + 1
@@ -308,7 +335,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, work: Workspace, *, sample:
         return ToxicityModel(chars, {}, np.array([bias]))
     inside = rows.where("toxic = 1").mapInArrow(_document_counts(chars, None), "feature string, toxic int, n long")
     least = max(3, n1 // 500)
-    top = inside.groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "feature").limit(CANDIDATES).toArrow()
+    top = inside.groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
     candidates = dict(zip(top.column("feature").to_pylist(), top.column("n").to_pylist(), strict=True))
     outside = rows.where("toxic = 0").mapInArrow(_document_counts(chars, set(candidates)), "feature string, toxic int, n long")
     others = outside.groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
@@ -322,7 +349,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, work: Workspace, *, sample:
             out += (x * math.log(x / m / p) if x else 0) + (y * math.log(y / k / p) if y else 0)
         return out
 
-    kept = {f: i for i, f in enumerate(sorted(candidates, key=lambda f: (-gain(f), f))[:FEATURES])}
+    kept = {f: i for i, f in enumerate(sorted(f for f in candidates if gain(f) >= GAIN))}
     table = rows.mapInArrow(_sample_features(chars, kept), "found array<int>, toxic int").toArrow()
     weights = fit_logistic(table.column("found").to_pylist(), table.column("toxic").to_numpy().astype(float), len(kept))
     return ToxicityModel(chars, kept, weights)
@@ -331,8 +358,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, work: Workspace, *, sample:
 def toxicity_scores(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", work: Workspace | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted of every row.
 
-    Null and empty texts get the score of a text without features.  Null ids count as not held out and have no label;
-    repeated rows are scored each; an empty table gives an empty result.
+    Whole texts are read.  Null and empty texts get the score of a text without features.  Null ids count as not held out
+    and have no label; repeated rows are scored each; an empty table gives an empty result; other columns are not read.
     """
     work = work or Workspace(docs.sparkSession, "toxicity")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -348,7 +375,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", work: Workspace | None = None) -> DataFrame:
-    """The rows of docs, all columns as they are, whose score is below 0.5."""
+    """The rows of docs, all columns as they are, whose score is below 0.5; nulls, repeats and empty tables as in toxicity_scores."""
     work = work or Workspace(docs.sparkSession, "toxicity")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     model, at = fit_toxicity(texts, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"), work), docs.columns.index(text)

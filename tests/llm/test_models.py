@@ -1,10 +1,14 @@
 """Language identification and toxicity: held-out accuracy, restoration and edge cases."""
 
+import itertools
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kinetrace.llm.langid import identify
-from kinetrace.llm.toxicity import CharModel, Restorer, drop_toxic, toxicity_scores
+from kinetrace.llm.langid import LETTERS, LanguageModel, Predictor, grams, identify
+from kinetrace.llm.toxicity import _A, CharModel, Restorer, _char_counts, drop_toxic, fold, toxicity_scores
 
 SF = "/root/testdata/sf0.1"
 
@@ -40,41 +44,113 @@ def test_toxicity_accuracy(spark, docs):
     assert right > 3 * wrong and hit.get((0, 1), 0) <= 0.01 * hit[0, 0]
 
 
-def test_restoration(spark, docs):
-    import numpy as np
-    import pyarrow as pa
+def counted(texts):
+    total = np.zeros(_A**4, np.int64)
+    for b in _char_counts([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]):
+        total[b.column(0).to_numpy()] += b.column(1).to_numpy()
+    return total
 
-    from kinetrace.llm.toxicity import _char_counts
 
-    total = np.zeros(28**4, np.int64)
-    batch = pa.RecordBatch.from_arrays([pa.array([r.text for r in docs.select("text").collect()])], names=["text"])
-    for b in _char_counts([batch]):
-        total[b.column(0).to_numpy()] += b.column(1).to_numpy()
-    r = Restorer(CharModel(total))
+@pytest.fixture(scope="module")
+def restorer(docs):
+    return Restorer(CharModel(counted([r.text for r in docs.select("text").collect()])))
+
+
+def test_restoration(restorer):
+    r = restorer
     for token, want in {"1d10t": "idiot", "tr@sh": "trash", "stuuupid": "stupid", "i.d.i.o.t": "idiot", "m0r0n,": "moron", "$cum": "scum", "cl0wn": "clown", "hello": "hello", "be%%%": "be"}.items():
         assert r.text(token) == [want], token
     assert "idiot" in r.text("you i d i o t") and r.text("a a a a") == ["a"] * 4
 
 
-def test_letters_set_apart(spark, docs):
-    import numpy as np
-    import pyarrow as pa
-
-    from kinetrace.llm.toxicity import _char_counts
-
-    total = np.zeros(28**4, np.int64)
-    batch = pa.RecordBatch.from_arrays([pa.array([r.text for r in docs.select("text").collect()])], names=["text"])
-    for b in _char_counts([batch]):
-        total[b.column(0).to_numpy()] += b.column(1).to_numpy()
-    r = Restorer(CharModel(total))
+def test_letters_set_apart(restorer):
+    r = restorer
     for token, want in {"m.0.r.0.n": "moron", "i.d.1.o.t": "idiot", "i_d_i_o_t": "idiot", "m!0!r!0!n": "moron", "st" + "u" * 30 + "pid": "stupid", "$.c.u.m,": "scum"}.items():
         assert r.text(token) == [want], token
-    for text, want in {"you are a m o r o n": "moron", "y o u i d i o t": "idiot", "such a m 0 r 0 n, you": "moron", "y o u a r e s u c h a b i g m o r o n a n d a n i d i o t": "idiot"}.items():
+    for text, want in {"you are a m o r o n": "moron", "a m . o . r . o . n": "moron", "so m  o  r  o  n": "moron", "i _ d _ i _ o _ t": "idiot", "you i - d 1 . o   t": "idiot", "y o u i d i o t": "idiot", "such a m 0 r 0 n, you": "moron", "y o u a r e s u c h a b i g m o r o n a n d a n i d i o t": "idiot"}.items():
         assert want in r.text(text), (text, r.text(text))
     assert r.text("1.0.5") == ["1.0.5"] and r.text("x" * 200) != [""]
     assert len(r.decode("ab1d" * 20_000, breaks=True)) >= 60_000
 
 
+def test_viterbi_equals_enumeration(restorer):
+    """The decoded word is the cheapest of all that the lattice spells, by model and channel together."""
+
+    def cost(letters, channel):
+        a = b = c = 0
+        for x in [*letters, " "]:
+            d = fold(x)
+            channel -= float(restorer.log[a, b, c, d])
+            a, b, c = b, c, d
+        return channel
+
+    for word in ("1d10t", "b00k", "aa11", "4+7", "s0oo", "é1a", "x!y", "5ß0"):
+        for breaks in (False, True):
+            lattice = restorer.lattice(word)
+            paths = itertools.product(*(restorer.with_breaks(lattice) if breaks else lattice))
+            best = min(cost("".join(t for t, _ in path), sum(k for _, k in path)) for path in paths)
+            got = restorer.decode(word, breaks)
+            spelled = [sum(k for _, k in path) for path in itertools.product(*(restorer.with_breaks(lattice) if breaks else lattice)) if "".join(t for t, _ in path) == got]
+            assert abs(cost(got, min(spelled)) - best) < 1e-4, (word, breaks, got)
+
+
+def test_characters_fold_alike_in_bytes_and_text():
+    texts = ["Ünï çode", "жизнь мир", "中文字 ab", "a—b “c” …", "x" * 5, ""]
+    want = {}
+    for t in texts:
+        codes = [fold(c.lower()) for c in t]
+        codes = [c for i, c in enumerate(codes) if c or not i or codes[i - 1]]
+        for i in range(len(codes) - 3):
+            key = ((codes[i] * _A + codes[i + 1]) * _A + codes[i + 2]) * _A + codes[i + 3]
+            want[key] = want.get(key, 0) + 1
+    got = np.zeros(_A**4, np.int64)
+    for t in texts:
+        got += counted([t])
+    assert {int(i): int(got[i]) for i in np.flatnonzero(got)} == want
+
+
+def test_spread_letters_take_linear_time(restorer):
+    import time
+
+    began = time.perf_counter()
+    restorer.text("! " * 20_000 + "x. " * 2_000 + "a" + "!" * 20_000 + "b")
+    assert time.perf_counter() - began < 20
+
+
+def test_language_equals_brute_force():
+    """Evidence of a text, word by word and n-gram by n-gram."""
+    words = {"the": np.array([9.0, 1]), "der": np.array([0.0, 8])}
+    pieces = {g: np.array([i % 3 + 1.0, i % 5 + 0.0]) for i, g in enumerate(sorted({g for w in ("there", "wieder", "thing") for g in grams(w)}))}
+    totals = np.array([[50.0, 40], [300.0, 200]])
+    model = LanguageModel(["a", "b"], words, pieces, totals)
+
+    def row(table, unit, kind):
+        return np.log((table[unit] + 0.5) / (totals[kind] + 0.5 * len(table) + 1))
+
+    def evidence(word):
+        if word in words:
+            return row(words, word, 0)
+        text, out = f"^{word}$", []
+        for i in range(len(text)):
+            hit = next((text[i : i + k] for k in (4, 3, 2, 1) if text[i : i + k] in pieces), None)
+            out.append(row(pieces, hit, 1) if hit else np.log(0.5 / (totals[1] + 1)))
+        return sum(out) * max(2.0, len(out) / LETTERS) / max(2.0, len(out))
+
+    for text in ("The der thing", "wieder, there!", "qqq x " * 40, "therewiederthing" * 50 + "q", "the " * 30):
+        parts = [w for w in "".join(c if c.isalpha() else " " for c in text.lower()).split()]
+        total = sum(evidence(w) for w in parts) * min(1.0, 25 / len(text.split()))
+        lang, score = Predictor(model).predict(text)
+        p = np.exp(total - total.max())
+        assert lang == "ab"[int(np.argmax(total))] and abs(score - p.max() / p.sum()) < 1e-4, text
+
+
+def test_a_text_without_blanks_is_read_to_its_end(spark):
+    rows = [(i, "der die und ist nicht auch ein", "de") for i in range(1, 30)] + [(100 + i, "the and that with from this", "en") for i in range(1, 30)]
+    texts = [(1000, "qx" * 40 + "dieundistnichtauchein" * 300), (1001, "qx" * 40 + "theandthatwithfromthis" * 300)]
+    got = identify(spark.createDataFrame(rows + [(i, t, None) for i, t in texts], "doc_id long, text string, lang string"))
+    assert {r.doc_id: r.lang_pred for r in got.where("doc_id >= 1000").collect()} == {1000: "de", 1001: "en"}
+
+
 def test_toxicity_edges(spark):
     rows = [(i if i < 60 else 1000 + i, f"{['clean words', 'you', 'such', ''][i % 4]} number {i} here", "x", 1) for i in range(240)] + [(100 + i, f"you {i} idiot" if i % 2 else f"such {i} moron words", "x", 1) for i in range(60)] + [(None, "you 1d10t idiot", "x", 1), (300, None, "x", 1), (301, "", "x", 1), (302, "fine " * 100_000, "x", 1), (303, "such 1d10t", "x", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic string, score int")
