@@ -44,14 +44,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    copies = pareto_mix(docs).where("copies > 0").select("doc_id", "copies")
-    counted = copies.groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    # Rows of one doc_id share its copies evenly; after near duplicates there is one row each.
-    each = counted.select(F.col("doc_id").alias("taken_id"), F.ceil(F.col("copies") / F.col("rows")).cast("int").alias("copies"))
-    each = Workspace(spark, "mixing").write(each, "copies")
-    taken = docs.join(maybe_broadcast(each), F.col("doc_id").eqNullSafe(F.col("taken_id")))
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select([docs[c] for c in docs.columns])
+    """Each document as often as the mix takes it; texts stay where they are."""
+    mixed = pareto_mix(docs, keep=True, work=Workspace(spark, "mixing")).where("copies > 0")
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
