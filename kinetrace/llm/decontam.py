@@ -13,10 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches
+from .common import Workspace, filesystem
 from .mixing import word_count
 from .words import U64, hashed, slices, windows, word_bounds, word_hashes
 
+#: Words that an item needs to be looked for, unless shorter ones are asked for, which count only where all their words match.
 MIN_ITEM = 8
 #: Matching words that make a hit; 80 % of an item's words if that is less.
 MIN_MATCH = 13
@@ -26,7 +27,7 @@ SUBSTITUTION = 3
 
 
 def needed(length: int) -> int:
-    return min(MIN_MATCH, -(-length * 4 // 5))
+    return length if length < MIN_ITEM else min(MIN_MATCH, -(-length * 4 // 5))
 
 
 def reach(length: int) -> int:
@@ -50,7 +51,7 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class Benchmark:
     """Hashed windows of some items."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]]):
+    def __init__(self, items: list[tuple[int | None, str | None]], shortest: int = MIN_ITEM):
         column = pa.array([t for _, t in items], pa.string())
         self.ids, self.words = [x for x, _ in items], []
         for _, _, data, offsets in slices(column):
@@ -63,7 +64,7 @@ class Benchmark:
         item = np.repeat(np.arange(len(self.size)), self.size)
         place = np.arange(len(self.flat)) - self.begin[item]
         self.need = np.array([needed(n) for n in self.size], np.int64)
-        spans = np.array([reach(n) if n >= MIN_ITEM else 0 for n in self.size], np.int64)
+        spans = np.array([reach(n) if n >= max(3, shortest) else 0 for n in self.size], np.int64)
         #: Of each mask: its sorted keys, and the item and the place of each.
         self.tables = []
         for mask in MASKS:
@@ -168,29 +169,56 @@ class Benchmark:
                 yield row + d, i, *self.overlaps(words[first[d] : first[d + 1]], i, diagonals)
 
 
-def _passes(benchmark: DataFrame, item_id: str, text: str) -> list[Benchmark]:
-    """The items, 3 * PASS_WORDS masked windows a pass at most on average: a stated query set held in blocks."""
-    short_batches(benchmark.sparkSession)
+def _passes(benchmark: DataFrame, item_id: str, text: str) -> list[str]:
+    """Folders of written items, 3 * PASS_WORDS masked windows a pass at most on average: a stated query set in blocks.
+
+    Items never come to the driver; a worker reads those of the pass at hand.
+    """
+    work = Workspace(benchmark.sparkSession, "benchmark")
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).where("text is not null")
     total = items.agg(F.sum(word_count(F.col("text")))).first()[0] or 0
     n = max(1, -(-total * len(MASKS) // (3 * PASS_WORDS)))
-    return [Benchmark([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()]) for i in range(n)]
+    items.withColumn("pass", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))).write.partitionBy("pass").parquet(f"{work.path}/items")
+    return [f"{work.path}/items/pass={i}" for i in range(n)]
+
+
+#: The items of the last pass that this worker has read.
+_READ: dict[tuple[str, int], Benchmark] = {}
+
+
+def _read(path: str, shortest: int) -> Benchmark:
+    if (path, shortest) not in _READ:
+        import pyarrow.fs as pafs
+        import pyarrow.parquet as pq
+
+        fs, folder = filesystem(path)
+        items: list = []
+        # A pass that no item falls into has no folder.
+        if fs.get_file_info(folder).type == pafs.FileType.Directory:
+            table = pq.read_table(folder, filesystem=fs, partitioning=None, columns=["item_id", "text"])
+            items = list(zip(table.column("item_id").to_pylist(), table.column("text").to_pylist(), strict=True))
+        _READ.clear()
+        _READ[path, shortest] = Benchmark(items, shortest)
+    return _READ[path, shortest]
 
 
 _SPANS = "doc_id long, item_id long, start_word int, end_word int, matches int, item_words int"
 
 
-def contaminated_spans(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def contaminated_spans(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", shortest: int = MIN_ITEM) -> DataFrame:
     """One row for each document and benchmark item found in it: doc_id, item_id, start_word, end_word, matches, item_words.
 
     An item is found, always, where MIN_MATCH words within EXTENT consecutive ones of it match on one diagonal, or 80 % of
-    the item's words if that is less.  Items of fewer than MIN_ITEM words are not looked for.  Documents never move: each
-    pass broadcasts the windows of a bounded block of items.  Null and empty texts hold nothing; null ids are kept;
-    repeated rows give repeated rows; empty tables give an empty result.
+    the item's words if that is less.  Items of fewer than MIN_ITEM words are looked for only from ``shortest`` words on
+    (three at least), and found where all their words stand.  Documents never move; each pass reads a bounded block of items
+    from the shared folder.  Texts are read whole, however long.  Null and empty texts hold nothing; null ids are kept; of
+    equal diagonals the first counts; repeated rows give repeated rows; empty tables give an empty result; other columns
+    are not read.
     """
 
-    def scan(bench: Benchmark):
+    def scan(path: str):
         def run(batches):
+            bench = _read(path, shortest)
             for batch in batches:
                 ids, rows = batch.column(0), []
                 for i, item, start, end, matches in bench.scan(batch.column(1)):
@@ -204,17 +232,18 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "
 
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     out = None
-    for bench in _passes(benchmark, item_id, item_text):
-        found = texts.mapInArrow(scan(bench), _SPANS)
+    for path in _passes(benchmark, item_id, item_text):
+        found = texts.mapInArrow(scan(path), _SPANS)
         out = found if out is None else out.union(found)
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, in whose text no item is found."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", shortest: int = MIN_ITEM) -> DataFrame:
+    """The rows of docs, all columns as they are, in whose text no item is found; what is found as in contaminated_spans."""
 
-    def keep(bench: Benchmark, at: int):
+    def keep(path: str, at: int):
         def run(batches):
+            bench = _read(path, shortest)
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 for i, *_ in bench.scan(batch.column(at)):
@@ -223,6 +252,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
 
         return run
 
-    for bench in _passes(benchmark, item_id, item_text):
-        docs = docs.mapInArrow(keep(bench, docs.columns.index(text)), docs.schema)
+    for path in _passes(benchmark, item_id, item_text):
+        docs = docs.mapInArrow(keep(path, docs.columns.index(text)), docs.schema)
     return docs

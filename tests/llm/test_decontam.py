@@ -92,3 +92,44 @@ def test_edited_items_equal_brute_force():
     assert len(got) == len(want) and {(d, i) for d, i, *_ in got} == want
     for d, i, start, end, matches in got:
         assert matches >= needed(len(items[i][1])) and 0 <= start < end <= len(docs[d]) and matches <= end - start
+
+
+def brute(words, item):
+    """Most matches within 60 consecutive words of the item, over all diagonals."""
+    best = 0
+    for d in range(1 - len(item), len(words)):
+        same = [0 <= d + i < len(words) and words[d + i] == w for i, w in enumerate(item)]
+        best = max([best, *(sum(same[i : i + 60]) for i in range(max(1, len(same) - 59)))])
+    return best
+
+
+def test_query_equals_brute_force(spark):
+    """Random substitutions, cuts and joins of items in texts: exactly the pairs that meet the stated bound."""
+    rng = random.Random(4)
+    items = [(i, [rng.choice(WORDS[:200]) for _ in range(n)]) for i, n in enumerate([8, 9, 10, 11, 12, 13, 14, 15, 17, 20, 25, 40, 61, 90, 7, 5])]
+    docs = []
+    for d in range(260):
+        own = [rng.choice(WORDS[:200]) for _ in range(rng.randrange(0, 60))]
+        _, item = items[rng.randrange(len(items))]
+        low = rng.randrange(0, max(1, len(item) // 3)) if rng.random() < 0.4 else 0
+        part = [rng.choice(WORDS[:200]) if rng.random() < 0.25 * (d % 3) / 2 else w for w in item[low:]]
+        docs.append((d, [*own, *part, *(rng.choice(WORDS[:200]) for _ in range(rng.randrange(0, 30)))]))
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.matches for r in contaminated_spans(df, bench, shortest=5).collect()}
+    want = {}
+    for d, words in docs:
+        for i, item in items:
+            n = len(item)
+            if brute(words, item) >= (n if n < 8 else min(13, -(-n * 4 // 5))):
+                want[d, i] = True
+    assert set(got) == set(want) and len(want) > 100
+    default = {(r.doc_id, r.item_id) for r in contaminated_spans(df, bench).collect()}
+    assert default == {(d, i) for d, i in want if len(items[i][1]) >= 8}
+
+
+def test_long_text(spark):
+    words = text(60_000)
+    bench = spark.createDataFrame([(1, " ".join(words[59_000:59_030])), (2, " ".join(text(30)))], "item_id long, text string")
+    got = contaminated_spans(spark.createDataFrame([(5, " ".join(words))], "doc_id long, text string"), bench).collect()
+    assert [(r.doc_id, r.item_id, r.start_word, r.end_word) for r in got] == [(5, 1, 59_000, 59_030)]
