@@ -207,9 +207,9 @@ class Recent(dict):
 class ChunkEncoder:
     """Ids, as little-endian bytes, of texts; bounded caches over the tokenizer for what stands between blanks.
 
-    The tokenizers of this kind drop white space and never look across it, so a text's ids are those of its chunks.
-    Chunks of printable ASCII and Latin-1 letters go to the model directly, in pieces as the tokenizer's own pattern
-    cuts them; any other chunk goes through the whole tokenizer.
+    Tokenizers that drop white space never look across it, so a text's ids are those of its chunks.  With word BPE of the
+    known pattern, chunks of printable ASCII and Latin-1 letters go to the model directly, in pieces as that pattern cuts
+    them; any other chunk goes through the whole tokenizer.  Other tokenizers get whole texts.
     """
 
     def __init__(self, path: str):
@@ -219,7 +219,7 @@ class ChunkEncoder:
         self.model = self.whole.model
         self.kind = np.dtype("<u2" if self.whole.get_vocab_size() < 65536 else "<u4")
         self.bytes_as_text = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.direct = _is_word_bpe(self.whole)
+        self.by_chunk, self.direct = _kind(self.whole)
         self.pieces, self.chunks = Recent(self._piece), Recent(self._chunk)
         self.code = "H" if self.kind.itemsize == 2 else "I"
 
@@ -242,20 +242,22 @@ class ChunkEncoder:
         return self._packed([t.id for t in self.model.tokenize(text)])
 
     def encode(self, text: str | None) -> bytes:
+        if not self.by_chunk:
+            return self._packed(self.whole.encode(text or "", add_special_tokens=False).ids)
         return b"".join(map(self.chunks.__getitem__, (text or "").replace("\n", " ").split(" ")))
 
 
-def _is_word_bpe(tokenizer) -> bool:
-    """Whether the pattern that _PIECE follows is the tokenizer's."""
+def _kind(tokenizer) -> tuple[bool, bool]:
+    """Whether the tokenizer drops white space between words, and whether its pattern is the one that _PIECE follows."""
     import json
 
     spec = json.loads(tokenizer.to_str())
     norm, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
     kinds = [x.get("type") for x in norm.get("normalizers", [])]
     split = (pre.get("pretokenizers") or [{}])[0]
-    if kinds != ["NFC", "Replace", "Lowercase"] or split.get("behavior") != "Removed":
-        raise ValueError("only tokenizers that drop white space between words are supported")
-    return split["pattern"] == {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"} and spec["model"].get("end_of_word_suffix") == "</w>"
+    by_chunk = kinds == ["NFC", "Replace", "Lowercase"] and split.get("behavior") == "Removed"
+    pattern = {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+    return by_chunk, by_chunk and split["pattern"] == pattern and spec["model"].get("end_of_word_suffix") == "</w>"
 
 
 def _encoder(path: str) -> ChunkEncoder:
@@ -306,13 +308,15 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 2, percentile: float = 0.9, work: Workspace | None = None) -> DataFrame:
     """Writes token files of ascending doc_id to ``folder``; returns the manifest: shard, path, n_ids, n_docs, before.
 
-    Rows are dealt by ranges of doc_id and sorted by (doc_id, text), nulls first, so repeated ids and rows have one
-    order; ``before`` counts ids of earlier files.  Null text is an empty document, which still gets ``end_id``.  A
-    null doc_id is kept as null.  An empty table gives no files.
+    Rows are dealt by ranges of (doc_id, hash of the text) and sorted by these and the text, nulls first, so repeated ids
+    have one order and don't gather in one task; ``before`` counts ids of earlier files.  Whole texts are encoded, however
+    long.  Null text is an empty document, which still gets ``end_id``.  A null doc_id is kept as null; equal rows are written
+    each.  An empty table gives no files; other columns are not read.
     """
     work = work or Workspace(docs.sparkSession, "tokens")
     ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ordered = ordered.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = ordered.withColumn("h", F.xxhash64("text")).repartitionByRange(partitions(docs.sparkSession), "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    ordered = ordered.select("doc_id", "text")
     files = work.write(ordered.mapInArrow(_write(folder, tokenizer, end_id, percentile), "shard int, path string, n_ids long, n_docs long"), "manifest")
     # One row per file.
     before = F.coalesce(F.sum("n_ids").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
