@@ -38,51 +38,74 @@ def surt_key(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + (":" + port if port else "") + ")" + rest[cut:]
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, digest: str) -> bytes:
-    """One gzip member holding a response or, without its payload, a revisit record."""
+#: What each archive begins with.
+INFO = "software: kinetrace\r\nformat: WARC File Format 1.1\r\n"
+
+
+def record_id(page_id: int | None, digest: str) -> str:
+    """Of the record that others with this payload may refer to."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
+
+
+def member(lines: list[str], body: bytes) -> bytes:
+    """One gzip member holding a record."""
+    data = "\r\n".join([*lines, f"Content-Length: {len(body)}", "", ""]).encode() + body + b"\r\n\r\n"
+    squeeze = zlib.compressobj(4, zlib.DEFLATED, 31)
+    return squeeze.compress(data) + squeeze.flush()
+
+
+def info_record(file: str) -> bytes:
+    own = uuid.uuid5(uuid.NAMESPACE_URL, f"file:{file}")
+    return member(["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{own}>", f"WARC-Date: {DATE}", f"WARC-Filename: {file}", "Content-Type: application/warc-fields"], INFO.encode())
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, digest: str, place: str) -> bytes:
+    """A response with its HTTP head and payload, or a revisit with the head alone.
+
+    Responses that others may refer to are named by page and digest, all other records by ``place``, where they stand.
+    """
     kind = "response" if refers_to is None else "revisit"
-    body = payload if refers_to is None else b""
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     b32 = base64.b32encode(bytes.fromhex(digest)).decode()
     # Percent-encode what would break a header line; the exact value travels as JSON.
     target = "".join(c if 32 < ord(c) < 127 else "".join(f"%{b:02X}" for b in c.encode("utf-8", "surrogatepass")) for c in url or "")
+    named = refers_to is None and len(payload) >= DEDUP_BYTES
+    own = record_id(page_id, digest) if named else f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'place:{place}')}>"
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{'null' if page_id is None else page_id}>",
+        f"WARC-Record-ID: {own}",
         f"WARC-Target-URI: {target}",
         f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha1:{b32}",
         f"X-Payload-Length: {len(payload)}",
+        f"X-Page-ID: {json.dumps(page_id)}",
         f"X-Target: {json.dumps(url)}",
     ]
     if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
-    lines += ["Content-Type: text/html", f"Content-Length: {len(body)}", "", ""]
-    data = "\r\n".join(lines).encode() + body + b"\r\n\r\n"
-    squeeze = zlib.compressobj(4, zlib.DEFLATED, 31)
-    return squeeze.compress(data) + squeeze.flush()
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page: {refers_to}"]
+    return member([*lines, "Content-Type: application/http; msgtype=response"], head + payload if refers_to is None else head)
 
 
 def parse_record(data: bytes) -> dict:
-    """Headers and block of one gzip member; a response's digest and length are those of the payload as read."""
+    """Headers and payload of one gzip member; a response's digest and length are those of the payload as read."""
     data = zlib.decompress(data, 31)
     head, _, rest = data.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if lines[0] != "WARC/1.1":
         raise ValueError("no WARC record")
     fields = dict(x.split(": ", 1) for x in lines[1:])
-    body = rest[: int(fields["Content-Length"])]
-    if rest[len(body) :] != b"\r\n\r\n":
+    block = rest[: int(fields["Content-Length"])]
+    if rest[len(block) :] != b"\r\n\r\n":
         raise ValueError("a WARC record of another length than it says")
-    number = lambda x: None if "null" in x else int(x[len("<urn:page:") : -1])
-    digest = base64.b32decode(fields["WARC-Payload-Digest"][5:]).hex()
-    kind = fields["WARC-Type"]
-    if kind == "response" and hashlib.sha1(body).hexdigest() != digest:
+    digest, kind = base64.b32decode(fields["WARC-Payload-Digest"][5:]).hex(), fields["WARC-Type"]
+    body = block.partition(b"\r\n\r\n")[2]
+    if kind == "response" and (hashlib.sha1(body).hexdigest() != digest or len(body) != int(fields["X-Payload-Length"])):
         raise ValueError("a payload differs from its digest")
     return {
-        "page_id": number(fields["WARC-Record-ID"]), "url": json.loads(fields["X-Target"]), "record_type": kind,
+        "page_id": json.loads(fields["X-Page-ID"]), "url": json.loads(fields["X-Target"]), "record_type": kind, "record_id": fields["WARC-Record-ID"],
         "payload_digest": digest, "payload_bytes": int(fields["X-Payload-Length"]), "payload": body if kind == "response" else None,
-        "refers_to": number(fields["WARC-Refers-To"]) if kind == "revisit" else None,
+        "refers_to": int(fields["X-Refers-To-Page"]) if kind == "revisit" else None, "refers_to_record": fields.get("WARC-Refers-To"),
     }
 
 
@@ -99,10 +122,11 @@ def _write(folder: str):
                 fs, path = filesystem(f"{folder}/{name}")
                 fs.create_dir(path.rpartition("/")[0], recursive=True)
                 out = fs.open_output_stream(path, compression=None)
+                at = out.write(info_record(name))
             keys, ids, offsets, lengths = [], [], [], []
             for page_id, url, html, refers, digest in zip(*(batch.column(i) for i in range(5)), strict=True):
                 url, page_id = url.as_py(), page_id.as_py()
-                data = record(page_id, url, (html.as_py() or "").encode("utf-8", "surrogatepass"), refers.as_py(), digest.as_py())
+                data = record(page_id, url, (html.as_py() or "").encode("utf-8", "surrogatepass"), refers.as_py(), digest.as_py(), f"{name}:{at}")
                 out.write(data)
                 keys.append(surt_key(url))
                 ids.append(page_id)
@@ -259,11 +283,12 @@ class Archive:
 
 
 def write_archive(pages: DataFrame, folder: str, work: Workspace, *, page_id: str = "page_id", url: str = "url", html: str = "html") -> Archive:
-    """Writes a record for each page and the two-level index.
+    """Writes a record for each page, behind a warcinfo record in each file, and the two-level index.
 
     Of equal payloads of DEDUP_BYTES bytes or more, the page with the largest page_id is the response and others
     revisit it; rows that repeat that page_id are responses too.  Null html is an empty payload, a null url has the
-    empty key, a null page_id is the smallest.  Digests are counted first (partial sums before the shuffle), and
+    empty key, a null page_id is the smallest; payloads are written whole, however long; rows equal in page_id and payload
+    share a record id; other columns are not read; an empty table gives an empty archive.  Digests are counted first (partial sums before the shuffle), and
     only digests that repeat are joined back: broadcast if few, else a join that splits large keys.
     """
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
