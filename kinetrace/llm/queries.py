@@ -57,6 +57,7 @@ ORACLES: dict[str, str] = {"op1_pareto_mix": _OP1}
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents by word 5-gram similarity of 0.8: doc_id, n_shingles, component_id."""
     from .jaccard import jaccard_components
 
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -66,6 +67,7 @@ QUERIES["op3_jaccard_join"] = op3_jaccard_join
 
 
 def op2_token_blocks(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    """Every text's token ids written to files and read back: doc_id, start, n_tokens, ids_crc32."""
     import public_tokenizers
 
     from .common import Workspace
@@ -80,6 +82,7 @@ QUERIES["op2_token_blocks"] = op2_token_blocks
 
 
 def op9_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives and read back through the index: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     from .common import Workspace
     from .warc import write_archive
 
@@ -100,6 +103,7 @@ FROM m
 
 
 def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, over all of both: doc_id, item_ids, matches (the most of an item)."""
     from pyspark.sql import functions as F
 
     from .decontam import contaminated_spans
@@ -109,6 +113,7 @@ def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url: page_id, host, path, rule, verdict."""
     from .urlfilter import judge_urls
 
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
@@ -118,12 +123,14 @@ QUERIES |= {"op4_spaced_seeds": op4_spaced_seeds, "op5_url_ratio": op5_url_ratio
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document: doc_id, held_out, lang_pred, score."""
     from .langid import identify
 
     return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document: doc_id, held_out, score, predicted."""
     from .toxicity import toxicity_scores
 
     return toxicity_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -133,6 +140,7 @@ QUERIES |= {"op8_language_id": op8_language_id, "op10_toxicity": op10_toxicity}
 
 
 def op7_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best matches of every 50th vector: query_id, rank, vec_id, score."""
     from .topk import top_products
 
     return top_products(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
@@ -151,6 +159,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 
 
 def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that repeat across documents: doc_id, places, source_doc_id, places, matches."""
     from .passages import repeated_passages
 
     return repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -160,6 +169,7 @@ QUERIES["op6_passages"] = op6_passages
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus through all five stages: what is read back from the token files."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
@@ -186,7 +196,7 @@ h AS (SELECT page_id, coalesce(r, url, '') AS rest, coalesce(translate(regexp_ex
 f(kind, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
 m AS (SELECT d.*, (SELECT arg_max({'kind': kind, 'rule': h || p}, length(h || p)) FROM f WHERE (d.host = h OR ends_with(d.host, '.' || h)) AND starts_with(d.path, p)) AS g,
     CAST('0x' || substr(md5(rest), 1, 2) AS INTEGER) % 5 = 0 AS holds FROM h d),
-x AS (SELECT rest, substr(repeat(chr(2), 4) || rest || chr(3), i, 5) AS gram FROM (SELECT DISTINCT rest FROM m), range(1, 4000) k(i) WHERE i <= length(rest) + 1),
+x AS (SELECT rest, substr(repeat(chr(2), 4) || rest || chr(3), i, 5) AS gram FROM (SELECT rest, unnest(range(1, length(rest) + 2)) AS i FROM (SELECT DISTINCT rest FROM m))),
 t AS (SELECT gram, sum(CASE WHEN g.kind = 'allow' THEN 1 ELSE 0 END) AS a, sum(CASE WHEN g.kind = 'block' THEN 1 ELSE 0 END) AS b
   FROM m JOIN x USING (rest) WHERE g IS NOT NULL AND NOT holds GROUP BY gram),
 c AS (SELECT k, substr(gram, 6 - k) AS g, sum(a) AS a, sum(b) AS b FROM t, range(1, 6) z(k) GROUP BY ALL),

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, partitions
 
 #: (verdict, host, path): a rule fits its host and all subdomains if the path starts with the rule's.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -49,16 +49,16 @@ def _grams(text: str) -> Column:
     return F.explode(F.transform(F.sequence(F.lit(1), F.length(text) + 1), lambda i: F.substring(padded, i, F.lit(ORDER))))
 
 
-def log_ratios(texts: DataFrame, counted: DataFrame) -> DataFrame:
+def log_ratios(texts: DataFrame, counted: DataFrame, work: Workspace) -> DataFrame:
     """gram, ratio: log P(accepted) - log P(rejected) of the last character of every gram of ``texts`` (gram).
 
-    ``counted`` has (gram, accepted, rejected) of the training URLs.  Each order is summed from the one above, so the
-    corpus is read once; probabilities are then built from order 1 upwards.
+    ``counted`` has (gram, accepted, rejected) of the training URLs.  Each order is summed from the one above, which has
+    been written, so the corpus is read once and no order is summed twice; probabilities are then built from order 1 upwards.
     """
     level = texts.select("gram").distinct().withColumn("accepted", F.lit(0)).withColumn("rejected", F.lit(0)).unionByName(counted)
     levels = []
     for k in range(ORDER, 0, -1):
-        level = level.groupBy("gram").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
+        level = work.write(level.groupBy("gram").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected")), f"order-{k}")
         levels.append((k, level))
         level = level.withColumn("gram", F.substring("gram", 2, ORDER))
     lower = None
@@ -102,8 +102,9 @@ def judge_urls(pages: DataFrame, *, page_id: str = "page_id", url: str = "url",
     The rule's verdict where one fits; else allow if the mean log ratio per character of what follows :// (the whole
     url without one; empty for null) reaches the threshold.  Labelled URLs whose first MD5 byte is divisible by 5 calibrate and the
     rest train, all of them.  Distinct URLs are scored once; joins are plain equi-joins that split large keys.
-    Without labelled URLs of a class, the models are uniform or one-sided and the threshold is 0.  Repeated rows and
-    null ids are rows like any other; an empty table gives an empty result.
+    Without labelled URLs of a class, the models are uniform or one-sided and the threshold is 0.  URLs are read whole,
+    however long; repeated rows and null ids are rows like any other; equal thresholds go to the one next to 0; an empty
+    table gives an empty result; other columns are not read.
     """
     work = work or Workspace(pages.sparkSession, "urls")
     host, path = url_parts(F.col(url))
@@ -113,11 +114,13 @@ def judge_urls(pages: DataFrame, *, page_id: str = "page_id", url: str = "url",
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("given", verdict).withColumn("holds", F.conv(F.substring(F.md5("rest"), 1, 2), 16, 10).cast("int") % 5 == 0)
     rows = work.write(rows, "rows")
+    # Few bytes of distinct URLs become many grams: they are dealt out before that, by number, which coalescing leaves alone.
+    spread = lambda df: df.repartition(partitions(pages.sparkSession), "rest")
     training = rows.where("given is not null and not holds").groupBy("rest", (F.col("given") == "allow").cast("long").alias("yes")).agg(F.count("*").alias("n"))
-    counted = training.select(_grams("rest").alias("gram"), "yes", "n").groupBy("gram").agg(F.sum(F.col("yes") * F.col("n")).alias("accepted"), F.sum((1 - F.col("yes")) * F.col("n")).alias("rejected"))
+    counted = spread(training).select(_grams("rest").alias("gram"), "yes", "n").groupBy("gram").agg(F.sum(F.col("yes") * F.col("n")).alias("accepted"), F.sum((1 - F.col("yes")) * F.col("n")).alias("rejected"))
     texts = rows.where("given is null or holds").select("rest").distinct()
-    grams = work.write(texts.select("rest", _grams("rest").alias("gram")).groupBy("rest", "gram").agg(F.count("*").alias("times")), "grams")
-    ratios = work.write(log_ratios(grams, counted), "ratios")
+    grams = work.write(spread(texts).select("rest", _grams("rest").alias("gram")).groupBy("rest", "gram").agg(F.count("*").alias("times")), "grams")
+    ratios = work.write(log_ratios(grams, counted, work), "ratios")
     scores = grams.join(ratios, "gram").groupBy("rest").agg((F.sum(F.round(F.col("ratio"), 9) * F.col("times")) / F.sum("times")).alias("score"))
     scores = work.write(scores.withColumn("score", F.round("score", 6)), "scores")
     judged = work.write(rows.join(scores, "rest", "left"), "judged")
