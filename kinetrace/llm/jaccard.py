@@ -36,9 +36,9 @@ BITS = 512
 #: Bands below 2^SMALL cut the hash space finely enough that a part holds a shingle or two.
 SMALL, FINE = 6, 16
 #: Part sketches that a task packs at once.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 #: Pairs of a class that are verified in the first turn, and how many times more in each one after.
-MOST, MORE = 8, 4
+MOST, MORE = 16, 16
 #: Times that groups are asked for pairs across components, two a set, before all such pairs are compared.
 TURNS = 2
 #: Sets that are compared with each other in one go.

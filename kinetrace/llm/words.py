@@ -1,7 +1,7 @@
 """Vectorised word splitting and hashing of Arrow string columns.
 
 A word is a run of bytes other than space and \\t-\\r; A-Z is lower-cased.  All functions work on whole texts, in slices
-of about a megabyte so that temporary arrays stay small whatever the batch.
+of about a quarter megabyte so that temporary arrays stay small whatever the batch.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
