@@ -452,6 +452,12 @@ def _words_of(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return {w: (np.array(at), np.frombuffer(b"".join(data[i] for i in at), "<u8").reshape(len(at), w)) for w, at in by_size.items()}
 
 
+def _lists_of(column: pa.Array) -> list[np.ndarray]:
+    """Rows of a list column as arrays."""
+    flat, at = column.flatten().to_numpy(), np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy())))
+    return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def _near(percent: int):
     """Pairs (ra, na, sa, rb, nb, sb) whose sizes and bit sketches allow a link, with their distance."""
 
@@ -579,7 +585,8 @@ class _Search:
         """Pairs across labels, within groups of several labels, that sizes and bit sketches allow.
 
         Sets of a group's largest label need no comparison with each other, so only the others are met with all, in
-        blocks of BLOCK sets.
+        blocks of BLOCK sets.  A pair that shares several keys is given in the group of the least of them alone, for which
+        each set brings its keys along: n / 4 at most.
         """
         spans = hot.select("key", "salts").distinct().select("key", F.explode(F.expr("sequence(0L, shiftleft(1L, salts) - 1)")).alias("set"), "salts")
         marks = spans.mapInArrow(_packed_keys(buckets), "bucket int, wanted binary")
@@ -589,12 +596,13 @@ class _Search:
         sizes = rows.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("size"), F.max("c").alias("top"), F.max_by("label", F.struct("c", "label")).alias("major"))
         plan = sizes.select("key", "major", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.greatest(F.ceil((F.col("size") - F.col("top")) / BLOCK), F.lit(1)).cast("int").alias("minor_blocks"))
         plan = self.work.write(plan, "blocks")
-        full = rows.join(maybe_broadcast(plan), "key").join(self.classes.select(F.col("f1").alias("set"), "rep", "n", "sketch"), "set")
-        full = full.select("key", "label", "rep", "n", "sketch", "blocks", "minor_blocks", (F.col("label") != F.col("major")).alias("minor"), F.xxhash64("set").alias("h"))
+        lists = rows.groupBy("set").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+        full = rows.join(maybe_broadcast(plan), "key").join(lists, "set").join(self.classes.select(F.col("f1").alias("set"), "rep", "n", "sketch"), "set")
+        full = full.select("key", "label", "rep", "n", "sketch", "keys", "blocks", "minor_blocks", (F.col("label") != F.col("major")).alias("minor"), F.xxhash64("set").alias("h"))
         picked = lambda n: F.pmod(F.col("h"), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        left = full.where("minor").select("key", picked("minor_blocks").alias("r"), every("blocks").alias("a"), F.lit(0).alias("side"), "minor", "label", "rep", "n", "sketch")
-        right = full.select("key", every("minor_blocks").alias("r"), picked("blocks").alias("a"), F.lit(1).alias("side"), "minor", "label", "rep", "n", "sketch")
+        left = full.where("minor").select("key", picked("minor_blocks").alias("r"), every("blocks").alias("a"), F.lit(0).alias("side"), "minor", "label", "rep", "n", "sketch", "keys")
+        right = full.select("key", every("minor_blocks").alias("r"), picked("blocks").alias("a"), F.lit(1).alias("side"), "minor", "label", "rep", "n", "sketch", "keys")
         dealt = left.union(right).repartition(self.parts, "key", "r", "a").sortWithinPartitions("key", "r", "a", "side")
         return dealt.mapInArrow(_block_pairs(self.percent), "a long, b long, distance long")
 
@@ -607,9 +615,10 @@ def _block_pairs(percent: int):
 
         def compare(left: list[pa.RecordBatch], right: pa.RecordBatch):
             right_minor, right_label, right_rep, right_n = (right.column(i).to_numpy(zero_copy_only=False) for i in (4, 5, 6, 7))
-            theirs = _words_of(right.column(8))
+            theirs, key, right_keys = _words_of(right.column(8)), int(right.column(0)[0].as_py()), _lists_of(right.column(9))
             for part in left:
                 label, rep, n = (part.column(i).to_numpy() for i in (5, 6, 7))
+                keys = _lists_of(part.column(9))
                 for x, (i, a) in _words_of(part.column(8)).items():
                     for y, (j, b) in theirs.items():
                         if not x // 2 <= y <= 2 * x:
@@ -626,6 +635,7 @@ def _block_pairs(percent: int):
                                 continue
                             away = np.bitwise_count(other[at] ^ row).sum(1, dtype=np.int64)
                             near = away <= sizes[at] * (100 - percent) // (100 + percent)
+                            near[near] = [np.intersect1d(keys[own], right_keys[o], assume_unique=True)[0] == key for o in j[at][near]]
                             if near.any():
                                 theirs_rep = right_rep[j][at][near]
                                 yield np.minimum(theirs_rep, rep[own]), np.maximum(theirs_rep, rep[own]), away[near]
