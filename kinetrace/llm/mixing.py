@@ -58,7 +58,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0
 
 
 #: Bins in which the order of a source is laid out; only rows of the bin that holds the cut are ranked.
-BINS = 1 << 16
+BINS = 1 << 12
 #: Classes of importance for each doubling.
 STEPS = 16
 _LEAST = -(2**63)
