@@ -16,9 +16,11 @@ def text_or_empty(text: Column) -> Column:
 
 
 def picked(options: Column, *key: Column, seed: int = 0) -> Column:
-    """A repeatable choice of an array's items; null of an empty one."""
+    """A choice of an array's items that any engine repeats; null of an empty one."""
     n = F.size(options)
-    return F.when(n > 0, options[F.pmod(F.xxhash64(F.lit(seed), *key), F.when(n > 0, n).otherwise(1)).cast("int")])
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(k.cast("string"), F.lit("null")) for k in key])
+    drawn = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
+    return F.when(n > 0, options[F.pmod(drawn, F.when(n > 0, n).otherwise(1)).cast("int")])
 
 
 def named(code: Column, names: dict[int, str], default: str) -> Column:

@@ -274,15 +274,42 @@ def gripper_signed(x: Column, binarise: bool = True, invert: bool = False) -> Co
     return -y if invert else y
 
 
-def sticky_gripper(actions: Column, repeats: int) -> Column:
-    """A command above 0.5 in size is held for ``repeats`` steps; others are 0."""
+def sticky_gripper(commands: Column, repeats: int) -> Column:
+    """Commands in [0, 1] to relative ones, -(2 a - 1); one above 0.5 in size is held for ``repeats`` steps, its own included."""
     zero = F.struct(F.array().cast("array<double>").alias("out"), F.lit(0.0).alias("held"), F.lit(0).alias("left"))
 
     def step(s, a):
-        new = (F.abs(a) > 0.5) & (s["left"] == 0)
-        held = F.when(new, a).otherwise(s["held"])
-        left = F.when(new, repeats).otherwise(s["left"])
-        out = F.when(left > 0, held).otherwise(0.0)
-        return F.struct(F.array_append(s["out"], out).alias("out"), held.cast("double").alias("held"), F.greatest(left - 1, F.lit(0)).cast("int").alias("left"))
+        def moved(r):
+            fresh = (s["left"] == 0) & (F.abs(r) > 0.5)
+            held = F.when(fresh, r).otherwise(s["held"])
+            left = F.when(fresh, repeats).otherwise(s["left"])
+            out = F.when(left > 0, held).otherwise(r)
+            return F.struct(F.array_append(s["out"], out).alias("out"), held.cast("double").alias("held"), F.greatest(left - 1, F.lit(0)).cast("int").alias("left"))
 
-    return F.aggregate(doubles(actions), zero, step, lambda s: s["out"])
+        return let(1 - 2 * a, moved)
+
+    return F.aggregate(doubles(commands), zero, step, lambda s: s["out"])
+
+
+def gripper_opened(x: Column) -> Column:
+    """1 above 0.5, else -1."""
+    return F.when(x > 0.5, 1.0).otherwise(-1.0)
+
+
+def closedness(x: Column) -> Column:
+    return 1 - x
+
+
+def euler_in_frame(quat: Column, frame: list[float]) -> Column:
+    """Extrinsic xyz angles of a wxyz quaternion's rotation times the transpose of a fixed frame."""
+    return euler_from_matrix(multiply(matrix_from_quat(quat, "wxyz"), transposed(F.array(*[F.lit(float(x)) for x in frame]))))
+
+
+def rmse(a: Column, b: Column) -> Column:
+    total = F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    return F.sqrt(total / F.size(a))
+
+
+def l1(a: Column, b: Column) -> Column:
+    """Mean absolute difference."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / F.size(a)

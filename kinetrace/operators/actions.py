@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from kinetrace.functions import rotations as R
 from kinetrace.functions.common import doubles, items, let
@@ -35,16 +36,15 @@ def se3_chunk(chunk: Column, reference: Column, kind: str = "quat") -> Column:
     return F.transform(chunk, lambda row: R.se3_relative(row, reference, kind))
 
 
-def engaged_rel_xyz_rot6d(chunk: Column, engaged: Column, reference: Column, ref_engaged: Column, kind: str = "quat") -> Column:
+def engaged_rel_xyz_rot6d(chunk: Column, engaged: Column, reference: Column, ref_engaged: Column, kind: str = "quat", ref_kind: str | None = None) -> Column:
     """Relative poses in which only moves between two engaged steps count.
 
     A step's move is its pose less the one before (the reference for the first); it counts if both are engaged.
     Translations are summed, rotations multiplied, in one pass over the chunk.
     """
-    n = R.SIZE[kind]
-    pose = lambda row: F.concat(F.slice(doubles(row), 1, 3), R.FROM[kind](F.slice(doubles(row), 4, n)))
+    pose = lambda row, form=kind: F.concat(F.slice(doubles(row), 1, 3), R.FROM[form](F.slice(doubles(row), 4, R.SIZE[form])))
     start = F.struct(
-        F.array().cast("array<array<double>>").alias("out"), pose(reference).alias("last"), ref_engaged.alias("on"),
+        F.array().cast("array<array<double>>").alias("out"), pose(reference, ref_kind or kind).alias("last"), ref_engaged.alias("on"),
         F.array(*[F.lit(0.0)] * 3).alias("p"), R.identity().alias("r"),
     )
 
@@ -62,6 +62,13 @@ def engaged_rel_xyz_rot6d(chunk: Column, engaged: Column, reference: Column, ref
     return F.aggregate(rows, start, step, lambda s: s["out"])
 
 
+def engaged_sums(df: DataFrame, value: str, engaged: str, *, episode: str = "episode", frame: str = "frame", name: str = "moved") -> DataFrame:
+    """Running sum over an episode of the moves between two engaged frames: the translation part of engaged poses."""
+    w = W.partitionBy(episode).orderBy(frame)
+    move = F.when(F.col(engaged) & F.lag(engaged).over(w), F.col(value) - F.lag(value).over(w))
+    return df.withColumn("move_", F.coalesce(move, F.lit(0.0))).withColumn(name, F.sum("move_").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("move_")
+
+
 def scaled_chunk(chunk: Column, translation: Column, rotation: Column, undo: bool = False) -> Column:
     return F.transform(chunk, lambda row: R.scaled_motion(row, translation, rotation, undo))
 
@@ -83,8 +90,8 @@ def zeroed(chunk: Column, engaged: Column, rot6d: bool = False) -> Column:
 
 
 def clutch(key: str, chunk: Column, engaged: dict[str, Column], *, relative_rot6d: bool, hold: bool, state: Column | None = None) -> Column:
-    """What a key's chunk becomes while its side (left_ or right_ in its name) is disengaged."""
-    side = next((s for s in engaged if key.startswith(f"{s}_")), None)
+    """What a key's chunk becomes while its side (left_ or right_ in its name) is disengaged; relative rot6d poses rest."""
+    side = next((s for s in engaged if f"{s}_" in key), None)
     if side is None:
         return chunk
     if relative_rot6d:

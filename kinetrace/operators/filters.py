@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from kinetrace.schema import ENGAGED
+
 from .windows import gathered
 
 
@@ -44,7 +46,7 @@ def clutch_filter(df: DataFrame, offsets: Sequence[int], *, links: Sequence[str]
 
 def filter_kind(modality_keys: set[str], tag: str, features: set[str], terminal_tags: frozenset[str] = frozenset({"ucsd_dvrk"})) -> str | None:
     """clutch where both sides' engagement is declared, terminal where the tag asks for it and frames say next.done."""
-    if {"left_engaged", "right_engaged"} <= modality_keys:
+    if set(ENGAGED.values()) <= modality_keys:
         return "clutch"
     return "terminal" if tag in terminal_tags and "next.done" in features else None
 
@@ -66,7 +68,8 @@ def parse_ranges(spec: str) -> list[tuple[int, int]]:
 def resolve_splits(episodes: DataFrame, splits: dict[str, str], include: Sequence[str] | None = None, exclude: Sequence[str] = (), episode: str = "episode") -> DataFrame:
     """Distinct episode ids of some splits less others, clipped to the episodes that exist.
 
-    Names match whatever their case; an unknown included name is an error, an unknown excluded one is not.
+    Names match whatever their case; an unknown included name is an error, an unknown excluded one is not; so is a choice
+    that leaves nothing.
     """
     known = {name.lower(): parse_ranges(spec) for name, spec in splits.items()}
     missing = [n for n in include or () if n.lower() not in known]
@@ -83,7 +86,45 @@ def resolve_splits(episodes: DataFrame, splits: dict[str, str], include: Sequenc
     ids = episodes.select(episode).distinct()
     if include:
         ids = ids.where(inside(include))
-    return ids.where(~inside(exclude)) if exclude else ids
+    ids = ids.where(~inside(exclude)) if exclude else ids
+    if not ids.take(1):
+        raise ValueError(f"no episodes are left of {list(include or ['all'])} without {list(exclude)}")
+    return ids
+
+
+def filter_summary(frames: DataFrame, kept: DataFrame, episode: str = "episode") -> DataFrame:
+    """One row: episodes and anchors before and after a filter, and episodes that lost all their anchors."""
+    before = frames.groupBy(episode).agg(F.count("*").alias("n_"))
+    after = kept.groupBy(F.col(episode).alias("e_")).agg(F.count("*").alias("k_"))
+    both = before.join(after, F.col(episode) == F.col("e_"), "left")
+    return both.agg(F.count("*").alias("episodes"), F.sum("n_").alias("anchors"), F.count("k_").alias("kept_episodes"), F.coalesce(F.sum("k_"), F.lit(0)).alias("kept_anchors"), F.sum(F.col("k_").isNull().cast("int")).alias("dropped_episodes"))
+
+
+def low_dim_features(features: DataFrame, present: Sequence[str]) -> list[str]:
+    """Names of float features that the frames have; others are skipped.  One row a declared feature."""
+    names = [r.name for r in features.where(F.col("dtype").contains("float")).select("name").collect()]
+    return sorted(n for n in names if n in present)
+
+
+def supported(modalities: dict, known: Sequence[str] = ("video", "state", "action", "language", "mask")) -> dict:
+    """Modalities that the loader knows; others are dropped."""
+    return {k: v for k, v in modalities.items() if k in known}
+
+
+def check_frames(needed: DataFrame, lengths: DataFrame, episode: str = "episode", frame: str = "frame", length: str = "length", clamp: bool = False) -> DataFrame:
+    """Asked frames within [0, length): others are moved to the nearest one if ``clamp`` is set, else an error."""
+    met = needed.join(lengths.select(F.col(episode).alias("e_"), F.col(length).alias("l_")), F.col(episode) == F.col("e_"), "left")
+    inside = F.col("l_").isNotNull() & (F.col("l_") > 0) & (F.col(frame) >= 0) & (F.col(frame) < F.col("l_"))
+    moved = F.greatest(F.least(F.col(frame), F.col("l_") - 1), F.lit(0)) if clamp else None
+    error = F.raise_error(F.concat(F.lit("frame "), F.col(frame).cast("string"), F.lit(" is missing in episode "), F.col(episode).cast("string")))
+    value = F.when(inside, F.col(frame)).when(F.col("l_") > 0, moved).otherwise(error) if clamp else F.when(inside, F.col(frame)).otherwise(error)
+    return met.withColumn(frame, value).drop("e_", "l_").distinct()
+
+
+def key_differences(declared: Sequence[str], df: DataFrame) -> DataFrame:
+    """key, problem: declared columns that are missing, and columns that nobody declared."""
+    rows = [(k, "missing") for k in declared if k not in df.columns] + [(k, "extra") for k in df.columns if k not in declared]
+    return df.sparkSession.createDataFrame(sorted(rows), "key string, problem string")
 
 
 def chosen_episodes(episodes: DataFrame, wanted: DataFrame, most: int | None = None, episode: str = "episode") -> DataFrame:

@@ -75,3 +75,13 @@ def sliced_episodes(table: DataFrame, bounds: DataFrame, index: str = "index", w
     rows = table.withColumn("stretch_", F.floor(F.col(index) / width))
     met = rows.join(touched, (rows["stretch_"] == touched["stretch_"]) & (F.col(index) >= F.col("from")) & (F.col(index) < F.col("to")))
     return met.drop("stretch_").withColumn("frame", F.col(index) - F.col("from"))
+
+
+def with_media(frames: DataFrame, media: DataFrame, columns: list[str], episode: str = "episode", frame: str = "frame") -> DataFrame:
+    """Frames beside the images or masks of theirs (episode, frame, columns); an episode whose counts differ is an error."""
+    have = frames.groupBy(F.col(episode).alias("e_")).agg(F.count("*").alias("n_"))
+    given = media.groupBy(F.col(episode).alias("m_")).agg(F.count("*").alias("k_"))
+    sizes = have.join(given, F.col("e_") == F.col("m_"), "left").select("e_", F.when(F.col("n_") == F.col("k_"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("frames and images differ in number in episode "), F.col("e_").cast("string")))).alias("ok_"))
+    own = media.select(F.col(episode).alias("x_"), F.col(frame).alias("y_"), *columns)
+    out = frames.join(sizes, F.col(episode) == F.col("e_")).where("ok_")
+    return out.join(own, (F.col(episode) == F.col("x_")) & (F.col(frame) == F.col("y_")), "left").drop("e_", "ok_", "x_", "y_")

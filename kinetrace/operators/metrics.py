@@ -88,7 +88,52 @@ def masked_loss(predicted: Column, noise: Column, action: Column, mask: Column)
 
 
 def ramp_weights(overlap: int, frozen: int, rate: float) -> list[float]:
-    """Weights of the old chunk over an overlap: 1 while frozen, then falling exponentially."""
+    """How strongly each step of an overlap follows the new chunk: not at all while frozen, then up an exponential ramp
+    (1 - exp(-rate t)) / (1 - exp(-rate)) whose ends, 0 and 1, are left out."""
     import math
 
-    return [1.0 if i < frozen else math.exp(-rate * (i - frozen + 1)) for i in range(overlap)]
+    free = overlap - frozen
+    top = max(1 - math.exp(-rate), 1e-8)
+    return [0.0] * frozen + [(1 - math.exp(-rate * (i + 1) / (free + 1))) / top for i in range(free)]
+
+
+def latencies(runs: DataFrame, baseline: str, mode: str = "mode", seconds: str = "seconds", by: tuple[str, ...] = ()) -> DataFrame:
+    """Median seconds of each mode, their rate, and how many times faster than the baseline mode they are."""
+    own = runs.groupBy(*by, mode).agg(F.median(seconds).alias("median"), F.count("*").alias("runs")).withColumn("hz", 1 / F.col("median"))
+    base = F.max(F.when(F.col(mode) == baseline, F.col("median"))).over(W.partitionBy(*by))
+    return own.withColumn("speed_up", base / F.col("median"))
+
+
+def open_loop_report(df: DataFrame, truth: str, predicted: str, seconds: str, episode: str = "episode") -> DataFrame:
+    """Errors of each episode beside the median and the sum of its inference times (null where none was made)."""
+    times = df.groupBy(F.col(episode).alias("e_")).agg(F.median(seconds).alias("median_seconds"), F.sum(seconds).alias("total_seconds"))
+    return open_loop_error(df, truth, predicted, episode).join(times, F.col(episode) == F.col("e_")).drop("e_")
+
+
+def chunk_errors(frames: DataFrame, chunks: DataFrame, horizon: int, truth: str, chunk: str = "chunk", episode: str = "episode", frame: str = "frame") -> DataFrame:
+    """mse and mae of an episode whose prediction is asked for every ``horizon`` frames, the first ``horizon`` rows of a
+    chunk standing for the frames from its own on."""
+    asked = chunks.where(F.col(frame) % horizon == 0).select(F.col(episode).alias("e_"), F.col(frame).alias("f_"), F.posexplode(F.slice(chunk, 1, horizon)).alias("t_", "p_"))
+    met = frames.join(asked, (F.col(episode) == F.col("e_")) & (F.col(frame) == F.col("f_") + F.col("t_")))
+    return open_loop_error(met, truth, "p_", episode)
+
+
+def agreement(a: Column, b: Column) -> Column:
+    """Cosine and mean absolute difference of two vectors, as a struct."""
+    from kinetrace.functions.rotations import cosine, l1
+
+    return F.struct(cosine(a, b).alias("cosine"), l1(a, b).alias("l1"))
+
+
+def checks(config: dict, rules: dict[str, tuple[str, object]]) -> list[tuple[str, str, str]]:
+    """(name, PASS or FAIL, what was found) of rules name -> (dotted path, wanted value); numbers must be finite."""
+    import math
+
+    out = []
+    for name, (path, wanted) in rules.items():
+        value: object = config
+        for part in path.split("."):
+            value = value.get(part) if isinstance(value, dict) else None
+        fine = value == wanted and not (isinstance(value, float) and not math.isfinite(value))
+        out.append((name, "PASS" if fine else "FAIL", repr(value)))
+    return out

@@ -4,46 +4,79 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .windows import gathered
+
+
+def portable_hash(seed: int, *key: Column) -> Column:
+    """48 bits of an MD5 digest: a seeded order that any engine reproduces."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(k.cast("string"), F.lit("null")) for k in key])
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
+
 
 def hash_order(seed: int, *key: str) -> Column:
     """A seeded pseudo-random order that any partitioning reproduces."""
-    return F.xxhash64(F.lit(seed), *[F.col(k) for k in key])
+    return portable_hash(seed, *[F.col(k) for k in key])
 
 
-def piece(order: Column, splits: int, episode: str = "episode") -> Column:
+def piece(order: Sequence[Column | str], splits: int, episode: str = "episode") -> Column:
     """Which of ``splits`` pieces of its episode a step falls into: every splits-th in a given order."""
-    return F.pmod(F.row_number().over(W.partitionBy(episode).orderBy(order)) - 1, F.lit(splits)).cast("int")
+    return F.pmod(F.row_number().over(W.partitionBy(episode).orderBy(*order)) - 1, F.lit(splits)).cast("int")
+
 
+#: Episodes whose pieces are placed on shards together; the shards of a plan are shared out among such blocks.
+BLOCK = 20_000
 
-def shard_plan(anchors: DataFrame, size: int, rate: float, seed: int = 0, episode: str = "episode", frame: str = "frame") -> tuple[DataFrame, DataFrame]:
-    """(anchors with shard, shard lengths).
+
+def shard_plan(anchors: DataFrame, size: int, rate: float, seed: int = 0, episode: str = "episode", frame: str = "frame", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(anchors with piece and shard, shard lengths).
 
     Episodes are cut into int(1 / rate) pieces; each piece, in shuffled order of episodes, goes to the shard that is
-    emptiest so far.  That greedy step is sequential over pieces, so it runs on the driver over one row per episode and
-    piece; frames never leave the executors.
+    emptiest so far.  That greedy step is sequential, so it runs within blocks of episodes, each with its own shards, on
+    executors: a task sees one row for each episode and piece of a block.  Up to ``block`` episodes make one block, which is
+    the plain greedy plan.  A shard that stays empty is an error.
     """
     splits = max(1, int(1 / rate))
-    own = anchors.withColumn("piece", piece(hash_order(seed, episode, frame), splits, episode))
-    sizes = own.groupBy(episode, "piece").agg(F.count("*").alias("n"), F.min(hash_order(seed + 1, episode)).alias("o")).orderBy("o", episode, "piece").collect()
-    total, episodes = sum(r.n for r in sizes), len({r[episode] for r in sizes})
-    shards = min(max(1, math.ceil(total / size)), episodes * splits)
-    heap = [(0, i) for i in range(shards)]
-    placed = []
-    for r in sizes:
-        n, i = heapq.heappop(heap)
-        placed.append((r[episode], r["piece"], i))
-        heapq.heappush(heap, (n + r.n, i))
-    if any(n == 0 for n, _ in heap):
-        raise ValueError("a shard is empty")
-    spark = anchors.sparkSession
-    table = spark.createDataFrame(placed, f"e_ {anchors.schema[episode].dataType.simpleString()}, p_ int, shard int")
-    lengths = spark.createDataFrame([(i, n) for n, i in sorted(heap, key=lambda x: x[1])], "shard int, length long")
-    return own.join(table, (F.col(episode) == F.col("e_")) & (F.col("piece") == F.col("p_"))).drop("e_", "p_"), lengths
+    own = anchors.withColumn("piece", piece([hash_order(seed, episode, frame), frame], splits, episode))
+    sizes = own.groupBy(episode, "piece").agg(F.count("*").alias("n"))
+    n = sizes.agg(F.countDistinct(episode)).first()[0]
+    blocks = max(1, -(-n // block))
+    spread = F.pmod(portable_hash(seed + 2, F.col(episode)), F.lit(blocks)).cast("int")
+    sizes = sizes.select(spread.alias("block"), F.col(episode).alias("e_"), F.col("piece").alias("p_"), "n", hash_order(seed + 1, episode).alias("o"))
+    kind = anchors.schema[episode].dataType.simpleString()
+
+    def place(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("o", "ascending"), ("e_", "ascending"), ("p_", "ascending")])
+        counts = table.column("n").to_pylist()
+        episodes = len(set(table.column("e_").to_pylist()))
+        shards = min(max(1, math.ceil(sum(counts) / size)), episodes * splits)
+        heap, placed = [(0, i) for i in range(shards)], []
+        for x in counts:
+            held, i = heapq.heappop(heap)
+            placed.append(i)
+            heapq.heappush(heap, (held + x, i))
+        if any(held == 0 for held, _ in heap):
+            raise ValueError("a shard is empty")
+        return table.select(["block", "e_", "p_", "n"]).append_column("local", pa.array(placed, pa.int32()))
+
+    placed = sizes.groupBy("block").applyInArrow(place, f"block int, e_ {kind}, p_ int, n long, local int")
+    # One row for each block numbers its shards on.
+    counts = placed.groupBy("block").agg((F.max("local") + 1).alias("shards_"))
+    first = counts.select(F.col("block").alias("b_"), F.coalesce(F.sum("shards_").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int").alias("first_"))
+    placed = placed.join(first, F.col("block") == F.col("b_")).withColumn("shard", F.col("first_") + F.col("local"))
+    lengths = placed.groupBy("shard").agg(F.sum("n").alias("length"))
+    return own.join(placed.select("e_", "p_", "shard"), (F.col(episode) == F.col("e_")) & (F.col("piece") == F.col("p_"))).drop("e_", "p_"), lengths
+
+
+def shuffled(df: DataFrame, seed: int, shard: str = "shard", key: Sequence[str] = ("episode", "frame"), name: str = "place") -> DataFrame:
+    """Adds each row's place within its shard, in a seeded order."""
+    return df.withColumn(name, F.row_number().over(W.partitionBy(shard).orderBy(hash_order(seed, *key), *key)) - 1)
 
 
 def dataset_weights(datasets: DataFrame) -> DataFrame:
@@ -51,18 +84,19 @@ def dataset_weights(datasets: DataFrame) -> DataFrame:
     return datasets.withColumn("weight", F.col("shards") / F.sum("shards").over(W.partitionBy("grp")) * F.col("mix_ratio"))
 
 
-def schedule(datasets: DataFrame, draws: int, seed: int = 0) -> DataFrame:
+def schedule(datasets: DataFrame, draws: int, seed: int = 0, epoch: int = 0) -> DataFrame:
     """draw, dataset, cycle, shard: draws with probability in proportion to weight / mean shard length.
 
-    datasets has (dataset, weight, mean_length, shards), a row each.  A dataset's shards are cycled without
-    replacement, reshuffled each time they are used up.  Draws meet the cumulative weights by a range condition against
-    the collected table of datasets.
+    datasets has (dataset, weight, mean_length, shards), a row each.  A dataset's shards are cycled without replacement,
+    reshuffled each time they are used up.  An epoch's schedule is that of seed + epoch; a run that is resumed at a step
+    takes seed + step.  Draws meet the cumulative weights by conditions over the collected table of datasets.
     """
+    seed = seed + epoch
     rows = sorted(datasets.collect(), key=lambda r: r.dataset)
     p = [r.weight / r.mean_length for r in rows]
-    if sum(p) <= 0:
-        raise ValueError("weights must add up to more than 0")
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("draw")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    if not rows or min(p) < 0 or sum(p) <= 0:
+        raise ValueError("weights must be 0 or more with a sum above 0")
+    u = (portable_hash(seed, F.col("draw")) + 0.5) / float(1 << 48)
     at, pick = 0.0, None
     for r, x in zip(rows, p, strict=True):
         at += x / sum(p)
@@ -72,10 +106,25 @@ def schedule(datasets: DataFrame, draws: int, seed: int = 0) -> DataFrame:
     drawn = datasets.sparkSession.range(draws).withColumnRenamed("id", "draw").withColumn("u", u).withColumn("d", pick).select("draw", "d.*")
     drawn = drawn.withColumn("k", F.row_number().over(W.partitionBy("dataset").orderBy("draw")) - 1).withColumn("cycle", F.floor(F.col("k") / F.col("shards")).cast("int")).withColumn("turn", F.col("k") % F.col("shards"))
     decks = drawn.groupBy("dataset", "cycle", "shards").agg(F.lit(1).alias("one")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards").cast("int") - 1)))
-    decks = decks.withColumn("turn", F.row_number().over(W.partitionBy("dataset", "cycle").orderBy(F.xxhash64(F.lit(seed + 1), "dataset", "cycle", "shard"))) - 1)
+    order = portable_hash(seed + 1, F.col("dataset"), F.col("cycle"), F.col("shard"))
+    decks = decks.withColumn("turn", F.row_number().over(W.partitionBy("dataset", "cycle").orderBy(order, "shard")) - 1)
     return drawn.join(decks.select("dataset", "cycle", "turn", "shard"), ["dataset", "cycle", "turn"]).select("draw", "dataset", "cycle", "shard")
 
 
+def evaluation_schedule(datasets: DataFrame) -> DataFrame:
+    """draw, dataset, shard: every shard of every dataset once, in order."""
+    each = datasets.select("dataset", F.explode(F.sequence(F.lit(0), F.col("shards").cast("int") - 1)).alias("shard"))
+    before = F.coalesce(F.sum("shards").over(W.orderBy("dataset").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    first = datasets.select(F.col("dataset").alias("d_"), before.alias("first_"))
+    return each.join(first, F.col("dataset") == F.col("d_")).select((F.col("first_") + F.col("shard")).cast("long").alias("draw"), "dataset", "shard")
+
+
+def mixture_summary(datasets: DataFrame) -> DataFrame:
+    """dataset, tag, length, mix_percent: what a mixture consists of."""
+    share = F.col("weight") / F.sum("weight").over(W.partitionBy()) * 100
+    return datasets.select("dataset", "tag", F.col("shards").alias("length"), share.alias("mix_percent"))
+
+
 def worker_split(df: DataFrame, index: str, world: int, workers: int) -> DataFrame:
     """rank and worker of each row: index modulo world * workers."""
     at = F.pmod(F.col(index), F.lit(world * workers))
@@ -90,3 +139,18 @@ def write_shards(df: DataFrame, path: str, shard: str = "shard", shards: int | N
     """One folder per shard, rows of a shard together."""
     n = shards or df.select(shard).distinct().count()
     df.repartitionByRange(n, shard).write.partitionBy(shard).mode("overwrite").parquet(path)
+
+
+def shard_samples(plan: DataFrame, frames: DataFrame, shard: int | None, states: Sequence[str], actions: Sequence[str], state_offsets: Sequence[int], action_offsets: Sequence[int], *, text: str | None = None, seed: int = 0, episode: str = "episode", frame: str = "frame") -> DataFrame:
+    """The samples of a shard, or of all: states and actions (maps of key to rows), text and place, one row an anchor.
+
+    Only frames of the shard's episodes are read on, windows are one sort an episode, and rows come in the shard's order.
+    """
+    picked = plan if shard is None else plan.where(F.col("shard") == shard)
+    picked = shuffled(picked, seed, key=(episode, frame)).select(F.col(episode).alias("e_"), F.col(frame).alias("f_"), "shard", "place")
+    own = frames.join(picked.select("e_").distinct(), F.col(episode) == F.col("e_"), "left_semi")
+    for kind, keys, offsets in (("state", states, state_offsets), ("action", actions, action_offsets)):
+        rows = [gathered(F.col(f"`{kind}.{k}`"), offsets, episode=episode, frame=frame) for k in keys]
+        own = own.withColumn(f"{kind}s", F.create_map(*[x for k, r in zip(keys, rows, strict=True) for x in (F.lit(k), r)]))
+    out = own.join(picked, (F.col(episode) == F.col("e_")) & (F.col(frame) == F.col("f_")))
+    return out.select("shard", "place", episode, frame, "states", "actions", *([F.col(text).alias("text")] if text else []))

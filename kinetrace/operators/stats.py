@@ -8,6 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from kinetrace.functions.poses import relative_rows
+from kinetrace.schema import ActionSpec, Kind, Layout, Representation, Slice
+
+from .actions import joint_relative, rel_xyz_rot6d, scaled_chunk
+from .filters import low_dim_features, resolve_splits
+from .vectors import as_vector
 from .windows import chunked
 
 FLAT, TEMPORAL = (0.01, 0.99), (0.01, 0.02, 0.98, 0.99)
@@ -17,36 +23,64 @@ def _named(percentiles: Sequence[float]) -> list[str]:
     return [f"q{round(p * 100):02d}" for p in percentiles]
 
 
-def summarised(df: DataFrame, keys: Sequence[str], value: str, percentiles: Sequence[float]) -> DataFrame:
+def _moments(value: str) -> list[Column]:
+    return [F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")]
+
+
+def summarised(df: DataFrame, keys: Sequence[str], value: str, percentiles: Sequence[float], counted: bool = False) -> DataFrame:
     """Mean, population deviation, least, greatest and linearly interpolated percentiles of a group's values.
 
-    ``percentile`` keeps a count for each distinct value of a group, which suits groups of up to some millions of
-    distinct values; ranked_percentiles has no such bound.
+    Percentiles come from ranked_percentiles, whose memory a group's size doesn't change.  ``counted`` asks for Spark's
+    ``percentile`` instead, which takes one pass but keeps a count for each distinct value of a group.
     """
-    own = df.withColumn("v_", F.col(value).cast("double"))
-    quantiles = F.percentile("v_", F.array(*[F.lit(p) for p in percentiles]))
-    out = own.groupBy(*keys).agg(F.avg("v_").alias("mean"), F.stddev_pop("v_").alias("std"), F.min("v_").alias("min"), F.max("v_").alias("max"), quantiles.alias("q_"))
-    return out.select(*keys, "mean", "std", "min", "max", *[F.col("q_")[i].alias(n) for i, n in enumerate(_named(percentiles))])
+    own = df.select(*keys, F.col(value).cast("double").alias("v_"))
+    if counted:
+        quantiles = F.percentile("v_", F.array(*[F.lit(p) for p in percentiles]))
+        out = own.groupBy(*keys).agg(*_moments("v_"), quantiles.alias("q_"))
+        return out.select(*keys, "mean", "std", "min", "max", *[F.col("q_")[i].alias(n) for i, n in enumerate(_named(percentiles))])
+    return ranked_percentiles(own, keys, "v_", percentiles, moments=True)
+
 
+#: Share of a group's ranks on either side of an asked one from which values are looked at, and the sketch's accuracy.
+SPAN, ACCURACY = 2e-3, 2000
+#: Values up to which all of a group are looked at.
+FEW = 4000
 
-def ranked_percentiles(df: DataFrame, keys: Sequence[str], value: str, percentiles: Sequence[float], bins: int = 256) -> DataFrame:
-    """The same percentiles for groups of any size: values are cut into even-width bins of the group's range, counts of
-    bins give ranks, and only the values of a bin are sorted together."""
+
+def ranked_percentiles(df: DataFrame, keys: Sequence[str], value: str, percentiles: Sequence[float], moments: bool = False) -> DataFrame:
+    """The exact percentiles of groups of any size, in two aggregations.
+
+    A sketch of bounded size gives each percentile an interval of values that holds its rank.  Values below the interval
+    are counted; those within it, a few in a thousand of the group, are counted by value and put in order.
+    """
     own = df.select(*keys, F.col(value).cast("double").alias("v_")).where("v_ is not null")
-    ends = own.groupBy(*keys).agg(F.min("v_").alias("a_"), F.max("v_").alias("b_"), F.count("*").alias("n_"))
-    cell = F.when(F.col("b_") > F.col("a_"), F.least(F.floor((F.col("v_") - F.col("a_")) / (F.col("b_") - F.col("a_")) * bins), F.lit(bins - 1))).otherwise(F.lit(0))
-    placed = own.join(ends, list(keys)).withColumn("bin_", cell.cast("int"))
-    counts = placed.groupBy(*keys, "bin_").agg(F.count("*").alias("c_"))
-    counts = counts.withColumn("before_", F.coalesce(F.sum("c_").over(W.partitionBy(*keys).orderBy("bin_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    ranked = placed.join(counts.drop("c_"), [*keys, "bin_"]).withColumn("rank_", F.col("before_") + F.row_number().over(W.partitionBy(*keys, "bin_").orderBy("v_")) - 1)
-    parts = []
-    for name, p in zip(_named(percentiles), percentiles, strict=True):
-        at = F.lit(p) * (F.col("n_") - 1)
-        share = at - F.floor(at)
-        low = F.max(F.when(F.col("rank_") == F.floor(at), F.col("v_") * 1.0))
-        high = F.max(F.when(F.col("rank_") == F.ceil(at), F.col("v_") * 1.0))
-        parts.append((low + F.max(share) * (high - low)).alias(name))
-    return ranked.groupBy(*keys).agg(*parts)
+    grid = [x for p in percentiles for x in (max(0.0, p - SPAN), min(1.0, p + SPAN))]
+    ends = own.groupBy(*keys).agg(F.count("*").alias("n_"), F.percentile_approx("v_", grid, ACCURACY).alias("g_"), *_moments("v_"))
+    few = F.col("n_") <= FEW
+    spans = F.array(*[F.struct(F.lit(i).alias("i"), F.when(few, F.col("min")).otherwise(F.col("g_")[2 * i]).alias("a"), F.when(few, F.col("max")).otherwise(F.col("g_")[2 * i + 1]).alias("b")) for i in range(len(percentiles))])
+    ends = ends.select(*[F.col(k).alias(f"{k}_k") for k in keys], "n_", *(["mean", "std", "min", "max"] if moments else []), spans.alias("s_"))
+    same = None
+    for k in keys:
+        test = F.col(k).eqNullSafe(F.col(f"{k}_k"))
+        same = test if same is None else same & test
+    slim = ends.select(*[f"{k}_k" for k in keys], "s_")
+    met = own.join(slim, same)
+    below = F.explode(F.filter("s_", lambda s: F.col("v_") <= s["b"])).alias("s")
+    # A value counts by itself within its interval, and as one number with all others below it.
+    near = met.select(*keys, "v_", below).select(*keys, F.col("s.i").alias("i_"), F.when(F.col("v_") >= F.col("s.a"), F.col("v_")).alias("x_"))
+    counts = near.groupBy(*keys, "i_", "x_").agg(F.count("*").alias("c_"))
+    order = W.partitionBy(*keys, "i_").orderBy(F.col("x_").asc_nulls_first())
+    ranked = counts.withColumn("to_", F.sum("c_").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    ranked = ranked.join(ends.drop("s_"), same).where("x_ is not null")
+    p = F.element_at(F.array(*[F.lit(float(x)) for x in percentiles]), F.col("i_") + 1)
+    at = p * (F.col("n_") - 1)
+    # Of ascending values, the first whose rows reach a rank holds it.
+    holds = lambda rank: F.min(F.when(F.col("to_") > rank, F.col("x_")))
+    share = F.max(at - F.floor(at))
+    each = ranked.groupBy(*keys, "i_").agg((holds(F.floor(at)) + share * (holds(F.ceil(at)) - holds(F.floor(at)))).alias("q_"), *([F.first(c).alias(c) for c in ("mean", "std", "min", "max")] if moments else []))
+    names = _named(percentiles)
+    picked = [F.max(F.when(F.col("i_") == i, F.col("q_"))).alias(n) for i, n in enumerate(names)]
+    return each.groupBy(*keys).agg(*([F.first(c).alias(c) for c in ("mean", "std", "min", "max")] if moments else []), *picked)
 
 
 def flat_stats(df: DataFrame, features: dict[str, str | Column], percentiles: Sequence[float] = FLAT) -> DataFrame:
@@ -102,5 +136,105 @@ def stats_json(stats: DataFrame, key: str = "feature") -> dict:
     return out
 
 
-def valid_stats(stats: dict, needed: Sequence[str] = ("mean", "std", "min", "max", "q01", "q99")) -> bool:
-    return all(all(n in own for n in needed) for own in stats.values())
+#: What statistics of a feature, and those that mixtures are merged from, must have.
+REQUIRED = ("mean", "std", "min", "max", "q01", "q99")
+MERGED = (*REQUIRED, "q02", "q98")
+
+
+def valid_stats(stats: dict, needed: Sequence[str] = REQUIRED, features: Sequence[str] = ()) -> bool:
+    """Whether every feature, the given ones among them, has all statistics."""
+    return all(f in stats for f in features) and all(all(n in own for n in needed) for own in stats.values())
+
+
+def missing_stats(stats: dict, needed: Sequence[str] = MERGED) -> list[str]:
+    """feature.statistic for each that is needed and not there."""
+    return sorted(f"{f}.{n}" for f, own in stats.items() for n in needed if n not in own)
+
+
+def pose_stats(frames: DataFrame, action: str, reference: str, offsets: Sequence[int], spec: ActionSpec, *, key: str, scales: tuple[str | None, str | None] = (None, None), episode: str = "episode", frame: str = "frame") -> DataFrame:
+    """Statistics, step by step, of poses relative to the anchor's: translation less the reference's, rotations turned back,
+    motion scaled; of poses with rot6d only the translation counts, since the rotation is bounded as it is."""
+    chunks = chunked(frames, action, offsets, episode=episode, frame=frame)
+    rows = rel_xyz_rot6d(F.col("chunk"), F.col(reference), spec.rotation, spec.reference)
+    if any(scales):
+        rows = scaled_chunk(rows, *[F.col(s)[0].cast("double") if s else F.lit(1.0) for s in scales])
+    if spec.kind is Kind.EEF and spec.layout is Layout.XYZ_ROT6D:
+        rows = F.transform(rows, lambda row: F.slice(row, 1, 3))
+    return stats_over_chunks(chunks.select(rows.alias("chunk")), F.lit(key), "chunk")
+
+
+def relative_stats(frames: DataFrame, actions: dict[str, ActionSpec], offsets: Sequence[int], *, keys: Sequence[str] | None = None, episode: str = "episode", frame: str = "frame") -> dict[str, DataFrame]:
+    """Statistics of actions re-expressed against the anchor's state, for keys declared relative (or some of them).
+
+    Poses by the inverse of the reference, joints by subtraction.  Frames hold action.* and state.* columns.
+    """
+    out = {}
+    for name, spec in sorted(actions.items()):
+        if spec.representation is not Representation.RELATIVE or (keys is not None and name not in keys):
+            continue
+        chunks = chunked(frames, F.col(f"`action.{name}`"), offsets, episode=episode, frame=frame)
+        reference = F.col(f"`state.{spec.state_key or name}`")
+        rows = relative_rows(F.col("chunk"), reference, spec.layout) if spec.kind is Kind.EEF else joint_relative(F.col("chunk"), reference)
+        out[name] = stats_over_chunks(chunks.select(rows.alias("chunk")), F.lit(name), "chunk", FLAT)
+    return out
+
+
+def dataset_stats(dataset, episodes: DataFrame | None = None) -> dict:
+    """Flat statistics of a dataset's float features, over all episodes or some (episode_index), in the layout of stats.json."""
+    frames = dataset.frames()
+    if episodes is not None:
+        frames = frames.join(episodes.select("episode_index").distinct(), "episode_index", "left_semi")
+    names = low_dim_features(dataset.features, frames.columns)
+    return stats_json(flat_stats(frames, {n: as_vector(frames, n) for n in names}))
+
+
+def ensure_stats(dataset, actions: dict[str, ActionSpec], offsets: Sequence[int], include: Sequence[str] | None = None, exclude: Sequence[str] = ()) -> list[str]:
+    """Writes the statistics that a dataset lacks and returns the files written.
+
+    Flat ones where stats.json is missing or incomplete; relative ones for declared keys that neither relative_stats.json
+    nor temporal_stats.json has.  With splits only their episodes count, and relative statistics of all keys are made anew.
+    """
+    from kinetrace.sources.sinks import write_relative_stats, write_stats
+
+    some = None
+    if include or exclude:
+        known = dataset.episodes.select(F.col("episode_index").alias("episode"))
+        some = resolve_splits(known, dataset.info.get("splits", {}), include, exclude).withColumnRenamed("episode", "episode_index")
+    written = []
+    names = low_dim_features(dataset.features, dataset.frames().columns)
+    if not valid_stats(dataset.stats or {}, features=names):
+        write_stats(dataset.spark, dataset.root, dataset_stats(dataset, some))
+        written.append("stats.json")
+    wanted = sorted(k for k, s in actions.items() if s.representation is Representation.RELATIVE)
+    have = set(dataset.relative_stats or {}) if some is None else set()
+    in_temporal = set((dataset.temporal_stats or {}).get("relative_action", {}))
+    missing = [k for k in wanted if k not in have]
+    if missing and not set(wanted) <= in_temporal:
+        frames = dataset.load() if some is None else dataset.load().join(some, "episode_index", "left_semi")
+        made = relative_stats(frames, actions, offsets, keys=missing, episode="episode_index", frame="frame_index")
+        write_relative_stats(dataset.spark, dataset.root, {k: stats_json(df, "key")[k] for k, df in made.items()}, overwrite=list(made))
+        written.append("relative_stats.json")
+    return written
+
+
+def sliced_stats(stats: dict, slices: dict[str, Slice], default: str) -> dict:
+    """Statistics of named slices, cut from those of their column, or of several columns put together."""
+    out: dict = {}
+    for key, s in slices.items():
+        names = s.original_keys or (s.original_key or default,)
+        missing = [n for n in names if n not in stats]
+        if missing:
+            raise KeyError(f"no statistics of {missing}; there are {sorted(stats)}")
+        for kind in stats[names[0]]:
+            lacking = [n for n in names if kind not in stats[n]]
+            if lacking:
+                raise KeyError(f"{kind} is missing for {lacking}")
+            flat = [x for n in names for x in (stats[n][kind] if isinstance(stats[n][kind], list) else [stats[n][kind]])]
+            out.setdefault(key, {})[kind] = flat[s.start : s.end]
+    return out
+
+
+def dataset_statistics(dataset) -> dict:
+    """modality -> key -> statistics of a dataset, relative ones as they are."""
+    out = {m: sliced_stats(dataset.stats or {}, dataset.slices(m), default) for m, default in (("state", "observation.state"), ("action", "action"))}
+    return {**out, **({"relative_action": dataset.relative_stats} if dataset.relative_stats else {})}

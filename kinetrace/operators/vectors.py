@@ -66,10 +66,14 @@ def split(vector: Column, dims: dict[str, int]) -> dict[str, Column]:
 
 
 def split_chunk(chunk: Column, dims: dict[str, int], horizon: int) -> dict[str, Column]:
+    """The first ``horizon`` rows of a padded chunk, cut into their groups."""
+
+    def part(first: int, n: int) -> Column:
+        return F.transform(F.slice(chunk, 1, horizon), lambda row: sliced(row, first, first + n))
+
     out, at = {}, 0
     for key, n in dims.items():
-        first = at
-        out[key], at = F.transform(F.slice(chunk, 1, horizon), lambda row, a=first, b=at + n: sliced(row, a, b)), at + n
+        out[key], at = part(at, n), at + n
     return out
 
 

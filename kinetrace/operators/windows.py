@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,9 +99,14 @@ def resampled(df: DataFrame, dt: float, *, start: float = 0.0, episode: str = "e
     return out.withColumn("grid_t", start + F.col("grid") * dt).drop("place_", "free_")
 
 
-def interpolated(samples: DataFrame, times: DataFrame, *, episode: str = "episode", time: str = "t", value: str = "v") -> DataFrame:
-    """Linear interpolation of arrays at requested times (episode, at); times outside an episode's samples are errors.
+def straight(a: Column, b: Column, share: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + share * (y - x))
 
+
+def interpolated(samples: DataFrame, times: DataFrame, *, episode: str = "episode", time: str = "t", value: str = "v", blend: Callable[[Column, Column, Column], Column] = straight) -> DataFrame:
+    """Arrays at requested times (episode, at), blended from the samples on both sides: in a straight line by default.
+
+    Times outside an episode's samples are errors, and so is an episode with fewer than two samples of ascending times.
     Samples whose time doesn't exceed the largest before are dropped.  Both sides meet in one sort per episode.
     """
     w = W.partitionBy(episode).orderBy(time)
@@ -110,7 +115,31 @@ def interpolated(samples: DataFrame, times: DataFrame, *, episode: str = "episod
     both = both.unionByName(times.select(episode, F.col("at").alias(time), F.lit(None).cast(both.schema["s"].dataType).alias("s"), F.lit(True).alias("asked")))
     left = F.last("s", ignorenulls=True).over(w.rangeBetween(W.unboundedPreceding, 0))
     right = F.first("s", ignorenulls=True).over(w.rangeBetween(0, W.unboundedFollowing))
-    out = both.select(episode, F.col(time).alias("at"), "asked", left.alias("l"), right.alias("r")).where("asked")
+    n = F.count("s").over(W.partitionBy(episode))
+    out = both.select(episode, F.col(time).alias("at"), "asked", left.alias("l"), right.alias("r"), n.alias("n_")).where("asked")
     share = F.when(F.col("r.t") > F.col("l.t"), (F.col("at") - F.col("l.t")) / (F.col("r.t") - F.col("l.t"))).otherwise(0.0)
-    mixed = F.when(F.col("l").isNull() | F.col("r").isNull(), F.raise_error(F.lit("a time outside the samples"))).otherwise(F.zip_with("l.v", "r.v", lambda a, b: a + share * (b - a)))
+    mixed = F.when(F.col("n_") < 2, F.raise_error(F.lit("interpolation needs two samples"))).when(F.col("l").isNull() | F.col("r").isNull(), F.raise_error(F.lit("a time outside the samples"))).otherwise(blend(F.col("l.v"), F.col("r.v"), share))
     return out.select(episode, "at", mixed.alias(value))
+
+
+def even_times(samples: DataFrame, n: int, *, episode: str = "episode", time: str = "t") -> DataFrame:
+    """(episode, at): n times from an episode's first sample to its last, evenly apart, both included."""
+    ends = samples.groupBy(episode).agg(F.min(time).alias("a_"), F.max(time).alias("b_"))
+    step = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i_")
+    at = F.when(F.col("i_") == n - 1, F.col("b_")).otherwise(F.col("a_") + F.col("i_") / (n - 1) * (F.col("b_") - F.col("a_")))
+    return ends.select(episode, "a_", "b_", step).select(episode, at.alias("at"))
+
+
+def last_n(values: Column, n: int) -> Column:
+    """The last n items of an array, or all of a shorter one."""
+    return F.slice(values, F.greatest(F.size(values) - n, F.lit(0)) + 1, n)
+
+
+def consumed(chunks: DataFrame, horizon: int, *, chunk: str = "chunk", episode: str = "episode", frame: str = "frame") -> DataFrame:
+    """What a closed loop executes that asks for a chunk every ``horizon`` steps: step k takes row k mod horizon of the
+    chunk asked for last.  Adds asked (its frame) and executed."""
+    at = F.row_number().over(frames(episode, frame)) - 1
+    # The chunk at hand is that of the last step whose number the horizon divides.
+    held = F.last(F.when(F.col("step_") % horizon == 0, F.struct(F.col(frame).alias("f"), F.col(chunk).alias("c"))), ignorenulls=True).over(frames(episode, frame).rowsBetween(W.unboundedPreceding, 0))
+    out = chunks.withColumn("step_", at).withColumn("held_", held)
+    return out.withColumn("asked", F.col("held_.f")).withColumn("executed", F.get(F.col("held_.c"), (F.col("step_") % horizon).cast("int"))).drop("step_", "held_")

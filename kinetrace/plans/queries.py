@@ -2,52 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from kinetrace.functions import language as L
 from kinetrace.functions import normalize as N
+from kinetrace.functions import poses as P
 from kinetrace.functions import rotations as R
 from kinetrace.operators import actions as A
 from kinetrace.operators import filters, geometry, joins, merge, metrics, sharding, stats, vectors, windows
+from kinetrace.schema import Layout
 
+from .registry import ORACLES, QUERIES, each, nums, query, r6
 from .views import EMBEDDINGS, EVENTS, ORDERS, embeddings, events, orders
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, *views: str):
-    """Registers a query; views are put in front of its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ctes, _, body = sql.partition("----")
-            parts = [*(v.strip() for v in views), *([ctes.strip()] if body else [])]
-            ORACLES[f.__name__] = (f"WITH {', '.join(parts)}\n" if parts else "") + (body if body else ctes)
-        return f
-
-    return add
-
-
-def r6(c) -> Column:
-    """Six decimals, and no negative zero."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.round(c, 6) + F.lit(0.0)
-
-
-def each(df: DataFrame, keys: list[str], array: Column | str, value: str = "x") -> DataFrame:
-    return df.select(*keys, F.posexplode(array).alias("i", "x_")).select(*keys, "i", r6("x_").alias(value))
-
-
-def nums(array: Column) -> Column:
-    """Whole numbers of an array as text."""
-    return F.concat_ws(",", F.transform(array, lambda x: F.coalesce(x.cast("long").cast("string"), F.lit("-"))))
-
+__all__ = ["ORACLES", "QUERIES"]
 
 # -- frames and episodes ---------------------------------------------------------------------------------------------
 
@@ -172,20 +142,25 @@ def subtask_interval(spark, sf):
     return joins.interval_join(df.select("episode", "frame"), own, 8)
 
 
-@query()
+@query("""
+s(start, "end", text) AS (VALUES (0, 10, 'reach'), (8, 25, 'grasp'), (40, 60, 'place')),
+o AS (SELECT episode, frame, list(text ORDER BY start) FILTER (WHERE frame >= greatest(start - 4, 0) AND frame < "end") AS texts FROM ep, s GROUP BY episode, frame)
+----SELECT episode, frame, coalesce(texts[CAST(('0x' || substr(md5('0:' || episode || ':' || frame), 1, 12)) AS BIGINT) % len(texts) + 1], '') AS sub_task FROM o
+""", EVENTS)
 def subtask_pick(spark, sf):
     spans = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(t).alias("text")) for a, b, t in _SPANS])
     return joins.with_sub_task(events(spark, sf).select("episode", "frame", spans.alias("sub_tasks")), 8).drop("sub_tasks")
 
 
 @query("""
-a AS (SELECT DISTINCT episode, CAST(60 * i AS DOUBLE) AS "at" FROM ep, range(0, 50) r(i)),
+a AS (SELECT episode, floor(max(t) * i / 49) AS "at" FROM ep, range(0, 50) r(i) GROUP BY episode, i),
 n AS (SELECT a.episode, "at", frame, abs(t - "at") AS away, row_number() OVER (PARTITION BY a.episode, "at" ORDER BY abs(t - "at"), t, frame) AS r FROM a JOIN ep ON a.episode = ep.episode)
 ----SELECT episode, "at", frame, round(away, 6) AS away FROM n WHERE r = 1
 """, EVENTS)
 def nearest_frame(spark, sf):
     df = events(spark, sf)
-    asked = df.select("episode").distinct().select("episode", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("i")).select("episode", (F.col("i") * 60.0).alias("at"))
+    ends = df.groupBy("episode").agg(F.max("t").alias("end"))
+    asked = ends.select("episode", "end", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("i")).select("episode", F.floor(F.col("end") * F.col("i") / 49).cast("double").alias("at"))
     return joins.nearest_frames(df, asked).select("episode", "at", "frame", r6("away").alias("away"))
 
 
@@ -211,10 +186,10 @@ def chunk_contiguous(spark, sf):
 
 
 @query("""
-c AS (SELECT episode, frame, length, [lead(k, d) OVER w FOR d IN []] AS z, lead(k, 2) OVER w AS a, lead(k, 4) OVER w AS b, lead(k, 6) OVER w AS c, lead(k, 8) OVER w AS d, lead(k, 10) OVER w AS e, lead(k, 12) OVER w AS f
+c AS (SELECT episode, frame, length, lead(k, 2) OVER w AS a, lead(k, 4) OVER w AS b, lead(k, 6) OVER w AS c, lead(k, 8) OVER w AS d, lead(k, 10) OVER w AS e, lead(k, 12) OVER w AS f
   FROM ep WINDOW w AS (PARTITION BY episode ORDER BY frame))
 ----SELECT episode, frame, concat_ws(',', a, b, c, d, e, f) AS chunk FROM c WHERE frame + 12 < length
-""".replace("[lead(k, d) OVER w FOR d IN []] AS z, ", ""), EVENTS)
+""", EVENTS)
 def chunk_strided(spark, sf):
     return windows.chunked(events(spark, sf), "k", range(2, 14, 2)).select("episode", "frame", nums(F.col("chunk")).alias("chunk"))
 
@@ -240,9 +215,9 @@ def replay_chunk(spark, sf):
     return windows.replay_chunk(events(spark, sf), "k", 8).select("episode", "frame", nums(F.col("chunk")).alias("chunk"))
 
 
-@query("SELECT DISTINCT episode, frame + d AS frame FROM ep, (SELECT unnest([-15, 0, 3]) AS d) o WHERE frame % 7 = 0 AND frame + d >= 0", EVENTS)
+@query("SELECT DISTINCT episode, frame + d AS frame FROM ep, (SELECT unnest([-15, 0, 3]) AS d) o WHERE frame + d >= 0", EVENTS)
 def required_frames(spark, sf):
-    return windows.required_frames(events(spark, sf).where("frame % 7 = 0"), [-15, 0, 3])
+    return windows.required_frames(events(spark, sf), [-15, 0, 3])
 
 
 @query("""
@@ -255,17 +230,17 @@ def resample_dt(spark, sf):
 
 
 @query("""
-q AS (SELECT DISTINCT episode, CAST(500 * i AS DOUBLE) AS "at" FROM ep, range(0, 10) r(i)),
+q AS (SELECT episode, CASE WHEN i = 9 THEN max(t) ELSE 0.0 + i / 9::DOUBLE * max(t) END AS "at" FROM ep, range(0, 10) r(i) GROUP BY episode, i),
 d AS (SELECT * FROM (SELECT episode, t, value, max(t) OVER (PARTITION BY episode ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM ep) WHERE top IS NULL OR t > top),
 l AS (SELECT q.episode, "at", arg_max(value, t) AS v0, max(t) AS t0 FROM q JOIN d ON d.episode = q.episode AND t <= "at" GROUP BY ALL),
 u AS (SELECT q.episode, "at", arg_min(value, t) AS v1, min(t) AS t1 FROM q JOIN d ON d.episode = q.episode AND t >= "at" GROUP BY ALL)
-----SELECT episode, "at", round(CASE WHEN t1 > t0 THEN v0 + ("at" - t0) / (t1 - t0) * (v1 - v0) ELSE v0 END, 6) AS v FROM l JOIN u USING (episode, "at")
+----SELECT episode, round("at", 3) AS "at", round(CASE WHEN t1 > t0 THEN v0 + ("at" - t0) / (t1 - t0) * (v1 - v0) ELSE v0 END, 6) AS v FROM l JOIN u USING (episode, "at")
 """, EVENTS)
 def joint_interpolation(spark, sf):
     df = events(spark, sf)
-    top = df.groupBy("episode").agg(F.max("t").alias("end_"))
-    asked = top.select("episode", "end_", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i")).select("episode", (F.col("i") * 500.0).alias("at"), "end_").where("at <= end_").drop("end_")
-    return windows.interpolated(df.select("episode", "frame", "t", F.array("value").alias("v")), asked).select("episode", "at", r6(F.col("v")[0]).alias("v"))
+    asked = windows.even_times(df, 10)
+    out = windows.interpolated(df.select("episode", "frame", "t", F.array("value").alias("v")), asked)
+    return out.select("episode", F.round("at", 3).alias("at"), r6(F.col("v")[0]).alias("v"))
 
 
 # -- action chunks ---------------------------------------------------------------------------------------------------
@@ -304,9 +279,7 @@ e AS (SELECT *, lag(engaged, 1, engaged) OVER w AS before, lag(value, 1, value)
 ----SELECT episode, frame, round(sum(CASE WHEN engaged AND before THEN value - v0 ELSE 0 END) OVER (PARTITION BY episode ORDER BY frame ROWS UNBOUNDED PRECEDING), 6) + 0.0 AS moved FROM e
 """, EVENTS)
 def engaged_prefix_sum(spark, sf):
-    w = W.partitionBy("episode").orderBy("frame")
-    move = F.when(F.col("engaged") & F.lag("engaged").over(w), F.col("value") - F.lag("value").over(w)).otherwise(0.0)
-    return events(spark, sf).withColumn("m", F.coalesce(move, F.lit(0.0))).select("episode", "frame", r6(F.sum("m").over(w.rowsBetween(W.unboundedPreceding, 0))).alias("moved"))
+    return A.engaged_sums(events(spark, sf), "value", "engaged").select("episode", "frame", r6("moved").alias("moved"))
 
 
 _HOLD = """
@@ -318,7 +291,7 @@ c AS (SELECT a.episode, a.frame, CAST(b.frame - a.frame AS INTEGER) AS t, b.valu
 @query(_HOLD, EVENTS)
 def hold_or_zero(spark, sf):
     df = events(spark, sf).withColumn("v", F.array("value"))
-    df = windows.chunked(windows.chunked(df, "v", range(1, 7)), "engaged", range(1, 7), name="on", pad=True) if False else windows.chunked(df.withColumn("s", F.struct("v", "engaged")), "s", range(1, 7))
+    df = windows.chunked(df.withColumn("s", F.struct("v", "engaged")), "s", range(1, 7))
     rows, on = F.transform("chunk", lambda s: s["v"]), F.transform("chunk", lambda s: s["engaged"])
     both = F.arrays_zip(A.held(rows, on, F.col("v")).alias("h"), A.zeroed(rows, on).alias("z"))
     return df.select("episode", "frame", F.posexplode(both).alias("t", "r")).select("episode", "frame", "t", r6(F.col("r.h")[0]).alias("held"), F.col("r.z")[0].alias("zeroed"))
@@ -418,12 +391,49 @@ def gripper_sign(spark, sf):
     return embeddings(spark, sf).select("vec_id", R.gripper_signed(g).alias("sign"), r6(R.gripper_signed(g, False, True)).alias("inverted"))
 
 
-@query()
+_BETWEEN = _QUAT + """,
+h AS (SELECT a.vec_id, a.px + {share} * (b.px - a.px) AS px, a.py + {share} * (b.py - a.py) AS py, a.pz + {share} * (b.pz - a.pz) AS pz,
+    a.x AS ax, a.y AS ay, a.z AS az, a.w AS aw, CASE WHEN a.x * b.x + a.y * b.y + a.z * b.z + a.w * b.w < 0 THEN -1.0 ELSE 1.0 END AS sg, b.x AS b1, b.y AS b2, b.z AS b3, b.w AS b4,
+    acos(least(abs(a.x * b.x + a.y * b.y + a.z * b.z + a.w * b.w), 1.0)) AS g
+  FROM u a JOIN u b ON a.episode = b.episode AND b.frame = a.frame + 1),
+s AS (SELECT *, sin((1 - {share}) * g) / sin(g) AS ca, sg * sin({share} * g) / sin(g) AS cb FROM h),
+q AS (SELECT vec_id, px, py, pz, ca * ax + cb * b1 AS x, ca * ay + cb * b2 AS y, ca * az + cb * b3 AS z, ca * aw + cb * b4 AS w FROM s)
+----"""
+
+
+@query(_BETWEEN.format(share="0.5") + "SELECT vec_id, CAST(i AS INTEGER) AS i, round([1 - 2 * (y * y + z * z), 2 * (x * y + z * w), 2 * (x * z - y * w), 2 * (x * y - z * w), 1 - 2 * (x * x + z * z), 2 * (y * z + x * w)][i + 1], 6) + 0.0 AS x FROM q, range(0, 6) k(i)", EMBEDDINGS)
 def slerp_midpoints(spark, sf):
-    return each(_poses(spark, sf), ["vec_id"], R.slerp(F.slice("pose", 4, 4), F.slice("ref", 4, 4), F.lit(0.5)))
+    w = W.partitionBy("episode").orderBy("frame")
+    df = embeddings(spark, sf).withColumn("pose", vectors.sliced(F.col("v"), 3, 7)).withColumn("next", F.lead("pose").over(w)).where("next is not null")
+    return each(df, ["vec_id"], R.rot6d_from_matrix(R.matrix_from_quat(R.slerp(F.col("pose"), F.col("next"), F.lit(0.5)))))
+
+
+@query(_BETWEEN.format(share="0.25") + "SELECT vec_id, CAST(i AS INTEGER) AS i, round([px, py, pz, 1 - 2 * (y * y + z * z), 2 * (x * y + z * w), 2 * (x * z - y * w), 2 * (x * y - z * w), 1 - 2 * (x * x + z * z), 2 * (y * z + x * w)][i + 1], 6) + 0.0 AS x FROM q, range(0, 9) k(i)", EMBEDDINGS)
+def pose_interpolation(spark, sf):
+    df = embeddings(spark, sf).withColumn("t", F.col("frame").cast("double"))
+    df = df.withColumn("pose", P.pose_from(vectors.sliced(F.col("v"), 0, 3), vectors.sliced(F.col("v"), 3, 7), "quat"))
+    top = df.select("episode", "frame", "vec_id").withColumn("next", F.lead("vec_id").over(W.partitionBy("episode").orderBy("frame"))).where("next is not null")
+    asked = top.select("episode", (F.col("frame") + 0.25).alias("at"))
+    out = windows.interpolated(df.select("episode", "frame", "t", F.col("pose").alias("v")), asked, blend=P.blended)
+    out = out.join(top.select(F.col("episode").alias("e"), (F.col("frame") + 0.25).alias("a"), "vec_id"), (F.col("episode") == F.col("e")) & (F.col("at") == F.col("a")))
+    return each(out, ["vec_id"], "v")
+
+
+def _product(a: str, b: str) -> str:
+    return "[" + ", ".join(" + ".join(f"{a}[{3 * i + k + 1}] * {b}[{3 * k + j + 1}]" for k in range(3)) for i in range(3) for j in range(3)) + "]"
 
 
-@query()
+_TURNED = "[" + ", ".join(f"p.s[{i + 1}] * p.r[{j + 1}] + p.s[{i + 4}] * p.r[{j + 4}] + p.s[{i + 7}] * p.r[{j + 7}]" for i in range(3) for j in range(3)) + "]"
+
+
+@query(_QUAT + f""",
+n AS (SELECT *, vec_id % 3 <> 0 AS engaged, count(*) OVER (PARTITION BY episode) AS n FROM m),
+p AS (SELECT b.episode, b.frame, b.px - a.px AS dx, b.py - a.py AS dy, b.pz - a.pz AS dz, a.r AS s, b.r AS r, a.engaged AND b.engaged AS on_ FROM n a JOIN n b ON a.episode = b.episode AND b.frame = a.frame + 1),
+c AS (SELECT vec_id, episode, frame, 0 AS t, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 0.0::DOUBLE AS z, [1, 0, 0, 0, 1, 0, 0, 0, 1]::DOUBLE[] AS q FROM n WHERE frame + 8 < n
+  UNION ALL SELECT c.vec_id, c.episode, c.frame, c.t + 1, c.x + CASE WHEN on_ THEN dx ELSE 0 END, c.y + CASE WHEN on_ THEN dy ELSE 0 END, c.z + CASE WHEN on_ THEN dz ELSE 0 END,
+    CASE WHEN on_ THEN (SELECT {_product("g.q", "g.d")} FROM (SELECT c.q AS q, {_TURNED} AS d) g) ELSE c.q END FROM c JOIN p ON p.episode = c.episode AND p.frame = c.frame + c.t + 1 WHERE c.t < 8)
+----SELECT vec_id, CAST(t - 1 AS INTEGER) AS t, CAST(i AS INTEGER) AS i, round([x, y, z, q[1], q[4], q[7], q[2], q[5], q[8]][i + 1], 6) + 0.0 AS x FROM c, range(0, 9) k(i) WHERE t > 0
+""", EMBEDDINGS.replace("em AS", "RECURSIVE em AS", 1))
 def rotation_prefix(spark, sf):
     df = embeddings(spark, sf).withColumn("s", F.struct(vectors.sliced(F.col("v"), 0, 7).alias("p"), (F.col("vec_id") % 3 != 0).alias("on")))
     df = windows.chunked(df, "s", range(1, 9))
@@ -431,13 +441,60 @@ def rotation_prefix(spark, sf):
     return df.select("vec_id", F.posexplode(rows).alias("t", "row")).select("vec_id", "t", F.posexplode("row").alias("i", "x")).withColumn("x", r6("x"))
 
 
-@query()
+@query("""
+a AS (SELECT vec_id, list(1 - 2 * (v[1] + 0.5)) OVER (PARTITION BY episode ORDER BY frame ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS r FROM em),
+c AS (SELECT vec_id, r, 0 AS i, 0.0::DOUBLE AS out_, 0.0::DOUBLE AS held, 0 AS left_ FROM a
+  UNION ALL SELECT vec_id, r, i + 1, CASE WHEN left_ > 0 THEN held ELSE r[i + 1] END, CASE WHEN left_ = 0 AND abs(r[i + 1]) > 0.5 THEN r[i + 1] ELSE held END,
+    CASE WHEN left_ > 0 THEN left_ - 1 WHEN abs(r[i + 1]) > 0.5 THEN 3 ELSE 0 END FROM c WHERE i < len(r))
+----SELECT vec_id, CAST(i - 1 AS INTEGER) AS i, round(out_, 6) + 0.0 AS x FROM c WHERE i > 0
+""", EMBEDDINGS.replace("em AS", "RECURSIVE em AS", 1))
 def sticky_gripper(spark, sf):
     w = W.partitionBy("episode").orderBy("frame").rowsBetween(0, 15)
-    df = embeddings(spark, sf).withColumn("a", F.collect_list(F.col("v")[0] * 3).over(w))
+    df = embeddings(spark, sf).withColumn("a", F.collect_list(F.col("v")[0] + 0.5).over(w))
     return each(df, ["vec_id"], R.sticky_gripper(F.col("a"), 4))
 
 
+@query("SELECT vec_id, CASE WHEN v[1] > 0.5 THEN 1.0::DOUBLE ELSE -1.0 END AS opened, round(1 - v[1], 6) AS closed FROM em", EMBEDDINGS)
+def gripper_states(spark, sf):
+    g = F.col("v")[0]
+    return embeddings(spark, sf).select("vec_id", R.gripper_opened(g).alias("opened"), r6(R.closedness(g)).alias("closed"))
+
+
+@query("""
+u AS (SELECT vec_id, v[4] / n AS w, v[5] / n AS x, v[6] / n AS y, v[7] / n AS z FROM (SELECT *, sqrt(v[4] * v[4] + v[5] * v[5] + v[6] * v[6] + v[7] * v[7]) AS n FROM em)),
+m AS (SELECT vec_id, 2 * (x * z + y * w) AS r0, 2 * (y * z - x * w) AS r3, 1 - 2 * (x * x + y * y) AS r6, 2 * (y * z + x * w) AS z1, 2 * (x * z - y * w) AS z0, 2 * (x * y + z * w) AS y0, 1 - 2 * (x * x + z * z) AS y1, 1 - 2 * (y * y + z * z) AS x0, 2 * (x * y - z * w) AS x1 FROM u)
+----SELECT vec_id, CAST(i AS INTEGER) AS i, round([atan2(z1, -z0), atan2(-r6, sqrt(r0 * r0 + r3 * r3)), atan2(r3, r0)][i + 1], 6) + 0.0 AS x FROM m, range(0, 3) k(i)
+""", EMBEDDINGS)
+def euler_in_frame(spark, sf):
+    return each(embeddings(spark, sf), ["vec_id"], R.euler_in_frame(vectors.sliced(F.col("v"), 3, 7), [0, 0, 1, 0, 1, 0, -1, 0, 0]))
+
+
+@query("""
+g AS (SELECT vec_id, v[1:8] AS a, v[9:16] AS b FROM em)
+----SELECT vec_id, round(sqrt(list_sum([(a[d] - b[d]) * (a[d] - b[d]) for d in range(1, 9)]) / 8), 6) AS rmse, round(list_sum([abs(a[d] - b[d]) for d in range(1, 9)]) / 8, 6) AS l1 FROM g
+""", EMBEDDINGS)
+def vector_distances(spark, sf):
+    a, b = vectors.sliced(F.col("v"), 0, 8), vectors.sliced(F.col("v"), 8, 16)
+    return embeddings(spark, sf).select("vec_id", r6(R.rmse(a, b)).alias("rmse"), r6(R.l1(a, b)).alias("l1"))
+
+
+@query("SELECT vec_id, CAST(i AS INTEGER) AS i, round(v[i + 1], 6) + 0.0 AS x FROM em, range(0, 6) k(i)", EMBEDDINGS)
+def layout_round_trip(spark, sf):
+    """Translation and rotation vector to a pose, to a homogeneous matrix, and back."""
+    pose = P.pose_of(vectors.sliced(F.col("v"), 0, 6), Layout.XYZ_ROTVEC)
+    back = P.row_of(P.pose_of(P.row_of(pose, Layout.DEFAULT), Layout.DEFAULT), Layout.XYZ_ROTVEC)
+    return each(embeddings(spark, sf), ["vec_id"], back)
+
+
+@query("""
+e AS (SELECT vec_id, v[1] AS px, v[2] AS py, v[3] AS pz, radians(v[4] * 90) AS a, radians(v[5] * 90) AS b, radians(v[6] * 90) AS c FROM em)
+----SELECT vec_id, CAST(i AS INTEGER) AS i, round([px, py, pz, cos(c) * cos(b), sin(c) * cos(b), -sin(b), cos(c) * sin(b) * sin(a) - sin(c) * cos(a), sin(c) * sin(b) * sin(a) + cos(c) * cos(a), cos(b) * sin(a)][i + 1], 6) + 0.0 AS x FROM e, range(0, 9) k(i)
+""", EMBEDDINGS)
+def pose_from_degrees(spark, sf):
+    angles = F.transform(vectors.sliced(F.col("v"), 3, 6), lambda x: x * 90)
+    return each(embeddings(spark, sf), ["vec_id"], P.pose_from(vectors.sliced(F.col("v"), 0, 3), angles, "euler"))
+
+
 # -- normalisation ---------------------------------------------------------------------------------------------------
 
 _DIMS = "s AS (SELECT d, min(v[d]) AS lo, max(v[d]) AS hi, avg(v[d]) AS m, stddev_pop(v[d]) AS sd FROM em, range(1, 7) k(d) GROUP BY d)\n----"
@@ -612,13 +669,31 @@ SELECT episode, frame, CAST((row_number() OVER (PARTITION BY episode ORDER BY (f
 """, EVENTS)
 def shard_pieces(spark, sf):
     df = events(spark, sf)
-    return df.select("episode", "frame", F.pmod(F.row_number().over(W.partitionBy("episode").orderBy((F.col("frame") * 37) % 101, "frame")) - 1, F.lit(10)).cast("int").alias("piece"))
+    return df.select("episode", "frame", sharding.piece([(F.col("frame") * 37) % 101, "frame"], 10).alias("piece"))
+
+
+_PIECES = """
+a AS (SELECT episode, frame FROM ep WHERE frame + 15 < length),
+p AS (SELECT episode, frame, CAST((row_number() OVER (PARTITION BY episode ORDER BY CAST(('0x' || substr(md5('0:' || episode || ':' || frame), 1, 12)) AS BIGINT), frame) - 1) % 10 AS INTEGER) AS piece FROM a)"""
 
 
-@query()
+@query(_PIECES + "----SELECT episode, frame, piece FROM p", EVENTS)
 def shard_plan(spark, sf):
+    """Pieces as the plan deals them; the shards, a sequential greedy choice, are held against a loop in the tests."""
     plan, _ = sharding.shard_plan(filters.effective_anchors(events(spark, sf), range(16)), 1024, 0.1)
-    return plan.select("episode", "frame", "piece", "shard")
+    return plan.where("shard is not null").select("episode", "frame", "piece")
+
+
+@query(_PIECES + """,
+n AS (SELECT episode, piece, count(*) AS n FROM p GROUP BY ALL)
+----SELECT CAST(least(greatest(1, ceil(sum(n) / 1024)), count(DISTINCT episode) * 10) AS BIGINT) AS shards, CAST(sum(n) AS BIGINT) AS total, true AS even FROM n
+""", EVENTS)
+def shard_plan_balance(spark, sf):
+    """Greedy placement leaves no two shards further apart than the largest piece."""
+    plan, lengths = sharding.shard_plan(filters.effective_anchors(events(spark, sf), range(16)), 1024, 0.1)
+    largest = plan.groupBy("episode", "piece").agg(F.count("*").alias("n")).agg(F.max("n").alias("largest"))
+    sums = lengths.agg(F.count("*").alias("shards"), F.sum("length").alias("total"), (F.max("length") - F.min("length")).alias("apart"))
+    return sums.join(F.broadcast(largest)).select("shards", "total", (F.col("apart") <= F.col("largest")).alias("even"))
 
 
 @query("SELECT event_id, CAST(event_id % 6 // 3 AS INTEGER) AS rank, CAST(event_id % 6 % 3 AS INTEGER) AS worker FROM events")
@@ -635,10 +710,42 @@ def dataset_weights(spark, sf):
     return sharding.dataset_weights(df).select("dataset", "grp", r6("weight").alias("weight"))
 
 
-@query()
+_DATASETS = """
+d AS (SELECT kind AS dataset, avg(length) AS mean_length, count(DISTINCT episode) AS shards, CAST(length(kind) AS DOUBLE) AS weight FROM ep GROUP BY kind),
+p AS (SELECT *, weight / mean_length / sum(weight / mean_length) OVER () AS p FROM d),
+c AS (SELECT *, sum(p) OVER (ORDER BY dataset) AS upto, row_number() OVER (ORDER BY dataset DESC) AS last FROM p)"""
+
+
+def _datasets(spark, sf) -> DataFrame:
+    return events(spark, sf).groupBy(F.col("kind").alias("dataset")).agg(F.avg("length").alias("mean_length"), F.countDistinct("episode").alias("shards")).withColumn("weight", F.length("dataset").cast("double"))
+
+
+@query(_DATASETS + """,
+u AS (SELECT i AS draw, (CAST(('0x' || substr(md5('3:' || i), 1, 12)) AS BIGINT) + 0.5) / 281474976710656 AS u FROM range(0, 5000) r(i)),
+x AS (SELECT draw, arg_min(dataset, upto) AS dataset FROM u JOIN c ON u < upto OR last = 1 GROUP BY draw),
+k AS (SELECT draw, x.dataset, shards, row_number() OVER (PARTITION BY x.dataset ORDER BY draw) - 1 AS k FROM x JOIN d ON d.dataset = x.dataset),
+deck AS (SELECT dataset, cycle, s AS shard, row_number() OVER (PARTITION BY dataset, cycle ORDER BY CAST(('0x' || substr(md5('4:' || dataset || ':' || cycle || ':' || s), 1, 12)) AS BIGINT), s) - 1 AS turn
+  FROM (SELECT DISTINCT dataset, k // shards AS cycle, unnest(range(0, shards)) AS s FROM k))
+----SELECT draw, k.dataset, CAST(deck.cycle AS INTEGER) AS cycle, CAST(deck.shard AS INTEGER) AS shard FROM k JOIN deck ON deck.dataset = k.dataset AND deck.cycle = k // shards AND deck.turn = k % shards
+""", EVENTS)
 def shard_schedule(spark, sf):
-    df = events(spark, sf).groupBy(F.col("kind").alias("dataset")).agg(F.avg("length").alias("mean_length"), F.countDistinct("episode").alias("shards")).withColumn("weight", F.length("dataset").cast("double"))
-    return sharding.schedule(df, 5000)
+    return sharding.schedule(_datasets(spark, sf), 5000, seed=1, epoch=2)
+
+
+@query(_DATASETS + "----SELECT row_number() OVER (ORDER BY dataset, s) - 1 AS draw, dataset, CAST(s AS INTEGER) AS shard FROM (SELECT dataset, unnest(range(0, shards)) AS s FROM d)", EVENTS)
+def evaluation_schedule(spark, sf):
+    return sharding.evaluation_schedule(_datasets(spark, sf))
+
+
+@query(_DATASETS + "----SELECT dataset, 'ucb_dvrk' AS tag, CAST(shards AS BIGINT) AS length, round(weight / sum(weight) OVER () * 100, 6) AS mix_percent FROM d", EVENTS)
+def mixture_summary(spark, sf):
+    return sharding.mixture_summary(_datasets(spark, sf).withColumn("tag", F.lit("ucb_dvrk"))).withColumn("mix_percent", r6("mix_percent"))
+
+
+@query("SELECT episode, frame, row_number() OVER (PARTITION BY episode % 7 ORDER BY CAST(('0x' || substr(md5('5:' || episode || ':' || frame), 1, 12)) AS BIGINT), episode, frame) - 1 AS place FROM ep", EVENTS)
+def shard_shuffle(spark, sf):
+    df = events(spark, sf).withColumn("shard", F.col("episode") % 7)
+    return sharding.shuffled(df, 5).select("episode", "frame", F.col("place").cast("long").alias("place"))
 
 
 @query("SELECT CAST(sum(length) AS BIGINT) AS total, round(avg(length), 6) AS mean, round(stddev_pop(length), 6) AS std FROM (SELECT episode, count(*) AS length FROM ep GROUP BY episode)", EVENTS)
@@ -737,3 +844,7 @@ def crop_geometry(spark, sf):
     top, bottom, left, right = geometry.letterbox(F.col("h"), F.col("w"))
     crop = geometry.crop_size(F.col("h"), 0.9)
     return df.select("event_id", crop.alias("crop"), geometry.centre_offset(F.col("h"), crop).alias("offset_y"), top.alias("top"), bottom.alias("bottom"), left.alias("left"), right.alias("right"))
+
+
+# The other modules of queries register theirs.
+from . import datasets, processing  # noqa: E402, F401

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinetrace.operators.filters import check_frames
 from kinetrace.operators.joins import gather_frames
 from kinetrace.operators.vectors import select_slices
 from kinetrace.schema import Slice
@@ -80,9 +81,26 @@ class TrajectoryDataset:
                 df = select_slices(df, self.slices(name), default, name)
         return df
 
-    def sparse(self, needed: DataFrame) -> DataFrame:
-        """Only the (episode_index, frame_index) that are needed; a missing one is an error."""
-        return gather_frames(self.bounded_frames(), needed, "episode_index", "frame_index")
+    def sparse(self, needed: DataFrame, clamp: bool = False) -> DataFrame:
+        """Only the (episode_index, frame_index) that are needed; one outside its episode is an error, or with ``clamp``
+        the frame next to it."""
+        frames = self.bounded_frames()
+        lengths = frames.groupBy("episode_index").agg((F.max("frame_index") + 1).alias("length"))
+        return gather_frames(frames, check_frames(needed, lengths, "episode_index", "frame_index", clamp=clamp), "episode_index", "frame_index")
+
+    def lengths(self) -> DataFrame:
+        return self.episodes.select("episode_index", "length")
+
+    def files(self) -> DataFrame:
+        """episode_index, chunk, path: where each episode's frames lie."""
+        chunk = F.floor(F.col("episode_index") / int(self.info.get("chunks_size", 1000)))
+        return self.episodes.select("episode_index", chunk.alias("chunk"), self._path(self.info["data_path"], F.col("episode_index"), "").alias("path"))
+
+    def initial_actions(self, path: str = "meta/initial_actions") -> DataFrame | None:
+        """trajectory, key, action (rows) of a Parquet table beside the metadata; None if there is none.  Never unpickled."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}")
+        there = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
+        return self.spark.read.parquet(f"{self.root}/{path}") if there else None
 
     def video_path(self, key: str, episode: Column) -> Column:
         original = self.modality.get("video", {}).get(key, {}).get("original_key") or f"observation.images.{key}"
@@ -126,3 +144,19 @@ def map_cameras(declared: Sequence[str], present: Sequence[str]) -> dict[str, st
 def consolidated_episodes(spark: SparkSession, root: str) -> DataFrame:
     """Episode tables of the consolidated layout, in order."""
     return spark.read.parquet(f"{root}/meta/episodes/*/*.parquet").orderBy("episode_index")
+
+
+def episodes_by_file(episodes: DataFrame, chunk: str = "data/chunk_index", file: str = "data/file_index") -> DataFrame:
+    """chunk, file, episodes: which episodes each consolidated file holds, in order; a file holds a bounded number."""
+    return episodes.groupBy(F.col(f"`{chunk}`").alias("chunk"), F.col(f"`{file}`").alias("file")).agg(F.sort_array(F.collect_list("episode_index")).alias("episodes"))
+
+
+def union_of(datasets: dict[str, DataFrame], name: str = "dataset") -> DataFrame:
+    """Rows of several datasets with the name of theirs; columns that some lack are null there."""
+    out = None
+    for key, df in datasets.items():
+        own = df.withColumn(name, F.lit(key))
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("a union needs a dataset")
+    return out

@@ -25,7 +25,9 @@ def plain(value):
         return sorted(plain(v) for v in value)
     if isinstance(value, (list, tuple)):
         return [plain(v) for v in value]
-    return plain(value.tolist()) if hasattr(value, "tolist") else value
+    if hasattr(value, "tolist"):
+        return plain(value.tolist())
+    return value if value is None or isinstance(value, (bool, int, float, str)) else str(value)
 
 
 def write_json(spark: SparkSession, value, path: str) -> None:
@@ -82,12 +84,37 @@ def write_dataset(frames: DataFrame, episodes: DataFrame, tasks: DataFrame, info
     """A file per episode, episode and task lines, and both declarations."""
     spark = frames.sparkSession
     write_episode_files(frames, root, int(info.get("chunks_size", 1000)))
-    episodes.orderBy("episode_index").coalesce(1).write.mode("overwrite").json(f"{root}/meta/episodes.jsonl")
-    tasks.orderBy("task_index").coalesce(1).write.mode("overwrite").json(f"{root}/meta/tasks.jsonl")
+    write_lines(episodes, f"{root}/meta/episodes.jsonl", "episode_index")
+    write_lines(tasks, f"{root}/meta/tasks.jsonl", "task_index")
     write_json(spark, info, f"{root}/meta/info.json")
     write_json(spark, modality, f"{root}/meta/modality.json")
 
 
+def write_lines(df: DataFrame, path: str, order: str) -> None:
+    """One file of JSON lines in order.  The rows pass through one task, as the format's single file asks for: episode and
+    task tables, a line each."""
+    spark = df.sparkSession
+    jvm = spark._jvm
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    temp = f"{path}._lines"
+    df.orderBy(order).coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(temp)
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = [f.getPath() for f in fs.listStatus(at(temp)) if f.getPath().getName().startswith("part-")]
+    fs.delete(at(path), True)
+    if parts:
+        fs.rename(parts[0], at(path))
+    else:
+        fs.create(at(path), True).close()
+    fs.delete(at(temp), True)
+
+
+def tasks_to_lines(spark: SparkSession, parquet: str, path: str) -> None:
+    """A Parquet table of tasks as JSON lines, by task_index."""
+    table = spark.read.parquet(parquet)
+    text = next(c for c in ("task", "__index_level_0__", *table.columns) if c in table.columns and c != "task_index")
+    write_lines(table.select("task_index", F.col(f"`{text}`").alias("task")), path, "task_index")
+
+
 def legacy_episodes(episodes: DataFrame) -> DataFrame:
     """Episode lines of the older layout: no data/, videos/, stats/ or meta/ columns; length derived if missing."""
     kept = [c for c in episodes.columns if not c.startswith(("data/", "videos/", "stats/", "meta/"))]
@@ -137,6 +164,22 @@ def sample_dataset(frames: DataFrame, episodes: DataFrame, tasks: DataFrame, n:
     return kept, own, tasks.join(kept.select("task_index").distinct(), "task_index", "left_semi")
 
 
+def rebuilt_vectors(frames: DataFrame, parts: Sequence[str], euler: str, correction: list[float], name: str) -> DataFrame:
+    """Adds a vector of translation, corrected rot6d rows and further parts: the 17 values of a rebuilt robot state."""
+    from kinetrace.functions.rotations import rot6d_rows_corrected
+    from kinetrace.operators.vectors import as_vector
+
+    first, *rest = parts
+    return frames.withColumn(name, F.concat(as_vector(frames, first), rot6d_rows_corrected(F.col(f"`{euler}`"), correction), *[as_vector(frames, p) for p in rest]))
+
+
+def check_sample(stats: dict, features: Sequence[str]) -> None:
+    """A sample's statistics must have every feature that its frames have."""
+    missing = sorted(set(features) - set(stats))
+    if missing:
+        raise ValueError(f"statistics lack {missing}")
+
+
 def save_processor(spark: SparkSession, folder: str, config, statistics: dict, embodiments: dict[str, int]) -> None:
     for name, value in (("processor_config", config), ("statistics", statistics), ("embodiment_id", embodiments)):
         write_json(spark, value, f"{folder}/{name}.json")

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +10,17 @@ from pyspark.sql import functions as F
 _RESAMPLED = "episode long, frame long, t double, grid long, grid_t double"
 
 
+def grid_places(t: np.ndarray, dt: float, start: float, free: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sample and grid place of each emitted row, and the next free place after them."""
+    place = np.floor((t - start) / dt + 1e-5).astype(np.int64)
+    after = np.maximum(np.maximum.accumulate(place) + 1, free) if len(place) else place
+    first = np.concatenate(([free], after[:-1])) if len(place) else place
+    count = np.maximum(place + 1 - first, 0)
+    sample = np.repeat(np.arange(len(place)), count)
+    grid = first[sample] + np.arange(len(sample)) - np.repeat(np.cumsum(count) - count, count)
+    return sample, grid, int(after[-1]) if len(place) else free
+
+
 def resample_stream(frames: DataFrame, dt: float, start: float = 0.0) -> DataFrame:
     """Fixed-rate resampling of a stream of (episode, frame, t); the next free grid place is each episode's state.
 
@@ -18,15 +28,11 @@ def resample_stream(frames: DataFrame, dt: float, start: float = 0.0) -> DataFra
     """
 
     def run(key, batches, state):
-        free = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(["frame"], kind="stable")
-        out = []
-        for frame, t in zip(rows["frame"], rows["t"], strict=True):
-            place = math.floor((t - start) / dt + 1e-5)
-            out += [(key[0], frame, t, g, start + g * dt) for g in range(free, place + 1)]
-            free = max(free, place + 1)
+        rows = pd.concat(list(batches)).sort_values("frame", kind="stable")
+        sample, grid, free = grid_places(rows["t"].to_numpy(float), dt, start, state.get[0] if state.exists else 0)
         state.update((free,))
-        yield pd.DataFrame(out, columns=["episode", "frame", "t", "grid", "grid_t"])
+        out = rows.iloc[sample]
+        yield pd.DataFrame({"episode": np.full(len(grid), key[0]), "frame": out["frame"].to_numpy(), "t": out["t"].to_numpy(float), "grid": grid, "grid_t": start + grid * dt})
 
     return frames.groupBy("episode").applyInPandasWithState(run, _RESAMPLED, "free long", "append", "NoTimeout")
 
@@ -37,14 +43,20 @@ def rollout_stream(steps: DataFrame) -> DataFrame:
     def run(key, batches, state):
         length, reward, success, n = state.get if state.exists else (0, 0.0, False, 0)
         rows = pd.concat(list(batches)).sort_values("step", kind="stable")
-        out = []
-        for r, s, d in zip(rows["reward"], rows["success"], rows["done"], strict=True):
-            length, reward, success = length + 1, reward + float(r), success or bool(s)
-            if d:
-                out.append((key[0], n, length, reward, success))
-                length, reward, success, n = 0, 0.0, False, n + 1
-        state.update((length, reward, success, n))
-        yield pd.DataFrame(out, columns=["env", "rollout", "length", "reward", "success"])
+        done = rows["done"].to_numpy(bool)
+        part = np.concatenate(([0], np.cumsum(done)[:-1])) if len(done) else np.zeros(0, int)
+        own = pd.DataFrame({"part": part, "reward": rows["reward"].to_numpy(float), "success": rows["success"].to_numpy(bool)})
+        sums = own.groupby("part").agg(length=("reward", "size"), reward=("reward", "sum"), success=("success", "any"))
+        # What earlier batches left open belongs to the first part.
+        if len(sums):
+            sums.loc[0, "length"] += length
+            sums.loc[0, "reward"] += reward
+            sums.loc[0, "success"] |= success
+        closed = int(done.sum())
+        last = sums.iloc[closed] if len(sums) > closed else None
+        state.update((int(last["length"]), float(last["reward"]), bool(last["success"]), n + closed) if last is not None else (0, 0.0, False, n + closed))
+        sums = sums.iloc[:closed]
+        yield pd.DataFrame({"env": np.full(closed, key[0]), "rollout": n + np.arange(closed), "length": sums["length"].to_numpy(), "reward": sums["reward"].to_numpy(float), "success": sums["success"].to_numpy(bool)})
 
     return steps.groupBy("env").applyInPandasWithState(run, "env long, rollout long, length long, reward double, success boolean", "length long, reward double, success boolean, n long", "append", "NoTimeout")
 
@@ -52,3 +64,10 @@ def rollout_stream(steps: DataFrame) -> DataFrame:
 def windowed_counts(frames: DataFrame, time: str = "ts", late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
     """Frames per window with a watermark: late frames within it still count."""
     return frames.withWatermark(time, late).groupBy(F.window(time, width)).agg(F.count("*").alias("frames"))
+
+
+def drained(stream: DataFrame, spark_name: str) -> DataFrame:
+    """All that a stream gives now, through a memory table: for tests and bounded sources, not for endless ones."""
+    query = stream.writeStream.format("memory").queryName(spark_name).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.table(spark_name)

@@ -93,8 +93,20 @@ def test_zero_quaternion_is_an_error(spark):
 
 
 def test_sticky_gripper(spark):
-    df = spark.createDataFrame([([0.0, 0.9, 0.0, 0.0, 0.0, -0.8],)], "a array<double>")
-    assert df.select(R.sticky_gripper(F.col("a"), 3).alias("g")).first().g == [0.0, 0.9, 0.9, 0.9, 0.0, -0.8]
+    """By the rule step by step: a - 1, doubled and turned about; above 0.5 in size it latches for so many steps."""
+    df = spark.createDataFrame([([0.5, 0.4, 0.3, 0.95, 0.5, 0.5],), ([0.0, 0.5, 0.5, 1.0, 1.0, 0.6],), ([],)], "a array<double>")
+    for r in df.select("a", R.sticky_gripper(F.col("a"), 2).alias("g")).collect():
+        want, on, count, held = [], False, 0, 0.0
+        for a in r.a:
+            x = -(2 * a - 1)
+            if abs(x) > 0.5 and not on:
+                on, held = True, x
+            if on:
+                count, x = count + 1, held
+            if count == 2:
+                on, count, held = False, 0, 0.0
+            want.append(x)
+        assert r.g == pytest.approx(want)
 
 
 def test_normalisation_edges(spark):
