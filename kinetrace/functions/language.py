@@ -23,6 +23,11 @@ def picked(options: Column, *key: Column, seed: int = 0) -> Column:
     return F.when(n > 0, options[F.pmod(drawn, F.when(n > 0, n).otherwise(1)).cast("int")])
 
 
+def episode_task(tasks: Column, episode: Column, seed: int = 0) -> Column:
+    """One of an episode's tasks, the same for all its frames; empty if it has none."""
+    return F.coalesce(picked(tasks, episode, seed=seed), F.lit(""))
+
+
 def named(code: Column, names: dict[int, str], default: str) -> Column:
     """The name of a rounded code (half to even)."""
     table = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))])

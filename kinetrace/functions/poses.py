@@ -74,6 +74,13 @@ def joint_difference(a: Column, b: Column) -> Column:
     return F.zip_with(must(F.size(a) == F.size(b), a, "joint vectors of different lengths"), b, lambda x, y: x - y)
 
 
+def difference(a: Column, b: Column, layout_a: Layout, layout_b: Layout) -> Column:
+    """inverse(b) * a of two poses; poses of different layouts are not subtracted."""
+    if layout_a is not layout_b:
+        raise TypeError(f"a pose of {layout_a.name} and one of {layout_b.name}")
+    return row_of(R.se3_relative(pose_of(a, layout_a), pose_of(b, layout_b), "rot6d"), layout_a)
+
+
 def checked_times(chunk: Column, times: Column | None = None) -> Column:
     """A chunk's times, 0, 1, 2 and so on if none are given; an empty chunk or another number of times is an error."""
     filled = must(F.size(chunk) > 0, chunk, "a chunk needs a row")

@@ -146,8 +146,13 @@ def contract_report(df: DataFrame, expected: dict[str, tuple[str, int | None]])
         if found != kind:
             checks.append((name, f"{found} instead of {kind}", F.lit(True)))
             continue
-        checks.append((name, "null", F.col(name).isNull()))
+        checks.append((name, "null", F.col(f"`{name}`").isNull()))
         if size is not None:
-            checks.append((name, "size", F.size(F.col(name)) != size))
+            checks.append((name, "size", F.size(F.col(f"`{name}`")) != size))
     rows = F.array(*[F.struct(F.lit(n).alias("column"), F.lit(p).alias("problem"), F.coalesce(c, F.lit(False)).cast("long").alias("bad")) for n, p, c in checks])
     return df.select(F.explode(rows).alias("c")).groupBy("c.column", "c.problem").agg(F.sum("c.bad").alias("rows")).where("rows > 0")
+
+
+def flat_contract(df: DataFrame, keys: dict[str, Sequence[str]], kinds: dict[str, str]) -> DataFrame:
+    """The contract of simulators' flat columns: modality.key for each key of a modality, of the modality's type."""
+    return contract_report(df, {f"{m}.{k}": (kinds[m], None) for m, own in keys.items() for k in own})

@@ -151,7 +151,7 @@ def missing_stats(stats: dict, needed: Sequence[str] = MERGED) -> list[str]:
     return sorted(f"{f}.{n}" for f, own in stats.items() for n in needed if n not in own)
 
 
-def pose_stats(frames: DataFrame, action: str, reference: str, offsets: Sequence[int], spec: ActionSpec, *, key: str, scales: tuple[str | None, str | None] = (None, None), episode: str = "episode", frame: str = "frame") -> DataFrame:
+def pose_stats(frames: DataFrame, action: str | Column, reference: str, offsets: Sequence[int], spec: ActionSpec, *, key: str, scales: tuple[str | None, str | None] = (None, None), episode: str = "episode", frame: str = "frame") -> DataFrame:
     """Statistics, step by step, of poses relative to the anchor's: translation less the reference's, rotations turned back,
     motion scaled; of poses with rot6d only the translation counts, since the rotation is bounded as it is."""
     chunks = chunked(frames, action, offsets, episode=episode, frame=frame)

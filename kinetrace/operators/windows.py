@@ -65,6 +65,20 @@ def required_frames(anchors: DataFrame, offsets: Sequence[int], episode: str = "
     return need.where(F.col(frame) >= 0).distinct()
 
 
+def union_offsets(*offsets: Sequence[int]) -> list[int]:
+    """Offsets that any of several modalities asks for, ascending."""
+    return sorted({d for own in offsets for d in own})
+
+
+def replay_from(df: DataFrame, value: str, horizon: int, which: int, step: int, *, episode: str = "episode", frame: str = "frame") -> DataFrame:
+    """The chunks that a replay of one episode gives from a step on; an episode or step that isn't there is an error."""
+    own = df.where(F.col(episode) == which)
+    out = replay_chunk(own, value, horizon, episode=episode, frame=frame).where(F.col(frame) >= step)
+    if step < 0 or not out.take(1):
+        raise ValueError(f"episode {which} has no step {step}")
+    return out
+
+
 def replay_chunk(df: DataFrame, value: str, horizon: int, **names) -> DataFrame:
     """horizon rows from each step on, the last row repeated past the end."""
     return chunked(df, value, range(horizon), pad=True, **names)
@@ -130,6 +144,14 @@ def even_times(samples: DataFrame, n: int, *, episode: str = "episode", time: st
     return ends.select(episode, "a_", "b_", step).select(episode, at.alias("at"))
 
 
+def counters(steps: DataFrame, done: str = "done", env: str = "env", order: str = "step") -> DataFrame:
+    """Adds each environment's frame number, and the length so far of the rollout at hand."""
+    w = W.partitionBy(env).orderBy(order)
+    part = F.coalesce(F.sum(F.col(done).cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    own = steps.withColumn("frame_number", F.row_number().over(w) - 1).withColumn("part_", part)
+    return own.withColumn("length", F.row_number().over(W.partitionBy(env, "part_").orderBy(order))).drop("part_")
+
+
 def last_n(values: Column, n: int) -> Column:
     """The last n items of an array, or all of a shorter one."""
     return F.slice(values, F.greatest(F.size(values) - n, F.lit(0)) + 1, n)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from kinetrace.functions import language as L
 from kinetrace.operators import extensions, filters, geometry, images, merge, metrics, stats, vectors, windows
 from kinetrace.operators.processor import Processor
 from kinetrace.schema import ActionSpec, Kind, Layout, ModalitySpec, Representation
@@ -267,6 +268,39 @@ def motor_commands(spark, sf):
     return out.select("vec_id", "t", r6("pan").alias("pan"), r6("lift").alias("lift"))
 
 
+@query("SELECT DISTINCT episode, frame + d AS frame FROM ep, (SELECT unnest([-15, 0, 2, 4, 8]) AS d) o WHERE frame + d >= 0", EVENTS)
+def united_frames(spark, sf):
+    """What a video's and an action's offsets ask for together."""
+    return windows.required_frames(events(spark, sf), windows.union_offsets([-15, 0], [0, 2, 4, 8]))
+
+
+@query("""
+p AS (SELECT a.episode, a.frame, d, b.k FROM ep a, range(0, 8) o(d) JOIN ep b ON b.episode = a.episode AND b.frame = least(a.frame + d, a.length - 1) WHERE a.episode = (SELECT min(episode) FROM ep) AND a.frame >= 5)
+----SELECT episode, frame, string_agg(k, ',' ORDER BY d) AS chunk FROM p GROUP BY episode, frame
+""", EVENTS)
+def replay_from(spark, sf):
+    df = events(spark, sf)
+    first = df.agg(F.min("episode")).first()[0]
+    return windows.replay_from(df, "k", 8, first, 5).select("episode", "frame", nums(F.col("chunk")).alias("chunk"))
+
+
+@query("""
+s AS (SELECT episode AS env, frame, done, coalesce(sum(CAST(done AS INTEGER)) OVER (PARTITION BY episode ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM ep)
+----SELECT env, frame AS step, CAST(row_number() OVER (PARTITION BY env ORDER BY frame) - 1 AS INTEGER) AS frame_number, CAST(row_number() OVER (PARTITION BY env, part ORDER BY frame) AS INTEGER) AS length FROM s
+""", EVENTS)
+def env_counters(spark, sf):
+    return windows.counters(events(spark, sf).select(F.col("episode").alias("env"), F.col("frame").alias("step"), "done")).select("env", "step", "frame_number", "length")
+
+
+@query("""
+t AS (SELECT episode, list(DISTINCT kind ORDER BY kind) AS tasks FROM ep GROUP BY episode)
+----SELECT episode, tasks[CAST(('0x' || substr(md5('9:' || episode), 1, 12)) AS BIGINT) % len(tasks) + 1] AS task FROM t
+""", EVENTS)
+def episode_task(spark, sf):
+    tasks = events(spark, sf).groupBy("episode").agg(F.array_sort(F.collect_set("kind")).alias("tasks"))
+    return tasks.select("episode", L.episode_task(F.col("tasks"), F.col("episode"), 9).alias("task"))
+
+
 # -- extensions ------------------------------------------------------------------------------------------------------
 
 

@@ -90,6 +90,17 @@ class ModalitySpec:
         if list(self.offsets) != sorted(set(self.offsets)):
             raise ValueError("offsets must ascend")
 
+    @classmethod
+    def parse(cls, spec: Mapping) -> ModalitySpec:
+        """From a mapping as JSON holds it: lists for tuples and sets, mappings for action specs."""
+        own = dict(spec)
+        for name, kind in (("keys", tuple), ("offsets", tuple), ("pass_through", frozenset), ("mean_std_keys", frozenset), ("sin_cos_keys", frozenset)):
+            if name in own:
+                own[name] = kind(own[name] or ())
+        if own.get("actions"):
+            own["actions"] = tuple(a if isinstance(a, ActionSpec) else ActionSpec.parse(a) for a in own["actions"])
+        return cls(**own)
+
     @property
     def model_keys(self) -> tuple[str, ...]:
         """Keys that a model sees: those that serve computations alone are left out."""

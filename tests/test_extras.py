@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from kinetrace.functions import poses as P
 from kinetrace.operators import extensions, filters, geometry, images, joins, merge, metrics, sharding, stats, vectors, windows
-from kinetrace.schema import PRETRAINED, Layout, registry
-from kinetrace.sources import experiment, lerobot, sinks
+from kinetrace.schema import PRETRAINED, ActionSpec, Layout, ModalitySpec, Registry, Representation, registry
+from kinetrace.sources import experiment, factory, lerobot, sinks
 from kinetrace.streaming.frames import grid_places
 
 
@@ -238,3 +238,53 @@ def test_rebuilt_vectors(spark):
     sx, sy, sz = (math.sin(a) for a in (0.4, 0.5, 0.6))
     m = np.array([[1, 0, 0], [0, cx, -sx], [0, sx, cx]]) @ np.array([[cy, 0, sy], [0, 1, 0], [-sy, 0, cy]]) @ np.array([[cz, -sz, 0], [sz, cz, 0], [0, 0, 1]])
     assert len(r) == 17 and r[:3] == [0.1, 0.2, 0.3] and r[3:9] == pytest.approx(list(m[:2].ravel())) and r[9] == 0.7
+
+
+def test_specs_from_json():
+    spec = ModalitySpec.parse({"keys": ["a", "b"], "offsets": [0, 1], "pass_through": ["b"], "actions": [{"representation": "RELATIVE", "kind": "eef", "layout": "XYZ_ROT6D"}, {}]})
+    assert spec.model_keys == ("a",) and spec.action_of("a").layout is Layout.XYZ_ROT6D and spec.action_of("b").normalization == "temporal_meanstd"
+    with pytest.raises(ValueError):
+        ModalitySpec.parse({"keys": ["a"], "actions": [{"representation": "sideways"}]})
+
+
+def test_pose_difference_needs_one_layout(spark):
+    with pytest.raises(TypeError):
+        P.difference(F.col("a"), F.col("b"), Layout.DEFAULT, Layout.XYZ_ROT6D)
+    df = spark.createDataFrame([([1.0, 2.0, 3.0, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0], [0.5, 0.5, 0.5, 0.0, 1.0, 0.0, -1.0, 0.0, 0.0])], "a array<double>, b array<double>")
+    got = df.select(P.difference(F.col("a"), F.col("b"), Layout.XYZ_ROT6D, Layout.XYZ_ROT6D).alias("d")).first().d
+    assert got == pytest.approx([1.5, -0.5, 2.5, 0.0, -1.0, 0.0, 1.0, 0.0, 0.0])
+
+
+def test_replay_needs_its_step(spark):
+    df = spark.createDataFrame([(1, 0, 5)], "episode long, frame long, k long")
+    with pytest.raises(ValueError, match="no step"):
+        windows.replay_from(df, "k", 2, 1, 3)
+
+
+def test_flat_contract(spark):
+    df = spark.createDataFrame([([1.0], None)], "`state.x` array<double>, `state.y` array<double>")
+    got = filters.flat_contract(df, {"state": ["x", "y", "z"]}, {"state": "array<double>"}).collect()
+    assert sorted((r["column"], r.problem) for r in got) == [("state.y", "null"), ("state.z", "missing")]
+
+
+def test_factory(spark, tmp_path):
+    """Two datasets of one robot: statistics are written, shards planned, weights and merged statistics follow."""
+    own = Registry()
+    own.register("new_embodiment", {"state": ModalitySpec(("arm",)), "action": ModalitySpec(("arm",), (0, 1, 2), (ActionSpec(Representation.RELATIVE),))})
+    paths = []
+    for n, episodes in (("one", 4), ("two", 2)):
+        root = f"file://{tmp_path}/{n}"
+        frames = spark.createDataFrame([(e, f, 0, [float(f), 1.0], [float(f * e), 2.0]) for e in range(episodes) for f in range(8)], "episode_index long, frame_index long, task_index long, `observation.state` array<double>, action array<double>")
+        info = {"chunks_size": 1000, "data_path": "data/chunk-{episode_chunk:03d}/episode_{episode_index:06d}.parquet", "features": {"observation.state": {"dtype": "float64", "shape": [2]}, "action": {"dtype": "float64", "shape": [2]}}, "splits": {"train": "0:100"}}
+        sinks.write_dataset(frames, spark.createDataFrame([(e, ["go"], 8) for e in range(episodes)], "episode_index long, tasks array<string>, length long"), spark.createDataFrame([(0, "go")], "task_index long, task string"), info, {"state": {"arm": {"start": 0, "end": 2}}, "action": {"arm": {"start": 0, "end": 2}}}, root)
+        paths.append(root)
+    config = experiment.from_dict({"datasets": [{"paths": paths, "tag": "NEW_embodiment", "mix_ratio": 2.0, "include_splits": ["train"]}], "shard_size": 6, "sampling_rate": 0.5})
+    mix = factory.build(spark, config, own)
+    rows = {r.dataset: r for r in mix.datasets.collect()}
+    assert [rows[p].shards for p in paths] == [4, 2] and rows[paths[0]].weight == pytest.approx(4 / 3) and rows[paths[1]].mean_length == 6
+    assert (tmp_path / "one/meta/stats.json").exists() and (tmp_path / "two/meta/relative_stats.json").exists()
+    params = mix.processor.params("new_embodiment", "action", "arm")
+    assert params["dim"] == 2 and len(params["mean"]) == 3 and params["max"][0][1] == 1.0
+    assert mix.schedule(10, 1).count() == 10 and mix.plans[paths[0]].count() == 24
+    with pytest.raises(KeyError):
+        factory.build(spark, config, Registry())
