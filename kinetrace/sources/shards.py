@@ -9,9 +9,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-
-def _filesystem(path: str):
-    return pafs.FileSystem.from_uri(path) if re.match(r"\w+:", path) else (pafs.LocalFileSystem(), path)
+from .storage import filesystem
 
 
 class ShardPartition(InputPartition):
@@ -26,7 +24,7 @@ class ShardReader(DataSourceReader):
 
     def partitions(self):
         """A partition for each shard folder; listing them is all that the driver does."""
-        fs, root = _filesystem(self.path)
+        fs, root = filesystem(self.path)
         found = []
         for info in fs.get_file_info(pafs.FileSelector(root)):
             m = re.fullmatch(r"shard=(\d+)", info.base_name)
@@ -37,7 +35,7 @@ class ShardReader(DataSourceReader):
     def read(self, partition):
         import pyarrow as pa
 
-        fs, folder = _filesystem(partition.path)
+        fs, folder = filesystem(partition.path)
         names = [f.name for f in self.schema.fields if f.name != "shard"]
         for batch in ds.dataset(folder, filesystem=fs, format="parquet").to_batches(columns=names):
             if batch.num_rows:

@@ -7,10 +7,12 @@ import enum
 import json
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .lerobot import RELATIVE, STATS, read_json
+from .storage import filesystem
 
 
 def plain(value):
@@ -56,28 +58,27 @@ def write_temporal_stats(spark: SparkSession, path: str, stats: dict, dataset: s
     write_json(spark, stats if dataset is None else {**(read_json(spark, path) or {}), dataset: stats}, path)
 
 
-def write_episode_files(frames: DataFrame, root: str, chunks_size: int = 1000) -> None:
-    """data/chunk-000/episode_000000.parquet and so on: one file an episode.
+def write_episode_files(frames: DataFrame, root: str, chunks_size: int = 1000) -> int:
+    """data/chunk-000/episode_000000.parquet and so on: one file an episode, in order of frames; returns their number.
 
-    Executors write a partition per episode; the driver then only renames, a metadata operation per episode.
+    Executors write the files under their final names, each an episode at a time; a task that runs again writes the same
+    file again.  Nothing passes through the driver.
     """
-    spark = frames.sparkSession
-    jvm = spark._jvm
-    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    temp = f"{root}/data/_episodes"
-    frames.withColumn("episode", F.col("episode_index")).repartition("episode_index").sortWithinPartitions("episode_index", "frame_index").write.partitionBy("episode").mode("overwrite").parquet(temp)
-    fs = path(temp).getFileSystem(spark._jsc.hadoopConfiguration())
-    for folder in fs.listStatus(path(temp)):
-        if not folder.isDirectory():
-            continue
-        episode = int(folder.getPath().getName().split("=")[1])
-        target = f"{root}/data/chunk-{episode // chunks_size:03d}"
-        fs.mkdirs(path(target))
-        parts = [f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().endswith(".parquet")]
-        if len(parts) != 1:
-            raise ValueError(f"episode {episode} has {len(parts)} files; lift spark.sql.files.maxRecordsPerFile")
-        fs.rename(parts[0], path(f"{target}/episode_{episode:06d}.parquet"))
-    fs.delete(path(temp), True)
+    names = frames.columns
+    # Grouped Arrow functions don't take dots in column names.
+    plain_names = [f"c{i}" for i in range(len(names))]
+
+    def one(key: tuple, table: pa.Table) -> pa.Table:
+        import pyarrow.parquet as pq
+
+        episode = key[0].as_py()
+        fs, base = filesystem(root)
+        folder = f"{base.rstrip('/')}/data/chunk-{episode // chunks_size:03d}"
+        fs.create_dir(folder, recursive=True)
+        pq.write_table(table.rename_columns(names).sort_by("frame_index"), f"{folder}/episode_{episode:06d}.parquet", filesystem=fs)
+        return pa.table({"episode": pa.array([episode], pa.int64()), "rows": pa.array([table.num_rows], pa.int64())})
+
+    return frames.toDF(*plain_names).groupBy(plain_names[names.index("episode_index")]).applyInArrow(one, "episode long, rows long").count()
 
 
 def write_dataset(frames: DataFrame, episodes: DataFrame, tasks: DataFrame, info: dict, modality: dict, root: str) -> None:

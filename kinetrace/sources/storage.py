@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
+import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
 
 
@@ -17,3 +18,8 @@ def shared_folder(spark: SparkSession) -> str:
         path = "file://" + tempfile.mkdtemp(prefix="kinetrace-")
         spark.sparkContext.setCheckpointDir(path)
     return f"{path.rstrip('/')}/kinetrace"
+
+
+def filesystem(path: str):
+    """pyarrow file system and bare path of a URI or a local path."""
+    return pafs.FileSystem.from_uri(path) if re.match(r"\w+:", path) else (pafs.LocalFileSystem(), path)
