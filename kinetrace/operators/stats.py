@@ -27,18 +27,19 @@ def _moments(value: str) -> list[Column]:
     return [F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")]
 
 
-def summarised(df: DataFrame, keys: Sequence[str], value: str, percentiles: Sequence[float], counted: bool = False) -> DataFrame:
+def summarised(df: DataFrame, keys: Sequence[str], value: str, percentiles: Sequence[float], *, counted: bool = False, declared: bool = True) -> DataFrame:
     """Mean, population deviation, least, greatest and linearly interpolated percentiles of a group's values.
 
     Percentiles come from ranked_percentiles, whose memory a group's size doesn't change.  ``counted`` asks for Spark's
-    ``percentile`` instead, which takes one pass but keeps a count for each distinct value of a group.
+    ``percentile`` instead, which takes one pass but keeps a count for each distinct value of a group.  ``declared`` says
+    that groups are keys, steps and dimensions of a declaration, thousands at most; set it to False where data make them.
     """
     own = df.select(*keys, F.col(value).cast("double").alias("v_"))
     if counted:
         quantiles = F.percentile("v_", F.array(*[F.lit(p) for p in percentiles]))
         out = own.groupBy(*keys).agg(*_moments("v_"), quantiles.alias("q_"))
         return out.select(*keys, "mean", "std", "min", "max", *[F.col("q_")[i].alias(n) for i, n in enumerate(_named(percentiles))])
-    return ranked_percentiles(own, keys, "v_", percentiles, moments=True)
+    return ranked_percentiles(own, keys, "v_", percentiles, moments=True, declared=declared)
 
 
 #: Share of a group's ranks on either side of an asked one from which values are looked at, and the sketch's accuracy.
@@ -47,40 +48,45 @@ SPAN, ACCURACY = 2e-3, 2000
 FEW = 4000
 
 
-def ranked_percentiles(df: DataFrame, keys: Sequence[str], value: str, percentiles: Sequence[float], moments: bool = False) -> DataFrame:
+def ranked_percentiles(df: DataFrame, keys: Sequence[str], value: str, percentiles: Sequence[float], *, moments: bool = False, declared: bool = False) -> DataFrame:
     """The exact percentiles of groups of any size, in two aggregations.
 
-    A sketch of bounded size gives each percentile an interval of values that holds its rank.  Values below the interval
-    are counted; those within it, a few in a thousand of the group, are counted by value and put in order.
+    A sketch of bounded size gives each percentile an interval of values that holds its rank.  Intervals and the gaps
+    between them cut a group into ordered cells: values in a gap are counted together, those of an interval, a few in a
+    thousand of the group, by value, and running sums over the cells are ranks.  Intervals travel to the values by broadcast
+    if groups are ``declared``, else both meet by a join on the keys.
     """
     own = df.select(*keys, F.col(value).cast("double").alias("v_")).where("v_ is not null")
-    grid = [x for p in percentiles for x in (max(0.0, p - SPAN), min(1.0, p + SPAN))]
+    asked = sorted(percentiles)
+    grid = [x for p in asked for x in (max(0.0, p - SPAN), min(1.0, p + SPAN))]
     ends = own.groupBy(*keys).agg(F.count("*").alias("n_"), F.percentile_approx("v_", grid, ACCURACY).alias("g_"), *_moments("v_"))
     few = F.col("n_") <= FEW
-    spans = F.array(*[F.struct(F.lit(i).alias("i"), F.when(few, F.col("min")).otherwise(F.col("g_")[2 * i]).alias("a"), F.when(few, F.col("max")).otherwise(F.col("g_")[2 * i + 1]).alias("b")) for i in range(len(percentiles))])
-    ends = ends.select(*[F.col(k).alias(f"{k}_k") for k in keys], "n_", *(["mean", "std", "min", "max"] if moments else []), spans.alias("s_"))
-    same = None
-    for k in keys:
-        test = F.col(k).eqNullSafe(F.col(f"{k}_k"))
-        same = test if same is None else same & test
-    slim = ends.select(*[f"{k}_k" for k in keys], "s_")
-    met = own.join(slim, same)
-    below = F.explode(F.filter("s_", lambda s: F.col("v_") <= s["b"])).alias("s")
-    # A value counts by itself within its interval, and as one number with all others below it.
-    near = met.select(*keys, "v_", below).select(*keys, F.col("s.i").alias("i_"), F.when(F.col("v_") >= F.col("s.a"), F.col("v_")).alias("x_"))
-    counts = near.groupBy(*keys, "i_", "x_").agg(F.count("*").alias("c_"))
-    order = W.partitionBy(*keys, "i_").orderBy(F.col("x_").asc_nulls_first())
-    ranked = counts.withColumn("to_", F.sum("c_").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    ranked = ranked.join(ends.drop("s_"), same).where("x_ is not null")
-    p = F.element_at(F.array(*[F.lit(float(x)) for x in percentiles]), F.col("i_") + 1)
-    at = p * (F.col("n_") - 1)
-    # Of ascending values, the first whose rows reach a rank holds it.
-    holds = lambda rank: F.min(F.when(F.col("to_") > rank, F.col("x_")))
-    share = F.max(at - F.floor(at))
-    each = ranked.groupBy(*keys, "i_").agg((holds(F.floor(at)) + share * (holds(F.ceil(at)) - holds(F.floor(at)))).alias("q_"), *([F.first(c).alias(c) for c in ("mean", "std", "min", "max")] if moments else []))
-    names = _named(percentiles)
-    picked = [F.max(F.when(F.col("i_") == i, F.col("q_"))).alias(n) for i, n in enumerate(names)]
-    return each.groupBy(*keys).agg(*([F.first(c).alias(c) for c in ("mean", "std", "min", "max")] if moments else []), *picked)
+    bound = lambda side, all_: F.array(*[F.when(few, F.col(all_)).otherwise(F.col("g_")[2 * i + side]) for i in range(len(asked))])
+    ends = ends.select(*[F.col(k).alias(f"{k}_k") for k in keys], "n_", *(["mean", "std", "min", "max"] if moments else []), bound(0, "min").alias("a_"), bound(1, "max").alias("b_"))
+
+    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
+        same = None
+        for k in keys:
+            test = F.col(k).eqNullSafe(F.col(f"{k}_k"))
+            same = test if same is None else same & test
+        return left.join(F.broadcast(right) if declared else right, same)
+
+    met = meet(own, ends.select(*[f"{k}_k" for k in keys], "a_", "b_"))
+    cell = sum(((F.col("v_") > F.col("b_")[i]).cast("int") for i in range(1, len(asked))), (F.col("v_") > F.col("b_")[0]).cast("int"))
+    met = met.select(*keys, "v_", cell.alias("cell_"), "a_")
+    inside = F.when(F.col("v_") >= F.get("a_", F.col("cell_")), F.col("v_"))
+    counts = met.select(*keys, "cell_", inside.alias("x_")).groupBy(*keys, "cell_", "x_").agg(F.count("*").alias("c_"))
+    order = W.partitionBy(*keys).orderBy("cell_", F.col("x_").asc_nulls_first())
+    ranked = counts.withColumn("to_", F.sum("c_").over(order.rowsBetween(W.unboundedPreceding, 0))).where("x_ is not null")
+    ranked = meet(ranked, ends.drop("a_", "b_"))
+    parts = []
+    for name, p in zip(_named(percentiles), percentiles, strict=True):
+        at = F.lit(float(p)) * (F.col("n_") - 1)
+        # Of ascending values, the first whose rows reach a rank holds it.
+        holds = lambda rank: F.min(F.when(F.col("to_") > rank, F.col("x_")))
+        low, high = holds(F.floor(at)), holds(F.ceil(at))
+        parts.append((low + F.max(at - F.floor(at)) * (high - low)).alias(name))
+    return ranked.groupBy(*keys).agg(*([F.first(c).alias(c) for c in ("mean", "std", "min", "max")] if moments else []), *parts)
 
 
 def flat_stats(df: DataFrame, features: dict[str, str | Column], percentiles: Sequence[float] = FLAT) -> DataFrame:

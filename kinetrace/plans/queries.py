@@ -620,7 +620,7 @@ l AS (SELECT linenumber AS grp, x FROM (SELECT CAST(frame % 3 AS INTEGER) AS lin
 """, ORDERS)
 def ranked_percentiles(spark, sf):
     df = orders(spark, sf).select((F.col("frame") % 3).cast("int").alias("grp"), "price")
-    return _rounded(stats.ranked_percentiles(df, ["grp"], "price", stats.TEMPORAL), "grp")
+    return _rounded(stats.ranked_percentiles(df, ["grp"], "price", stats.TEMPORAL, declared=True), "grp")
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS anchors, CAST(sum(frame) AS BIGINT) AS frames FROM (SELECT frame, count(*) OVER (PARTITION BY episode) AS n FROM od) WHERE frame + 1 < n", ORDERS)
