@@ -21,8 +21,8 @@ from .common import Workspace, maybe_broadcast, partitions
 
 SCALE = 256
 BLOCK = 1 << 16
-#: Blocks that a task holds while queries pass by.
-GROUP = 8
+#: Tasks that share the queries of a group of blocks at most; so many times the index travels.
+SHARES = 4
 ONES = np.uint64(2**64 - 1)
 #: Greatest sum of products that 64-bit scores are sure to hold.
 LIMIT = 2.0**62
@@ -191,11 +191,13 @@ def _search(k: int):
 
 
 def write_index(vectors: DataFrame, work: Workspace, dims: int, n: int) -> DataFrame:
-    """Writes the sliced index of ``n`` rows (vec_id, v) of equal length: a row for each block, grouped by GROUP."""
+    """Writes the sliced index of ``n`` rows (vec_id, v) of equal length: a row for each block, dealt to groups, of which
+    there are as many as tasks that hold one while queries pass by."""
     rows = vectors.repartition(-(-n // BLOCK))
     index = work.write(rows.mapInArrow(_blocks, _INDEX), f"index-{dims}")
     # A row for each block of BLOCK vectors passes through one task.
-    place = index.select("block").withColumn("group", F.floor((F.row_number().over(W.orderBy("block")) - 1) / GROUP))
+    groups = min(-(-n // BLOCK), 2 * partitions(vectors.sparkSession))
+    place = index.select("block").withColumn("group", (F.row_number().over(W.orderBy("block")) - 1) % groups)
     return index.join(maybe_broadcast(work.write(place, f"groups-{dims}")), "block")
 
 
@@ -222,7 +224,7 @@ def top_products(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
         rows = own.where(F.col("dims") == dims).select("vec_id", "v")
         index = write_index(rows, work, dims, n)
         groups = index.agg(F.max("group")).first()[0] + 1
-        shares = -(-2 * partitions(spark) // groups)
+        shares = min(SHARES, -(-2 * partitions(spark) // groups))
         none = lambda kind: F.lit(None).cast(kind)
         held = index.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
         held = held.select((F.col("group") * shares + F.col("share")).alias("unit"), F.lit(0).alias("kind"), "ids", "low", "bits", "slices", none("long").alias("query_id"), none("array<double>").alias("v"))

@@ -68,7 +68,7 @@ def brute(urls):
 
 def test_verdicts_equal_brute_force(spark):
     urls = [r.url for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
-    urls += [None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/en/x?y#z", "http://example.com", "http://a.example.com/en/", "http://xnet/es/", "http://a.net/es", "http://a.net/fr/?q", "ftp://h?/x", "http://ÄB.net/fr/\n\x02ü", "http://com/", urls[3], urls[3]]
+    urls += [None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/en/x?y#z", "http://example.com", "http://a.example.com/en/", "http://xnet/es/", "http://a.net/es", "http://a.net/fr/?q", "ftp://h?/x", "http://ÄB.net/fr/\n\x02ü", "http://com/", "http://a.org/" + "long/" * 4000, urls[3], urls[3]]
     df = spark.createDataFrame([(i if i % 9 else None, u, "h", "r") for i, u in enumerate(urls)], "page_id long, url string, host string, rest string")
     got = sorted(str((r.page_id, r.host, r.path, r.rule, r.verdict)) for r in judge_urls(df).collect())
     want = sorted(str((i if i % 9 else None, *w)) for i, w in enumerate(brute(urls)))
