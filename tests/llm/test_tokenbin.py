@@ -57,3 +57,28 @@ def test_query_equals_brute_force(spark):
         at += len(ids)
     assert got == want
     assert read_tokens(write_tokens(df.limit(0), f"{work.path}/none", PATH, work=Workspace(spark, "t"))).count() == 0
+
+
+def test_other_tokenizers_get_whole_texts(spark):
+    """Byte-level BPE keeps white space, so texts can't be cut into chunks."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole, chunks = Tokenizer.from_file(path), ChunkEncoder(path)
+    for text in ["", "Hello  world\n\n it's 12345", "Ünïcode tëxt 日本", " lead", "word " * 3000]:
+        assert np.frombuffer(chunks.encode(text), chunks.kind).tolist() == whole.encode(text, add_special_tokens=False).ids
+    df = spark.createDataFrame([(2, "Hello  world"), (1, None)], "doc_id long, text string")
+    work = Workspace(spark, "t")
+    got = read_tokens(write_tokens(df, f"{work.path}/files", path, work=work)).orderBy("start").collect()
+    assert [(r.doc_id, r.n_tokens) for r in got] == [(1, 1), (2, len(whole.encode("Hello  world", add_special_tokens=False).ids) + 1)]
+
+
+def test_repeated_ids_are_dealt_out(spark):
+    """Many texts of one doc_id don't gather in one file, and keep one order."""
+    rows = [(7, f"text number {i}") for i in range(400)] + [(3, "first"), (9, "last")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    work = Workspace(spark, "t")
+    manifest = write_tokens(df, f"{work.path}/files", PATH, work=work)
+    assert max(r.n_docs for r in manifest.collect()) < 300
+    got = [tuple(r) for r in read_tokens(manifest).orderBy("start").collect()]
+    again = Workspace(spark, "t")
+    assert got == [tuple(r) for r in read_tokens(write_tokens(df.repartition(3), f"{again.path}/files", PATH, work=again)).orderBy("start").collect()]
+    assert got[0][0] == 3 and got[-1][0] == 9
