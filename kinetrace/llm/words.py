@@ -137,7 +137,7 @@ class Buckets:
     Packed rows cost the shuffle a few objects per task instead of one row per entry.
     """
 
-    def __init__(self, buckets: int, kinds: tuple, limit: int = 1 << 19):
+    def __init__(self, buckets: int, kinds: tuple, limit: int = 1 << 18):
         self.buckets, self.kinds, self.limit, self.held, self.parts = buckets, kinds, limit, 0, []
 
     def add(self, where: np.ndarray, *arrays: np.ndarray) -> None:
