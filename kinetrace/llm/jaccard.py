@@ -29,7 +29,7 @@ from pyspark.sql.window import Window as W
 
 from .common import Workspace, maybe_broadcast, partitions
 from .components import components
-from .words import U64, Buckets, gathered, mix, slices, windows, word_bounds, word_hashes
+from .words import U64, Buckets, gathered, mix, slices, trimmed, windows, word_bounds, word_hashes
 
 #: Least bits of a bit sketch.
 BITS = 512
@@ -123,7 +123,7 @@ def _first(k: int):
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *columns], names=["doc_id", "n", "f1", "f2", "sketch"])
 
-    return run
+    return trimmed(run)
 
 
 # Counting.  A unit is a set over one of its bands; a chunk holds the units of which a task packs the sketches at once.  kind 0
@@ -189,7 +189,7 @@ def _sketches(buckets: int, k: int, percent: int, wider: int):
         if count:
             yield packed()
 
-    return run
+    return trimmed(run)
 
 
 def _short(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -225,7 +225,7 @@ def _counted(buckets: int):
                 yield from _returned(back)
         yield from _returned(back)
 
-    return run
+    return trimmed(run)
 
 
 def _returned(back: Buckets):
@@ -282,7 +282,7 @@ def _entries(buckets: int, hot: int):
                 yield from packed.batch("keys", "sets", "salts")
         yield from packed.batch("keys", "sets", "salts")
 
-    return run
+    return trimmed(run)
 
 
 def _grouped(keys: np.ndarray, sets: np.ndarray, salts: np.ndarray, *more: np.ndarray):
@@ -312,7 +312,7 @@ def _members(buckets: int):
                 yield from packed.batch("keys", "sets", "hubs", "salts")
         yield from packed.batch("keys", "sets", "hubs", "salts")
 
-    return run
+    return trimmed(run)
 
 
 def _stars(batches):
@@ -340,7 +340,7 @@ def _packed_labels(buckets: int):
                 yield from packed.batch("of", "labels")
         yield from packed.batch("of", "labels")
 
-    return run
+    return trimmed(run)
 
 
 def _packed_keys(buckets: int):
@@ -355,7 +355,7 @@ def _packed_keys(buckets: int):
                 yield from packed.batch("wanted")
         yield from packed.batch("wanted")
 
-    return run
+    return trimmed(run)
 
 
 def _labelled_entries(buckets: int):
@@ -373,7 +373,7 @@ def _labelled_entries(buckets: int):
                 yield from packed.batch("keys", "sets", "salts", "labels")
         yield from packed.batch("keys", "sets", "salts", "labels")
 
-    return run
+    return trimmed(run)
 
 
 def _runs(keys: np.ndarray, sets: np.ndarray, salts: np.ndarray, labels: np.ndarray):
@@ -412,7 +412,7 @@ def _partners(turn: int):
             for i in range(0, len(a), 1 << 16):
                 yield pa.RecordBatch.from_arrays([x[i : i + (1 << 16)] for x in (a, b, *rest)], names=["a", "b", "key", "label", "salts"])
 
-    return run
+    return trimmed(run)
 
 
 def _others(group: np.ndarray, sets: np.ndarray, labels: np.ndarray, by: np.ndarray) -> np.ndarray:
@@ -476,7 +476,7 @@ def _near(percent: int):
             if ok.any():
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ra, rb)[ok]), pa.array(np.maximum(ra, rb)[ok]), pa.array(away[ok])], names=["a", "b", "distance"])
 
-    return run
+    return trimmed(run)
 
 
 def _verify(k: int, percent: int):
@@ -505,7 +505,7 @@ def _verify(k: int, percent: int):
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return run
+    return trimmed(run)
 
 
 def _checked(texts: DataFrame, pairs: DataFrame, k: int, percent: int, parts: int, work: Workspace, name: str) -> DataFrame:
@@ -659,7 +659,7 @@ def _block_pairs(percent: int):
                 pairs = np.unique(np.stack([np.concatenate(z) for z in zip(*out, strict=True)], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in range(3)], names=["a", "b", "distance"])
 
-    return run
+    return trimmed(run)
 
 
 def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, work: Workspace | None = None, hot: int = 16) -> DataFrame:

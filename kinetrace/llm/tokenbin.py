@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .common import Workspace, filesystem, partitions
+from .words import trimmed
 
 BLOCK, LANES = 256, 8
 MAGIC = b"KTPFOR1\n"
@@ -180,7 +181,7 @@ def read_shard(path: str):
 
 _SAFE = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
-_CACHE_LIMIT = 120_000
+_CACHE_LIMIT = 60_000
 _LOADED: dict[str, ChunkEncoder] = {}
 
 
@@ -285,7 +286,7 @@ def _write(folder: str, tokenizer: str, end_id: int, percentile: float):
                 names=["shard", "path", "n_ids", "n_docs"],
             )
 
-    return run
+    return trimmed(run)
 
 
 def _read(batches):

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace
-from .words import slices
+from .words import slices, trimmed
 
 #: Letters that a sign may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
@@ -214,7 +214,7 @@ class TokenFeatures(dict):
         self.restorer, self.kept = restorer, kept
 
     def __missing__(self, token: str) -> tuple[int, ...]:
-        if len(self) > 150_000:
+        if len(self) > 75_000:
             self.clear()
         got = self.of(self.restorer.word(token))
         if len(token) <= 64:
@@ -261,7 +261,7 @@ def _document_counts(model: CharModel, kept: set[str] | None):
                 some = items[i : i + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in some]), pa.array([toxic] * len(some), pa.int32()), pa.array([n for _, n in some], pa.int64())], names=["feature", "toxic", "n"])
 
-    return run
+    return trimmed(run)
 
 
 def _sample_features(model: CharModel, kept: dict[str, int]):
@@ -270,7 +270,7 @@ def _sample_features(model: CharModel, kept: dict[str, int]):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([tokens.of_text(t.as_py()) for t in batch.column(0)], pa.list_(pa.int32())), batch.column(1)], names=["found", "toxic"])
 
-    return run
+    return trimmed(run)
 
 
 def fit_logistic(rows: list[list[int]], labels: np.ndarray, n: int, penalty: float = 0.3, steps: int = 400) -> np.ndarray:
@@ -370,7 +370,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([score(t.as_py()) for t in batch.column(1)], pa.float64())], names=["doc_id", "score"])
 
-    scored = texts.mapInArrow(run, "doc_id long, score double")
+    scored = texts.mapInArrow(trimmed(run), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -386,4 +386,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
             keep = [score(t.as_py()) < 0.5 for t in batch.column(at)]
             yield batch if all(keep) else batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -6,6 +6,7 @@ of about a quarter megabyte so that temporary arrays stay small whatever the bat
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,21 @@ _BASE = 0x9E3779B97F4A7C13
 _INVERSE = pow(_BASE, -1, 2**64)
 
 
+def trimmed(run):
+    """A function over batches that hands what its worker has freed back to the system when it ends."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):
+            # Not every C library has it.
+            return
+
+    return whole
+
+
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """The splitmix64 finaliser, with a salt."""
     x = x + U64((0x9E3779B97F4A7C15 * (2 * salt + 1)) % 2**64)
