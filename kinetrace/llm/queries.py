@@ -66,7 +66,7 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op3_jaccard_join"] = op3_jaccard_join
 
 
-def op2_token_blocks(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+def op2_token_blocks(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None, cache: int = 120_000) -> DataFrame:
     """Every text's token ids written to files and read back: doc_id, start, n_tokens, ids_crc32."""
     import public_tokenizers
 
@@ -75,7 +75,7 @@ def op2_token_blocks(spark: SparkSession, sf_dir: str, docs: DataFrame | None =
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet") if docs is None else docs
     work = Workspace(spark, "tokens")
-    return read_tokens(write_tokens(docs, f"{work.path}/files", public_tokenizers.path("word_bpe_49k.json"), work=work))
+    return read_tokens(write_tokens(docs, f"{work.path}/files", public_tokenizers.path("word_bpe_49k.json"), cache=cache, work=work))
 
 
 QUERIES["op2_token_blocks"] = op2_token_blocks

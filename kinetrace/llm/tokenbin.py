@@ -181,14 +181,15 @@ def read_shard(path: str):
 
 _SAFE = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
-_CACHE_LIMIT = 60_000
-_LOADED: dict[str, ChunkEncoder] = {}
+#: Chunks, and pieces of them, that a worker's caches hold twice over, unless fewer are asked for.
+CACHE = 120_000
+_LOADED: dict[tuple[str, int], ChunkEncoder] = {}
 
 
 class Recent(dict):
     """A bounded cache that computes what it misses; entries used since the last turnover survive the next one."""
 
-    def __init__(self, compute, limit: int = _CACHE_LIMIT):
+    def __init__(self, compute, limit: int):
         super().__init__()
         self.compute, self.limit, self.old = compute, limit, {}
 
@@ -213,7 +214,7 @@ class ChunkEncoder:
     them; any other chunk goes through the whole tokenizer.  Other tokenizers get whole texts.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
@@ -221,7 +222,7 @@ class ChunkEncoder:
         self.kind = np.dtype("<u2" if self.whole.get_vocab_size() < 65536 else "<u4")
         self.bytes_as_text = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.by_chunk, self.direct = _kind(self.whole)
-        self.pieces, self.chunks = Recent(self._piece), Recent(self._chunk)
+        self.pieces, self.chunks = Recent(self._piece, cache), Recent(self._chunk, cache)
         self.code = "H" if self.kind.itemsize == 2 else "I"
 
     def _packed(self, ids: list[int]) -> bytes:
@@ -261,18 +262,18 @@ def _kind(tokenizer) -> tuple[bool, bool]:
     return by_chunk, by_chunk and split["pattern"] == pattern and spec["model"].get("end_of_word_suffix") == "</w>"
 
 
-def _encoder(path: str) -> ChunkEncoder:
-    if path not in _LOADED:
-        _LOADED[path] = ChunkEncoder(path)
-    return _LOADED[path]
+def _encoder(path: str, cache: int) -> ChunkEncoder:
+    if (path, cache) not in _LOADED:
+        _LOADED[path, cache] = ChunkEncoder(path, cache)
+    return _LOADED[path, cache]
 
 
-def _write(folder: str, tokenizer: str, end_id: int, percentile: float):
+def _write(folder: str, tokenizer: str, end_id: int, percentile: float, cache: int):
     def run(batches):
         encoder, writer = None, None
         for batch in batches:
             if writer is None:
-                encoder = _encoder(tokenizer)
+                encoder = _encoder(tokenizer, cache)
                 end = np.array([end_id], encoder.kind).tobytes()
                 # A name for each attempt: a repeated task never overwrites what an earlier one has reported.
                 path = f"{folder}/shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:8]}.pfor"
@@ -306,7 +307,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 2, percentile: float = 0.9, work: Workspace | None = None) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 2, percentile: float = 0.9, cache: int = CACHE, work: Workspace | None = None) -> DataFrame:
     """Writes token files of ascending doc_id to ``folder``; returns the manifest: shard, path, n_ids, n_docs, before.
 
     Rows are dealt by ranges of (doc_id, hash of the text) and sorted by these and the text, nulls first, so repeated ids
@@ -318,7 +319,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, *, doc_id: str =
     ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     ordered = ordered.withColumn("h", F.xxhash64("text")).repartitionByRange(partitions(docs.sparkSession), "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
     ordered = ordered.select("doc_id", "text")
-    files = work.write(ordered.mapInArrow(_write(folder, tokenizer, end_id, percentile), "shard int, path string, n_ids long, n_docs long"), "manifest")
+    files = work.write(ordered.mapInArrow(_write(folder, tokenizer, end_id, percentile, cache), "shard int, path string, n_ids long, n_docs long"), "manifest")
     # One row per file.
     before = F.coalesce(F.sum("n_ids").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return files.withColumn("before", before)
