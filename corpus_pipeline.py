@@ -50,8 +50,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files in ascending doc_id order; per document what is read back from them."""
-    return op2_token_blocks(spark, sf_dir, docs)
+    """Token files in ascending doc_id order; per document what is read back from them.  Workers hold other stages' memory too,
+    so caches are half as large."""
+    return op2_token_blocks(spark, sf_dir, docs, cache=60_000)
 
 
 STAGES = [("toxicity", toxicity), ("near duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("tokens", tokens)]
