@@ -215,3 +215,59 @@ cum AS (SELECT cell, sum(a) OVER () AS ta, sum(b) OVER () AS tb, sum(a) OVER (OR
 best AS (SELECT cell * 0.01::DOUBLE AS lim FROM cum WHERE ta > 0 AND tb > 0 ORDER BY kept / ta + (tb - let) / tb DESC, abs(cell) LIMIT 1)
 SELECT page_id, host, path, g.rule AS rule, coalesce(g.kind, CASE WHEN score >= coalesce((SELECT lim FROM best), 0) THEN 'allow' ELSE 'block' END) AS verdict FROM w
 """
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, proof and check, a third of the texts lower-cased before it: doc_id, leaf, subroot, root, proof_sha256, folded_root, verified."""
+    from pyspark.sql import functions as F
+
+    from .merkle import build_manifest
+
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.translate("text", capitals, capitals.lower()))
+    return build_manifest(spark.read.parquet(f"{sf_dir}/documents.parquet"), claims={"text": tampered}).verified().withColumnRenamed("key", "doc_id")
+
+
+QUERIES["op11_merkle_manifest"] = op11_merkle_manifest
+
+
+def _crc32(text: str) -> str:
+    """DuckDB's expression for the CRC-32 of a text of ASCII characters."""
+    step = "list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda a, b: xor(a >> 1, 3988292384 * (a & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda s: ord(s)::BIGINT)), lambda c, x: {step}), 4294967295)"
+
+
+_LEVELS = """
+{t}(lvl, g, i, w, d) AS (
+  SELECT 0, g, i, w, d FROM {leaves}
+  UNION ALL
+  SELECT lvl + 1, g, i // 8, (any_value(w) + 7) // 8, sha256(string_agg(d, '' ORDER BY i)) FROM {t} WHERE w > 1 GROUP BY lvl, g, i // 8)"""
+#: All proofs, level by level: the run's other nodes from the left, and the root so far of what is claimed.
+_FOLDS = """
+{f}(k, lvl, g, i, w, c, proof) AS (
+  SELECT k, 0, g, i, w, c, '' FROM {leaves}
+  UNION ALL
+  SELECT f.k, f.lvl + 1, f.g, f.i // 8, (f.w + 7) // 8, sha256(r.before[1:64 * (f.i % 8)] || f.c || r.before[64 * (f.i % 8 + 1) + 1:]),
+    f.proof || r.before[1:64 * (f.i % 8)] || r.before[64 * (f.i % 8 + 1) + 1:]
+  FROM {f} f JOIN {r} r ON r.lvl = f.lvl AND r.g = f.g AND r.run = f.i // 8 WHERE f.w > 1)"""
+_RUNS = "{r} AS (SELECT lvl, g, i // 8 AS run, string_agg(d, '' ORDER BY i) AS before FROM {t} WHERE w > 1 GROUP BY ALL)"
+_ROW = "sha256(" + " || ".join(f"coalesce(octet_length(encode({c}::VARCHAR))::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+
+ORACLES["op11_merkle_manifest"] = f"""
+WITH RECURSIVE h AS (
+  SELECT doc_id, lang, {_ROW.format(text="text")} AS d,
+    CASE WHEN {_crc32("doc_id::VARCHAR")} % 3 = 0 THEN {_ROW.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS claimed
+  FROM documents),
+p AS (SELECT *, dense_rank() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, d) - 1 AS i, count(*) OVER (PARTITION BY lang) AS w,
+    row_number() OVER () AS k, coalesce(claimed, d) AS c FROM h),
+{_LEVELS.format(t="t", leaves="p")},
+{_RUNS.format(r="r", t="t")},
+{_FOLDS.format(f="f", leaves="p", r="r")},
+s AS (SELECT 0 AS g, g AS i, (SELECT max(g) + 1 FROM p) AS w, d, g AS own FROM t WHERE w = 1),
+{_LEVELS.format(t="t2", leaves="s")},
+{_RUNS.format(r="r2", t="t2")},
+e AS (SELECT f.k, 0 AS g, f.g AS i, s.w, f.c, f.proof AS below FROM f JOIN s ON s.own = f.g WHERE f.w = 1),
+{_FOLDS.format(f="f2", leaves="e", r="r2")}
+SELECT p.doc_id, p.d AS leaf, s.d AS subroot, t2.d AS root, sha256(e.below || f2.proof) AS proof_sha256, f2.c AS folded_root, f2.c = t2.d AS verified
+FROM p JOIN s ON s.own = p.g JOIN t2 ON t2.w = 1 JOIN f2 ON f2.k = p.k AND f2.w = 1 JOIN e ON e.k = p.k
+"""
