@@ -271,3 +271,32 @@ e AS (SELECT f.k, 0 AS g, f.g AS i, s.w, f.c, f.proof AS below FROM f JOIN s ON
 SELECT p.doc_id, p.d AS leaf, s.d AS subroot, t2.d AS root, sha256(e.below || f2.proof) AS proof_sha256, f2.c AS folded_root, f2.c = t2.d AS verified
 FROM p JOIN s ON s.own = p.g JOIN t2 ON t2.w = 1 JOIN f2 ON f2.k = p.k AND f2.w = 1 JOIN e ON e.k = p.k
 """
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of all rebuilt conversations: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
+    from .trie import prefix_trie
+
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("node", "parent")
+
+
+QUERIES["op12_prefix_trie"] = op12_prefix_trie
+
+ORACLES["op12_prefix_trie"] = f"""
+WITH o AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT c, octet_length(encode(text)) AS b, sha256(octet_length(encode(role)) || ':' || role || text) AS t,
+    row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, sha256(octet_length(encode(role)) || ':' || role || text)) AS k FROM o),
+h AS (SELECT c, c - ((c % 5) + 5) % 5 AS base, {_crc32("c::VARCHAR")} % 9 AS h FROM (SELECT DISTINCT c FROM o)),
+r AS (SELECT h.c, n.k, n.b, n.t FROM h JOIN n ON n.c = h.base AND n.k <= h.h UNION ALL SELECT h.c, n.k, n.b, n.t FROM h JOIN n ON n.c = h.c AND n.k > h.h),
+q AS (SELECT c, b, t, row_number() OVER (PARTITION BY c ORDER BY k) AS d FROM r),
+m AS (SELECT c, CAST(d AS BIGINT) AS d, b, sha256(string_agg(t, ',') OVER (PARTITION BY c ORDER BY d)) AS node, sha256(string_agg(t, ',') OVER (PARTITION BY c ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS up FROM q
+  UNION ALL SELECT c, 0, 0, 'root', NULL FROM h),
+g AS (SELECT node, coalesce(any_value(up), CASE WHEN any_value(d) = 1 THEN 'root' END) AS up, any_value(d) AS d, any_value(b) AS b, min(c) AS conv_id, count(*) AS n FROM m GROUP BY node),
+k AS (SELECT up AS node, count(*) AS n_children FROM g WHERE up IS NOT NULL GROUP BY up),
+below AS (SELECT DISTINCT v.node, u.node AS under FROM m v JOIN m u ON u.c = v.c AND u.d >= v.d),
+s AS (SELECT below.node, CAST(sum((g.n - 1) * g.b) AS BIGINT) AS saved_tokens, count(*) FILTER (WHERE k.node IS NULL) AS n_leaves FROM below JOIN g ON g.node = below.under LEFT JOIN k ON k.node = g.node GROUP BY below.node),
+l AS (SELECT c, arg_max(node, d) AS node FROM m GROUP BY c),
+e AS (SELECT node, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS ends_sha256 FROM l GROUP BY node)
+SELECT g.conv_id, g.d AS depth, p.conv_id AS parent_conv_id, g.n AS n_convs, coalesce(k.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens, coalesce(e.ends_sha256, sha256('')) AS ends_sha256
+FROM g LEFT JOIN g p ON p.node = g.up LEFT JOIN k ON k.node = g.node JOIN s ON s.node = g.node LEFT JOIN e ON e.node = g.node
+"""
