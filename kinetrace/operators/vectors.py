@@ -9,6 +9,8 @@ from pyspark.sql.window import Window as W
 from kinetrace.functions.common import must
 from kinetrace.schema import Slice
 
+from .blocks import placed
+
 
 def sliced(column: Column, start: int, end: int) -> Column:
     return F.slice(column, start + 1, end - start)
@@ -97,10 +99,10 @@ def flat(df: DataFrame) -> DataFrame:
 def reindexed(df: DataFrame, episode: str = "episode", frame: str = "frame") -> DataFrame:
     """Adds new_episode, new_frame and new_index, counted from 0.
 
-    Episodes are ranked over their distinct ids, a table of one row per episode; the row index adds each episode's
-    start, so no window sees all frames.
+    Episodes get their places and starts from ranges of their ids (``placed``), a table of one row per episode; the row index
+    adds each episode's start, so no window sees all frames or all episodes.
     """
     sizes = df.groupBy(episode).agg(F.count("*").alias("n_"))
-    ranked = sizes.select(F.col(episode).alias("e_"), (F.row_number().over(W.orderBy(episode)) - 1).alias("new_episode"), F.coalesce(F.sum("n_").over(W.orderBy(episode).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start_"))
+    ranked = placed(sizes, [episode], name="new_episode", sums={"start_": "n_"}).withColumnRenamed(episode, "e_").drop("n_")
     out = df.join(ranked, F.col(episode) == F.col("e_")).withColumn("new_frame", F.row_number().over(W.partitionBy(episode).orderBy(frame)) - 1)
     return out.withColumn("new_index", F.col("start_") + F.col("new_frame")).drop("e_", "start_")

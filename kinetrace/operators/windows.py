@@ -8,12 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .blocks import block_of, carried, haloed, placed
 
-def frames(episode: str = "episode", frame: str = "frame"):
-    return W.partitionBy(episode).orderBy(frame)
 
+def within(episode: str | Sequence[str]):
+    """Windows over an episode, or over what several keys tell apart."""
+    return W.partitionBy(*([episode] if isinstance(episode, str) else episode))
 
-def gathered(value: Column | str, offsets: Sequence[int], *, pad: bool = False, episode: str = "episode", frame: str = "frame") -> Column:
+
+def frames(episode: str | Sequence[str] = "episode", frame: str = "frame"):
+    return within(episode).orderBy(frame)
+
+
+def gathered(value: Column | str, offsets: Sequence[int], *, pad: bool = False, episode: str | Sequence[str] = "episode", frame: str = "frame") -> Column:
     """Array of a value at anchor + offset.
 
     A place outside the episode is null; with pad, it is the episode's first or last value.  Up to four offsets become
@@ -25,7 +32,7 @@ def gathered(value: Column | str, offsets: Sequence[int], *, pad: bool = False,
         whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
         first, last = F.first(value).over(whole), F.last(value).over(whole)
         at = F.row_number().over(w) - 1
-        n = F.count(F.lit(1)).over(W.partitionBy(episode))
+        n = F.count(F.lit(1)).over(within(episode))
         out = []
         for d in offsets:
             got = F.lead(value, d).over(w) if d >= 0 else F.lag(value, -d).over(w)
@@ -35,7 +42,7 @@ def gathered(value: Column | str, offsets: Sequence[int], *, pad: bool = False,
     # Structs keep nulls, which collect_list drops.
     held = F.collect_list(F.struct(value.alias("v"))).over(w.rowsBetween(low, high))
     before = F.row_number().over(w) - 1
-    n = F.count(F.lit(1)).over(W.partitionBy(episode))
+    n = F.count(F.lit(1)).over(within(episode))
     first = F.greatest(F.lit(low), -before)
     whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     head, tail = F.first(value).over(whole), F.last(value).over(whole)
@@ -45,12 +52,20 @@ def gathered(value: Column | str, offsets: Sequence[int], *, pad: bool = False,
     return F.transform(places, lambda d: F.when((before + d >= 0) & (before + d < n), F.get(held, (d - first).cast("int"))["v"]))
 
 
-def chunked(df: DataFrame, value: Column | str, offsets: Sequence[int], *, name: str = "chunk", pad: bool = False, episode: str = "episode", frame: str = "frame") -> DataFrame:
-    """Anchors with their chunk: all anchors if padded, else those whose every offset lies in the episode."""
+def chunked(df: DataFrame, value: Column | str, offsets: Sequence[int], *, name: str = "chunk", pad: bool = False, episode: str | Sequence[str] = "episode", frame: str = "frame", block: int | None = None) -> DataFrame:
+    """Anchors with their chunk: all anchors if padded, else those whose every offset lies in the episode.
+
+    An episode is one task's, unless ``block`` is given: then it is cut in blocks of that many frames with halos as wide as the
+    offsets reach, so an episode may be of any length.  Frames must then be places from 0 without gaps.
+    """
+    if block is not None:
+        keys = [episode] if isinstance(episode, str) else list(episode)
+        rows = haloed(df, min(0, *offsets), max(0, *offsets), block, frame=frame)
+        return chunked(rows, value, offsets, name=name, pad=pad, episode=[*keys, "block_"], frame=frame).where("own_").drop("block_", "own_")
     out = df.withColumn(name, gathered(value, offsets, pad=pad, episode=episode, frame=frame))
     if pad:
         return out
-    n = F.count(F.lit(1)).over(W.partitionBy(episode))
+    n = F.count(F.lit(1)).over(within(episode))
     at = F.row_number().over(frames(episode, frame)) - 1
     return out.withColumn("at_", at).withColumn("n_", n).where((F.col("at_") + max(offsets) < F.col("n_")) & (F.col("at_") + min(offsets) >= 0)).drop("at_", "n_")
 
@@ -100,39 +115,58 @@ def history(df: DataFrame, value: str, offsets: Sequence[int], **names) -> DataF
     return chunked(df, value, history_offsets(offsets), pad=True, **names)
 
 
-def resampled(df: DataFrame, dt: float, *, start: float = 0.0, episode: str = "episode", time: str = "t", order: str = "frame") -> DataFrame:
+def resampled(df: DataFrame, dt: float, *, start: float = 0.0, episode: str = "episode", time: str = "t", order: str = "frame", block: int | None = None) -> DataFrame:
     """Fixed-rate resampling: each sample is given for the grid places from the next free one to its own.
 
     Gaps repeat the later sample, samples that share a place with an earlier one give none, places below 0 are skipped.
-    Adds grid (place) and grid_t.
+    Adds grid (place) and grid_t.  With ``block``, an episode is cut in blocks of that many frames, each of which starts where
+    those before have come to; ``order`` must then hold places from 0 without gaps.
     """
     place = F.floor((F.col(time) - start) / dt + 1e-5)
-    w = W.partitionBy(episode).orderBy(order)
-    out = df.withColumn("place_", place).withColumn("free_", F.greatest(F.coalesce(F.max("place_").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(-1)), F.lit(-1)) + 1)
+    out, keys, before = df.withColumn("place_", place), [episode], F.lit(-1)
+    if block is not None:
+        out = carried(out.withColumn("block_", block_of(order, block)), {"top_": (F.col("place_"), F.max)}, [episode])
+        keys, before = [episode, "block_"], F.coalesce("top_", F.lit(-1))
+    w = frames(keys, order).rowsBetween(W.unboundedPreceding, -1)
+    out = out.withColumn("free_", F.greatest(F.coalesce(F.max("place_").over(w), F.lit(-1)), before, F.lit(-1)) + 1)
     out = out.where(F.col("place_") >= F.col("free_")).withColumn("grid", F.explode(F.sequence("free_", "place_")))
-    return out.withColumn("grid_t", start + F.col("grid") * dt).drop("place_", "free_")
+    return out.withColumn("grid_t", start + F.col("grid") * dt).drop("place_", "free_", "block_", "top_")
 
 
 def straight(a: Column, b: Column, share: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x + share * (y - x))
 
 
-def interpolated(samples: DataFrame, times: DataFrame, *, episode: str = "episode", time: str = "t", value: str = "v", blend: Callable[[Column, Column, Column], Column] = straight) -> DataFrame:
+def interpolated(samples: DataFrame, times: DataFrame, *, episode: str = "episode", time: str = "t", value: str = "v", blend: Callable[[Column, Column, Column], Column] = straight, block: int | None = None) -> DataFrame:
     """Arrays at requested times (episode, at), blended from the samples on both sides: in a straight line by default.
 
     Times outside an episode's samples are errors, and so is an episode with fewer than two samples of ascending times.
-    Samples whose time doesn't exceed the largest before are dropped.  Both sides meet in one sort per episode.
+    Samples whose time doesn't exceed the largest before are dropped.  Both sides meet in one sort per episode; with ``block``,
+    in one of blocks of that many samples and times, each knowing the nearest samples of other blocks.
     """
-    w = W.partitionBy(episode).orderBy(time)
-    own = samples.withColumn("top_", F.max(time).over(W.partitionBy(episode).orderBy("frame").rowsBetween(W.unboundedPreceding, -1))).where(F.col("top_").isNull() | (F.col(time) > F.col("top_")))
+    own, keys = samples.withColumn("block_", block_of("frame", block) if block else F.lit(0)), [episode, "block_"]
+    top = F.max(time).over(frames(keys, "frame").rowsBetween(W.unboundedPreceding, -1))
+    if block:
+        own = carried(own, {"top_": (F.col(time), F.max)}, [episode])
+        top = F.greatest(top, F.col("top_"))
+    own = own.withColumn("so_far_", top).where(F.col("so_far_").isNull() | (F.col(time) > F.col("so_far_")))
     both = own.select(episode, F.col(time), F.struct(F.col(time).alias("t"), F.col(value).alias("v")).alias("s"), F.lit(False).alias("asked"))
     both = both.unionByName(times.select(episode, F.col("at").alias(time), F.lit(None).cast(both.schema["s"].dataType).alias("s"), F.lit(True).alias("asked")))
-    left = F.last("s", ignorenulls=True).over(w.rangeBetween(W.unboundedPreceding, 0))
-    right = F.first("s", ignorenulls=True).over(w.rangeBetween(0, W.unboundedFollowing))
-    n = F.count("s").over(W.partitionBy(episode))
-    out = both.select(episode, F.col(time).alias("at"), "asked", left.alias("l"), right.alias("r"), n.alias("n_")).where("asked")
+    both = placed(both, [time, "asked"], [episode], name="place_") if block else both.withColumn("place_", F.lit(None).cast("long"))
+    both = both.withColumn("block_", block_of("place_", block) if block else F.lit(0))
+    # A sample at the very time comes first, so it is the left one; then it is the right one too.
+    w = within(keys).orderBy(time, "asked")
+    left = F.last("s", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
+    right = F.first("s", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
+    if block:
+        here = F.when(~F.col("asked"), F.struct(F.col(time).alias("t"), F.col("s")))
+        both = carried(carried(both, {"l_": (here, F.max), "n_": (F.col("s").isNotNull().cast("long"), F.sum)}, [episode]), {"r_": (here, F.min), "m_": (F.col("s").isNotNull().cast("long"), F.sum)}, [episode], after=True)
+        left, right = F.coalesce(left, F.col("l_.s")), F.coalesce(right, F.col("r_.s"))
+    n = F.count("s").over(within(keys)) + (F.coalesce("n_", F.lit(0)) + F.coalesce("m_", F.lit(0)) if block else F.lit(0))
+    out = both.select(episode, F.col(time).alias("at"), "asked", left.alias("l"), right.alias("r"), n.alias("count_")).where("asked")
+    out = out.withColumn("r", F.when(F.col("l.t") == F.col("at"), F.col("l")).otherwise(F.col("r")))
     share = F.when(F.col("r.t") > F.col("l.t"), (F.col("at") - F.col("l.t")) / (F.col("r.t") - F.col("l.t"))).otherwise(0.0)
-    mixed = F.when(F.col("n_") < 2, F.raise_error(F.lit("interpolation needs two samples"))).when(F.col("l").isNull() | F.col("r").isNull(), F.raise_error(F.lit("a time outside the samples"))).otherwise(blend(F.col("l.v"), F.col("r.v"), share))
+    mixed = F.when(F.col("count_") < 2, F.raise_error(F.lit("interpolation needs two samples"))).when(F.col("l").isNull() | F.col("r").isNull(), F.raise_error(F.lit("a time outside the samples"))).otherwise(blend(F.col("l.v"), F.col("r.v"), share))
     return out.select(episode, "at", mixed.alias(value))
 
 

@@ -847,4 +847,4 @@ def crop_geometry(spark, sf):
 
 
 # The other modules of queries register theirs.
-from . import datasets, processing  # noqa: E402, F401
+from . import datasets, endless, processing  # noqa: E402, F401
