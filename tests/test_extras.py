@@ -74,15 +74,46 @@ def test_shard_plan_is_the_greedy_one(spark):
     assert sum(sums) == len(rows) and [r.shard for r in blocked.orderBy("shard").collect()] == list(range(len(sums)))
 
 
-def test_percentiles_of_large_and_odd_groups(spark):
+@pytest.mark.parametrize(("counted", "held"), [(False, 1_000_000), (False, 50), (None, 0)])
+def test_percentiles_of_large_and_odd_groups(spark, monkeypatch, counted, held):
+    monkeypatch.setattr(stats, "HELD", held)
     rng = np.random.default_rng(0)
-    groups = {"spread": rng.normal(size=30_000), "outlier": np.append(rng.normal(size=20_000), 1e12), "ties": np.repeat([1.0, 2.0, 3.0], [9000, 50, 9000]), "few": rng.normal(size=7), "one": np.array([4.0]), "same": np.full(6000, 2.5)}
+    groups = {"spread": rng.normal(size=30_000), "outlier": np.append(rng.normal(size=20_000), 1e12), "ties": np.repeat([1.0, 2.0, 3.0], [9000, 50, 9000]), "few": rng.normal(size=7), "one": np.array([4.0]), "same": np.full(6000, 2.5), "signs": np.concatenate([-(10.0 ** rng.uniform(-300, 300, 3000)), np.zeros(900), 10.0 ** rng.uniform(-300, 300, 3000)]), None: rng.uniform(1.0, 1.01, 5000)}
     df = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v] + [("few", None)], "g string, x double")
-    got = {r.g: r for r in stats.summarised(df, ["g"], "x", (0.0, 0.01, 0.5, 0.98, 1.0)).collect()}
+    got = {r.g: r for r in stats.summarised(df, ["g"], "x", (0.0, 0.01, 0.5, 0.98, 1.0), counted=counted).collect()}
     for k, v in groups.items():
         want = np.percentile(v, [0, 1, 50, 98, 100])
         assert [got[k][n] for n in ("q00", "q01", "q50", "q98", "q100")] == pytest.approx(want, rel=1e-9), k
-        assert got[k]["mean"] == pytest.approx(v.mean()) and got[k]["std"] == pytest.approx(v.std(), abs=1e-9)
+        if k != "signs":
+            assert got[k]["mean"] == pytest.approx(v.mean()) and got[k]["std"] == pytest.approx(v.std(), abs=1e-9)
+
+
+def test_percentiles_of_infinite_values(spark):
+    df = spark.createDataFrame([(x,) for x in [float("-inf")] * 3 + [float(i) for i in range(94)] + [float("inf")] * 4], "x double")
+    got = stats.ranked_percentiles(df.selectExpr("1 as g", "x"), ["g"], "x", (0.0, 0.01, 0.5, 0.99, 1.0)).first()
+    assert tuple(got)[1:] == (float("-inf"), float("-inf"), 47.0, float("inf"), float("inf"))
+
+
+@pytest.mark.parametrize(("offsets", "reference"), [(range(6), "s"), ([-2, 0, 3], None), (range(2, 8, 2), None)])
+def test_temporal_statistics_of_marked_anchors(spark, offsets, reference):
+    """Selection and counts, blocks and whole episodes, against a loop over anchors."""
+    rng = np.random.default_rng(3)
+    rows = [(e, f, rng.normal(size=2).tolist(), rng.normal(size=2).tolist(), bool(rng.random() < 0.7)) for e, n in ((0, 90), (1, 8), (2, 2)) for f in range(n)]
+    df = spark.createDataFrame(rows, "episode int, frame long, a array<double>, s array<double>, ok boolean")
+    at = {(e, f): (np.array(a), np.array(s), ok) for e, f, a, s, ok in rows}
+    want = {}
+    for (e, f), (_, s, ok) in at.items():
+        if ok and all((e, f + d) in at for d in offsets):
+            for t, d in enumerate(offsets):
+                for dim in range(2):
+                    want.setdefault((t, dim), []).append(at[e, f + d][0][dim] - (s[dim] if reference else 0))
+    for counted, block in ((False, None), (True, None), (True, 16)):
+        got = {(r.t, r.dim): r for r in stats.temporal_stats(df, "a", offsets, reference=reference, anchors="ok", counted=counted, block=block).collect()}
+        assert got.keys() == want.keys()
+        for k, v in want.items():
+            assert [got[k]["mean"], got[k]["std"], got[k]["q01"], got[k]["q98"]] == pytest.approx([np.mean(v), np.std(v), np.percentile(v, 1), np.percentile(v, 98)])
+    plan = stats.temporal_stats(df, "a", offsets, reference=reference)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
 
 
 def test_splits_that_leave_nothing(spark):
