@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from kinetrace.schema import ENGAGED
+from kinetrace.schema import ENGAGED, RAW_ENGAGED, RAW_LINKED
 
 from .windows import gathered
 
@@ -51,6 +52,49 @@ def filter_kind(modality_keys: set[str], tag: str, features: set[str], terminal_
     return "terminal" if tag in terminal_tags and "next.done" in features else None
 
 
+@dataclass(frozen=True)
+class AnchorRule:
+    """Which anchors of a dataset count: ``kind`` is clutch, terminal or None, chosen from the dataset's own declarations.
+
+    clutch: over the offsets no side's link changes and some side is engaged (raw values of ``state``); terminal: the last
+    offset lies before the first ``done`` frame.  In every kind the last offset lies in the episode: its rows, or its nominal
+    length if that is less.
+    """
+
+    kind: str | None
+    offsets: tuple[int, ...]
+    state: str = "observation.state"
+    done: str = "next.done"
+
+    @classmethod
+    def of(cls, dataset, tag: str, offsets: Sequence[int]) -> AnchorRule:
+        """The rule of a dataset directory, from its modality and feature declarations and its robot's tag."""
+        keys = {k for m in ("state", "action") for k in dataset.modality.get(m, {})}
+        return cls(filter_kind(keys, tag, set(dataset.info.get("features", {}))), tuple(offsets))
+
+    def columns(self) -> list[str]:
+        """What it reads of a frame beside episode, frame and length."""
+        return {"clutch": [self.state], "terminal": [self.done]}.get(self.kind, [])
+
+    def marked(self, frames: DataFrame, *, name: str = "anchor", episode: str = "episode", frame: str = "frame", length: str | None = None) -> DataFrame:
+        """Adds a boolean column: all rules share one sort of each episode."""
+        w, far = W.partitionBy(episode), max(self.offsets)
+        rows = F.count(F.lit(1)).over(w)
+        n = F.least(rows, F.col(length)) if length else rows
+        keep = F.col(frame) + far < n
+        if self.kind == "terminal":
+            first = F.min(F.when(F.col(f"`{self.done}`"), F.col(frame))).over(w)
+            keep = keep & (first.isNull() | (F.col(frame) + far < first))
+        if self.kind == "clutch":
+            raw = lambda i: F.col(f"`{self.state}`")[i]
+            on = (raw(RAW_ENGAGED["left"]) != 0) | (raw(RAW_ENGAGED["right"]) != 0)
+            seen = gathered(F.struct(raw(RAW_LINKED["left"]).alias("left"), raw(RAW_LINKED["right"]).alias("right"), on.alias("on")), self.offsets, episode=episode, frame=frame)
+            frames = frames.withColumn("seen_", seen)
+            same = lambda side: F.size(F.array_distinct(F.transform("seen_", lambda x: x[side]))) == 1
+            keep = keep & same("left") & same("right") & F.exists("seen_", lambda x: F.coalesce(x["on"], F.lit(False)))
+        return frames.withColumn(name, keep).drop("seen_")
+
+
 def parse_ranges(spec: str) -> list[tuple[int, int]]:
     """a:b, a-b and n, separated by commas or blanks; ends are included."""
     out = []

@@ -60,6 +60,19 @@ def dataset_sparse(spark, sf):
     return data.sparse(need, clamp=True).select(F.col("episode_index").alias("episode"), F.col("frame_index").alias("frame"), (F.col("`observation.state`")[1] * 0).alias("zero"))
 
 
+@query("""
+a AS (SELECT episode, frame, length FROM ep WHERE episode % 7 = 3 AND frame % 5 = 2),
+w AS (SELECT DISTINCT episode, greatest(least(frame + d, length - 1), 0) AS frame FROM a, (SELECT unnest([-3, 0, 8]) AS d))
+----SELECT w.episode, w.frame, round(value, 6) + 0.0 AS value FROM w JOIN ep ON ep.episode = w.episode AND ep.frame = w.frame
+""", EVENTS)
+def dataset_shard_frames(spark, sf):
+    """What the anchors of one shard see, read from the files and row groups that hold it."""
+    data = written(spark, sf)
+    plan = events(spark, sf).where("frame % 5 = 2").select("episode", "frame", (F.col("episode") % 7).cast("int").alias("shard"))
+    out = data.shard_frames(plan, 3, [-3, 0, 8], columns=["action"])
+    return out.select(F.col("episode_index").alias("episode"), F.col("frame_index").alias("frame"), r6(F.col("action")[0]).alias("value"))
+
+
 @query("SELECT CAST(count(DISTINCT episode) AS BIGINT) AS total_episodes, CAST(count(*) AS BIGINT) AS total_frames, CAST(count(DISTINCT kind) AS BIGINT) AS total_tasks, CAST(ceil(count(DISTINCT episode) / 100) AS BIGINT) AS total_chunks FROM ep", EVENTS)
 def dataset_totals(spark, sf):
     totals = written(spark, sf).totals()

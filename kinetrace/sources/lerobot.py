@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import bisect
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from kinetrace.operators.filters import check_frames
-from kinetrace.operators.joins import gather_frames
 from kinetrace.operators.vectors import select_slices
 from kinetrace.schema import Slice
 
+from .storage import filesystem
+
 EPISODES = "episode_index long, tasks array<string>, length long, sub_tasks array<struct<start: long, end: long, text: string>>"
 TASKS = "task_index long, task string"
 #: File names of the layout.
@@ -27,6 +33,54 @@ def read_json(spark: SparkSession, path: str) -> dict | None:
     return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
+#: Frames of an episode that are asked for together.
+SPARSE_BLOCK = 4096
+
+
+def overlapping(metadata, frames: Sequence[int]) -> list[int]:
+    """Row groups of a Parquet file that may hold some of the (ascending) frames; all that don't say what they hold."""
+    names = [metadata.schema.column(i).path for i in range(metadata.num_columns)]
+    at, out = names.index("frame_index"), []
+    for g in range(metadata.num_row_groups):
+        held = metadata.row_group(g).column(at).statistics
+        if held is None or not held.has_min_max:
+            out.append(g)
+            continue
+        i = bisect.bisect_left(frames, held.min)
+        if i < len(frames) and frames[i] <= held.max:
+            out.append(g)
+    return out
+
+
+def _read_frames(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of units (path, episode_index, frames), sorted by path, the rows of those frames."""
+
+    def run(batches):
+        opened, source, file = None, None, None
+        for batch in batches:
+            for path, episode, frames in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if path != opened:
+                    if source is not None:
+                        source.close()
+                    fs, bare = filesystem(path)
+                    source = fs.open_input_file(bare)
+                    opened, file = path, pq.ParquetFile(source)
+                there, found = [n for n in names if n in file.schema_arrow.names], set()
+                for g in overlapping(file.metadata, frames):
+                    table = file.read_row_group(g, columns=list(dict.fromkeys([*there, "frame_index"])))
+                    table = table.filter(pc.is_in(table["frame_index"], pa.array(frames, table["frame_index"].type)))
+                    found.update(table["frame_index"].to_pylist())
+                    if "episode_index" not in there:
+                        table = table.append_column("episode_index", pa.array([episode] * table.num_rows, pa.int64()))
+                    yield from table.select(names).rename_columns([f"c{i}" for i in range(len(names))]).to_batches(max_chunksize=1024)
+                if missing := sorted(set(frames) - found):
+                    raise ValueError(f"{path} lacks the frames {missing[:5]}, which its episode's length promises")
+        if source is not None:
+            source.close()
+
+    return run
+
+
 class TrajectoryDataset:
     """A dataset directory: metadata on the driver, frames and episodes as DataFrames."""
 
@@ -81,12 +135,44 @@ class TrajectoryDataset:
                 df = select_slices(df, self.slices(name), default, name)
         return df
 
-    def sparse(self, needed: DataFrame, clamp: bool = False) -> DataFrame:
-        """Only the (episode_index, frame_index) that are needed; one outside its episode is an error, or with ``clamp``
-        the frame next to it."""
-        frames = self.bounded_frames()
-        lengths = frames.groupBy("episode_index").agg((F.max("frame_index") + 1).alias("length"))
-        return gather_frames(frames, check_frames(needed, lengths, "episode_index", "frame_index", clamp=clamp), "episode_index", "frame_index")
+    def sparse(self, needed: DataFrame, clamp: bool = False, columns: Sequence[str] | None = None) -> DataFrame:
+        """Only the (episode_index, frame_index) that are needed, with all columns or some, and the episode's tasks; a frame
+        outside its episode is an error, or with ``clamp`` the one next to it.
+
+        Nothing but what is asked for is opened: lengths are those of the metadata, wanted frames become files and ranges of
+        frames, and executors read of each file the row groups that the ranges meet.  A file is one task's; an episode's
+        frames are asked for in blocks, so a list of them is bounded.
+        """
+        wanted = check_frames(needed.select("episode_index", "frame_index").distinct(), self.lengths(), "episode_index", "frame_index", clamp=clamp)
+        block = F.floor(F.col("frame_index") / SPARSE_BLOCK).alias("block")
+        units = wanted.groupBy("episode_index", block).agg(F.sort_array(F.collect_set("frame_index")).alias("frames"))
+        units = units.withColumn("path", self._path(self.info["data_path"], F.col("episode_index"), ""))
+        fields = self._frame_schema()
+        if columns is not None:
+            names = dict.fromkeys(["episode_index", "frame_index", *columns])
+            fields = StructType([f for f in fields if f.name in names])
+        parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        dealt = units.repartition(parts, "path").sortWithinPartitions("path", "block").select("path", "episode_index", "frames")
+        # Arrow functions of Spark don't take dots in column names.
+        plain = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)])
+        rows = dealt.mapInArrow(_read_frames([f.name for f in fields]), plain).toDF(*[f.name for f in fields])
+        own = self.episodes.withColumnRenamed("episode_index", "e_")
+        return rows.join(own, F.col("episode_index") == F.col("e_")).drop("e_")
+
+    def _frame_schema(self) -> StructType:
+        """Of one file, that of an episode of the metadata; episode_index is added where files lack it."""
+        first = self.episodes.select("episode_index").first()
+        if first is None:
+            raise ValueError(f"{self.root} has no episodes")
+        fields = self.spark.read.parquet(self.episode_path(first[0])).schema
+        return fields if "episode_index" in fields.names else fields.add("episode_index", "long")
+
+    def shard_frames(self, plan: DataFrame, shard: int, offsets: Sequence[int], columns: Sequence[str] | None = None) -> DataFrame:
+        """The frames that a shard's anchors (episode, frame, shard) see at some offsets, and no others; places beyond an
+        episode's ends stand for its first and last frame."""
+        anchors = plan.where(F.col("shard") == shard).select(F.col("episode").alias("episode_index"), F.col("frame").alias("frame_index"))
+        seen = anchors.select("episode_index", F.explode(F.array(*[F.col("frame_index") + d for d in offsets])).alias("frame_index"))
+        return self.sparse(seen, clamp=True, columns=columns)
 
     def lengths(self) -> DataFrame:
         return self.episodes.select("episode_index", "length")

@@ -58,6 +58,10 @@ def write_temporal_stats(spark: SparkSession, path: str, stats: dict, dataset: s
     write_json(spark, stats if dataset is None else {**(read_json(spark, path) or {}), dataset: stats}, path)
 
 
+#: Frames of a row group, the least that a sparse load reads of an episode.
+ROW_GROUP = 4096
+
+
 def write_episode_files(frames: DataFrame, root: str, chunks_size: int = 1000) -> int:
     """data/chunk-000/episode_000000.parquet and so on: one file an episode, in order of frames; returns their number.
 
@@ -75,7 +79,7 @@ def write_episode_files(frames: DataFrame, root: str, chunks_size: int = 1000) -
         fs, base = filesystem(root)
         folder = f"{base.rstrip('/')}/data/chunk-{episode // chunks_size:03d}"
         fs.create_dir(folder, recursive=True)
-        pq.write_table(table.rename_columns(names).sort_by("frame_index"), f"{folder}/episode_{episode:06d}.parquet", filesystem=fs)
+        pq.write_table(table.rename_columns(names).sort_by("frame_index"), f"{folder}/episode_{episode:06d}.parquet", filesystem=fs, row_group_size=ROW_GROUP)
         return pa.table({"episode": pa.array([episode], pa.int64()), "rows": pa.array([table.num_rows], pa.int64())})
 
     return frames.toDF(*plain_names).groupBy(plain_names[names.index("episode_index")]).applyInArrow(one, "episode long, rows long").count()
