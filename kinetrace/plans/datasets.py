@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from kinetrace.operators import joins, sharding, stats
 from kinetrace.sources import lerobot, shards, sinks
@@ -189,30 +190,81 @@ def shard_samples(spark, sf):
 # -- streams ---------------------------------------------------------------------------------------------------------
 
 
-def _stream(spark, df: DataFrame, files: int, order: str) -> DataFrame:
-    """A stream over files of df, in order, a file a micro-batch."""
+def _stream(spark, df: DataFrame, files: int, time: str = "ts") -> DataFrame:
+    """A stream over files of df, in order of time, a file a micro-batch."""
     path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
-    part = F.floor(F.col(order) * files / (F.lit(1) + F.lit(df.agg(F.max(order)).first()[0])))
+    at = F.unix_micros(time)
+    low, high = df.agg(F.min(at), F.max(at)).first()
+    part = F.floor((at - low) * files / (high - low + 1))
     for i in range(files):
         df.where(part == i).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def _stamped(spark, sf) -> DataFrame:
+    """Events with their time: ts, user_id, event_id and the episode's columns."""
+    raw = spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    placed = raw.withColumn("place", F.row_number().over(w) - 1)
+    return events(spark, sf).join(placed, (F.col("episode") == F.col("user_id")) & (F.col("frame") == F.col("place")))
+
+
+_STAMPED = """
+st AS (SELECT user_id AS episode, event_id, ts, row_number() OVER w - 1 AS frame, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""
+
+
 @query("""
-g AS (SELECT *, CAST(floor(t / 7200 + 1e-5) AS BIGINT) AS gi FROM ep),
-n AS (SELECT *, greatest(coalesce(max(gi) OVER (PARTITION BY episode ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1), -1) + 1 AS free FROM g)
+g AS (SELECT ep.*, gap, CAST(floor(t / 7200 + 1e-5) AS BIGINT) AS gi FROM ep JOIN st ON st.episode = ep.episode AND st.frame = ep.frame),
+n AS (SELECT *, CASE WHEN gap > 86400000000 THEN gi ELSE greatest(coalesce(max(gi) OVER (PARTITION BY episode ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1), -1) + 1 END AS free FROM g)
 ----SELECT episode, frame, unnest(generate_series(free, gi)) AS grid FROM n WHERE gi >= free
-""", EVENTS)
+""", EVENTS, _STAMPED)
 def resample_stream(spark, sf):
-    stream = _stream(spark, events(spark, sf).select("episode", "frame", "t"), 3, "frame")
-    return streams.drained(streams.resample_stream(stream, 7200.0), f"resampled_{uuid.uuid4().hex[:8]}").select("episode", "frame", "grid")
+    """Silences of more than a day are not filled, and end an episode's state."""
+    stream = _stream(spark, _stamped(spark, sf).select("episode", "frame", "t", "ts"), 3)
+    return streams.drained(streams.resample_stream(stream, 7200.0, late="1 hour", idle="1 day"), f"resampled_{uuid.uuid4().hex[:8]}").select("episode", "frame", "grid")
 
 
 @query("""
-s AS (SELECT episode AS env, frame, value, kind = 'purchase' AS success, done, coalesce(sum(CAST(done AS INTEGER)) OVER (PARTITION BY episode ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rollout FROM ep)
-----SELECT env, CAST(rollout AS BIGINT) AS rollout, CAST(count(*) AS BIGINT) AS length, round(sum(value), 4) AS reward, bool_or(success) AS success FROM s GROUP BY env, rollout HAVING bool_or(done)
-""", EVENTS)
+s AS (SELECT ep.episode AS env, ep.frame, ts, value, kind = 'purchase' AS success, done, coalesce(gap > 86400000000, false) AS silent FROM ep JOIN st ON st.episode = ep.episode AND st.frame = ep.frame),
+e AS (SELECT *, sum(CAST(silent AS INTEGER)) OVER w AS era, coalesce(lag(done) OVER w, true) OR silent AS fresh FROM s WINDOW w AS (PARTITION BY env ORDER BY frame)),
+p AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY env ORDER BY frame) AS part FROM e),
+r AS (SELECT env, era, part, count(*) AS length, sum(value) AS reward, bool_or(success) AS success, NOT bool_or(done) AS cut, max(ts) AS last FROM p GROUP BY ALL),
+l AS (SELECT *, row_number() OVER (PARTITION BY env, era ORDER BY part) - 1 AS rollout, lead(env) OVER (PARTITION BY env ORDER BY part) AS more FROM r)
+----SELECT env, CAST(rollout AS BIGINT) AS rollout, CAST(length AS BIGINT) AS length, round(reward, 4) AS reward, success, cut FROM l WHERE NOT cut OR more IS NOT NULL OR epoch_us(last) + 86400001000 < (SELECT max(epoch_us(ts)) - 3600000000 FROM events)
+""", EVENTS, _STAMPED)
 def rollout_stream(spark, sf):
-    steps = events(spark, sf).select(F.col("episode").alias("env"), F.col("frame").alias("step"), F.col("value").alias("reward"), (F.col("kind") == "purchase").alias("success"), "done")
-    out = streams.drained(streams.rollout_stream(_stream(spark, steps, 3, "step")), f"rollouts_{uuid.uuid4().hex[:8]}")
+    """A day of silence cuts a rollout."""
+    steps = _stamped(spark, sf).select(F.col("episode").alias("env"), F.col("frame").alias("step"), F.col("value").alias("reward"), (F.col("kind") == "purchase").alias("success"), "done", "ts")
+    out = streams.drained(streams.rollout_stream(_stream(spark, steps, 3), late="1 hour", idle="1 day"), f"rollouts_{uuid.uuid4().hex[:8]}")
     return out.withColumn("reward", F.round("reward", 4))
+
+
+_SEGMENTS = """
+b AS (SELECT user_id AS device, event_id AS row, ts, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+sg AS (SELECT *, last_value(CASE WHEN gap IS NULL OR gap > 43200000000 THEN epoch_us(ts) END IGNORE NULLS) OVER (PARTITION BY device ORDER BY ts, row ROWS UNBOUNDED PRECEDING) AS start FROM b)"""
+
+
+def _raw(spark, sf) -> DataFrame:
+    return spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").alias("device"), F.col("event_id").alias("row"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+_NUMBERED = "SELECT device, row, start, row_number() OVER (PARTITION BY device, start ORDER BY ts, row) - 1 AS frame FROM sg"
+
+
+@query(_NUMBERED, _SEGMENTS)
+def segmented_frames(spark, sf):
+    """Events of a user cut into episodes by half a day of silence."""
+    return streams.segmented(_raw(spark, sf), "12 hours", order=["row"]).select("device", "row", F.unix_micros("start").alias("start"), "frame")
+
+
+@query(_NUMBERED, _SEGMENTS)
+def segment_stream(spark, sf):
+    """The same, numbered as they come."""
+    out = streams.drained(streams.segment_stream(_stream(spark, _raw(spark, sf), 3), "12 hours", late="1 hour"), f"segments_{uuid.uuid4().hex[:8]}")
+    return out.select("device", "row", F.unix_micros("start").alias("start"), "frame")
+
+
+@query('SELECT device, start, max(epoch_us(ts)) AS "end", CAST(count(*) AS BIGINT) AS length FROM sg GROUP BY device, start', _SEGMENTS)
+def episode_windows(spark, sf):
+    out = streams.episode_windows(_raw(spark, sf), "12 hours")
+    return out.select("device", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "length")

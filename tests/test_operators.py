@@ -191,19 +191,3 @@ def test_stats_json(spark):
     df = spark.createDataFrame([([1.0, 2.0],), ([3.0, 4.0],)], "v array<double>")
     got = stats.stats_json(stats.flat_stats(df, {"v": "v"}))
     assert got["v"]["mean"] == [2.0, 3.0] and stats.valid_stats(got) and not stats.valid_stats({"v": {}})
-
-
-def test_streams(spark, tmp_path):
-    from kinetrace.streaming.frames import resample_stream, rollout_stream
-
-    src = f"{tmp_path}/in"
-    for i in range(2):
-        spark.createDataFrame([(0, 3 * i + j, 0.1 * (3 * i + j) * 2) for j in range(3)], "episode long, frame long, t double").coalesce(1).write.mode("append").parquet(src)
-    stream = resample_stream(spark.readStream.schema("episode long, frame long, t double").option("maxFilesPerTrigger", 1).parquet(src), 0.1)
-    q = stream.writeStream.format("memory").queryName("grid").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert sorted(r.grid for r in spark.table("grid").collect()) == list(range(11))
-    spark.createDataFrame([(0, i, 1.0, i == 1, i == 2) for i in range(4)], "env long, step long, reward double, success boolean, done boolean").coalesce(1).write.parquet(f"{tmp_path}/r")
-    q = rollout_stream(spark.readStream.schema("env long, step long, reward double, success boolean, done boolean").parquet(f"{tmp_path}/r")).writeStream.format("memory").queryName("rolls").outputMode("append").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert [tuple(r) for r in spark.table("rolls").collect()] == [(0, 0, 3, 3.0, True)]
