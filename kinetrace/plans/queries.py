@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -13,6 +15,8 @@ from kinetrace.functions import rotations as R
 from kinetrace.operators import actions as A
 from kinetrace.operators import filters, geometry, joins, merge, metrics, sharding, stats, vectors, windows
 from kinetrace.schema import Layout
+from kinetrace.sources import schedules
+from kinetrace.sources.storage import shared_folder
 
 from .registry import ORACLES, QUERIES, each, nums, query, r6
 from .views import EMBEDDINGS, EVENTS, ORDERS, embeddings, events, orders
@@ -732,6 +736,23 @@ def shard_schedule(spark, sf):
     return sharding.schedule(_datasets(spark, sf), 5000, seed=1, epoch=2)
 
 
+@query(_DATASETS + """,
+u AS (SELECT e AS epoch, i AS draw, (CAST(('0x' || substr(md5((5 + e) || ':' || i), 1, 12)) AS BIGINT) + 0.5) / 281474976710656 AS u FROM range(0, 3) f(e), range(0, 2000) r(i) WHERE e * 2000 + i < 4500),
+x AS (SELECT epoch, draw, arg_min(dataset, upto) AS dataset FROM u JOIN c ON u < upto OR last = 1 GROUP BY epoch, draw),
+k AS (SELECT epoch, draw, x.dataset, shards, row_number() OVER (PARTITION BY epoch, x.dataset ORDER BY draw) - 1 AS k FROM x JOIN d ON d.dataset = x.dataset),
+deck AS (SELECT epoch, dataset, cycle, s AS shard, row_number() OVER (PARTITION BY epoch, dataset, cycle ORDER BY CAST(('0x' || substr(md5((6 + epoch) || ':' || dataset || ':' || cycle || ':' || s), 1, 12)) AS BIGINT), s) - 1 AS turn
+  FROM (SELECT DISTINCT epoch, dataset, k // shards AS cycle, unnest(range(0, shards)) AS s FROM k))
+----SELECT CAST(k.epoch AS INTEGER) AS epoch, draw, k.dataset, CAST(deck.cycle AS INTEGER) AS cycle, CAST(deck.shard AS INTEGER) AS shard FROM k JOIN deck ON deck.epoch = k.epoch AND deck.dataset = k.dataset AND deck.cycle = k // shards AND deck.turn = k % shards
+""", EVENTS)
+def endless_schedule(spark, sf):
+    """A stream of draws, stopped and started again twice: 1500 draws each, over two ends of an epoch."""
+    path = f"{shared_folder(spark)}/schedule-{uuid.uuid4().hex[:12]}"
+    for _ in range(3):
+        stream = schedules.endless(spark, _datasets(spark, sf), f"{path}/progress.json", draws_per_epoch=2000, seed=5, batch=1500, partitions=2)
+        stream.writeStream.format("parquet").option("path", f"{path}/draws").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("epoch int, draw long, dataset string, cycle int, shard int").parquet(f"{path}/draws")
+
+
 @query(_DATASETS + "----SELECT row_number() OVER (ORDER BY dataset, s) - 1 AS draw, dataset, CAST(s AS INTEGER) AS shard FROM (SELECT dataset, unnest(range(0, shards)) AS s FROM d)", EVENTS)
 def evaluation_schedule(spark, sf):
     return sharding.evaluation_schedule(_datasets(spark, sf))

@@ -7,10 +7,11 @@ import enum
 import json
 from collections.abc import Sequence
 
-import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .episodes import EpisodeSink
 from .lerobot import RELATIVE, STATS, read_json
 from .storage import filesystem
 
@@ -58,41 +59,29 @@ def write_temporal_stats(spark: SparkSession, path: str, stats: dict, dataset: s
     write_json(spark, stats if dataset is None else {**(read_json(spark, path) or {}), dataset: stats}, path)
 
 
-#: Frames of a row group, the least that a sparse load reads of an episode.
-ROW_GROUP = 4096
-
-
 def write_episode_files(frames: DataFrame, root: str, chunks_size: int = 1000) -> int:
     """data/chunk-000/episode_000000.parquet and so on: one file an episode, in order of frames; returns their number.
 
-    Executors write the files under their final names, each an episode at a time; a task that runs again writes the same
-    file again.  Nothing passes through the driver.
+    Executors stream episodes into files of their attempt, so an episode may be longer than memory; all files appear at once
+    when the job commits, or none.  A root that holds data already is an error.
     """
-    names = frames.columns
-    # Grouped Arrow functions don't take dots in column names.
-    plain_names = [f"c{i}" for i in range(len(names))]
-
-    def one(key: tuple, table: pa.Table) -> pa.Table:
-        import pyarrow.parquet as pq
-
-        episode = key[0].as_py()
-        fs, base = filesystem(root)
-        folder = f"{base.rstrip('/')}/data/chunk-{episode // chunks_size:03d}"
-        fs.create_dir(folder, recursive=True)
-        pq.write_table(table.rename_columns(names).sort_by("frame_index"), f"{folder}/episode_{episode:06d}.parquet", filesystem=fs, row_group_size=ROW_GROUP)
-        return pa.table({"episode": pa.array([episode], pa.int64()), "rows": pa.array([table.num_rows], pa.int64())})
-
-    return frames.toDF(*plain_names).groupBy(plain_names[names.index("episode_index")]).applyInArrow(one, "episode long, rows long").count()
+    spark = frames.sparkSession
+    spark.dataSource.register(EpisodeSink)
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = frames.repartition(parts, "episode_index").sortWithinPartitions("episode_index", "frame_index")
+    dealt.write.format("trajectory_episodes").option("path", root).option("chunks_size", chunks_size).mode("append").save()
+    fs, base = filesystem(root)
+    return sum(1 for f in fs.get_file_info(pafs.FileSelector(f"{base.rstrip('/')}/data", recursive=True)) if f.is_file)
 
 
 def write_dataset(frames: DataFrame, episodes: DataFrame, tasks: DataFrame, info: dict, modality: dict, root: str) -> None:
-    """A file per episode, episode and task lines, and both declarations."""
+    """A file per episode, episode and task lines, and both declarations; the file that makes it a dataset comes last."""
     spark = frames.sparkSession
     write_episode_files(frames, root, int(info.get("chunks_size", 1000)))
     write_lines(episodes, f"{root}/meta/episodes.jsonl", "episode_index")
     write_lines(tasks, f"{root}/meta/tasks.jsonl", "task_index")
-    write_json(spark, info, f"{root}/meta/info.json")
     write_json(spark, modality, f"{root}/meta/modality.json")
+    write_json(spark, info, f"{root}/meta/info.json")
 
 
 def write_lines(df: DataFrame, path: str, order: str) -> None:
