@@ -868,4 +868,4 @@ def crop_geometry(spark, sf):
 
 
 # The other modules of queries register theirs.
-from . import datasets, endless, mixtures, processing  # noqa: E402, F401
+from . import audits, datasets, endless, mixtures, processing  # noqa: E402, F401
