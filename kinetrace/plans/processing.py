@@ -72,9 +72,31 @@ def normalised_joints(spark, sf):
     return _long(_processor().apply(_raw(spark, sf), "robot"), "action.joints")
 
 
-@query(_LATER + "SELECT vec_id, t, CAST(i AS INTEGER) AS i, round(greatest(least(((v[1 + i] - s[1 + i]) * 2 - (i + 1) * 0.01) / [0.5, 0.25, 0.125][i + 1], 5.0), -5.0), 6) + 0.0 AS x FROM c, range(0, 3) k(i)", EMBEDDINGS)
+def _matrix(v: str) -> str:
+    """SQL of the rotation matrix, row by row, of the quaternion that a vector holds behind its translation."""
+    x, y, z, w = (f"({v}[{i}] / sqrt({v}[4] * {v}[4] + {v}[5] * {v}[5] + {v}[6] * {v}[6] + {v}[7] * {v}[7]))" for i in range(4, 8))
+    return f"[1 - 2 * ({y} * {y} + {z} * {z}), 2 * ({x} * {y} - {z} * {w}), 2 * ({x} * {z} + {y} * {w}), 2 * ({x} * {y} + {z} * {w}), 1 - 2 * ({x} * {x} + {z} * {z}), 2 * ({y} * {z} - {x} * {w}), 2 * ({x} * {z} - {y} * {w}), 2 * ({y} * {z} + {x} * {w}), 1 - 2 * ({x} * {x} + {y} * {y})]"
+
+
+def _product(a: str, b: str, turned: bool = False) -> str:
+    """SQL of a product of matrices, the first of them transposed if asked for."""
+    at = lambda i, k: 3 * k + i + 1 if turned else 3 * i + k + 1
+    return "[" + ", ".join(" + ".join(f"{a}[{at(i, k)}] * {b}[{3 * k + j + 1}]" for k in range(3)) for i in range(3) for j in range(3)) + "]"
+
+
+#: The rotation against the anchor's, its angle doubled by the motion's scale; its first two columns, which are not normalised.
+_TURNED = _LATER.rpartition("----")[0].rstrip() + f""",
+rt AS (SELECT vec_id, t, {_matrix("s")} AS a, {_matrix("v")} AS b FROM c),
+rl AS (SELECT vec_id, t, {_product("a", "b", turned=True)} AS m FROM rt),
+tw AS (SELECT vec_id, t, {_product("m", "m")} AS m FROM rl)
+----"""
+
+
+@query(_TURNED + """SELECT vec_id, t, CAST(i AS INTEGER) AS i, round(greatest(least(((v[1 + i] - s[1 + i]) * 2 - (i + 1) * 0.01) / [0.5, 0.25, 0.125][i + 1], 5.0), -5.0), 6) + 0.0 AS x FROM c, range(0, 3) k(i)
+UNION ALL SELECT vec_id, t, CAST(3 + i AS INTEGER), round([m[1], m[4], m[7], m[2], m[5], m[8]][i + 1], 6) + 0.0 FROM tw, range(0, 6) k(i)""", EMBEDDINGS)
 def normalised_poses(spark, sf):
-    return _long(_processor().apply(_raw(spark, sf), "robot"), "action.pose").where("i < 3")
+    """Translations normalised, rotations as rot6d: all nine values of a relative pose."""
+    return _long(_processor().apply(_raw(spark, sf), "robot"), "action.pose")
 
 
 @query(_LATER + "SELECT vec_id, t, 0 AS i, round(2 * (v[31] + 1) / 3 - 1, 6) + 0.0 AS x FROM c", EMBEDDINGS)

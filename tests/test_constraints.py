@@ -52,7 +52,7 @@ def test_files_of_a_folder(spark, tmp_path):
         (tmp_path / "c" / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / f"c/{name}.json").write_text(json.dumps(value, indent=2))
     assert {r.file for r in read_files(spark, f"{tmp_path}/c").collect()} == set(FILES)
-    assert judged(facts(read_files(spark, f"{tmp_path}/c")), RULES).where("passed").count() == 7
+    assert judged(facts(read_files(spark, f"{tmp_path}/c")), RULES).where("passed").count() == 8
 
 
 def test_patterns():
