@@ -27,6 +27,14 @@ EVIDENCE = 25
 _RUN = re.compile(r"[^\W\d_]+")
 
 
+def letter_runs(text: str) -> list[str]:
+    """Runs of letters, as str.isalpha tells them: of numerals such as ½ and ② the pattern alone would take for letters none is one."""
+    runs = _RUN.findall(text)
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [w for run in runs for w in ("".join(c if c.isalpha() else " " for c in run).split() if not run.isalpha() else (run,))]
+
+
 def grams(word: str):
     text = f"^{word}$"
     for k in range(1, ORDER + 1):
@@ -55,7 +63,7 @@ def _counts(batches):
 
     for batch in batches:
         for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            for word in _RUN.findall((text.as_py() or "").lower()):
+            for word in letter_runs((text.as_py() or "").lower()):
                 seen[lang, word] = seen.get((lang, word), 0) + 1
             if len(seen) > 200_000:
                 yield from rows()
@@ -109,7 +117,7 @@ class Predictor(dict):
         self.waiting: list[list[int]] = []
 
     def __missing__(self, token: str) -> int:
-        parts = (token.lower(),) if token.isalpha() else _RUN.findall(token.lower())
+        parts = letter_runs(token.lower())
         place = 0
         if parts:
             rows = self.model.rows(parts[0])

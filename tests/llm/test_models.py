@@ -1,13 +1,18 @@
 """Language identification and toxicity: held-out accuracy, restoration and edge cases."""
 
 import itertools
+import math
+import random
+import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kinetrace.llm.langid import LETTERS, LanguageModel, Predictor, grams, identify
+from kinetrace.llm.langid import EVIDENCE, LETTERS, LanguageModel, Predictor, grams, identify, letter_runs
+from kinetrace.llm.queries import op8_language_id
 from kinetrace.llm.toxicity import _A, CharModel, Restorer, _char_counts, drop_toxic, fold, toxicity_scores
 
 SF = "/root/testdata/sf0.1"
@@ -35,6 +40,63 @@ def test_language_edges(spark):
     assert identify(spark.createDataFrame([], "doc_id long, text string, lang string")).collect() == []
 
 
+def brute_languages(rows):
+    """op8 by plain counting: fit on rows with a language that aren't held out, then word first, longest n-gram else."""
+    words = lambda text: re.findall(r"[a-zäöüñéß]+", text.lower())  # noqa: E731  the fixture's letters
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0
+    langs = sorted({lang for i, text, lang in rows if lang is not None and text is not None and words(text) and not held(i)})
+    counts = [{}, {}]
+    for i, text, lang in rows:
+        if lang is not None and text is not None and not held(i):
+            for word in words(text):
+                for kind, units in ((0, [word]), (1, grams(word))):
+                    for u in units:
+                        counts[kind].setdefault(u, dict.fromkeys(langs, 0))[lang] += 1
+    totals = [{lang: sum(c[lang] for c in own.values()) for lang in langs} for own in counts]
+    kept = [{u: c for u, c in own.items() if sum(c.values()) > 1} for own in counts]
+    log = lambda kind, u: np.array([math.log((kept[kind][u][x] + 0.5) / (totals[kind][x] + 0.5 * len(kept[kind]) + 1)) for x in langs])
+    out = []
+    for i, text, _ in rows:
+        tokens = [w for t in (text or "").split() if (w := words(t))]
+        total = np.zeros(len(langs))
+        for parts in tokens:
+            found = []
+            for word in parts:
+                if word in kept[0]:
+                    found.append(log(0, word))
+                    continue
+                framed = f"^{word}$"
+                for a in range(len(framed)):
+                    best = next((framed[a : a + k] for k in range(4, 0, -1) if framed[a : a + k] in kept[1]), None)
+                    found.append(log(1, best) if best else np.array([math.log(0.5 / (totals[1][x] + 1)) for x in langs]))
+            total += sum(found) * max(2.0, len(found) / LETTERS) / max(2.0, len(found))
+        if not tokens or not langs:
+            out.append((i, held(i), "und", 0.0))
+            continue
+        total *= min(1.0, EVIDENCE / len(tokens))
+        p = np.exp(total - total.max())
+        out.append((i, held(i), langs[int(total.argmax())], float(p.max() / p.sum())))
+    return sorted(out, key=str)
+
+
+def test_languages_of_a_table_equal_brute_force(spark, tmp_path):
+    rng = random.Random(6)
+    own = {"en": ["the", "and", "house", "running", "with"], "de": ["der", "und", "häuser", "laufend", "mit"], "es": ["el", "y", "año", "corriendo", "con"]}
+    rows = [(i, " ".join(rng.choice(own[lang]) + rng.choice(["", "", ",", "s", "-x", "7"]) for _ in range(rng.randrange(1, 60))), lang) for i in range(80) for lang in [rng.choice(list(own))]]
+    rows += [(900 + i, f"unseen{w} {w}", None) for i, w in enumerate(("housing", "läufer", "años", "zzz"))] + [(None, "the house", "en"), (5000, "", "de"), (5001, None, "en"), (5002, "12 !", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((tuple(r) for r in op8_language_id(spark, str(tmp_path)).collect()), key=str)
+    for (i, held, lang, score), want in zip(got, brute_languages(rows), strict=True):
+        assert (i, held, lang) == want[:3] and score == pytest.approx(want[3], abs=1e-4)
+
+
+def test_numerals_are_no_letters(spark):
+    assert letter_runs("½ ② ² a½b ⅷx é") == ["a", "b", "x", "é"]
+    rows = [(1, "the and", "en"), (2, "der und", "de"), (3, "½ ② ²", None), (4, "the½", None)]
+    got = {r.doc_id: r for r in identify(spark.createDataFrame(rows * 2, "doc_id long, text string, lang string")).collect()}
+    assert (got[3].lang_pred, got[3].score) == ("und", 0.0) and got[4].lang_pred == "en"
+
+
 def test_toxicity_accuracy(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = toxicity_scores(docs, labels).join(labels, "doc_id").where("held_out")
