@@ -97,6 +97,13 @@ def ramp_weights(overlap: int, frozen: int, rate: float) -> list[float]:
     return [0.0] * frozen + [(1 - math.exp(-rate * (i + 1) / (free + 1))) / top for i in range(free)]
 
 
+def ramped(old: Column, new: Column, frozen: int, rate: float, overlap: int) -> Column:
+    """The first ``overlap`` values of two chunks blended: the old one's while frozen, then more and more of the new one's."""
+    weights = F.array(*[F.lit(float(w)) for w in ramp_weights(overlap, frozen, rate)])
+    return F.transform(weights, lambda w, i: (1 - w) * F.get(old, i) + w * F.get(new, i))
+
+
+
 def latencies(runs: DataFrame, baseline: str, mode: str = "mode", seconds: str = "seconds", by: tuple[str, ...] = ()) -> DataFrame:
     """Median seconds of each mode, their rate, and how many times faster than the baseline mode they are."""
     own = runs.groupBy(*by, mode).agg(F.median(seconds).alias("median"), F.count("*").alias("runs")).withColumn("hz", 1 / F.col("median"))

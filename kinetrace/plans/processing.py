@@ -277,10 +277,15 @@ def open_loop_report(spark, sf):
     return _rounded(metrics.open_loop_report(df, "a", "p", "s"), "episode")
 
 
-@query("SELECT CAST(i AS INTEGER) AS step, round(CASE WHEN i < 4 THEN 0 ELSE (1 - exp(-3.0 * (i - 3) / 9)) / (1 - exp(-3.0)) END, 6) + 0.0 AS weight FROM range(0, 12) r(i)")
+@query("""
+w AS (SELECT i, CASE WHEN i < 4 THEN 0 ELSE (1 - exp(-3.0 * (i - 3) / 9)) / (1 - exp(-3.0)) END AS w FROM range(0, 12) r(i))
+----SELECT a.episode, a.frame, CAST(i AS INTEGER) AS t, round((1 - w) * b.k + w * b.value, 6) + 0.0 AS x FROM ep a JOIN w ON true JOIN ep b ON b.episode = a.episode AND b.frame = a.frame + i WHERE a.frame + 11 < a.length
+""", EVENTS)
 def ramp_weights(spark, sf):
-    rows = [(i, float(w)) for i, w in enumerate(metrics.ramp_weights(12, 4, 3.0))]
-    return spark.createDataFrame(rows, "step int, weight double").withColumn("weight", r6("weight"))
+    """Chunks of one signal that go over into those of another along the ramp."""
+    df = windows.contiguous(events(spark, sf).withColumn("pair", F.struct(F.col("k").cast("double").alias("old"), F.col("value").alias("new"))), "pair", 12)
+    x = metrics.ramped(F.transform("chunk", lambda p: p["old"]), F.transform("chunk", lambda p: p["new"]), 4, 3.0, 12)
+    return df.select("episode", "frame", F.posexplode(x).alias("t", "x")).withColumn("x", r6("x"))
 
 
 @query("SELECT vec_id, CAST(t AS INTEGER) AS t, round(v[t * 2 + 1], 6) + 0.0 AS pan, round(v[t * 2 + 2], 6) + 0.0 AS lift FROM em, range(0, 3) k(t)", EMBEDDINGS)
