@@ -28,8 +28,8 @@ def _moments(value: str) -> list[Column]:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Spark's estimate of df, the one by which it chooses broadcasts; large where it can't tell."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Spark's estimate of df from the sizes of the files that it reads; large where it can't tell."""
+    return int(df._jdf.queryExecution().analyzed().stats().sizeInBytes())
 
 
 #: Estimated bytes of input up to which counts of distinct values are held in memory, one pass for all.
@@ -180,14 +180,20 @@ def temporal_stats(frames: DataFrame, action: str, offsets: Sequence[int], *, ke
         chunks = stepped(own, "a_", offsets, anchors="valid_", block=block)
         return stats_over_chunks(chunks.select(joint_relative(F.col("chunk"), F.col("r_")).alias("chunk")), F.lit(key), "chunk", percentiles, counted=counted)
     keys, low, high = ["episode"], min(0, *offsets), max(0, *offsets)
-    if block is not None:
-        # A frame sees its anchors, and these whether their own horizon is whole.
-        own, keys = haloed(own, min(-high, low) + min(0, low - high), max(-low, high) + max(0, high - low), block), ["episode", "block_"]
-    w = W.partitionBy(*keys).orderBy("frame")
-    at = lambda c, d: F.lead(c, d).over(w) if d >= 0 else F.lag(c, -d).over(w)
-    own = own.withColumn("valid_", F.col("valid_") & at(F.lit(1), high).isNotNull() & at(F.lit(1), low).isNotNull())
-    own = own.withColumn("steps_", F.array(*[F.coalesce(at(F.col("valid_"), -d), F.lit(False)) for d in offsets]))
-    own = (own if block is None else own.where("own_")).select("a_", "steps_")
+    if block is None and anchors is None:
+        # Which anchors are whole follows from the frame's place and the episode's length.
+        n = F.count(F.lit(1)).over(W.partitionBy("episode"))
+        own = own.withColumn("n_", n).withColumn("steps_", F.array(*[(F.col("frame") - d + low >= 0) & (F.col("frame") - d + high < F.col("n_")) for d in offsets]))
+    else:
+        if block is not None:
+            # A frame sees its anchors, and these whether their own horizon is whole.
+            own, keys = haloed(own, min(-high, low) + min(0, low - high), max(-low, high) + max(0, high - low), block), ["episode", "block_"]
+        w = W.partitionBy(*keys).orderBy("frame")
+        at = lambda c, d: F.lead(c, d).over(w) if d >= 0 else F.lag(c, -d).over(w)
+        own = own.withColumn("valid_", F.col("valid_") & at(F.lit(1), high).isNotNull() & at(F.lit(1), low).isNotNull())
+        own = own.withColumn("steps_", F.array(*[F.coalesce(at(F.col("valid_"), -d), F.lit(False)) for d in offsets]))
+        own = own if block is None else own.where("own_")
+    own = own.select("a_", "steps_")
 
     def long(rows: DataFrame) -> DataFrame:
         counted = rows.select("a_", F.posexplode("steps_").alias("t", "on_")).where("on_")

@@ -107,6 +107,8 @@ def test_temporal_statistics_of_marked_anchors(spark, offsets, reference):
             for t, d in enumerate(offsets):
                 for dim in range(2):
                     want.setdefault((t, dim), []).append(at[e, f + d][0][dim] - (s[dim] if reference else 0))
+    plain = stats.temporal_stats(df.where("ok or true"), "a", offsets, reference=reference, counted=True).count()
+    assert plain == 2 * len(offsets)
     for counted, block in ((False, None), (True, None), (True, 16)):
         got = {(r.t, r.dim): r for r in stats.temporal_stats(df, "a", offsets, reference=reference, anchors="ok", counted=counted, block=block).collect()}
         assert got.keys() == want.keys()
