@@ -57,8 +57,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("near duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("tokens", tokens)]
 
-#: The first stage is a trained classifier, which SQL can't express.  The pipeline's test checks columns, counts and odd rows,
-#: not each stage against brute force; tests of op2, op3 and op4 do that for these operators on their own.
+#: The first stage is a trained classifier, which SQL can't express.  tests/llm/test_pipeline.py holds the other four stages
+#: against brute force on a fixture; of the first it checks that rows go by the score of the same fitted model.
 ORACLE_SQL = None
 
 

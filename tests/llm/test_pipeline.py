@@ -1,4 +1,5 @@
-"""The pipeline's stages: columns and counts, odd rows, and each against a brute-force version on a small fixture."""
+"""The pipeline's stages: columns and counts, odd rows, and on a small fixture each against brute force, but for toxicity: there
+rows are held against the scores of the same fitted model."""
 
 import random
 import re
