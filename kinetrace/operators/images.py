@@ -54,7 +54,7 @@ def random_crop(fraction: float = 0.9) -> Op:
     return run
 
 
-def _pad(a: np.ndarray, height: int, width: int) -> np.ndarray:
+def padded(a: np.ndarray, height: int, width: int) -> np.ndarray:
     """Black around an image, half before and the rest after."""
     up, left = height - a.shape[0], width - a.shape[1]
     return np.pad(a, [(up // 2, up - up // 2), (left // 2, left - left // 2), *[(0, 0)] * (a.ndim - 2)])
@@ -62,7 +62,7 @@ def _pad(a: np.ndarray, height: int, width: int) -> np.ndarray:
 
 def letterbox() -> Op:
     """Pads to a square."""
-    return lambda image, mask, _: _both(image, mask, lambda a: _pad(a, max(a.shape[:2]), max(a.shape[:2])))
+    return lambda image, mask, _: _both(image, mask, lambda a: padded(a, max(a.shape[:2]), max(a.shape[:2])))
 
 
 def _weights(n: int, m: int) -> np.ndarray:
@@ -94,7 +94,7 @@ def resize_pad(height: int, width: int) -> Op:
     def run(image, mask, _):
         scale = min(height / image.shape[0], width / image.shape[1])
         h, w = max(1, int(image.shape[0] * scale)), max(1, int(image.shape[1] * scale))
-        return _both(image, mask, lambda a: _pad(resized(a, h, w), height, width))
+        return _both(image, mask, lambda a: padded(resized(a, h, w), height, width))
 
     return run
 

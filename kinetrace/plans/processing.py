@@ -398,6 +398,33 @@ def masked_noise_pixels(spark, sf):
     return _sums(kept)
 
 
+@query(_IMAGES + "SELECT event_id, CAST(any_value(h) AS INTEGER) AS height, CAST(any_value(w) AS INTEGER) AS width, CAST(coalesce(sum(v) FILTER (WHERE x % 2 = 1), 0) AS BIGINT) AS total FROM p GROUP BY event_id")
+def tinted_pixels(spark, sf):
+    """A colour over the pixels that the mask names leaves the background; that is summed."""
+    tinted = images.transformed(_images(spark, sf), images.mask_tint([1], p=1.0))
+    kept = images.transformed(tinted, lambda image, mask, _: (image * (mask == 0)[..., None], mask))
+    return _sums(kept)
+
+
+@query(_CROPPED + "SELECT event_id, any_value(ch) AS height, any_value(cw) AS width, CAST(2 AS BIGINT) AS views, true AS alike FROM o GROUP BY event_id")
+def views_drawn_alike(spark, sf):
+    """Two views of a step, whose second has other pixels, are cropped at the same place: their difference stays what it was."""
+    one = _images(spark, sf)
+    two = images.transformed(one, lambda image, mask, _: (image ^ 255, mask)).withColumn("path", F.lit("other"))
+    both = images.transformed(one.unionByName(two), images.random_crop(0.6))
+    a, b = (both.where(F.col("path") == p).select("frame", "height", "width", F.col("image").alias(n)) for p, n in (("made", "a"), ("other", "b")))
+    turned = images.transformed(a.select(F.lit("turned").alias("path"), "frame", "height", "width", F.col("a").alias("image")), lambda image, mask, _: (image ^ 255, mask)).select("frame", F.col("image").alias("t"))
+    met = a.join(b.drop("height", "width"), "frame").join(turned, "frame")
+    return met.select(F.col("frame").alias("event_id"), "height", "width", F.lit(2).cast("long").alias("views"), (F.col("b") == F.col("t")).alias("alike"))
+
+
+@query(_IMAGES + "SELECT event_id, CAST(20 AS INTEGER) AS height, CAST(24 AS INTEGER) AS width, CAST(sum(v) AS BIGINT) AS total FROM p GROUP BY event_id")
+def padded_pixels(spark, sf):
+    """Scaled to fit and padded: of images padded to a square of 20 first, only the padding grows."""
+    square = images.transformed(_images(spark, sf), lambda image, mask, _: (images.padded(image, 20, 20), None))
+    return _sums(images.transformed(square, images.resize_pad(20, 24)))
+
+
 @query("SELECT event_id, CAST(48 AS INTEGER) AS height, CAST(floor(round((80 + event_id % 570) * 49.0 / (100 + event_id % 400), 0) / 2) * 2 AS INTEGER) AS width FROM events")
 def recorded_sizes(spark, sf):
     df = spark.read.parquet(f"{sf}/events.parquet").select("event_id", (100 + F.col("event_id") % 400).alias("h"), (80 + F.col("event_id") % 570).alias("w"))
