@@ -8,10 +8,17 @@ by word, which fixes their ends and their identity.
 
 Exact repeats don't hang on seeds: every MIN_WORDS-gram of a document is joined with the same gram of the document with
 the smallest id that holds it.  Grams travel in runs of one minimizer, which equal grams have in common.
+
+Where smaller ids hold parts of an edited passage only, all its seeds lead to them and none to a document that holds it
+whole.  So a second turn takes the places whose seeds other documents share but that no passage covers, and links each seed
+there with one FAR words on: holders of a part too short to be a passage seldom hold both.  Holders of such a link meet the
+smallest of them and the one before them.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,7 +42,15 @@ MIN_SPAN = 16
 MARGIN = 64
 #: Roles of a document that travel with its text at once.
 LIST = 200
+#: Words of a cell; places that no passage covers are told by cells.
+CELL = 16
+#: A seed is linked with one of the seeds so many words on, in each of these ranges.
+FAR = ((24, 40), (40, 64))
+#: Gaps and their cost in chains of links.
+FAR_GAP, FAR_COST = 64, 0.02
 _KINDS = (np.uint64, np.int64, np.int32)
+#: Links, documents, places of both seeds.
+_LINK_KINDS = (np.uint64, np.int64, np.int32, np.int32)
 #: Steps between the anchors of an exact run.
 STEP = 21
 #: Documents, places, lengths of runs; the first 48 bits of their grams in two parts.
@@ -94,6 +109,77 @@ def _anchor_batch(doc, hub, p, q, n) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(hub), pa.array(p, pa.int32()), pa.array(q, pa.int32()), pa.array(n, pa.int32())], names=["doc", "hub", "p", "q", "n"])
 
 
+def _links(buckets: int):
+    """Texts with their open cells to links: bucket, link, document, places of its two seeds."""
+
+    def run(batches):
+        packed = Buckets(buckets, _LINK_KINDS)
+        for batch in batches:
+            ids, cells = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
+            for row, to, data, offsets in slices(batch.column(1)):
+                starts, ends, first = word_bounds(data, offsets)
+                words = word_hashes(data, starts, ends)
+                some = cells.slice(row, to - row)
+                packed.add(*_linked(words, first, some.flatten().to_numpy(), np.diff(some.offsets.to_numpy()), ids[row:to]))
+                if packed.full():
+                    yield from packed.batch("links", "docs", "ps", "rs")
+        yield from packed.batch("links", "docs", "ps", "rs")
+
+    return trimmed(run)
+
+
+def _linked(words: np.ndarray, first: np.ndarray, cells: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> tuple:
+    """Hash for the bucket, links, documents and places of both seeds, of seeds within MARGIN words of open cells.
+
+    ``cells`` holds each document's cells (``counts`` of them) one after another; ``first`` the documents' first words.
+    """
+    grams = windows(words, range(K))
+    row = np.repeat(np.arange(len(counts)), counts)
+    edge = np.zeros(len(words) + 1, np.int64)
+    np.add.at(edge, np.maximum(first[row] + cells * CELL - MARGIN, first[row]), 1)
+    np.add.at(edge, np.minimum(first[row] + (cells + 1) * CELL + MARGIN, first[row + 1]), -1)
+    doc = np.searchsorted(first, np.arange(len(grams)), "right") - 1
+    inside = np.arange(len(grams)) + K <= first[doc + 1]
+    seed = inside & (np.cumsum(edge)[: len(grams)] > 0) & (grams % U64(1 << 32) < U64((1 << 32) // SAMPLE))
+    at = np.flatnonzero(seed)
+    none = ~U64(0)
+    # A seed is linked with that of the range whose hash with it is least, so both sides of a passage choose alike.
+    after = np.concatenate((np.where(seed, grams, U64(0)), np.zeros(FAR[-1][1], np.uint64)))
+    end = first[doc[at] + 1]
+    out = []
+    for salt, (low, high) in enumerate(FAR):
+        best, far = np.full(len(at), none), np.zeros(len(at), np.int64)
+        for step in range(low, high):
+            other = after[at + step]
+            both = np.where((other > 0) & (at + step < end), mix(grams[at] ^ (other << U64(1)), 41 + salt), none)
+            less = both < best
+            best, far = np.where(less, both, best), np.where(less, step, far)
+        ok = best < none
+        out.append((best[ok], at[ok], at[ok] + far[ok]))
+    links, p, r = (np.concatenate(x) for x in zip(*out, strict=True))
+    own = np.searchsorted(first, p, "right") - 1
+    return mix(links), links, ids[own].astype(np.int64), (p - first[own]).astype(np.int32), (r - first[own]).astype(np.int32)
+
+
+def _meetings(batches):
+    """Holders of a link, each with the smallest of them and the one before it: anchors of both seeds."""
+    for links, docs, ps, rs in gathered(batches, _LINK_KINDS):
+        order = np.lexsort((ps, docs, links))
+        links, docs, ps, rs = links[order], docs[order], ps[order], rs[order]
+        fresh = np.concatenate(([True], (links[1:] != links[:-1]) | (docs[1:] != docs[:-1])))
+        links, docs, ps, rs = links[fresh], docs[fresh], ps[fresh], rs[fresh]
+        at = np.flatnonzero(np.concatenate(([True], links[1:] != links[:-1])))
+        hub = np.repeat(at, np.diff(np.append(at, len(links))))
+        every = np.arange(len(links))
+        own = np.flatnonzero(hub != every)
+        later = own[hub[own] != own - 1]
+        x, y = np.concatenate((own, later)), np.concatenate((hub[own], later - 1))
+        for i in range(0, len(x), 1 << 15):
+            a, b = x[i : i + (1 << 15)], y[i : i + (1 << 15)]
+            pair = lambda c, d: np.concatenate((c, d))
+            yield _anchor_batch(pair(docs[a], docs[a]), pair(docs[b], docs[b]), pair(ps[a], rs[a]), pair(ps[b], rs[b]), np.zeros(2 * len(a), np.int32))
+
+
 def _least(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every ``width`` consecutive values."""
     n, span = len(x) - width + 1, 1
@@ -205,11 +291,11 @@ def _ladder(n: int) -> np.ndarray:
     return np.append(np.arange(0, n - K, STEP), n - K)
 
 
-def chains(p: np.ndarray, q: np.ndarray) -> list[np.ndarray]:
+def chains(p: np.ndarray, q: np.ndarray, gap_cost: float = GAP_COST, max_gap: int = MAX_GAP) -> list[np.ndarray]:
     """Best collinear chains of anchors (p ascending), as index arrays; each anchor is used once at most.
 
-    score(i) = K + max(0, max over j with p_j < p_i and q_j < q_i of score(j) - GAP_COST * (p_i - p_j + q_i - q_j)).
-    With score(j) + GAP_COST * (p_j + q_j) stored at q_j's rank, the maximum is a prefix query of a Fenwick tree.
+    score(i) = K + max(0, max over j with p_j < p_i and q_j < q_i of score(j) - gap_cost * (p_i - p_j + q_i - q_j)).
+    With score(j) + gap_cost * (p_j + q_j) stored at q_j's rank, the maximum is a prefix query of a Fenwick tree.
     Anchors of one p are queried before any of them is stored.
     """
     n = len(p)
@@ -218,7 +304,7 @@ def chains(p: np.ndarray, q: np.ndarray) -> list[np.ndarray]:
     best, who = [float("-inf")] * (size + 1), [-1] * (size + 1)
     score, back = [0.0] * n, [-1] * n
     pl, rl = p.tolist(), ranks.tolist()
-    place = (GAP_COST * (p + q.astype(np.int64))).tolist()
+    place = (gap_cost * (p + q.astype(np.int64))).tolist()
     i = 0
     while i < n:
         j = i
@@ -248,15 +334,16 @@ def chains(p: np.ndarray, q: np.ndarray) -> list[np.ndarray]:
         if len(path) < 2:
             continue
         at = np.array(path[::-1])
-        cut = np.flatnonzero((np.diff(p[at]) > MAX_GAP) | (np.diff(q[at]) > MAX_GAP)) + 1
+        cut = np.flatnonzero((np.diff(p[at]) > max_gap) | (np.diff(q[at]) > max_gap)) + 1
         out += [c for c in np.split(at, cut) if len(c) > 1]
     return out
 
 
+_ANCHOR = "doc long, hub long, p int, q int, n int"
 _CHAIN = "doc long, hub long, chain long, p0 int, p1 int, q0 int, q1 int, ps array<int>, qs array<int>"
 
 
-def paired_chains(p: np.ndarray, q: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def paired_chains(p: np.ndarray, q: np.ndarray, n: np.ndarray, gap_cost: float = GAP_COST, max_gap: int = MAX_GAP) -> list[tuple[np.ndarray, np.ndarray]]:
     """Chains (places in both) of a pair's seeds (n = 0) and exact runs (n words).
 
     Runs lend the chains anchors at their ends and between.  One that no chain holds from end to end is a chain of its
@@ -267,7 +354,7 @@ def paired_chains(p: np.ndarray, q: np.ndarray, n: np.ndarray) -> list[tuple[np.
     points = np.unique(np.concatenate([np.stack((p[n == 0], q[n == 0]), 1), *[np.stack(r, 1) for r in rungs]]), axis=0)
     p, q = points[:, 0], points[:, 1]
     out = []
-    for c in chains(p, q) if len(p) > 1 else []:
+    for c in chains(p, q, gap_cost, max_gap) if len(p) > 1 else []:
         if p[c[-1]] - p[c[0]] + K >= MIN_SPAN and q[c[-1]] - q[c[0]] + K >= MIN_SPAN:
             out.append((p[c], q[c]))
     if not runs:
@@ -288,7 +375,7 @@ def paired_chains(p: np.ndarray, q: np.ndarray, n: np.ndarray) -> list[tuple[np.
     return out
 
 
-def _chain(batches):
+def _chain(batches, gap_cost: float = GAP_COST, max_gap: int = MAX_GAP):
     """Anchors sorted by (doc, hub, p, q) to chains.  A pair's anchors are held together: as many as a text has seeds."""
     held: list[tuple] = []
     key, count = None, 0
@@ -300,7 +387,7 @@ def _chain(batches):
         held.clear()
         if len(p) < 2 and not n.any():
             return
-        for ps, qs in paired_chains(p, q, n):
+        for ps, qs in paired_chains(p, q, n, gap_cost, max_gap):
             yield (*key, int(ps[0]), int(ps[-1]) + K, int(qs[0]), int(qs[-1]) + K, ps.tolist(), qs.tolist())
 
     def batch_of(rows):
@@ -483,11 +570,49 @@ def _own_ids(texts: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame |
     return told.select(F.col("id").alias("doc_id"), "text"), made
 
 
+def _passages(texts: DataFrame, anchors: DataFrame, work: Workspace, turn: str, gap_cost: float = GAP_COST, max_gap: int = MAX_GAP) -> DataFrame:
+    """The aligned passages of all pairs that have anchors, written."""
+    parts = partitions(texts.sparkSession)
+    # A pair's anchors go to one task, in order; there are as many as the document has seeds at most.
+    paired = anchors.repartition(parts, "doc", "hub").sortWithinPartitions("doc", "hub", "p", "q")
+    chain = work.write(paired.mapInArrow(partial(_chain, gap_cost=gap_cost, max_gap=max_gap), _CHAIN), f"{turn}_chains")
+    roles = chain.select("chain", F.lit(0).alias("side"), F.col("doc").alias("id"), F.col("p0").alias("a"), F.col("p1").alias("b")).union(
+        chain.select("chain", F.lit(1).alias("side"), F.col("hub").alias("id"), F.col("q0").alias("a"), F.col("q1").alias("b"))
+    )
+    # A source of many passages has its roles in lists of about LIST, so that its text isn't sent for each.
+    many = work.write(roles.groupBy("id").agg(F.ceil(F.count("*") / LIST).cast("int").alias("lists")).where("lists > 1"), f"{turn}_many")
+    dealt = roles.join(maybe_broadcast(many), "id", "left").withColumn("list", F.pmod(F.xxhash64("chain"), F.coalesce("lists", F.lit(1)))).repartition(parts, "id", "list")
+    listed = dealt.groupBy("id", "list").agg(F.collect_list(F.struct("chain", "side", "a", "b")).alias("roles"))
+    listed = work.write(listed.select("id", "roles"), f"{turn}_roles")
+    met = texts.join(maybe_broadcast(listed), F.col("doc_id") == F.col("id")).select("text", "roles")
+    stretches = met.mapInArrow(_stretches, "chain long, side int, a int, words binary")
+    both = stretches.join(chain.select("chain", "doc", "hub", "ps", "qs"), "chain").select("chain", "side", "a", "words", "doc", "hub", "ps", "qs")
+    both = both.repartition(parts, "chain").sortWithinPartitions("chain", "side", "a")
+    found = work.write(both.mapInArrow(_align, _PASSAGE), f"{turn}_found")
+    work.drop(f"{turn}_chains", f"{turn}_roles")
+    return found
+
+
+def _open_cells(anchors: DataFrame, found: DataFrame, work: Workspace) -> DataFrame:
+    """doc, cells: cells of each document that anchors touch but no passage of it covers, at least two side by side.
+    """
+    cell = lambda c: F.floor(F.col(c) / CELL)
+    last = F.when(F.col("n") > 0, F.col("p") + F.col("n") - 1).otherwise(F.col("p"))
+    touched = anchors.select("doc", F.explode(F.sequence(cell("p"), F.floor(last / CELL))).alias("cell")).distinct()
+    # Cells count as covered from half on.
+    covered = found.select(F.col("doc_id").alias("doc"), F.explode(F.sequence(F.floor((F.col("start_word") + CELL // 2) / CELL), F.floor((F.col("end_word") - CELL // 2) / CELL))).alias("cell")).distinct()
+    order = W.partitionBy("doc").orderBy("cell")
+    beside = (F.col("cell") - F.lag("cell").over(order) == 1) | (F.lead("cell").over(order) - F.col("cell") == 1)
+    cells = touched.join(covered, ["doc", "cell"], "left_anti").withColumn("beside", beside).where("beside")
+    return work.write(cells.groupBy("doc").agg(F.sort_array(F.collect_list("cell")).alias("cells")), "open")
+
+
 def repeated_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", work: Workspace | None = None) -> DataFrame:
     """doc_id, start_word, end_word, source_doc_id, source_start, source_end, matches: passages that stand in another document.
 
     A passage has MIN_WORDS words or more, IDENTITY of them matching; its source is the document of the smallest id
-    among those that share its seeds or MIN_WORDS equal words of it, so a passage of n documents gives n - 1 rows or a few
+    among those that share its seeds or MIN_WORDS equal words of it, or where these hold too little of it to be a passage, the
+    smallest or the next smaller of those that share its links, so a passage of n documents gives n - 1 rows or a few
     more, not n * n.  Every stretch of MIN_WORDS or more equal words is found, wherever it stands and as often as it
     does; edited passages are found by seeds, with a chance that the README states by edits.  Places count words from 0,
     ends exclusive.
@@ -505,25 +630,15 @@ def repeated_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     texts, made = _own_ids(texts, work)
     packed = texts.mapInArrow(_seeds(2 * parts), "bucket int, keys binary, docs binary, places binary").repartition(parts, "bucket")
     grams = texts.mapInArrow(_grams(4 * parts), "bucket int, docs binary, places binary, counts binary, low binary, high binary").repartition(parts, "bucket")
-    anchor = "doc long, hub long, p int, q int, n int"
-    anchors = work.write(packed.mapInArrow(_anchors, anchor), "anchors").union(work.write(grams.mapInArrow(_exact, anchor), "runs"))
-    # A pair's anchors go to one task, in order; there are as many as the document has seeds at most.
-    paired = anchors.repartition(parts, "doc", "hub").sortWithinPartitions("doc", "hub", "p", "q")
-    chain = work.write(paired.mapInArrow(_chain, _CHAIN), "chains")
+    anchors = work.write(packed.mapInArrow(_anchors, _ANCHOR), "anchors").union(work.write(grams.mapInArrow(_exact, _ANCHOR), "runs"))
+    found = _passages(texts, anchors, work, "first")
+    open_cells = _open_cells(anchors, found, work)
     work.drop("anchors", "runs")
-    roles = chain.select("chain", F.lit(0).alias("side"), F.col("doc").alias("id"), F.col("p0").alias("a"), F.col("p1").alias("b")).union(
-        chain.select("chain", F.lit(1).alias("side"), F.col("hub").alias("id"), F.col("q0").alias("a"), F.col("q1").alias("b"))
-    )
-    # A source of many passages has its roles in lists of about LIST, so that its text isn't sent for each.
-    many = work.write(roles.groupBy("id").agg(F.ceil(F.count("*") / LIST).cast("int").alias("lists")).where("lists > 1"), "many")
-    dealt = roles.join(maybe_broadcast(many), "id", "left").withColumn("list", F.pmod(F.xxhash64("chain"), F.coalesce("lists", F.lit(1)))).repartition(parts, "id", "list")
-    listed = dealt.groupBy("id", "list").agg(F.collect_list(F.struct("chain", "side", "a", "b")).alias("roles"))
-    listed = work.write(listed.select("id", "roles"), "roles")
-    met = texts.join(maybe_broadcast(listed), F.col("doc_id") == F.col("id")).select("text", "roles")
-    stretches = met.mapInArrow(_stretches, "chain long, side int, a int, words binary")
-    both = stretches.join(chain.select("chain", "doc", "hub", "ps", "qs"), "chain").select("chain", "side", "a", "words", "doc", "hub", "ps", "qs")
-    both = both.repartition(parts, "chain").sortWithinPartitions("chain", "side", "a")
-    found = both.mapInArrow(_align, _PASSAGE)
+    if open_cells.take(1):
+        bound = texts.join(maybe_broadcast(open_cells), F.col("doc_id") == F.col("doc")).select("doc_id", "text", "cells")
+        links = bound.mapInArrow(_links(2 * parts), "bucket int, links binary, docs binary, ps binary, rs binary").repartition(parts, "bucket")
+        met = work.write(links.mapInArrow(_meetings, _ANCHOR), "met")
+        found = found.union(_passages(texts, met, work, "second", FAR_COST, FAR_GAP))
     if made is not None:
         back = lambda df, c: df.join(maybe_broadcast(made.select(F.col("id").alias(c), F.col("doc_id").alias("own_"))), c, "left").withColumn(c, F.coalesce("own_", c)).drop("own_")
         found = back(back(found, "doc_id"), "source_doc_id").where("doc_id <> source_doc_id").select(found.columns)

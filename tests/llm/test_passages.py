@@ -70,6 +70,53 @@ def test_parts_held_by_smaller_ids(spark):
     assert (11, 10) in {(r.doc_id, r.source_doc_id) for r in got if r.matches >= 60}
 
 
+def every_nth(words, n):
+    return [w + "x" if i % n == n - 1 else w for i, w in enumerate(words)]
+
+
+def test_edited_passage_whose_parts_smaller_ids_hold(spark):
+    """Documents 1 to 3 hold parts of what 10 and 11 share with edits; each is too short to be a passage."""
+    part = text(100)
+    holders = [(1, text(30) + part[:40] + text(9)), (2, text(12) + part[33:73]), (3, part[66:] + text(70))]
+    pair = [(10, text(20) + part + text(20)), (11, text(33) + every_nth(part, 12) + text(5))]
+    assert {(r.doc_id, r.source_doc_id) for r in run(spark, pair)} == {(11, 10)}
+    assert {(r.doc_id, r.source_doc_id) for r in run(spark, holders + pair)} == {(11, 10)}
+
+
+def test_edited_passages_among_partial_holders(spark):
+    """Pairs in groups, with holders of overlapping parts below, between and above their ids; no part gives a row."""
+    rng = random.Random(21)
+    docs, want, ids = [], set(), iter(range(10_000))
+    for i in range(100):
+        part = text(rng.randrange(80, 120))
+        pieces = [part[a : a + 38] for a in range(0, len(part), 19)]
+        low, mid, high = pieces[::3], pieces[1::3], pieces[2::3]
+        if i % 2:
+            low, mid = low + mid, []
+        docs += [(next(ids), text(rng.randrange(40)) + x + text(rng.randrange(40))) for x in low]
+        one = next(ids)
+        docs.append((one, text(9) + part + text(20)))
+        docs += [(next(ids), x + text(rng.randrange(40))) for x in mid]
+        two = next(ids)
+        docs.append((two, text(30) + every_nth(part, 12)))
+        docs += [(next(ids), text(rng.randrange(40)) + x) for x in high]
+        want.add((two, one))
+    got = {(r.doc_id, r.source_doc_id) for r in run(spark, docs)}
+    print(len(got & want), len(want))
+    assert got <= want and len(got & want) >= 95
+
+
+def test_many_edited_copies_meet_one_another(spark):
+    """Every edited copy is linked with another one, by one or two rows, though smaller ids hold parts of it."""
+    rng = random.Random(8)
+    part = text(90)
+    docs = [(i, text(5) + part[a : a + 36] + text(9)) for i, a in enumerate(range(0, 90, 18))]
+    docs += [(100 + i, text(rng.randrange(60)) + edited(rng, part, 0.05) + text(rng.randrange(60))) for i in range(60)]
+    got = run(spark, docs)
+    assert {x for r in got for x in (r.doc_id, r.source_doc_id)} >= set(range(100, 160))
+    assert all(r.doc_id >= 100 and r.source_doc_id >= 100 for r in got)
+
+
 def test_texts_of_one_id(spark):
     one, two = text(60), text(70)
     docs = [(5, text(10) + one), (5, two + text(10)), (9, text(4) + one), (7, two), (8, one + two), (8, one + text(3))]
