@@ -26,7 +26,7 @@ COST_LOOKALIKE, COST_DROP_LOOKALIKE, COST_DROP_SIGN, COST_SQUEEZE = 0.5, 6.0, 0.
 #: Labelled rows that the classifier is fitted on at most, on average over hash seeds.
 SAMPLE = 20_000
 #: Information, in nats over the sample, that a feature must give on the label; 2 * 7.5 is about the 0.9999 quantile of a
-#: chi-squared variable.  Every feature that does is kept.
+#: chi-squared variable.  Every feature of toxic rows that does is kept, however rare.
 GAIN = 7.5
 
 #: Folded characters: 0 for no letter, a-z (without their accents), then other letters in OTHERS classes by code point.
@@ -235,12 +235,23 @@ class TokenFeatures(dict):
         return sorted(found)
 
 
-def _document_counts(model: CharModel, kept: set[str] | None):
-    """feature, toxic, n: in how many documents of each class a feature stands (only kept ones, if given)."""
+#: Features that a task counts before it hands on what it has.
+HELD = 200_000
+
+
+def _document_counts(model: CharModel):
+    """feature, toxic, n: in how many documents of each class a feature stands, in parts that sum up."""
 
     def run(batches):
         restorer, words = Restorer(model), {}
         counts: tuple[dict[str, int], dict[str, int]] = ({}, {})
+
+        def parts():
+            for toxic, own in enumerate(counts):
+                if own:
+                    yield pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.string()), pa.array([toxic] * len(own), pa.int32()), pa.array(own.values(), pa.int64())], names=["feature", "toxic", "n"])
+                    own.clear()
+
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 text, found = (text.as_py() or "").lower(), set()
@@ -248,22 +259,30 @@ def _document_counts(model: CharModel, kept: set[str] | None):
                     if token not in words:
                         if len(words) > 100_000:
                             words.clear()
-                        words[token] = [f for f in features(restorer.word(token)) if kept is None or f in kept]
+                        words[token] = features(restorer.word(token))
                     found.update(words[token])
                 for run in spread_out(text):
-                    found.update(f for w in restorer.joined(run) for f in features(w) if kept is None or f in kept)
+                    found.update(f for w in restorer.joined(run) for f in features(w))
                 own = counts[toxic]
                 for f in found:
                     own[f] = own.get(f, 0) + 1
-        for toxic in (0, 1):
-            items = list(counts[toxic].items())
-            for i in range(0, len(items), 1 << 16):
-                some = items[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in some]), pa.array([toxic] * len(some), pa.int32()), pa.array([n for _, n in some], pa.int64())], names=["feature", "toxic", "n"])
+                if len(counts[0]) + len(counts[1]) > HELD:
+                    yield from parts()
+        yield from parts()
 
     return trimmed(run)
 
 
+def information(a: Column, n1: int, b: Column, n0: int) -> Column:
+    """Nats that a feature gives on the label: a of n1 toxic documents and b of n0 others have it."""
+    out = F.lit(0.0)
+    for x, y in ((a, b), (F.lit(n1) - a, F.lit(n0) - b)):
+        p = (x + y) / F.lit(float(n1 + n0))
+        for part, n in ((x, n1), (y, n0)):
+            out = out + F.when(part > 0, part * F.ln(part / F.lit(float(n)) / p)).otherwise(0.0)
+    return out
+
+
 def _sample_features(model: CharModel, kept: dict[str, int]):
     def run(batches):
         tokens = TokenFeatures(Restorer(model), kept)
@@ -333,23 +352,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, work: Workspace, *, sample:
     if not n1 or not n0:
         bias = 0.0 if n1 == n0 else math.log((n1 + 1) / (n0 + 1))
         return ToxicityModel(chars, {}, np.array([bias]))
-    inside = rows.where("toxic = 1").mapInArrow(_document_counts(chars, None), "feature string, toxic int, n long")
-    least = max(3, n1 // 500)
-    top = inside.groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
-    candidates = dict(zip(top.column("feature").to_pylist(), top.column("n").to_pylist(), strict=True))
-    outside = rows.where("toxic = 0").mapInArrow(_document_counts(chars, set(candidates)), "feature string, toxic int, n long")
-    others = outside.groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
-    others = dict(zip(others.column("feature").to_pylist(), others.column("n").to_pylist(), strict=True))
-
-    def gain(f: str) -> float:
-        a, b = candidates[f], others.get(f, 0)
-        out = 0.0
-        for x, m, y, k in ((a, n1, b, n0), (n1 - a, n1, n0 - b, n0)):
-            p = (x + y) / (n1 + n0)
-            out += (x * math.log(x / m / p) if x else 0) + (y * math.log(y / k / p) if y else 0)
-        return out
-
-    kept = {f: i for i, f in enumerate(sorted(f for f in candidates if gain(f) >= GAIN))}
+    counted = rows.mapInArrow(_document_counts(chars), "feature string, toxic int, n long")
+    with_label = lambda x: F.sum(F.when(F.col("toxic") == x, F.col("n")).otherwise(0))
+    counted = counted.groupBy("feature").agg(with_label(1).alias("a"), with_label(0).alias("b"))
+    # Words of clean rows alone are left out: that a text lacks them, as an empty one does, says nothing of toxicity.
+    told = counted.where("a > 0").where(information(F.col("a"), n1, F.col("b"), n0) >= GAIN).select("feature").toArrow()
+    kept = {f: i for i, f in enumerate(sorted(told.column("feature").to_pylist()))}
     table = rows.mapInArrow(_sample_features(chars, kept), "found array<int>, toxic int").toArrow()
     weights = fit_logistic(table.column("found").to_pylist(), table.column("toxic").to_numpy().astype(float), len(kept))
     return ToxicityModel(chars, kept, weights)

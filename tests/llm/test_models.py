@@ -225,3 +225,73 @@ def test_toxicity_edges(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(range(60)) | set(range(1060, 1240)) | {300, 301, 302}
     assert toxicity_scores(df.limit(0), labels).collect() == []
     assert {r.score for r in toxicity_scores(df, labels.limit(0)).collect()} == {0.5}
+
+
+def test_toxicity_where_all_toxic_rows_are_one_sentence(spark):
+    rows = [(i, f"clean words number {i} here", "x", 1) for i in range(60)] + [(100 + i, f"you are an idiot and a moron {i}", "x", 1) for i in range(60)] + [(None, "you 1d10t idiot", "x", 1), (300, None, "x", 1), (301, "", "x", 1), (302, "fine " * 100_000, "x", 1), (303, "such an 1d10t", "x", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic string, score int")
+    labels = spark.createDataFrame([(i, 0) for i in range(60)] + [(100 + i, 1) for i in range(60)] + [(None, 1), (5, None), (7, 0), (7, 0)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity_scores(df, labels).collect()}
+    # The sentence's words share its weight, so a part of it ranks above clean texts, but needn't pass 0.5.
+    assert all(got[i].predicted for i in range(100, 160))
+    assert not any(got[i].predicted for i in (*range(60), 300, 301, 302))
+    assert min(got[None].score, got[303].score) > max(got[i].score for i in (*range(60), 300, 301, 302))
+
+
+def brute_toxicity(rows, labels):
+    """op10 by plain counting: features of restored words, their information on the label, a dense logistic regression."""
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0
+    restorer = Restorer(CharModel(counted([t or "" for _, t in rows])))
+    marks = {}
+    for i, x in labels:
+        if i is not None and x is not None and not held(i):
+            marks[i] = max(x, marks.get(i, 0))
+    found = [{f for w in restorer.text(t or "") if w for f in (w, *(w[:k] + "*" for k in (4, 5, 6) if len(w) >= k))} for _, t in rows]
+    sample = [(f, marks[i]) for (i, _), f in zip(rows, found, strict=True) if i in marks]
+    n = [sum(x == y for _, y in sample) for x in (0, 1)]
+    kept = []
+    for feature in sorted(set().union(*found)):
+        c = [sum(feature in f and x == y for f, y in sample) for x in (0, 1)]
+        if not c[1]:
+            continue
+        cells = [(c[x], n[x], sum(c)) for x in (0, 1)] + [(n[x] - c[x], n[x], sum(n) - sum(c)) for x in (0, 1)]
+        if sum(k * math.log(k * sum(n) / (m * total)) for k, m, total in cells if k) >= 7.5:
+            kept.append(feature)
+    x = np.array([[f in own for f in kept] + [True] for own, _ in sample], float)
+    y = np.array([mark for _, mark in sample], float)
+    w, m, v = np.zeros(len(kept) + 1), 0.0, 0.0
+    w[-1] = math.log((n[1] + 1) / (n[0] + 1))
+    shrink = np.array([0.3] * len(kept) + [0.0])
+    for step in range(1, 401):
+        g = (x.T @ (1 / (1 + np.exp(-x @ w)) - y) + shrink * w) / len(sample)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    z = [sum(a for a, f in zip(w, kept, strict=False) if f in own) + w[-1] for own in found]
+    return kept, sorted(((i, held(i), 1 / (1 + math.exp(-a))) for (i, _), a in zip(rows, z, strict=True)), key=str)
+
+
+def test_toxicity_of_a_table_equals_brute_force(spark, tmp_path, monkeypatch):
+    from kinetrace.llm import toxicity
+    from kinetrace.llm.queries import op10_toxicity
+
+    monkeypatch.setattr(toxicity, "HELD", 60)
+    rng = random.Random(12)
+    plain, bad = ["house", "river", "walking", "number", "the", "and", "holiday"], ["idiot", "moron", "1d10t", "m0r0n,", "stuuupid", "i.d.i.o.t"]
+    rows, labels = [], []
+    for i in range(260):
+        toxic = rng.random() < 0.3
+        words = rng.choices(plain, k=rng.randrange(1, 30)) + (rng.choices(bad, k=2) if toxic else ["polite"] if rng.random() < 0.7 else [])
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels += [(i, int(toxic))] if rng.random() < 0.9 else [(i, None)]
+    rows += [(None, "you i d i o t"), (300, None), (301, ""), (302, "polite " * 3000), (4, "a second text of one id, moron")]
+    labels += [(None, 1), (7, 0), (7, 1), (9999, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept, want = brute_toxicity(rows, labels)
+    assert "polite" not in kept and {"idiot", "moron"} <= set(kept)
+    got = sorted((tuple(r) for r in op10_toxicity(spark, str(tmp_path)).collect()), key=lambda r: str((r[0], r[1])))
+    want.sort(key=lambda r: str(r[:2]))
+    by = lambda r: (str(r[:2]), r[2])
+    for (i, own, score, predicted), (j, held, expected) in zip(sorted(got, key=by), sorted(want, key=by), strict=True):
+        assert (i, own, predicted) == (j, held, int(score >= 0.5)) and score == pytest.approx(expected, abs=1e-6)
