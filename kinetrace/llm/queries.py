@@ -66,7 +66,7 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op3_jaccard_join"] = op3_jaccard_join
 
 
-def op2_token_blocks(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None, cache: int = 120_000) -> DataFrame:
+def op2_token_blocks(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None, cache: int = 200_000) -> DataFrame:
     """Every text's token ids written to files and read back: doc_id, start, n_tokens, ids_crc32."""
     import public_tokenizers
 

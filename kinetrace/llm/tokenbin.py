@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .common import Workspace, filesystem, partitions
-from .words import trimmed
+from .words import raw, trimmed
 
 BLOCK, LANES = 256, 8
 MAGIC = b"KTPFOR1\n"
@@ -113,11 +113,19 @@ class ShardWriter:
         fs.create_dir(self.name.rpartition("/")[0], recursive=True)
         self.out, self.percentile = fs.open_output_stream(self.name, compression=None), percentile
         self.held, self.n_held, self.n_ids, self.at = [], 0, 0, 0
-        self.docs, self.counts, self.lengths = [], [], []
+        self.docs, self.counts, self.lengths, self.open = [], [], [], 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append(doc_id)
-        self.counts.append(len(ids))
+        self.extend([doc_id], ids, np.array([len(ids)]))
+
+    def extend(self, docs: list, ids: np.ndarray, ends: np.ndarray) -> None:
+        """More ids; those of ``docs`` end at ``ends`` in them, and what follows belongs to a document not yet at its end."""
+        if docs:
+            self.docs += docs
+            counts = np.diff(ends, prepend=0)
+            counts[0] += self.open
+            self.counts += counts.tolist()
+        self.open = len(ids) - int(ends[-1]) if docs else self.open + len(ids)
         self.held.append(ids)
         self.n_held += len(ids)
         self.n_ids += len(ids)
@@ -181,10 +189,30 @@ def read_shard(path: str):
 
 _SAFE = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
-#: Chunks, and pieces of them, that a worker's caches hold twice over, unless fewer are asked for.
-CACHE = 120_000
+#: Pieces that a worker's cache holds twice over, unless fewer are asked for.
+CACHE = 200_000
+#: Bytes of texts that are cut and looked up at once; a stretch ends between words or texts.
+STRETCH = 1 << 20
 _LOADED: dict[tuple[str, int], ChunkEncoder] = {}
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, 0x0A]] = True
+#: Classes of bytes: letters (a Latin-1 letter's lead byte among them), digits, signs, and what needs a closer look.
+_LETTER, _DIGIT, _SIGN, _OTHER = range(4)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[0x21:0x7F] = _SIGN
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3]] = _LETTER
+_CLASS[0x30:0x3A] = _DIGIT
+_CLASS[0x27] = _OTHER
+_CLASS[[0x20, 0x0A]] = _SIGN
+#: Bytes that end a Latin-1 letter after 0xC3; those that end a capital one.
+_TRAIL, _CAPITAL = np.zeros(256, bool), np.zeros(256, bool)
+_TRAIL[0x80:0xC0] = True
+_CAPITAL[0x80:0x9F] = True
+_TRAIL[[0x97, 0xB7]] = _CAPITAL[0x97] = False
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
+
 
 class Recent(dict):
     """A bounded cache that computes what it misses; entries used since the last turnover survive the next one."""
@@ -207,11 +235,13 @@ class Recent(dict):
 
 
 class ChunkEncoder:
-    """Ids, as little-endian bytes, of texts; bounded caches over the tokenizer for what stands between blanks.
+    """Ids of columns of texts; a bounded cache over the tokenizer for the pieces that texts are cut into.
 
     Tokenizers that drop white space never look across it, so a text's ids are those of its chunks.  With word BPE of the
-    known pattern, chunks of printable ASCII and Latin-1 letters go to the model directly, in pieces as that pattern cuts
-    them; any other chunk goes through the whole tokenizer.  Other tokenizers get whole texts.
+    known pattern, chunks of printable ASCII and Latin-1 letters are cut further where that pattern cuts them, and their
+    pieces go to the model directly; any other chunk goes through the whole tokenizer.  A stretch of texts is cut as one
+    array, its distinct pieces are looked up once each, and ids are gathered by the pieces' numbers.  Other tokenizers get
+    whole texts.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
@@ -220,9 +250,10 @@ class ChunkEncoder:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.kind = np.dtype("<u2" if self.whole.get_vocab_size() < 65536 else "<u4")
-        self.bytes_as_text = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        as_text = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes_as_text = {c: as_text.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
         self.by_chunk, self.direct = _kind(self.whole)
-        self.pieces, self.chunks = Recent(self._piece, cache), Recent(self._chunk, cache)
+        self.known = Recent(self._ids, cache)
         self.code = "H" if self.kind.itemsize == 2 else "I"
 
     def _packed(self, ids: list[int]) -> bytes:
@@ -231,22 +262,91 @@ class ChunkEncoder:
             packed.byteswap()
         return packed.tobytes()
 
-    def _chunk(self, chunk: str) -> bytes:
+    def _ids(self, chunk: str) -> bytes:
+        """The ids of a chunk or of a piece of one."""
         if self.direct:
             if chunk.isascii() and chunk.isalpha():
-                return self.pieces[chunk.lower()]
+                return self._piece(chunk.lower())
             if _SAFE.fullmatch(chunk) and "<|" not in chunk:
-                return b"".join([self.pieces[p] for p in _PIECE.findall(chunk.lower())])
+                return b"".join([self._piece(p) for p in _PIECE.findall(chunk.lower())])
         return self._packed(self.whole.encode(chunk, add_special_tokens=False).ids)
 
     def _piece(self, piece: str) -> bytes:
-        text = piece if piece.isascii() else self.bytes_as_text.pre_tokenize_str(piece)[0][0]
+        text = piece if piece.isascii() else piece.translate(self.bytes_as_text)
         return self._packed([t.id for t in self.model.tokenize(text)])
 
-    def encode(self, text: str | None) -> bytes:
+    def _cut(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where pieces start, and the bytes with letters lower-cased as far as that changes no ids; texts end at ``ends``."""
+        blank = _BLANK[data]
+        start = np.ones(len(data), bool)
+        start[1:] = blank[:-1]
+        start[ends[ends < len(data)]] = True
+        start &= ~blank
+        if not self.direct:
+            return start, data
+        kind, low = _CLASS[data], _LOWER[data]
+        latin = np.zeros(len(data), bool)
+        latin[1:] = data[:-1] == 0xC3
+        latin &= _TRAIL[data]
+        kind[latin] = _LETTER
+        low[latin & _CAPITAL[data]] += 32
+        # Special tokens begin so, and are told by their case.
+        kind[:-1][(data[:-1] == 0x3C) & (data[1:] == 0x7C)] = _OTHER
+        chunk = np.cumsum(start, dtype=np.int32)
+        whole = np.zeros(int(chunk[-1]) + 1, bool)
+        whole[chunk[kind == _OTHER]] = True
+        cut = ~whole[chunk]
+        change = kind == _DIGIT
+        change[1:] |= kind[1:] != kind[:-1]
+        return start | (change & cut & ~blank), np.where(cut, low, data)
+
+    def _stretch(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts in data, and how many of them stand before each of ``ends``."""
+        if not len(data):
+            return np.zeros(0, self.kind), np.zeros(len(ends), np.int64)
+        start, low = self._cut(data, ends)
+        starts = np.flatnonzero(start)
+        full = ~_BLANK[data]
+        packed = low[full]
+        offsets = np.append(np.cumsum(full, dtype=np.int32)[starts] - 1, len(packed)).astype(np.int32)
+        pieces = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(packed)).dictionary_encode()
+        at = pieces.indices.to_numpy()
+        found = list(map(self.known.__getitem__, pieces.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+        ids, n = np.frombuffer(b"".join(found), self.kind), size[at]
+        edge = np.concatenate(([0], np.cumsum(n)))
+        out = ids[np.repeat((np.cumsum(size) - size)[at] - edge[:-1], n) + np.arange(edge[-1])]
+        return out, edge[np.searchsorted(starts, ends)]
+
+    def stream(self, column: pa.Array):
+        """(ids, ends) of stretches of the column's texts: ids in order, and where in them each text that ends there does.
+
+        Nulls are empty; a text may span several stretches.
+        """
         if not self.by_chunk:
-            return self._packed(self.whole.encode(text or "", add_special_tokens=False).ids)
-        return b"".join(map(self.chunks.__getitem__, (text or "").replace("\n", " ").split(" ")))
+            for text in column:
+                ids = np.array(self.whole.encode(text.as_py() or "", add_special_tokens=False).ids, self.kind)
+                yield ids, np.array([len(ids)])
+            return
+        data, offsets = raw(column)
+        at, row, last = int(offsets[0]), 1, int(offsets[-1])
+        while row < len(offsets):
+            to = min(last, at + STRETCH)
+            if to < last:
+                bound = int(offsets[np.searchsorted(offsets, to)])
+                while to < bound:
+                    near = np.flatnonzero(_BLANK[data[to : min(bound, to + 4096)]])
+                    if len(near):
+                        to += int(near[0])
+                        break
+                    to = min(bound, to + 4096)
+            done = int(np.searchsorted(offsets, to, "right"))
+            yield self._stretch(data[at:to], offsets[row:done] - at)
+            at, row = to, max(row, done)
+
+    def encode(self, text: str | None) -> bytes:
+        """The ids of one text, as little-endian bytes."""
+        return b"".join(ids.tobytes() for ids, _ in self.stream(pa.array([text], pa.string())))
 
 
 def _kind(tokenizer) -> tuple[bool, bool]:
@@ -274,12 +374,13 @@ def _write(folder: str, tokenizer: str, end_id: int, percentile: float, cache: i
         for batch in batches:
             if writer is None:
                 encoder = _encoder(tokenizer, cache)
-                end = np.array([end_id], encoder.kind).tobytes()
                 # A name for each attempt: a repeated task never overwrites what an earlier one has reported.
                 path = f"{folder}/shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:8]}.pfor"
                 writer = ShardWriter(path, percentile)
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                writer.add(doc_id, np.frombuffer(encoder.encode(text.as_py()) + end, encoder.kind))
+            ids, at = batch.column(0).to_pylist(), 0
+            for found, ends in encoder.stream(batch.column(1)):
+                writer.extend(ids[at : at + len(ends)], np.insert(found, ends, end_id), ends + np.arange(1, len(ends) + 1))
+                at += len(ends)
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_arrays(

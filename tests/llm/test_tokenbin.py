@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -44,6 +45,27 @@ def test_chunks_equal_whole_texts():
         assert np.frombuffer(chunks.encode(text), chunks.kind).tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("stretch", [1, 40, 1 << 20])
+def test_stretches_of_columns_equal_whole_texts(monkeypatch, stretch):
+    """Texts that end within, at and beyond stretches, nulls and slices of columns."""
+    from kinetrace.llm import tokenbin
+
+    monkeypatch.setattr(tokenbin, "STRETCH", stretch)
+    whole, chunks = Tokenizer.from_file(PATH), ChunkEncoder(PATH, 50)
+    rng = random.Random(stretch)
+    words = ["It's", "a", "B2b", "x3,5!", "ÀÉ", "×÷", "straße", "İI", "A\u0301b", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "日本", "\t", "\n", "", "o'Neill's", "K", "Ǻ", "ÿ", "Þ", "z" * 300]
+    texts = [None if rng.random() < 0.1 else rng.choice([" ", "\n", "  "]).join(rng.choices(words, k=rng.randrange(0, 25))) for _ in range(300)]
+    column = pa.array(["dropped", *texts, None, ""])[1:]
+    ids, ends, n = [], [], 0
+    for got, at in chunks.stream(column):
+        ids += got.tolist()
+        ends += (at + n).tolist()
+        n += len(got)
+    want = [whole.encode(t or "", add_special_tokens=False).ids for t in column.to_pylist()]
+    assert ids == [x for w in want for x in w] and ends == np.cumsum([len(w) for w in want]).tolist()
+    assert list(chunks.stream(pa.array([], pa.string()))) == []
+
+
 def test_query_equals_brute_force(spark):
     whole = Tokenizer.from_file(PATH)
     rows = [(i * 7 % 50, ["A b c.", None, "", "word " * 5000, "Ünïcode tëxt\n" * 9][i % 5], "x") for i in range(60)] + [(None, "no id", "x"), (3, "A b c.", "x")]
