@@ -48,6 +48,7 @@ _PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) +
 _NO_LETTERS = "".join(c for c in _PUNCTUATION if c not in LOOKALIKES)
 _LETTER = re.compile(r"[^\W\d_]")
 _DISGUISED = re.compile(r"[^\W\d_][0134578@$!|+]|[0134578@$!|+][^\W\d_]|([^\W\d_])\1\1")
+_STRETCHED = re.compile(r"([^\W\d_])\1\1")
 #: Letters set apart in a token: by any signs, by signs that stand for no letter, or all by the same sign.
 _APART = (
     re.compile(r"(?:[a-z](?:[^\w\s]|_){1,2}){2,}[a-z]"),
@@ -177,6 +178,9 @@ class Restorer:
     def word(self, token: str) -> str:
         """A token without punctuation around it, restored if it looks disguised; several words where letters are set apart."""
         core = token.strip(_PUNCTUATION)
+        # Letters side by side, with no sign that may be one: only stretched ones can be a disguise.
+        if len(core) > 1 and core.isalpha() and "$" not in token and "@" not in token:
+            return self.decode(core) if _STRETCHED.search(core) else core
         letters = apart(token.strip(_NO_LETTERS)) or apart(core)
         if letters:
             return self.decode(letters, breaks=True)
