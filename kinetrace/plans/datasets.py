@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from kinetrace.operators import joins, sharding, stats
+from kinetrace.operators.blocks import written as spilled
 from kinetrace.sources import lerobot, shards, sinks
 from kinetrace.sources.storage import shared_folder
 from kinetrace.streaming import frames as streams
@@ -200,23 +200,29 @@ def shard_samples(spark, sf):
 # -- streams ---------------------------------------------------------------------------------------------------------
 
 
-def _stream(spark, df: DataFrame, files: int, time: str = "ts") -> DataFrame:
-    """A stream over files of df, in order of time, a file a micro-batch."""
+#: Rows that a file of a stream holds at least, once there are as many.
+FILE_ROWS = 1_000_000
+
+
+def _stream(spark, df: DataFrame, slices: int, time: str = "ts") -> DataFrame:
+    """A stream over files of df, in order of time, one of as many slices of time a micro-batch.
+
+    Every slice is dealt out over the same number of files, so that a trigger takes one slice.  A file has more rows than there
+    are files, so none stays empty."""
     path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
-    at = F.unix_micros(time)
+    df, at = spilled(df, "streamed"), F.unix_micros(time)
     low, high = df.agg(F.min(at), F.max(at)).first()
-    part = F.floor((at - low) * files / (high - low + 1))
-    for i in range(files):
-        df.where(part == i).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    part = F.floor((at - low) * slices / (high - low + 1))
+    counts = {r.part: r["count"] for r in df.groupBy(part.alias("part")).count().collect()}
+    files = max(1, min(counts.get(i, 0) for i in range(slices)) // FILE_ROWS)
+    for i in range(slices):
+        df.where(part == i).repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _stamped(spark, sf) -> DataFrame:
-    """Events with their time: ts, user_id, event_id and the episode's columns."""
-    raw = spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id")
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    placed = raw.withColumn("place", F.row_number().over(w) - 1)
-    return events(spark, sf).join(placed, (F.col("episode") == F.col("user_id")) & (F.col("frame") == F.col("place")))
+    """The episodes' events with their time, ts."""
+    return events(spark, sf, F.col("ts").cast("timestamp").alias("ts"))
 
 
 _STAMPED = """

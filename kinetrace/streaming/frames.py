@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from kinetrace.sources.storage import shared_folder
+
 _RESAMPLED = "episode long, frame long, t double, grid long, grid_t double"
 
 
@@ -29,9 +31,17 @@ def _micros(interval: str) -> int:
     return pd.Timedelta(interval).value // 1000
 
 
-def _silences(rows: pd.DataFrame, time: str, last: int | None, idle: int) -> tuple[np.ndarray, np.ndarray]:
+def _in_order(batches, *by: str) -> dict[str, np.ndarray]:
+    """A group's rows by some columns, as arrays: groups are small and many, and frames cost milliseconds a group."""
+    parts = list(batches)
+    rows = parts[0] if len(parts) == 1 else pd.concat(parts)
+    order = np.lexsort([rows[c].to_numpy() for c in reversed(by)])
+    return {c: rows[c].to_numpy()[order] for c in rows.columns}
+
+
+def _silences(rows: dict[str, np.ndarray], time: str, last: int | None, idle: int) -> tuple[np.ndarray, np.ndarray]:
     """Times of rows (microseconds), and whether each comes more than ``idle`` after the latest before it."""
-    at = rows[time].to_numpy("datetime64[us]").astype(np.int64)
+    at = rows[time].astype("datetime64[us]").astype(np.int64)
     before = np.concatenate(([at[0] if last is None else last], at))
     return at, at - np.maximum.accumulate(before)[:-1] > idle
 
@@ -57,8 +67,8 @@ def resample_stream(frames: DataFrame, dt: float, start: float = 0.0, *, time: s
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values("frame", kind="stable")
-        t = rows["t"].to_numpy(float)
+        rows = _in_order(batches, "frame")
+        t = rows["t"].astype(float)
         free, last = state.get if state.exists else (0, None)
         at, silent = _silences(rows, time, last, quiet)
         if last is None:
@@ -72,8 +82,7 @@ def resample_stream(frames: DataFrame, dt: float, start: float = 0.0, *, time: s
                 out.append((part[sample], grid))
         sample, grid = (np.concatenate(x) for x in zip(*out, strict=True))
         _kept_until(state, (free,), at, last, quiet)
-        own = rows.iloc[sample]
-        yield pd.DataFrame({"episode": np.full(len(grid), key[0]), "frame": own["frame"].to_numpy(), "t": t[sample], "grid": grid, "grid_t": start + grid * dt})
+        yield pd.DataFrame({"episode": np.full(len(grid), key[0]), "frame": rows["frame"][sample], "t": t[sample], "grid": grid, "grid_t": start + grid * dt})
 
     return frames.withWatermark(time, late).groupBy("episode").applyInPandasWithState(run, _RESAMPLED, "free long, last long", "append", "EventTimeTimeout")
 
@@ -87,20 +96,19 @@ def rollout_stream(steps: DataFrame, *, time: str = "ts", late: str = "10 minute
     """
     quiet = _micros(idle)
 
-    def rows_of(env, first, length, reward, success, cut):
-        n = len(length)
-        return pd.DataFrame({"env": np.full(n, env), "rollout": first + np.arange(n), "length": length, "reward": np.asarray(reward, float), "success": success, "cut": cut})
+    def rows_of(env, number, length, reward, success, cut):
+        return pd.DataFrame({"env": np.full(len(length), env), "rollout": number, "length": length, "reward": np.asarray(reward, float), "success": success, "cut": cut})
 
     def run(key, batches, state):
         length, reward, success, n, last = state.get if state.exists else (0, 0.0, False, 0, None)
         if state.hasTimedOut:
             state.remove()
             if length:
-                yield rows_of(key[0], n, np.array([length]), [reward], np.array([success]), np.array([True]))
+                yield rows_of(key[0], np.array([n]), np.array([length]), [reward], np.array([success]), np.array([True]))
             return
-        rows = pd.concat(list(batches)).sort_values("step", kind="stable")
+        rows = _in_order(batches, "step")
         at, silent = _silences(rows, time, last, quiet)
-        done = rows["done"].to_numpy(bool)
+        done = rows["done"].astype(bool)
         ended = np.concatenate(([length == 0], done[:-1]))
         # A part begins after a done step or a silence; what earlier batches left open is part 0.
         fresh = silent & ~ended
@@ -109,8 +117,8 @@ def rollout_stream(steps: DataFrame, *, time: str = "ts", late: str = "10 minute
         era = np.cumsum(silent)
         parts = int(part[-1]) + 1
         lengths = np.bincount(part, minlength=parts)
-        rewards = np.bincount(part, rows["reward"].to_numpy(float), parts)
-        wins = np.bincount(part, rows["success"].to_numpy(bool), parts) > 0
+        rewards = np.bincount(part, rows["reward"].astype(float), parts)
+        wins = np.bincount(part, rows["success"].astype(bool), parts) > 0
         lengths[0], rewards[0], wins[0] = lengths[0] + length, rewards[0] + reward, bool(wins[0] or success)
         over = np.zeros(parts, bool)
         over[part[done]] = True
@@ -132,8 +140,8 @@ def rollout_stream(steps: DataFrame, *, time: str = "ts", late: str = "10 minute
         else:
             left = (0, 0.0, False, int(number[-1]) + 1)
         _kept_until(state, left, at, last, quiet)
-        out = rows_of(key[0], 0, lengths[:closed], rewards[:closed], wins[:closed], ~over[:closed])
-        yield out.assign(rollout=number[:closed])
+        if closed:
+            yield rows_of(key[0], number[:closed], lengths[:closed], rewards[:closed], wins[:closed], ~over[:closed])
 
     schema, kept = "env long, rollout long, length long, reward double, success boolean, cut boolean", "length long, reward double, success boolean, n long, last long"
     return steps.withWatermark(time, late).groupBy("env").applyInPandasWithState(run, schema, kept, "append", "EventTimeTimeout")
@@ -166,7 +174,7 @@ def segment_stream(frames: DataFrame, gap: str, *, key: str = "device", time: st
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values([time, row], kind="stable")
+        rows = _in_order(batches, time, row)
         start, n, last = state.get if state.exists else (None, 0, None)
         at, silent = _silences(rows, time, last, quiet)
         begins = silent.copy()
@@ -175,9 +183,9 @@ def segment_stream(frames: DataFrame, gap: str, *, key: str = "device", time: st
         first = np.flatnonzero(begins)
         starts = np.concatenate(([start or 0], at[first]))
         base = np.concatenate(([-n], first))
-        frame = np.arange(len(rows)) - base[which]
+        frame = np.arange(len(at)) - base[which]
         _kept_until(state, (int(starts[which[-1]]), int(frame[-1]) + 1), at, last, quiet)
-        yield pd.DataFrame({key: np.full(len(rows), k[0]), row: rows[row].to_numpy(), "start": pd.to_datetime(starts[which], unit="us"), "frame": frame})
+        yield pd.DataFrame({key: np.full(len(at), k[0]), row: rows[row], "start": starts[which].astype("datetime64[us]").astype("datetime64[ns]"), "frame": frame})
 
     return frames.withWatermark(time, late).groupBy(key).applyInPandasWithState(run, f"{key} long, {row} long, start timestamp, frame long", "start long, n long, last long", "append", "EventTimeTimeout")
 
@@ -187,8 +195,10 @@ def windowed_counts(frames: DataFrame, time: str = "ts", late: str = "10 minutes
     return frames.withWatermark(time, late).groupBy(F.window(time, width)).agg(F.count("*").alias("frames"))
 
 
-def drained(stream: DataFrame, spark_name: str) -> DataFrame:
-    """All that a stream gives now, through a memory table: for tests and bounded sources, not for endless ones."""
-    query = stream.writeStream.format("memory").queryName(spark_name).outputMode("append").trigger(availableNow=True).start()
+def drained(stream: DataFrame, name: str) -> DataFrame:
+    """All that a stream gives now, as files in the shared folder that executors write and read: for bounded sources, not for
+    endless ones."""
+    path = f"{shared_folder(stream.sparkSession)}/{name}"
+    query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(spark_name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")

@@ -107,3 +107,27 @@ def test_session_windows_of_a_stream(spark, tmp_path):
 def test_grid_places_of_nothing(free):
     sample, grid, after = streams.grid_places(np.zeros(0), 1.0, 0.0, free)
     assert len(sample) == len(grid) == 0 and after == free
+
+
+def test_what_a_stream_gives_stays_off_the_driver(spark, tmp_path):
+    spark.createDataFrame([(i % 3, i, at(i)) for i in range(30)], "device long, row long, ts timestamp").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("device long, row long, ts timestamp").parquet(f"{tmp_path}/in")
+    out = streams.drained(streams.segment_stream(stream, "10 seconds"), f"d{uuid.uuid4().hex[:8]}")
+    assert len(out.inputFiles()) > 0 and out.count() == 30  # files that executors wrote, not a table in the driver's memory
+
+
+def test_a_slice_of_a_stream_is_a_trigger_of_several_files(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from kinetrace.plans import datasets
+
+    monkeypatch.setattr(datasets, "FILE_ROWS", 30)
+    df = spark.range(0, 300, 1, 4).select((F.col("id") % 7).alias("device"), F.col("id").alias("row"), F.timestamp_seconds(F.col("id") * 5).alias("ts"))
+    seen = []
+
+    def note(batch, i):
+        seen.append((batch.agg(F.min("row"), F.max("row"), F.count("*")).first(), batch.select(F.input_file_name()).distinct().count()))
+
+    query = datasets._stream(spark, df, 3).writeStream.foreachBatch(note).option("checkpointLocation", f"{datasets.shared_folder(spark)}/t{uuid.uuid4().hex}").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [(tuple(a), n) for a, n in seen] == [((0, 99, 100), 3), ((100, 199, 100), 3), ((200, 299, 100), 3)]
