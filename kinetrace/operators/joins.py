@@ -38,13 +38,14 @@ def interval_join(frames: DataFrame, intervals: DataFrame, horizon: int, *, epis
 
 
 def nearest_frames(frames: DataFrame, asked: DataFrame, *, episode: str = "episode", time: str = "t", frame: str = "frame") -> DataFrame:
-    """For each asked (episode, at): the frame next to it in time, the earlier of two.  One sort, no range join."""
-    w = W.partitionBy(episode).orderBy(time)
+    """For each asked (episode, at): the frame next to it in time, the earlier of two.  Two sorts, no range join."""
     held = frames.select(episode, F.col(time).alias("time_"), F.struct(F.col(time).alias("t"), F.col(frame).alias("f")).alias("s"), F.lit(False).alias("asked_"))
     both = held.unionByName(asked.select(episode, F.col("at").alias("time_"), F.lit(None).cast(held.schema["s"].dataType).alias("s"), F.lit(True).alias("asked_")))
-    w = W.partitionBy(episode).orderBy("time_")
-    before = F.last("s", ignorenulls=True).over(w.rangeBetween(W.unboundedPreceding, 0))
-    after = F.first("s", ignorenulls=True).over(w.rangeBetween(0, W.unboundedFollowing))
+    # Of samples at one time, the last frame counts before it and the first one after; both are running values of a sort, as a
+    # frame that ends with the group is evaluated anew for every row.
+    w = W.partitionBy(episode)
+    before = F.last("s", ignorenulls=True).over(w.orderBy("time_", "asked_", "s.f").rowsBetween(W.unboundedPreceding, 0))
+    after = F.last("s", ignorenulls=True).over(w.orderBy(F.desc("time_"), "asked_", F.desc("s.f")).rowsBetween(W.unboundedPreceding, 0))
     out = both.select(episode, F.col("time_").alias("at"), "asked_", before.alias("b"), after.alias("a")).where("asked_")
     pick = F.when(F.col("a").isNull() | (F.col("b").isNotNull() & (F.col("at") - F.col("b.t") <= F.col("a.t") - F.col("at"))), F.col("b")).otherwise(F.col("a"))
     return out.select(episode, "at", pick["f"].alias(frame), F.abs(pick["t"] - F.col("at")).alias("away"))

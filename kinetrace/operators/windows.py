@@ -157,7 +157,8 @@ def interpolated(samples: DataFrame, times: DataFrame, *, episode: str = "episod
     # A sample at the very time comes first, so it is the left one; then it is the right one too.
     w = within(keys).orderBy(time, "asked")
     left = F.last("s", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    right = F.first("s", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
+    # What follows is what comes before in descending order: a frame that ends with the group is evaluated anew for every row.
+    right = F.last("s", ignorenulls=True).over(within(keys).orderBy(F.desc(time), F.desc("asked")).rowsBetween(W.unboundedPreceding, 0))
     if block:
         here = F.when(~F.col("asked"), F.struct(F.col(time).alias("t"), F.col("s")))
         both = carried(carried(both, {"l_": (here, F.max), "n_": (F.col("s").isNotNull().cast("long"), F.sum)}, [episode]), {"r_": (here, F.min), "m_": (F.col("s").isNotNull().cast("long"), F.sum)}, [episode], after=True)
