@@ -74,6 +74,25 @@ def test_shard_plan_is_the_greedy_one(spark):
     assert sum(sums) == len(rows) and [r.shard for r in blocked.orderBy("shard").collect()] == list(range(len(sums)))
 
 
+@pytest.mark.parametrize("block", [6, 100])
+def test_shards_of_any_number_of_blocks_are_as_many_and_as_even(spark, block):
+    rows = [(e, f) for e in range(23) for f in range(3 + e * 7 % 19)]
+    plan, lengths = sharding.shard_plan(spark.createDataFrame(rows, "episode long, frame long"), 40, 0.5, seed=4, block=block)
+    sums = [r.length for r in lengths.collect()]
+    largest = max(r["count"] for r in plan.groupBy("episode", "piece").count().collect())
+    assert len(sums) == math.ceil(len(rows) / 40) and sum(sums) == len(rows) == plan.count() and max(sums) - min(sums) <= largest
+
+
+def test_running_values_end_with_their_row():
+    """A window that ends with its group is evaluated anew for every row: quadratic in an episode's length."""
+    import inspect
+
+    from kinetrace.operators import joins, windows
+
+    for f in (windows.interpolated, joins.nearest_frames):
+        assert "Between(0, W.unboundedFollowing)" not in inspect.getsource(f)
+
+
 @pytest.mark.parametrize(("counted", "held"), [(False, 1_000_000), (False, 50), (None, 0)])
 def test_percentiles_of_large_and_odd_groups(spark, monkeypatch, counted, held):
     monkeypatch.setattr(stats, "HELD", held)
