@@ -57,7 +57,11 @@ def random_crop(fraction: float = 0.9) -> Op:
 def padded(a: np.ndarray, height: int, width: int) -> np.ndarray:
     """Black around an image, half before and the rest after."""
     up, left = height - a.shape[0], width - a.shape[1]
-    return np.pad(a, [(up // 2, up - up // 2), (left // 2, left - left // 2), *[(0, 0)] * (a.ndim - 2)])
+    if up < 0 or left < 0:
+        raise ValueError("an image is larger than what it is padded to")
+    out = np.zeros((height, width, *a.shape[2:]), a.dtype)
+    out[up // 2 : up // 2 + a.shape[0], left // 2 : left // 2 + a.shape[1]] = a
+    return out
 
 
 def letterbox() -> Op:
@@ -109,6 +113,13 @@ def shortest_edge(size: int) -> Op:
     return run
 
 
+def _among(mask: np.ndarray, values: Sequence[int]) -> np.ndarray:
+    """Where a mask of bytes has one of the values, looked up in a table."""
+    table = np.zeros(256, bool)
+    table[[v for v in values if 0 <= v < 256]] = True
+    return table[mask]
+
+
 def background_noise(values: Sequence[int] = (0,), p: float = 1.0) -> Op:
     """Random pixels where the mask has one of the values; without a mask nothing changes."""
 
@@ -116,7 +127,7 @@ def background_noise(values: Sequence[int] = (0,), p: float = 1.0) -> Op:
         noise, hit = rng.integers(0, 256, image.shape, np.uint8), rng.random() < p
         if mask is None or not hit:
             return image, mask
-        return np.where(np.isin(mask, list(values))[..., None], noise, image), mask
+        return np.where(_among(mask, values)[..., None], noise, image), mask
 
     return run
 
@@ -129,7 +140,7 @@ def mask_tint(values: Sequence[int], alpha: tuple[float, float] = (0.3, 1.0), p:
         if mask is None or not hit:
             return image, mask
         mixed = np.clip(image * (1 - share) + colour * share, 0, 255).astype(np.uint8)
-        return np.where(np.isin(mask, list(values))[..., None], mixed, image), mask
+        return np.where(_among(mask, values)[..., None], mixed, image), mask
 
     return run
 
@@ -158,6 +169,29 @@ def evaluation_pipeline(edge: int, fraction: float, target: tuple[int, int]) ->
     return chained(letterbox(), shortest_edge(edge), centre_crop(fraction), resize_pad(*target))
 
 
+class _Draws:
+    """A generator that is seeded with the first draw, which costs more than most operators do; many draw nothing."""
+
+    def __init__(self, *seed: int):
+        self._seed, self._own = seed, None
+
+    def __getattr__(self, name: str):
+        if self._own is None:
+            self._own = np.random.default_rng(self._seed)
+        return getattr(self._own, name)
+
+
+def byte_sums(images: pa.Array) -> np.ndarray:
+    """Sum of the bytes of each image of a binary column, over its buffer; of none, 0."""
+    offsets = np.frombuffer(images.buffers()[1], np.int32)[images.offset : images.offset + len(images) + 1]
+    filled = offsets[1:] > offsets[:-1]
+    out = np.zeros(len(images), np.int64)
+    if filled.any():
+        data = np.frombuffer(images.buffers()[2], np.uint8)[: offsets[-1]]
+        out[filled] = np.add.reduceat(data, offsets[:-1][filled], dtype=np.int64)
+    return out
+
+
 _SCHEMA = "path string, frame long, height int, width int, image binary, mask binary"
 
 
@@ -171,7 +205,7 @@ def transformed(images: DataFrame, op: Op, key: str = "frame", seed: int = 0) ->
             for path, frame, h, w, image, mask, draw in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 pixels = np.frombuffer(image, np.uint8).reshape(h, w, 3)
                 own = None if mask is None else np.frombuffer(mask, np.uint8).reshape(h, w)
-                out, own = op(pixels, own, np.random.default_rng([seed, draw]))
+                out, own = op(pixels, own, _Draws(seed, draw))
                 rows.append((path, frame, *out.shape[:2], np.ascontiguousarray(out).tobytes(), None if own is None else np.ascontiguousarray(own).tobytes()))
             if rows:
                 kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -361,20 +363,35 @@ p AS (SELECT event_id, h, w, y, x, sum((event_id + 7 * y + 3 * x + c) % 256) AS
 ----"""
 
 
+def _made(batches):
+    """Of event ids, pictures of one shape at a time."""
+    for batch in batches:
+        ids = batch.column(0).to_numpy()
+        heights, widths = 4 + ids % 5, 3 + ids % 7
+        for h, w in sorted(set(zip(heights.tolist(), widths.tolist(), strict=True))):
+            own = ids[(heights == h) & (widths == w)]
+            y, x, c = np.indices((h, w, 3))
+            pixels = ((own[:, None] + (7 * y + 3 * x + c).ravel()) % 256).astype(np.uint8)
+            mask = (x[..., 0] % 2 == 0).astype(np.uint8).tobytes()
+            n = len(own)
+            columns = [pa.array(["made"] * n), pa.array(own), pa.array(np.full(n, h, np.int32)), pa.array(np.full(n, w, np.int32)), pa.array([p.tobytes() for p in pixels], pa.binary()), pa.array([mask] * n, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["path", "frame", "height", "width", "image", "mask"])
+
+
 def _images(spark, sf) -> DataFrame:
     """A small picture for each event, its pixels given by place and id; the mask has 1 in even columns."""
-    df = spark.read.parquet(f"{sf}/events.parquet").select("event_id", (4 + F.col("event_id") % 5).cast("int").alias("height"), (3 + F.col("event_id") % 7).cast("int").alias("width"))
-    size = F.col("height") * F.col("width")
-    code = lambda i: F.hex((F.col("event_id") + 7 * F.floor(i / 3 / F.col("width")) + 3 * (F.floor(i / 3) % F.col("width")) + i % 3) % 256)
-    pixels = F.unhex(F.concat_ws("", F.transform(F.sequence(F.lit(0), size * 3 - 1), lambda i: F.lpad(code(i), 2, "0"))))
-    mask = F.unhex(F.concat_ws("", F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.when((i % F.col("width")) % 2 == 0, F.lit("01")).otherwise(F.lit("00")))))
-    return df.select(F.lit("made").alias("path"), F.col("event_id").alias("frame"), "height", "width", pixels.alias("image"), mask.alias("mask"))
+    df = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").cast("long"))
+    # Ids are a few bytes each and pictures are not, so the file's splits say nothing about the work.
+    df = df.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return df.mapInArrow(_made, "path string, frame long, height int, width int, image binary, mask binary")
 
 
 def _sums(df: DataFrame) -> DataFrame:
-    bytes_ = F.sequence(F.lit(1), F.length("image"))
-    total = F.aggregate(bytes_, F.lit(0).cast("long"), lambda s, i: s + F.conv(F.hex(F.substring(F.col("image"), i, F.lit(1))), 16, 10).cast("long"))
-    return df.select(F.col("frame").alias("event_id"), "height", "width", total.alias("total"))
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(images.byte_sums(batch.column(3)))], names=["event_id", "height", "width", "total"])
+
+    return df.select("frame", "height", "width", "image").mapInArrow(run, "event_id long, height int, width int, total long")
 
 
 _CROPPED = _IMAGES.replace("----", ",\nq AS (SELECT *, CAST(greatest(floor(h * 0.6), 1) AS INTEGER) AS ch, CAST(greatest(floor(w * 0.6), 1) AS INTEGER) AS cw FROM p),\no AS (SELECT *, CAST(floor((h - ch) / 2) AS INTEGER) AS oy, CAST(floor((w - cw) / 2) AS INTEGER) AS ox FROM q)\n----")
@@ -412,10 +429,18 @@ def views_drawn_alike(spark, sf):
     one = _images(spark, sf)
     two = images.transformed(one, lambda image, mask, _: (image ^ 255, mask)).withColumn("path", F.lit("other"))
     both = images.transformed(one.unionByName(two), images.random_crop(0.6))
-    a, b = (both.where(F.col("path") == p).select("frame", "height", "width", F.col("image").alias(n)) for p, n in (("made", "a"), ("other", "b")))
-    turned = images.transformed(a.select(F.lit("turned").alias("path"), "frame", "height", "width", F.col("a").alias("image")), lambda image, mask, _: (image ^ 255, mask)).select("frame", F.col("image").alias("t"))
-    met = a.join(b.drop("height", "width"), "frame").join(turned, "frame")
-    return met.select(F.col("frame").alias("event_id"), "height", "width", F.lit(2).cast("long").alias("views"), (F.col("b") == F.col("t")).alias("alike"))
+    # Both views of a step meet in one shuffle, each drawn once.
+    view = lambda p: F.first(F.when(F.col("path") == p, F.struct("height", "width", "image")), ignorenulls=True)
+    met = both.groupBy("frame").agg(view("made").alias("a"), view("other").alias("b"), F.count("*").alias("views"))
+    inverse = bytes(255 - i for i in range(256))
+
+    def run(batches):
+        for batch in batches:
+            alike = [x.translate(inverse) == y for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(alike, pa.bool_())], names=["event_id", "height", "width", "views", "alike"])
+
+    out = met.where("a is not null and b is not null").select("frame", F.col("a.height"), F.col("a.width"), "views", F.col("a.image").alias("one"), F.col("b.image").alias("other"))
+    return out.mapInArrow(run, "event_id long, height int, width int, views long, alike boolean")
 
 
 @query(_IMAGES + "SELECT event_id, CAST(20 AS INTEGER) AS height, CAST(24 AS INTEGER) AS width, CAST(sum(v) AS BIGINT) AS total FROM p GROUP BY event_id")

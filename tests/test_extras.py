@@ -83,6 +83,25 @@ def test_shards_of_any_number_of_blocks_are_as_many_and_as_even(spark, block):
     assert len(sums) == math.ceil(len(rows) / 40) and sum(sums) == len(rows) == plan.count() and max(sums) - min(sums) <= largest
 
 
+def test_images_are_summed_over_their_buffer_and_draw_only_if_asked(monkeypatch):
+    import pyarrow as pa
+
+    from kinetrace.operators import images
+
+    column = pa.array([b"", b"\x01\xff", b"", b"\x07" * 300, b""], pa.binary())
+    assert images.byte_sums(column).tolist() == [0, 256, 0, 2100, 0]
+    assert images.byte_sums(column.slice(1, 3)).tolist() == [256, 0, 2100] and images.byte_sums(column[:1]).tolist() == [0]
+    assert images._Draws(2, 5).integers(1000) == np.random.default_rng([2, 5]).integers(1000)
+    made, real = [], np.random.default_rng
+    monkeypatch.setattr(np.random, "default_rng", lambda *a: made.append(a) or real(*a))
+    images.letterbox()(np.ones((2, 3, 3), np.uint8), None, images._Draws(0, 1))
+    assert not made
+    a = np.arange(12, dtype=np.uint8).reshape(2, 2, 3)
+    assert (images.padded(a, 5, 3) == np.pad(a, [(1, 2), (0, 1), (0, 0)])).all()
+    with pytest.raises(ValueError):
+        images.padded(a, 1, 3)
+
+
 def test_running_values_end_with_their_row():
     """A window that ends with its group is evaluated anew for every row: quadratic in an episode's length."""
     import inspect
