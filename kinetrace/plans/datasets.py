@@ -97,7 +97,7 @@ def dataset_statistics(spark, sf):
     """Statistics written where they are missing, read again and cut to the declared slices."""
     data = written(spark, sf)
     assert stats.ensure_stats(data, {}, range(4)) == ["stats.json"]
-    again = lerobot.TrajectoryDataset(spark, data.root, need_stats=True)
+    again = data.reread(need_stats=True)
     assert stats.ensure_stats(again, {}, range(4)) == []
     rows = [(f"{m}.{k}", i, *[float(own[n][i]) for n in ("mean", "std", "q01", "q99")]) for m, keys in stats.dataset_statistics(again).items() for k, own in keys.items() for i in range(len(own["mean"]))]
     df = spark.createDataFrame(rows, "key string, i int, mean double, std double, q01 double, q99 double")

@@ -101,7 +101,7 @@ def build(spark: SparkSession, config: ExperimentConfig, known: Registry = regis
             data = TrajectoryDataset(spark, path)
             actions = dict(zip(spec["action"].keys, spec["action"].actions, strict=True)) if spec["action"].actions else {}
             stats.ensure_stats(data, actions, spec["action"].offsets, group.include_splits or None, group.exclude_splits)
-            data = TrajectoryDataset(spark, path, need_stats=True)
+            data = data.reread(need_stats=True)
             some = chosen(data, group.include_splits, group.exclude_splits)
             rule, anchors = planned_anchors(data, tag, spec["action"].offsets, some)
             plan, lengths = sharding.shard_plan(anchors, config.shard_size, config.sampling_rate, config.seed)

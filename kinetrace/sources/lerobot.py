@@ -93,6 +93,13 @@ class TrajectoryDataset:
         self.stats, self.relative_stats, self.temporal_stats = (read_json(spark, f"{self.root}/{f}") for f in (STATS, RELATIVE, TEMPORAL))
         if need_stats and self.stats is None:
             raise FileNotFoundError(f"{self.root}/{STATS}")
+        self._all: DataFrame | None = None
+
+    def reread(self, need_stats: bool = False) -> TrajectoryDataset:
+        """The same dataset with metadata as they are now; its files, published as a whole, are not listed again."""
+        out = TrajectoryDataset(self.spark, self.root, need_stats)
+        out._all = self._all
+        return out
 
     @property
     def episodes(self) -> DataFrame:
@@ -112,9 +119,17 @@ class TrajectoryDataset:
         return f"{self.root}/" + self.info["data_path"].format(episode_chunk=chunk, episode_index=episode)
 
     def frames(self, episodes: Sequence[int] | None = None) -> DataFrame:
-        """All frames, or those of some episodes, read file by file; episode_index comes from the file name if need be."""
-        paths = [self.episode_path(e) for e in episodes] if episodes is not None else [f"{self.root}/data/*/*.parquet"]
-        df = self.spark.read.parquet(*paths)
+        """All frames, or those of some episodes, read file by file; episode_index comes from the file name if need be.
+
+        All files are listed once: every listing sends an entry a file, and so an episode, to the driver."""
+        if episodes is not None:
+            return self._indexed(self.spark.read.parquet(*[self.episode_path(e) for e in episodes]))
+        if self._all is None:
+            self._all = self._indexed(self.spark.read.parquet(f"{self.root}/data/*/*.parquet"))
+        return self._all
+
+    @staticmethod
+    def _indexed(df: DataFrame) -> DataFrame:
         if "episode_index" not in df.columns:
             df = df.withColumn("episode_index", F.regexp_extract(F.col("_metadata.file_path"), r"episode_(\d+)\.parquet", 1).cast("long"))
         return df

@@ -75,3 +75,24 @@ def test_rules_mark_what_filters_keep(spark, offsets):
     assert kept("clutch") == rows(clutch_filter(df, offsets, links=["link"], engaged=["on"]))
     assert kept("terminal") == rows(terminal_filter(df, offsets))
     assert kept(None) == rows(df)
+
+
+def test_files_of_a_dataset_are_listed_once(spark, monkeypatch):
+    from pyspark.sql import DataFrameReader
+    from pyspark.sql import functions as F
+
+    from kinetrace.operators import stats
+    from kinetrace.sources import lerobot, sinks
+    from kinetrace.sources.storage import shared_folder
+
+    root = f"{shared_folder(spark)}/listed-once-{id(monkeypatch)}"
+    frames = spark.range(40).select(F.array(F.col("id").cast("double")).alias("action"), (F.col("id") % 10).alias("frame_index"), F.floor(F.col("id") / 10).alias("episode_index"), F.lit(0).cast("long").alias("task_index"))
+    episodes = frames.groupBy("episode_index").agg(F.array(F.lit("go")).alias("tasks"), F.count("*").alias("length"))
+    info = {"chunks_size": 2, "data_path": "data/chunk-{episode_chunk:03d}/episode_{episode_index:06d}.parquet", "features": {"action": {"dtype": "float64", "shape": [1]}}}
+    sinks.write_dataset(frames, episodes, spark.createDataFrame([(0, "go")], "task_index long, task string"), info, {"action": {"arm": {"start": 0, "end": 1}}}, root)
+    listed, real = [], DataFrameReader.parquet
+    monkeypatch.setattr(DataFrameReader, "parquet", lambda self, *p, **o: listed.extend(x for x in p if "/data/*" in x) or real(self, *p, **o))
+    data = lerobot.TrajectoryDataset(spark, root)
+    assert stats.ensure_stats(data, {}, range(2)) == ["stats.json"]
+    again = data.reread(need_stats=True)
+    assert stats.ensure_stats(again, {}, range(2)) == [] and again.load().count() == 40 and len(listed) == 1
