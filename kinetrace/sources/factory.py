@@ -52,7 +52,7 @@ def temporal(dataset: TrajectoryDataset, spec, tag: str, some: DataFrame | None
     """
     rule = filters.AnchorRule.of(dataset, tag, spec["action"].offsets)
     names = {"episode": "episode_index", "frame": "frame_index"}
-    frames = rule.marked(_of(dataset.load(), some), length="length", **names)
+    frames = rule.marked(_of(dataset.load(columns=rule.columns()), some), length="length", **names)
     states = {k: f"state.{k}" for k in spec["state"].keys}
     actions = {k: f"action.{k}" for k in spec["action"].model_keys}
     extra = {f"state.{x}" for k in actions if (a := spec["action"].action_of(k)) for x in (a.state_key or k, a.translation_scale_key, a.rotation_scale_key) if x}
@@ -81,7 +81,7 @@ def planned_anchors(dataset: TrajectoryDataset, tag: str, offsets, some: DataFra
 
     Of the frames only what the filter reads is asked for."""
     rule = filters.AnchorRule.of(dataset, tag, offsets)
-    frames = _of(dataset.bounded_frames(), some).select(F.col("episode_index").alias("episode"), F.col("frame_index").alias("frame"), "length", *[F.col(f"`{c}`") for c in rule.columns()])
+    frames = _of(dataset.bounded_frames(columns=rule.columns()), some).select(F.col("episode_index").alias("episode"), F.col("frame_index").alias("frame"), "length", *[F.col(f"`{c}`") for c in rule.columns()])
     anchors = written(rule.marked(frames, length="length").where("anchor").select("episode", "frame"), "anchors")
     if not anchors.take(1):
         raise ValueError(f"{dataset.root} has no anchor left ({rule.kind or 'no'} filter)")

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import bisect
 import json
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
 from kinetrace.operators.filters import check_frames
@@ -33,8 +36,8 @@ def read_json(spark: SparkSession, path: str) -> dict | None:
     return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
-#: Frames of an episode that are asked for together.
-SPARSE_BLOCK = 4096
+#: Frames of an episode that are asked for together; rows and bytes up to which those of small files go on together.
+SPARSE_BLOCK, HELD_ROWS, HELD_BYTES = 4096, 4096, 16 << 20
 
 
 def overlapping(metadata, frames: Sequence[int]) -> list[int]:
@@ -52,10 +55,36 @@ def overlapping(metadata, frames: Sequence[int]) -> list[int]:
     return out
 
 
-def _read_frames(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _together(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+    """Rows of small tables in batches; an episode alone is often too short to be sent for itself."""
+    held, rows, size = [], 0, 0
+    for table in tables:
+        held.append(table)
+        rows, size = rows + table.num_rows, size + table.nbytes
+        if rows >= HELD_ROWS or size >= HELD_BYTES:
+            yield from pa.concat_tables(held).combine_chunks().to_batches(max_chunksize=1024)
+            held, rows, size = [], 0, 0
+    if held:
+        yield from pa.concat_tables(held).combine_chunks().to_batches(max_chunksize=1024)
+
+
+def _conformed(table: pa.Table | pa.RecordBatch, names: Sequence[str], schema: pa.Schema, episode: Callable[[], int]) -> pa.Table:
+    """The named columns in the types of schema: episode_index is added where it is missing, others are null there."""
+    out = []
+    for name, field in zip(names, schema, strict=True):
+        at = table.schema.get_field_index(name)
+        if at >= 0:
+            own = table.column(at)
+            out.append(own if own.type == field.type else own.cast(field.type))
+        else:
+            out.append(pa.repeat(pa.scalar(episode(), field.type), table.num_rows) if name == "episode_index" else pa.nulls(table.num_rows, field.type))
+    return pa.Table.from_arrays(out, schema=schema)
+
+
+def _read_frames(names: list[str], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Of units (path, episode_index, frames), sorted by path, the rows of those frames."""
 
-    def run(batches):
+    def tables(batches):
         opened, source, file = None, None, None
         for batch in batches:
             for path, episode, frames in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -67,18 +96,56 @@ def _read_frames(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Itera
                     opened, file = path, pq.ParquetFile(source)
                 there, found = [n for n in names if n in file.schema_arrow.names], set()
                 for g in overlapping(file.metadata, frames):
-                    table = file.read_row_group(g, columns=list(dict.fromkeys([*there, "frame_index"])))
+                    table = file.read_row_group(g, columns=list(dict.fromkeys([*there, "frame_index"])), use_threads=False)
                     table = table.filter(pc.is_in(table["frame_index"], pa.array(frames, table["frame_index"].type)))
                     found.update(table["frame_index"].to_pylist())
-                    if "episode_index" not in there:
-                        table = table.append_column("episode_index", pa.array([episode] * table.num_rows, pa.int64()))
-                    yield from table.select(names).rename_columns([f"c{i}" for i in range(len(names))]).to_batches(max_chunksize=1024)
+                    yield _conformed(table, names, schema, lambda episode=episode: episode)
                 if missing := sorted(set(frames) - found):
                     raise ValueError(f"{path} lacks the frames {missing[:5]}, which its episode's length promises")
         if source is not None:
             source.close()
 
-    return run
+    return lambda batches: _together(tables(batches))
+
+
+def _parquet_names(fs: pafs.FileSystem, folder: str) -> list[str]:
+    return sorted(f.base_name for f in fs.get_file_info(pafs.FileSelector(folder)) if f.is_file and f.extension == "parquet" and f.base_name[0] not in "._")
+
+
+def _files_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The Parquet files of folders."""
+    for batch in batches:
+        for folder in batch.column(0).to_pylist():
+            fs, bare = filesystem(folder)
+            yield pa.record_batch([pa.array([f"{folder}/{n}" for n in _parquet_names(fs, bare)], pa.string())], ["path"])
+
+
+def _number(path: str) -> int:
+    """The episode that a file's name says."""
+    found = re.search(r"episode_(\d+)\.parquet", path)
+    if not found:
+        raise ValueError(f"neither {path} nor its name says which episode it holds")
+    return int(found[1])
+
+
+def _read_files(names: list[str], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The rows of files (path)."""
+
+    def tables(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                fs, bare = filesystem(path)
+                with fs.open_input_file(bare) as source, pq.ParquetFile(source) as file:
+                    there = [n for n in names if n in file.schema_arrow.names]
+                    for part in file.iter_batches(batch_size=1024, columns=there, use_threads=False):
+                        yield _conformed(part, names, schema, lambda path=path: _number(path))
+
+    return lambda batches: _together(tables(batches))
+
+
+def _plain(fields: StructType) -> StructType:
+    """Arrow functions of Spark don't take dots in column names."""
+    return StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)])
 
 
 class TrajectoryDataset:
@@ -93,12 +160,12 @@ class TrajectoryDataset:
         self.stats, self.relative_stats, self.temporal_stats = (read_json(spark, f"{self.root}/{f}") for f in (STATS, RELATIVE, TEMPORAL))
         if need_stats and self.stats is None:
             raise FileNotFoundError(f"{self.root}/{STATS}")
-        self._all: DataFrame | None = None
+        self._fields: StructType | None = None
 
     def reread(self, need_stats: bool = False) -> TrajectoryDataset:
-        """The same dataset with metadata as they are now; its files, published as a whole, are not listed again."""
+        """The same dataset with metadata as they are now; its files, published as a whole, keep their columns."""
         out = TrajectoryDataset(self.spark, self.root, need_stats)
-        out._all = self._all
+        out._fields = self._fields
         return out
 
     @property
@@ -118,15 +185,43 @@ class TrajectoryDataset:
         chunk = episode // int(self.info.get("chunks_size", 1000))
         return f"{self.root}/" + self.info["data_path"].format(episode_chunk=chunk, episode_index=episode)
 
-    def frames(self, episodes: Sequence[int] | None = None) -> DataFrame:
-        """All frames, or those of some episodes, read file by file; episode_index comes from the file name if need be.
+    def frames(self, episodes: Sequence[int] | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+        """All frames, or those of some episodes, read file by file, with all columns or some; episode_index comes from the
+        file name if need be.
 
-        All files are listed once: every listing sends an entry a file, and so an episode, to the driver."""
+        The driver lists folders only: files, one an episode, are listed by tasks, dealt out and read there, so neither the
+        driver's memory nor a plan grows by an entry a file.  Columns are those of the first file; a file that lacks one has
+        nulls.  Stores that only Spark's readers can open are listed by these, a folder a task.
+        """
+        own = lambda df: df if columns is None else df.select(*[F.col(f"`{c}`") for c in self._wanted(df.columns, columns)])
         if episodes is not None:
-            return self._indexed(self.spark.read.parquet(*[self.episode_path(e) for e in episodes]))
-        if self._all is None:
-            self._all = self._indexed(self.spark.read.parquet(f"{self.root}/data/*/*.parquet"))
-        return self._all
+            return own(self._indexed(self.spark.read.parquet(*[self.episode_path(e) for e in episodes])))
+        try:
+            fs, bare = filesystem(f"{self.root}/data")
+        except pa.ArrowInvalid:
+            return own(self._indexed(self.spark.read.option("pathGlobFilter", "*.parquet").parquet(f"{self.root}/data/*")))
+        folders = sorted(f.base_name for f in fs.get_file_info(pafs.FileSelector(bare)) if f.type == pafs.FileType.Directory and f.base_name[0] not in "._")
+        if self._fields is None:
+            first = next((names[0] for f in folders if (names := _parquet_names(fs, f"{bare}/{f}"))), None)
+            if first is None:
+                raise FileNotFoundError(f"{self.root}/data holds no frames")
+            fields = self.spark.read.parquet(f"{self.root}/data/*/{first}").schema
+            self._fields = fields if "episode_index" in fields.names else fields.add("episode_index", "long")
+        names = self._fields.names if columns is None else self._wanted(self._fields.names, columns)
+        fields = StructType([self._fields[n] for n in names])
+        # Of rows that come from Python Spark expects any size, so it never takes frames for a table to be broadcast.
+        listed = self.spark.createDataFrame(self.spark.sparkContext.parallelize([(f"{self.root}/data/{f}",) for f in folders]), "path string")
+        paths = listed.mapInArrow(_files_of, "path string").repartition(self._parts(), "path")
+        plain = _plain(fields)
+        return paths.mapInArrow(_read_files(names, to_arrow_schema(plain)), plain).toDF(*names)
+
+    @staticmethod
+    def _wanted(names: Sequence[str], columns: Sequence[str]) -> list[str]:
+        """Of a file's columns those asked for, and the two that say which frame it is."""
+        return [n for n in names if n in {"episode_index", "frame_index", *columns}]
+
+    def _parts(self) -> int:
+        return max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
 
     @staticmethod
     def _indexed(df: DataFrame) -> DataFrame:
@@ -134,18 +229,21 @@ class TrajectoryDataset:
             df = df.withColumn("episode_index", F.regexp_extract(F.col("_metadata.file_path"), r"episode_(\d+)\.parquet", 1).cast("long"))
         return df
 
-    def bounded_frames(self, episodes: Sequence[int] | None = None) -> DataFrame:
+    def bounded_frames(self, episodes: Sequence[int] | None = None, columns: Sequence[str] | None = None) -> DataFrame:
         """Frames below their episode's nominal length, with the episode's tasks and sub-tasks."""
         own = self.episodes.withColumnRenamed("episode_index", "e_")
-        return self.frames(episodes).join(own, F.col("episode_index") == F.col("e_")).where(F.col("frame_index") < F.col("length")).drop("e_")
+        return self.frames(episodes, columns).join(own, F.col("episode_index") == F.col("e_")).where(F.col("frame_index") < F.col("length")).drop("e_")
 
     def slices(self, modality: str) -> dict[str, Slice]:
         return {k: Slice(int(v.get("start", 0)), int(v.get("end", 0)), v.get("original_key"), tuple(v.get("original_keys") or ()), bool(v.get("is_text", False))) for k, v in self.modality.get(modality, {}).items()}
 
-    def load(self, modalities: Sequence[str] = ("state", "action"), episodes: Sequence[int] | None = None) -> DataFrame:
-        """Frames with state.* and action.* slices."""
-        df = self.bounded_frames(episodes)
-        for name, default in (("state", "observation.state"), ("action", "action")):
+    def load(self, modalities: Sequence[str] = ("state", "action"), episodes: Sequence[int] | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+        """Frames with state.* and action.* slices, and all columns that files have, or beside what slices are cut from some."""
+        defaults = {"state": "observation.state", "action": "action"}
+        if columns is not None:
+            columns = [*columns, *(c for m, d in defaults.items() if m in modalities for s in self.slices(m).values() for c in s.original_keys or (s.original_key or d,))]
+        df = self.bounded_frames(episodes, columns)
+        for name, default in defaults.items():
             if name in modalities and self.modality.get(name):
                 df = select_slices(df, self.slices(name), default, name)
         return df
@@ -166,11 +264,9 @@ class TrajectoryDataset:
         if columns is not None:
             names = dict.fromkeys(["episode_index", "frame_index", *columns])
             fields = StructType([f for f in fields if f.name in names])
-        parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        dealt = units.repartition(parts, "path").sortWithinPartitions("path", "block").select("path", "episode_index", "frames")
-        # Arrow functions of Spark don't take dots in column names.
-        plain = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)])
-        rows = dealt.mapInArrow(_read_frames([f.name for f in fields]), plain).toDF(*[f.name for f in fields])
+        dealt = units.repartition(self._parts(), "path").sortWithinPartitions("path", "block").select("path", "episode_index", "frames")
+        plain = _plain(fields)
+        rows = dealt.mapInArrow(_read_frames(fields.names, to_arrow_schema(plain)), plain).toDF(*fields.names)
         own = self.episodes.withColumnRenamed("episode_index", "e_")
         return rows.join(own, F.col("episode_index") == F.col("e_")).drop("e_")
 
@@ -213,8 +309,6 @@ class TrajectoryDataset:
 
     def _path(self, pattern: str, episode: Column, key: str) -> Column:
         """A Python format pattern as a Column."""
-        import re
-
         chunk = F.floor(episode / int(self.info.get("chunks_size", 1000)))
         values = {"episode_chunk": chunk, "episode_index": episode}
         args, out = [], ""

@@ -96,3 +96,45 @@ def test_files_of_a_dataset_are_listed_once(spark, monkeypatch):
     assert stats.ensure_stats(data, {}, range(2)) == ["stats.json"]
     again = data.reread(need_stats=True)
     assert stats.ensure_stats(again, {}, range(2)) == [] and again.load().count() == 40 and len(listed) == 1
+
+
+def test_frames_are_listed_and_read_by_tasks(spark, dataset, tmp_path):
+    from kinetrace.operators import stats
+
+    frames = dataset.frames()
+    assert frames.inputFiles() == []  # an entry a file in the plan, and at the driver, before
+    assert stats.estimated_bytes(frames) > 1 << 40  # so no join broadcasts them
+    assert sorted((r.episode_index, r.frame_index, r["observation.state"], r.task_index) for r in frames.collect()) == [(e, f, [float(f), float(e)], f % 3) for e in range(5) for f in range(40)]
+    assert dataset.frames(columns=["task_index"]).columns == ["episode_index", "frame_index", "task_index"]
+    assert dataset.frames([3], columns=[]).columns == ["episode_index", "frame_index"] and dataset.frames([3], columns=[]).count() == 40
+    folder = tmp_path / "d/data/chunk-002"
+    for hidden in ("_episode_000009.parquet", ".episode_000009.parquet", "notes.txt"):
+        (folder / hidden).write_bytes(b"no Parquet")
+    (tmp_path / "d/data/chunk-003").mkdir()
+    pq.write_table(pa.table({"frame_index": pa.array([0], pa.int32()), "task_index": [7]}), folder / "episode_000005.parquet")
+    assert sorted(map(tuple, dataset.frames().where("episode_index > 4").collect())) == [(5, 0, None, 7)]
+
+
+def test_an_episode_is_named_by_its_file_where_frames_lack_it(spark, tmp_path):
+    for e in range(3):
+        folder = tmp_path / f"d/data/chunk-{e // 2:03d}"
+        folder.mkdir(parents=True, exist_ok=True)
+        pq.write_table(pa.table({"frame_index": [0, 1], "action": [[1.0 * e], [2.0 * e]]}), folder / f"episode_{e:06d}.parquet")
+    sinks.write_json(spark, INFO, f"file://{tmp_path}/d/meta/info.json")
+    data = lerobot.TrajectoryDataset(spark, f"file://{tmp_path}/d")
+    got = data.frames().select("episode_index", "frame_index", "action").collect()
+    assert sorted(map(tuple, got)) == [(e, f, [e * (f + 1.0)]) for e in range(3) for f in range(2)]
+    (tmp_path / "none/data").mkdir(parents=True)
+    sinks.write_json(spark, INFO, f"file://{tmp_path}/none/meta/info.json")
+    with pytest.raises(FileNotFoundError, match="no frames"):
+        lerobot.TrajectoryDataset(spark, f"file://{tmp_path}/none").frames()
+
+
+def test_stores_that_only_spark_opens_are_listed_by_folders(spark, dataset, monkeypatch):
+    def unknown(path):
+        raise pa.ArrowInvalid("Unrecognized filesystem type in URI")
+
+    want = sorted(map(str, dataset.frames(columns=["task_index"]).collect()))
+    monkeypatch.setattr(lerobot, "filesystem", unknown)
+    df = dataset.frames(columns=["task_index"])
+    assert len(df.inputFiles()) == 5 and sorted(map(str, df.collect())) == want
