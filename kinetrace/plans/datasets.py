@@ -51,13 +51,13 @@ def dataset_round_trip(spark, sf):
 @query("SELECT episode, frame, kind AS task FROM ep", EVENTS)
 def dataset_tasks(spark, sf):
     data = written(spark, sf)
-    return joins.with_task(data.frames(), data.tasks).select(F.col("episode_index").alias("episode"), F.col("frame_index").alias("frame"), "task")
+    return joins.with_task(data.frames(columns=["task_index"]), data.tasks).select(F.col("episode_index").alias("episode"), F.col("frame_index").alias("frame"), "task")
 
 
 @query("SELECT DISTINCT episode, least(frame * 9, length - 1) AS frame, CAST(max(k) OVER (PARTITION BY episode, least(frame * 9, length - 1)) * 0 AS DOUBLE) AS zero FROM ep", EVENTS)
 def dataset_sparse(spark, sf):
     data = written(spark, sf)
-    need = data.frames().select("episode_index", (F.col("frame_index") * 9).alias("frame_index"))
+    need = data.frames(columns=[]).select("episode_index", (F.col("frame_index") * 9).alias("frame_index"))
     return data.sparse(need, clamp=True).select(F.col("episode_index").alias("episode"), F.col("frame_index").alias("frame"), (F.col("`observation.state`")[1] * 0).alias("zero"))
 
 

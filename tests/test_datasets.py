@@ -138,3 +138,13 @@ def test_stores_that_only_spark_opens_are_listed_by_folders(spark, dataset, monk
     monkeypatch.setattr(lerobot, "filesystem", unknown)
     df = dataset.frames(columns=["task_index"])
     assert len(df.inputFiles()) == 5 and sorted(map(str, df.collect())) == want
+
+
+def test_frames_of_short_episodes_go_on_together():
+    schema = pa.schema([("c0", pa.int64())])
+    tables = [pa.table({"c0": pa.array([i] * 3, pa.int64())}, schema) for i in range(2000)]
+    batches = list(lerobot._together(iter(tables)))  # a batch an episode before
+    assert len(batches) < 10 and pa.Table.from_batches(batches)["c0"].to_pylist() == [i for i in range(2000) for _ in range(3)]
+    assert list(lerobot._together(iter([]))) == []
+    wide = [pa.table({"c0": pa.array(range(3_000_000), pa.int64())}, schema)] * 2
+    assert sum(b.num_rows for b in lerobot._together(iter(wide))) == 6_000_000
