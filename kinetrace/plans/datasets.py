@@ -165,7 +165,7 @@ def initial_actions(spark, sf):
     """The first actions of each episode, kept as a table beside the metadata."""
     data = written(spark, sf)
     assert data.initial_actions() is None
-    first = data.load().where("frame_index < 3").groupBy(F.col("episode_index").alias("trajectory")).agg(F.array_sort(F.collect_list(F.struct("frame_index", F.col("`action.value`").alias("row")))).alias("rows"))
+    first = data.load(columns=[]).where("frame_index < 3").groupBy(F.col("episode_index").alias("trajectory")).agg(F.array_sort(F.collect_list(F.struct("frame_index", F.col("`action.value`").alias("row")))).alias("rows"))
     first.select("trajectory", F.lit("value").alias("key"), F.transform("rows", lambda r: r["row"]).alias("action")).write.parquet(f"{data.root}/meta/initial_actions")
     return data.initial_actions().select("trajectory", "key", F.posexplode("action").alias("i", "row")).select("trajectory", "key", "i", r6(F.col("row")[0]).alias("x"))
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
@@ -18,11 +19,16 @@ from .storage import filesystem
 ROW_GROUP = 4096
 
 
+def file_name(episode: int) -> str:
+    return f"episode_{episode:06d}.parquet"
+
+
 @dataclass
 class Written(WriterCommitMessage):
-    """(episode, file) of one task attempt that succeeded."""
+    """The folder of one task attempt that succeeded, and the episodes whose files lie there."""
 
-    files: list[tuple[int, str]]
+    folder: str
+    episodes: list[int]
 
 
 class EpisodeWriter(DataSourceArrowWriter):
@@ -39,7 +45,7 @@ class EpisodeWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, staging = filesystem(self.staging)
         folder = f"{staging}/{uuid.uuid4().hex}"
-        at, out, files, seen, held, n = self.names.index("episode_index"), None, [], set(), [], 0
+        at, out, file, episodes, seen, held, n = self.names.index("episode_index"), None, None, [], set(), [], 0
 
         def flush():
             nonlocal held, n
@@ -47,46 +53,58 @@ class EpisodeWriter(DataSourceArrowWriter):
                 out.write_table(pa.Table.from_batches(held), row_group_size=ROW_GROUP)
             held, n = [], 0
 
+        def close():
+            if out is not None:
+                flush()
+                out.close()
+                file.close()
+
         for batch in iterator:
             batch = pa.RecordBatch.from_arrays(batch.columns, names=self.names)
-            while batch.num_rows:
-                episode = batch.column(at)[0].as_py()
-                if episode is None:
-                    raise ValueError("a frame without episode_index")
-                if not files or files[-1][0] != episode:
-                    if out is not None:
-                        flush()
-                        out.close()
+            if batch.column(at).null_count:
+                raise ValueError("a frame without episode_index")
+            # Rows are sorted by episode, so its stretch ends where a later one begins.
+            numbers = batch.column(at).to_numpy()
+            ends = [*(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)] if len(numbers) else []
+            for start, end in zip([0, *ends], ends, strict=False):
+                episode = int(numbers[start])
+                if not episodes or episodes[-1] != episode:
+                    close()
                     if episode in seen:
                         raise ValueError(f"frames of episode {episode} don't come together")
                     seen.add(episode)
-                    fs.create_dir(folder, recursive=True)
-                    files.append((episode, f"{folder}/episode_{episode:06d}.parquet"))
-                    out = pq.ParquetWriter(fs.open_output_stream(files[-1][1]), batch.schema)
-                # Rows are sorted by episode, so its stretch ends where a later one begins.
-                same = batch.column(at).to_numpy(zero_copy_only=False) == episode
-                stretch = len(same) if same.all() else int((~same).argmax())
-                held.append(batch.slice(0, stretch))
-                n += stretch
+                    if not episodes:
+                        fs.create_dir(folder, recursive=True)
+                    episodes.append(episode)
+                    file = fs.open_output_stream(f"{folder}/{file_name(episode)}")
+                    out = pq.ParquetWriter(file, batch.schema)
+                held.append(batch.slice(start, end - start))
+                n += end - start
                 if n >= ROW_GROUP:
                     flush()
-                batch = batch.slice(stretch)
-        if out is not None:
-            flush()
-            out.close()
-        return Written(files)
+        close()
+        return Written(folder, episodes)
 
     def commit(self, messages: list[Written | None]) -> None:
-        files = [f for m in messages if m is not None for f in m.files]
-        if len({e for e, _ in files}) < len(files):
+        moves: dict[int, list[tuple[str, int]]] = {}
+        for m in messages:
+            for episode in m.episodes if m is not None else ():
+                moves.setdefault(episode // self.size, []).append((m.folder, episode))
+        if any(len({e for _, e in own}) < len(own) for own in moves.values()):
             self.abort(messages)
             raise ValueError("an episode was written by two tasks: partition by episode_index")
         fs, staging = filesystem(self.staging)
-        for chunk in sorted({e // self.size for e, _ in files}):
-            fs.create_dir(f"{staging}/data/chunk-{chunk:03d}", recursive=True)
         fs.create_dir(f"{staging}/data", recursive=True)
+
+        def gather(chunk: int) -> None:
+            target = f"{staging}/data/chunk-{chunk:03d}"
+            fs.create_dir(target, recursive=True)
+            for folder, episode in moves[chunk]:
+                fs.move(f"{folder}/{file_name(episode)}", f"{target}/{file_name(episode)}")
+
+        # One unit a chunk, so what waits is as long as there are chunks, not files.
         with ThreadPoolExecutor(16) as pool:
-            list(pool.map(lambda f: fs.move(f[1], f"{staging}/data/chunk-{f[0] // self.size:03d}/{f[1].rpartition('/')[2]}"), files))
+            list(pool.map(gather, moves))
         fs.move(f"{staging}/data", f"{filesystem(self.root)[1]}/data")
         fs.delete_dir(staging)
 

@@ -71,7 +71,9 @@ def write_episode_files(frames: DataFrame, root: str, chunks_size: int = 1000) -
     dealt = frames.repartition(parts, "episode_index").sortWithinPartitions("episode_index", "frame_index")
     dealt.write.format("trajectory_episodes").option("path", root).option("chunks_size", chunks_size).mode("append").save()
     fs, base = filesystem(root)
-    return sum(1 for f in fs.get_file_info(pafs.FileSelector(f"{base.rstrip('/')}/data", recursive=True)) if f.is_file)
+    # A folder's entries at a time.
+    folders = fs.get_file_info(pafs.FileSelector(f"{base.rstrip('/')}/data"))
+    return sum(sum(f.is_file for f in fs.get_file_info(pafs.FileSelector(folder.path))) for folder in folders)
 
 
 def write_dataset(frames: DataFrame, episodes: DataFrame, tasks: DataFrame, info: dict, modality: dict, root: str) -> None:

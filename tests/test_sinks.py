@@ -78,3 +78,16 @@ def test_a_schedule_that_is_stopped_goes_on(spark, tmp_path):
     assert stopped == whole and len(whole) == 240
     assert [r[:2] for r in whole] == [(i // 100, i % 100) for i in range(240)]
     assert [r[1:] for r in whole if r[0] == 2] == list(schedules.draws(DATASETS, 11, 0, 40))
+
+
+def test_a_task_names_its_folder_once(spark, tmp_path):
+    """What a task sends to the driver is a folder and numbers, not a path a file."""
+    import pyarrow as pa
+
+    from kinetrace.sources.episodes import EpisodeWriter
+
+    writer = EpisodeWriter({"path": f"{tmp_path}/d", "chunks_size": "2"}, ["episode_index", "frame_index"])
+    made = [writer.write(iter([pa.record_batch([[e, e, e + 1], [0, 1, 0]], ["a", "b"])])) for e in (0, 2)]
+    assert [m.episodes for m in made] == [[0, 1], [2, 3]] and made[0].folder != made[1].folder
+    writer.commit([*made, None])
+    assert listed(tmp_path) == [f"d/data/chunk-{e // 2:03d}/episode_{e:06d}.parquet" for e in range(4)]
