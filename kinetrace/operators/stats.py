@@ -266,10 +266,10 @@ def relative_stats(frames: DataFrame, actions: dict[str, ActionSpec], offsets: S
 
 def dataset_stats(dataset, episodes: DataFrame | None = None) -> dict:
     """Flat statistics of a dataset's float features, over all episodes or some (episode_index), in the layout of stats.json."""
-    frames = dataset.frames()
+    names = low_dim_features(dataset.features, dataset.frames().columns)
+    frames = dataset.frames(columns=names)
     if episodes is not None:
         frames = frames.join(episodes.select("episode_index").distinct(), "episode_index", "left_semi")
-    names = low_dim_features(dataset.features, frames.columns)
     return stats_json(flat_stats(frames, {n: as_vector(frames, n) for n in names}))
 
 
@@ -295,7 +295,8 @@ def ensure_stats(dataset, actions: dict[str, ActionSpec], offsets: Sequence[int]
     in_temporal = set((dataset.temporal_stats or {}).get("relative_action", {}))
     missing = [k for k in wanted if k not in have]
     if missing and not set(wanted) <= in_temporal:
-        frames = dataset.load() if some is None else dataset.load().join(some, "episode_index", "left_semi")
+        frames = dataset.load(columns=[])
+        frames = frames if some is None else frames.join(some, "episode_index", "left_semi")
         made = relative_stats(frames, actions, offsets, keys=missing, episode="episode_index", frame="frame_index")
         write_relative_stats(dataset.spark, dataset.root, {k: stats_json(df, "key")[k] for k, df in made.items()}, overwrite=list(made))
         written.append("relative_stats.json")

@@ -148,3 +148,16 @@ def test_frames_of_short_episodes_go_on_together():
     assert list(lerobot._together(iter([]))) == []
     wide = [pa.table({"c0": pa.array(range(3_000_000), pa.int64())}, schema)] * 2
     assert sum(b.num_rows for b in lerobot._together(iter(wide))) == 6_000_000
+
+
+def test_statistics_read_the_columns_that_they_need(spark, dataset, monkeypatch):
+    from kinetrace.operators import stats
+
+    asked, real = [], lerobot.TrajectoryDataset.frames
+    monkeypatch.setattr(lerobot.TrajectoryDataset, "frames", lambda self, episodes=None, columns=None: asked.append(columns) or real(self, episodes, columns))
+    dataset.info["features"] = {"observation.state": {"dtype": "float64", "shape": [2]}, "task_index": {"dtype": "int64", "shape": [1]}}
+    made = stats.dataset_stats(dataset)
+    assert asked[-1] == ["observation.state"] and made["observation.state"]["mean"] == [19.5, 2.0] and made["observation.state"]["max"] == [39.0, 4.0]
+    dataset.modality = {"state": {"x": {"start": 0, "end": 1}}, "action": {"y": {"start": 1, "end": 2, "original_key": "observation.state"}}}
+    assert set(dataset.load(columns=[]).columns) == {"episode_index", "frame_index", "observation.state", "tasks", "length", "sub_tasks", "state.x", "action.y"}
+    assert asked[-1] == ["observation.state", "observation.state"]
