@@ -83,6 +83,21 @@ def test_shards_of_any_number_of_blocks_are_as_many_and_as_even(spark, block):
     assert len(sums) == math.ceil(len(rows) / 40) and sum(sums) == len(rows) == plan.count() and max(sums) - min(sums) <= largest
 
 
+@pytest.mark.parametrize("block", [6, 100])
+def test_neither_anchors_nor_pieces_are_gathered_at_the_driver(spark, block):
+    from kinetrace.operators.blocks import written
+
+    # Long episodes, whose files are a fraction of a byte an anchor.
+    anchors = written(spark.range(23 * 4000).selectExpr("floor(id / 4000) as episode", "id % 4000 as frame").coalesce(1), "anchors")
+    plan, lengths = sharding.shard_plan(anchors, 4000, 0.2, seed=4, block=block)
+    assert plan.count() == 23 * 4000 and lengths.count() == 23
+    for df in (plan, lengths):
+        df.collect()
+        joins = [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
+        # What is broadcast is a row for each task that ranks pieces.
+        assert all("SortMergeJoin" in line or ("[part_k" in line and "BuildRight" in line) for line in joins), joins
+
+
 def test_images_are_summed_over_their_buffer_and_draw_only_if_asked(monkeypatch):
     import pyarrow as pa
 
